@@ -76,6 +76,33 @@ def segments_of(gaps: DataFrame, frame_samples: int = P.FRAME_SAMPLES) -> DataFr
     )
 
 
+def block_at(
+    points: DataFrame, gaps: DataFrame, at: str, bucket_samples: int = 1 << 20
+) -> DataFrame:
+    """Find the block (start, end] that holds each point's sample position.
+
+    `points` has session_id and segment_start. Blocks are spread over the sample buckets
+    they touch, so this is an equi join however many blocks a segment has.
+    """
+    blocks = gaps.select(
+        "session_id", "segment_start", "sample_rate", "start_sample", "end_sample"
+    ).withColumn(
+        "_bucket",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("start_sample") / bucket_samples),
+                F.floor(F.col("end_sample") / bucket_samples),
+            )
+        ),
+    )
+    placed = points.withColumn("_bucket", F.floor(F.col(at) / bucket_samples))
+    return (
+        attach(placed, blocks, ["session_id", "segment_start", "_bucket"], how="inner")
+        .filter((F.col("start_sample") < F.col(at)) & (F.col("end_sample") >= F.col(at)))
+        .drop("_bucket")
+    )
+
+
 def timing_gaps(meta: DataFrame, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
     """Flag blocks that arrived late by more than max(5 ms, half the previous block)."""
     rows = with_previous(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandsift import params as P
+from bandsift.operators.acquisition import block_at
 from bandsift.operators.ordered import (
     Fold,
     attach,
@@ -40,15 +41,20 @@ class ThrottleFold(Fold):
 
 
 def throttle(
-    rows: DataFrame, keys: Sequence[str], time_us: str, id_col: str, interval_us: int,
-    chunk: Column,
+    rows: DataFrame,
+    keys: Sequence[str],
+    time_us: str,
+    id_col: str,
+    interval_us: int,
+    chunk_us: int = P.CHUNK_S * 1_000_000,
 ) -> DataFrame:
     """Keep a row only when `interval_us` have passed since the last kept one of its key.
 
     A silence of at least the interval restarts the rule, so each key falls into
     independent runs; a run's first row is kept, and only runs of several rows are
     folded. The fold sees (time, id) alone.
-    """
+    """
+    chunk = number_chunk(time_us, chunk_us)
     slim = rows.select(*keys, time_us, id_col)
     order = [time_us, id_col]
     placed = with_previous(slim, keys, order, [time_us], chunk)
@@ -139,24 +145,25 @@ def capture_windows(
     )
 
 
-def finished_captures(windows: DataFrame, meta: DataFrame) -> DataFrame:
+def finished_captures(
+    windows: DataFrame, gaps: DataFrame, bucket_samples: int = 1 << 20
+) -> DataFrame:
     """Add `capture_end`: the end of the first block that reaches the deadline, cut at the
     longest length. Null where the segment ended first, which aborts the capture.
 
-    `meta` is block metadata with segment_start.
+    `gaps` is block metadata with segment_start. `windows` is read twice.
     """
-    blocks = meta.select("session_id", "segment_start", "start_sample", "end_sample")
-    w = windows.alias("w")
-    b = blocks.alias("b")
-    hit = (
-        F.col("w.session_id").eqNullSafe(F.col("b.session_id"))
-        & F.col("w.segment_start").eqNullSafe(F.col("b.segment_start"))
-        & (F.col("b.start_sample") < F.col("w.deadline"))
-        & (F.col("b.end_sample") >= F.col("w.deadline"))
-    )
-    return w.join(b, hit, "left").select(
-        "w.*",
-        F.least(F.col("b.end_sample"), F.col("w.max_end")).alias("capture_end"),
+    key = ["session_id", "segment_start", "capture_start"]
+    ends = block_at(
+        windows.select(*key, "deadline"), gaps, "deadline", bucket_samples
+    ).select(*key, "end_sample")
+    return (
+        attach(windows, ends, key)
+        .withColumn(
+            "capture_end",
+            F.when(F.col("end_sample").isNotNull(), F.least("end_sample", "max_end")),
+        )
+        .drop("end_sample")
     )
 
 

@@ -255,5 +255,4 @@ def activation_alerts(
         "ts_us",
         "snapshot_seq",
         debounce_s * 1_000_000,
-        number_chunk("ts_us", P.CHUNK_S * 1_000_000),
     )

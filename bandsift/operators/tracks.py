@@ -163,9 +163,8 @@ def finish_burst(
     frame_samples: int = P.FRAME_SAMPLES,
     min_frames: int = P.MIN_QUALIFIED_FRAMES,
     block_bins: int = 32,
-    chunk_frames: int = P.CHUNK_FRAMES,
 ) -> DataFrame:
-    """Measured bursts in closing order, with the floor of the nearest bin at closing.
+    """Measured bursts, with the floor of the nearest bin at closing.
 
     `sessions` gives sample_rate, f0_hz, bin_hz and n_bins per session.
     """
@@ -192,7 +191,7 @@ def finish_burst(
         measured, floors, ["session_id", "segment_start", "close_frame", "bin_block"]
     )
     index = nearest_grid_index(F.col("center_hz"))
-    bursts = looked_up.select(
+    return looked_up.select(
         "session_id",
         "segment_start",
         "start_frame",
@@ -215,6 +214,14 @@ def finish_burst(
         F.round(F.col("center_hz") - grid_frequency(index), 1).alias("freq_offset_hz"),
         (F.col("segment_start") + F.col("close_frame") * frame_samples).alias("close_sample"),
     )
+
+
+def in_sequence(
+    bursts: DataFrame,
+    frame_samples: int = P.FRAME_SAMPLES,
+    chunk_frames: int = P.CHUNK_FRAMES,
+) -> DataFrame:
+    """Number the bursts of each session in the order in which they closed."""
     return with_position(
         bursts,
         ["session_id"],

@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandsift import params as P
-from bandsift.operators.acquisition import block_meta, gap_detect
-from bandsift.operators.detect import wideband_regions
-from bandsift.operators.dsp import (
-    frame_blocks,
-    seed_frames,
-    segment_frames,
-    short_time_psd,
-    with_segments,
+from bandsift.operators.acquisition import block_at, block_meta, gap_detect, segments_of
+from bandsift.operators.capture import (
+    capture_windows,
+    finished_captures,
+    trigger_capture_join,
 )
+from bandsift.operators.detect import wideband_regions
+from bandsift.operators.dsp import frame_blocks, seed_frames, short_time_psd, with_segments
 from bandsift.operators.noise import bin_noise_floor
 from bandsift.operators.ordered import attach
-from bandsift.operators.tracks import classify_burst, finish_burst, novelty_filter, track_bursts
+from bandsift.operators.tracks import (
+    classify_burst,
+    finish_burst,
+    in_sequence,
+    novelty_filter,
+    track_bursts,
+)
+from bandsift.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -32,16 +38,25 @@ class Evidence:
     block_bins: int = 32
 
 
-def spectra(blocks: DataFrame, how: Evidence = Evidence()) -> DataFrame:
+def gaps_of(blocks: DataFrame) -> DataFrame:
+    """Continuity of every session: metadata only, written once because each step needs it."""
+    return cut_lineage(gap_detect(block_meta(blocks)))
+
+
+def spectra(
+    blocks: DataFrame, gaps: DataFrame, how: Evidence = Evidence(), precise: bool = False
+) -> DataFrame:
     """In-band short-time spectra with the number of frames that seed the floor."""
-    framed = frame_blocks(with_segments(blocks), how.frame_samples)
-    psd = short_time_psd(framed, how.frame_samples, how.welch_segments)
-    return attach(psd, seed_frames(blocks, how.frame_samples), ["session_id"], how="inner")
+    framed = frame_blocks(with_segments(blocks, gaps), how.frame_samples)
+    psd = short_time_psd(framed, how.frame_samples, how.welch_segments, precise=precise)
+    return attach(psd, seed_frames(gaps, how.frame_samples), ["session_id"], how="inner")
 
 
-def noise_of(blocks: DataFrame, how: Evidence = Evidence()) -> DataFrame:
+def noise_of(
+    blocks: DataFrame, gaps: DataFrame, how: Evidence = Evidence(), precise: bool = False
+) -> DataFrame:
     return bin_noise_floor(
-        spectra(blocks, how), how.threshold_db, block_bins=how.block_bins
+        spectra(blocks, gaps, how, precise), how.threshold_db, block_bins=how.block_bins
     )
 
 
@@ -59,48 +74,61 @@ def session_axis(bin_noise: DataFrame, segments: DataFrame) -> DataFrame:
 def bursts_of(
     bin_noise: DataFrame, segments: DataFrame, how: Evidence = Evidence()
 ) -> DataFrame:
-    """Scored bursts in sequence. `bin_noise` is used twice: write it out first when
-    recomputing it would be dear."""
-    regions = wideband_regions(bin_noise, how.threshold_db)
+    """Scored bursts in sequence.
+
+    `bin_noise` is read twice: hand in a written table. Regions and tracks are small next
+    to it and read several times, so both go to the checkpoint folder.
+    """
+    regions = cut_lineage(wideband_regions(bin_noise, how.threshold_db))
     tracks = track_bursts(regions, segments)
-    finished = finish_burst(
-        tracks,
-        bin_noise,
-        session_axis(bin_noise, segments),
-        how.frame_samples,
-        block_bins=how.block_bins,
+    finished = cut_lineage(
+        finish_burst(
+            tracks,
+            bin_noise,
+            session_axis(bin_noise, segments),
+            how.frame_samples,
+            block_bins=how.block_bins,
+        )
     )
-    return novelty_filter(classify_burst(finished))
+    return novelty_filter(classify_burst(in_sequence(finished, how.frame_samples)))
 
 
 def wideband_bursts(blocks: DataFrame, how: Evidence = Evidence()) -> DataFrame:
-    return bursts_of(noise_of(blocks, how), segment_frames(blocks, how.frame_samples), how)
+    """The whole chain, from IQ blocks to flagged bursts."""
+    gaps = gaps_of(blocks)
+    floors = cut_lineage(noise_of(blocks, gaps, how))
+    return bursts_of(floors, segments_of(gaps, how.frame_samples), how)
 
 
-def triggers_of(bursts: DataFrame, blocks: DataFrame) -> DataFrame:
+def triggers_of(
+    bursts: DataFrame, gaps: DataFrame, frame_samples: int = P.FRAME_SAMPLES
+) -> DataFrame:
     """Candidate bursts placed in the block in which their closing frame was complete."""
-    meta = gap_detect(block_meta(blocks)).select(
-        "session_id", "segment_start", "sample_rate", "start_sample", "end_sample"
-    )
     flagged = bursts.filter("is_candidate").select(
-        "session_id", "segment_start", "sequence", "close_sample", "frame_end"
-    )
-    b, m = flagged.alias("b"), meta.alias("m")
-    hit = (
-        (F.col("b.session_id") == F.col("m.session_id"))
-        & (F.col("b.segment_start") == F.col("m.segment_start"))
-        & (F.col("m.start_sample") < F.col("b.frame_end"))
-        & (F.col("m.end_sample") >= F.col("b.frame_end"))
+        "session_id",
+        "segment_start",
+        F.col("sequence").alias("trigger_id"),
+        (F.col("close_sample") + frame_samples).alias("frame_end"),
     )
-    return b.join(m, hit).select(
-        "b.session_id",
-        "b.segment_start",
-        "m.sample_rate",
-        F.col("b.sequence").alias("trigger_id"),
-        F.col("m.start_sample").alias("block_start"),
-        F.col("m.end_sample").alias("block_end"),
+    placed = block_at(flagged, gaps, "frame_end")
+    return placed.select(
+        "session_id",
+        "segment_start",
+        "sample_rate",
+        "trigger_id",
+        F.col("start_sample").alias("block_start"),
+        F.col("end_sample").alias("block_end"),
     )
 
 
-def with_frame_end(bursts: DataFrame, frame_samples: int = P.FRAME_SAMPLES) -> DataFrame:
-    return bursts.withColumn("frame_end", F.col("close_sample") + frame_samples)
+def captures_of(
+    bursts: DataFrame,
+    blocks: DataFrame,
+    gaps: DataFrame,
+    how: Evidence = Evidence(),
+    **window_s: float,
+) -> DataFrame:
+    """Triggered captures with their IQ."""
+    triggers = cut_lineage(triggers_of(bursts, gaps, how.frame_samples))
+    windows = finished_captures(capture_windows(triggers, **window_s), gaps)
+    return trigger_capture_join(cut_lineage(windows), with_segments(blocks, gaps))

@@ -22,7 +22,7 @@ def parse_sweep(lines: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
             *carried,
             number(F.get("_p", F.lit(2))).alias("_low"),
             number(F.get("_p", F.lit(4))).alias("_step"),
-            F.transform(F.slice("_p", 7, F.size("_p") - 6), number).alias("_db"),
+            F.transform(F.slice("_p", 7, F.greatest(F.size("_p") - 6, F.lit(0))), number).alias("_db"),
         )
         .filter(
             F.col("_low").isNotNull()
