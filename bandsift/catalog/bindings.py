@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandsift.runtime import prepare
+from bandsift.runtime import prepare, shared_folder
 
 # 2024-01-01 and 2024-01-15, microseconds.
 _BASE = 1_704_067_200_000_000
@@ -166,6 +166,32 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
             "qualified": "event_id % 5 >= 2",
         },
     ),
+    "frame_regions": (
+        "events",
+        {
+            "session_id": "user_id % 10",
+            "segment_start": "cast(0 as bigint)",
+            "frame_id": ("event_id div 4", "event_id // 4"),
+            "frame_start": ("(event_id div 4) * 2048", "(event_id // 4) * 2048"),
+            "center_hz": "cast(867569000 + (user_id % 40) * 9000 as double) + value",
+            "peak_db": "value - 100",
+            "peak_snr_db": "value",
+            "width_hz": "cast(1 + event_id % 3 as double) * 4687.5",
+        },
+    ),
+    "band_regions": (
+        "events",
+        {
+            "session_id": "user_id % 10",
+            "frame_seq": "event_id",
+            "ts": _ts("ts"),
+            "center_hz": f"{_PLACE} + event_id % 9 * 1000",
+            "bandwidth_hz": "5000 + (event_id % 7) * 10000",
+            "peak_power_db": "value - 120",
+            "avg_power_db": "value / 2 - 120",
+            "snr_db": "value",
+        },
+    ),
     "open_tracks": (
         "events",
         {
@@ -416,6 +442,48 @@ class Tables:
             *[f"{_pick(e, 0)} AS `{c}`" for c, e in columns.items()]
         )
 
+    def stream(self, name: str) -> DataFrame:
+        """A bound table read as a stream of its files."""
+        base, columns = BINDINGS[name]
+        schema = self.base(base).schema
+        rows = self.spark.readStream.schema(schema).parquet(f"{self.folder}/{base}*.parquet")
+        return rows.selectExpr(*[f"{_pick(e, 0)} AS `{c}`" for c, e in columns.items()])
+
+    def drained(self, stream: DataFrame, mode: str = "append") -> DataFrame:
+        """Run a stream over all there is and read back what it wrote."""
+        out = shared_folder(self.spark, "stream")
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .format("parquet")
+            .start(f"{out}/rows")
+        )
+        query.awaitTermination()
+        return self.spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+    def drained_updates(self, stream: DataFrame, keys: list[str]) -> DataFrame:
+        """As `drained`, for a stream in update mode: the last row written of each key."""
+        from pyspark.sql import functions as F
+
+        out = shared_folder(self.spark, "stream")
+
+        def write(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+
+        query = (
+            stream.writeStream.outputMode("update")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
+        rows = self.spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch=*")
+        rest = [c for c in stream.columns if c not in keys]
+        latest = F.max_by(F.struct(*rest), "batch").alias("_r")
+        return rows.groupBy(*keys).agg(latest).select(*keys, "_r.*")
+
     @cached_property
     def as_of(self):
         from pyspark.sql import functions as F

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandsift import params as P
-from bandsift.operators.ordered import attach
+from bandsift.functions.arrays import reduce_bins
+from bandsift.operators.capture import throttle
+from bandsift.operators.ordered import attach, number_chunk, with_last_known, with_position
 
 
 def _clamp(value: int, low: int, high: int) -> int:
@@ -93,18 +95,23 @@ def occupancy_intensity(grid: DataFrame) -> DataFrame:
     )
 
 
-def stitch_band(
+def _band_freq(bins: int, start_hz: int, end_hz: int) -> Column:
+    step = (end_hz - start_hz) / (bins - 1)
+    return F.when(F.col("band_bin") == bins - 1, F.lit(float(end_hz))).otherwise(
+        start_hz + F.col("band_bin") * step
+    )
+
+
+def band_cells(
     frames: DataFrame,
     bins: int = P.SPECTRUM_BINS,
     start_hz: int = P.BAND_START_HZ,
     end_hz: int = P.BAND_END_HZ,
 ) -> DataFrame:
-    """Full-band spectrum per session: the latest window covering a band bin wins.
+    """Each frame interpolated onto the band bins it covers: session, bin, frame, v.
 
-    Each frame is interpolated onto the band bins it covers, and the aggregation keeps
-    one value per (session, bin) before anything is shuffled. Uncovered bins read -140.
+    Row by row, so it serves streams as well.
     """
-    bins = max(16, bins)
     step = (end_hz - start_hz) / (bins - 1)
     low = F.col("f0_hz")
     high = F.col("f0_hz") + F.col("bin_hz") * (F.size("power_db") - 1)
@@ -117,15 +124,8 @@ def stitch_band(
         .withColumn("_first", first)
         .withColumn("_last", last)
         .filter(F.col("_first") <= F.col("_last"))
-        .withColumn(
-            "band_bin", F.explode(F.sequence("_first", "_last").cast("array<int>"))
-        )
-        .withColumn(
-            "_freq",
-            F.when(F.col("band_bin") == bins - 1, F.lit(float(end_hz))).otherwise(
-                start_hz + F.col("band_bin") * step
-            ),
-        )
+        .withColumn("band_bin", F.explode(F.sequence("_first", "_last").cast("array<int>")))
+        .withColumn("_freq", _band_freq(bins, start_hz, end_hz))
         .filter((F.col("_freq") >= F.col("_low")) & (F.col("_freq") <= F.col("_high")))
     )
     place = F.when(F.col("bin_hz") > 0, (F.col("_freq") - F.col("_low")) / F.col("bin_hz"))
@@ -133,9 +133,26 @@ def stitch_band(
     left = F.get("power_db", at)
     right = F.coalesce(F.get("power_db", at + 1), left)
     value = left + (right - left) * (F.coalesce(place, F.lit(0.0)) - at)
-    seen = touched.select(
-        "session_id", "band_bin", "frame_seq", value.alias("v")
-    ).groupBy("session_id", "band_bin").agg(F.max_by("v", "frame_seq").alias("power_db"))
+    return touched.select("session_id", "band_bin", "frame_seq", value.alias("v"))
+
+
+def stitch_band(
+    frames: DataFrame,
+    bins: int = P.SPECTRUM_BINS,
+    start_hz: int = P.BAND_START_HZ,
+    end_hz: int = P.BAND_END_HZ,
+) -> DataFrame:
+    """Full-band spectrum per session: the latest window covering a band bin wins.
+
+    The aggregation keeps one value per (session, bin) before anything is shuffled.
+    Uncovered bins read -140.
+    """
+    bins = max(16, bins)
+    seen = (
+        band_cells(frames, bins, start_hz, end_hz)
+        .groupBy("session_id", "band_bin")
+        .agg(F.max_by("v", "frame_seq").alias("power_db"))
+    )
     band = (
         frames.select("session_id")
         .distinct()
@@ -144,13 +161,85 @@ def stitch_band(
     return attach(band, seen, ["session_id", "band_bin"]).select(
         "session_id",
         "band_bin",
-        F.when(F.col("band_bin") == bins - 1, F.lit(float(end_hz)))
-        .otherwise(start_hz + F.col("band_bin") * step)
-        .alias("freq_hz"),
+        _band_freq(bins, start_hz, end_hz).alias("freq_hz"),
         F.coalesce("power_db", F.lit(P.UNSEEN_DB)).alias("power_db"),
     )
 
 
+def spectrum_frames_out(
+    frames: DataFrame,
+    fps: int = P.SPECTRUM_FPS,
+    bins: int = P.SPECTRUM_BINS,
+    start_hz: int = P.BAND_START_HZ,
+    end_hz: int = P.BAND_END_HZ,
+    chunk_frames: int = P.CHUNK_FRAMES,
+) -> DataFrame:
+    """The stitched band as it stood at every frame the throttle lets out, one row per bin.
+
+    Between two outputs only the newest value of a bin counts, so cells are reduced to
+    one per (session, bin, output) before values are carried forward.
+    """
+    bins = max(16, bins)
+    timed = frames.select("session_id", "frame_seq", F.unix_micros("ts").alias("ts_us"))
+    interval = int(1_000_000 / max(1, fps))
+    outs = throttle(timed, ["session_id"], "ts_us", "frame_seq", interval).select(
+        "session_id", F.col("frame_seq").alias("out_seq")
+    )
+    marked = timed.select("session_id", "frame_seq").join(
+        outs.withColumn("frame_seq", F.col("out_seq")), ["session_id", "frame_seq"], "left"
+    )
+    chunk = number_chunk("_back", chunk_frames)
+    served = with_last_known(
+        marked.withColumn("_back", -F.col("frame_seq")),
+        ["session_id"],
+        ["_back"],
+        {"out_seq": "_out"},
+        chunk,
+    ).select("session_id", "frame_seq", F.col("_out").alias("out_seq"))
+    cells = (
+        attach(
+            band_cells(frames, bins, start_hz, end_hz), served, ["session_id", "frame_seq"], "inner"
+        )
+        .filter("out_seq is not null")
+        .groupBy("session_id", "band_bin", "out_seq")
+        .agg(F.max_by("v", "frame_seq").alias("v"))
+    )
+    grid = outs.withColumn("band_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    filled = with_last_known(
+        attach(grid, cells, ["session_id", "band_bin", "out_seq"]),
+        ["session_id", "band_bin"],
+        ["out_seq"],
+        {"v": "_known"},
+        number_chunk("out_seq", chunk_frames),
+    )
+    return filled.select(
+        "session_id",
+        F.col("out_seq").alias("frame_seq"),
+        "band_bin",
+        F.coalesce("_known", F.lit(P.UNSEEN_DB)).alias("power_db"),
+    )
+
+
+def scope_frames_out(
+    frames: DataFrame,
+    fps: int = P.SCOPE_FPS,
+    bins: int = P.SCOPE_BINS,
+    chunk_frames: int = P.CHUNK_FRAMES,
+) -> DataFrame:
+    """Throttled, max-pooled frames with a running number per session.
+
+    Other columns of `frames` (envelope, floor, modulation hint) pass through.
+    """
+    timed = frames.withColumn("ts_us", F.unix_micros("ts"))
+    kept = throttle(
+        timed, ["session_id"], "ts_us", "frame_seq", int(1_000_000 / max(1, fps))
+    ).drop("ts_us")
+    reduced = kept.withColumn("power_db", reduce_bins(F.col("power_db"), bins))
+    return with_position(
+        reduced, ["session_id"], ["frame_seq"], number_chunk("frame_seq", chunk_frames), "seq"
+    )
+
+
 def coverage_gaps(windows: DataFrame) -> DataFrame:
     """Parts of each session's band that no observed window covers.
 

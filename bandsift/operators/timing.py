@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandsift import params as P
-from bandsift.operators.ordered import attach, newest_per_key, time_chunk, with_previous
+from bandsift.operators.ordered import (
+    attach,
+    newest_per_key,
+    time_chunk,
+    with_next,
+    with_previous,
+)
 
 KEYS = ["session_id", "channel_id"]
 
@@ -154,3 +160,40 @@ def next_expected(channels: DataFrame, as_of: Column) -> DataFrame:
     return channels.select(
         "channel_id", *expected(F.col("last_seen"), F.col("recurrence_interval_s"), as_of)
     )
+
+
+def status_decay(
+    sightings: DataFrame,
+    as_of: Column,
+    keys: Sequence[str] = KEYS,
+    chunk_s: int = P.CHUNK_S,
+    id_col: str = "detection_id",
+) -> DataFrame:
+    """Status changes of every channel as time passes, up to `as_of`.
+
+    A sighting activates a channel that was not active; it stops being active after three
+    seconds without another and recent after thirty.
+    """
+    us = "_us"
+    rows = sightings.select(*keys, id_col, "ts", F.unix_micros("ts").alias(us))
+    chunk = time_chunk("ts", chunk_s)
+    order = [us, id_col]
+    near = with_next(with_previous(rows, keys, order, [us], chunk), keys, order, [us], chunk)
+    active, recent = int(P.ACTIVE_AGE_S * 1e6), int(P.RECENT_AGE_S * 1e6)
+    until = F.coalesce(F.col(f"next_{us}"), F.unix_micros(as_of))
+    silent = until - F.col(us)
+
+    def change(when: Column, at: Column, status: str) -> Column:
+        return F.when(when, F.struct(at.alias("at"), F.lit(status).alias("status")))
+
+    before = F.col(f"prev_{us}")
+    changes = F.array_compact(
+        F.array(
+            change(before.isNull() | (F.col(us) - before > active), F.col(us), "active"),
+            change(silent > active, F.col(us) + active, "recently_active"),
+            change(silent > recent, F.col(us) + recent, "inactive"),
+        )
+    )
+    return near.select(*keys, F.explode(changes).alias("_c")).select(
+        *keys, F.timestamp_micros("_c.at").alias("ts"), F.col("_c.status").alias("status")
+    )
