@@ -216,10 +216,10 @@ def affine_scan(
     Steps compose, so chunks of `width` positions are folded independently, then
     chunks of chunks, and only the top level folds along a key. Adds `state_before`.
     """
-    group = F.floor(F.col(position) / F.lit(width))
+    group, entry_at = f"_group{levels}", f"_entry{levels}"
     lists = (
-        df.withColumn("_group", group)
-        .groupBy(*keys, "_group")
+        df.withColumn(group, F.floor(F.col(position) / F.lit(width)))
+        .groupBy(*keys, group)
         .agg(
             F.sort_array(
                 F.collect_list(F.struct(F.col(position), F.col(a), F.col(b)))
@@ -243,30 +243,30 @@ def affine_scan(
 
     folded = lists.withColumn("_fold", F.aggregate("_steps", start, step))
     groups = folded.select(
-        *keys, "_group", F.col("_fold.a").alias("_ga"), F.col("_fold.b").alias("_gb")
+        *keys, group, F.col("_fold.a").alias("_ga"), F.col("_fold.b").alias("_gb")
     )
     if levels > 1:
-        entry = affine_scan(groups, keys, "_group", "_ga", "_gb", seed, width, levels - 1)
+        entry = affine_scan(groups, keys, group, "_ga", "_gb", seed, width, levels - 1)
     else:
-        entry = _fold_along_key(groups, keys, seed)
-    entry = entry.select(*keys, "_group", F.col("state_before").alias("_entry"))
+        entry = _fold_along_key(groups, keys, group, seed)
+    entry = entry.select(*keys, group, F.col("state_before").alias(entry_at))
     rows = folded.select(
-        *keys, "_group", F.explode(F.arrays_zip("_steps", F.col("_fold.before"))).alias("_z")
+        *keys, group, F.explode(F.arrays_zip("_steps", F.col("_fold.before"))).alias("_z")
     )
-    joined = attach(rows, entry, [*keys, "_group"])
+    joined = attach(rows, entry, [*keys, group])
     return joined.select(
         *keys,
         F.col("_z._steps")[position].alias(position),
         F.col("_z._steps")[a].alias(a),
         F.col("_z._steps")[b].alias(b),
-        (F.col("_z.before.a") * F.col("_entry") + F.col("_z.before.b")).alias("state_before"),
+        (F.col("_z.before.a") * F.col(entry_at) + F.col("_z.before.b")).alias("state_before"),
     )
 
 
-def _fold_along_key(groups: DataFrame, keys: Keys, seed: DataFrame) -> DataFrame:
+def _fold_along_key(groups: DataFrame, keys: Keys, group: str, seed: DataFrame) -> DataFrame:
     """Top level of the scan: one short list per key."""
     lists = groups.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_group", "_ga", "_gb"))).alias("_steps")
+        F.sort_array(F.collect_list(F.struct(group, "_ga", "_gb"))).alias("_steps")
     )
     lists = attach(lists, seed, keys)
     start = F.struct(
@@ -286,7 +286,7 @@ def _fold_along_key(groups: DataFrame, keys: Keys, seed: DataFrame) -> DataFrame
         *keys, F.explode(F.arrays_zip("_steps", F.col("_fold.before"))).alias("_z")
     ).select(
         *keys,
-        F.col("_z._steps._group").alias("_group"),
+        F.col("_z._steps")[group].alias(group),
         F.col("_z.before").alias("state_before"),
     )
 
