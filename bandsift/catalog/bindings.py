@@ -60,6 +60,17 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
             "iq": "embedding",
         },
     ),
+    "cu8_blocks": (
+        "documents",
+        {
+            "session_id": "doc_id % 100",
+            "start_sample": "doc_id * 1000000",
+            "center_hz": "cast(868269000 as bigint)",
+            "sample_rate": "cast(2400000 as int)",
+            "captured_at": "cast(doc_id as double)",
+            "raw": ("encode(text, 'utf-8')", "encode(text)"),
+        },
+    ),
     "detections": (
         "events",
         {

@@ -207,6 +207,12 @@ def finish_burst(t):
     return wideband.wideband_bursts(t.iq_blocks, HOW)
 
 
+@query()
+def cu8_bursts(t):
+    """The whole wideband chain on text read as samples; each text is a gap-free segment."""
+    return wideband.wideband_bursts(dsp.decode_blocks(t.cu8_blocks), Evidence())
+
+
 @query(
     """SELECT session_id, sequence,
        array_to_string(list_filter([CASE WHEN raw_duration_ms BETWEEN 900 AND 1400 THEN 'long_wakeup' END,

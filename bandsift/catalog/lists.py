@@ -40,6 +40,11 @@ def recurrence_stats(t):
     return timing.recurrence_stats(t.detections, GAP_S)
 
 
+@query(f"WITH {_RECUR.replace('FROM detections', 'FROM arrivals_by_part')} SELECT * FROM rc")
+def recurrence_by_part(t):
+    return timing.recurrence_stats(t.arrivals_by_part, GAP_S, chunk_s=30 * 86_400)
+
+
 @query(
     f"""WITH {_RECUR}, o AS (SELECT session_id, channel_id, count(*) AS n FROM detections GROUP BY ALL)
       SELECT session_id, channel_id, round(least(1.0, 0.6 * least(1.0, n / 20.0) + 0.4 *

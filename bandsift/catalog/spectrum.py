@@ -376,3 +376,27 @@ def fingerprint(t):
         F.round(F.col("f.rel_strength_db") * 10.0, 2).alias("rel"),
         F.col("f.bandwidth_hz").alias("bandwidth_hz"),
     )
+
+
+@query(
+    """WITH h AS (SELECT session_id, start_sample, hex(raw) AS x, octet_length(raw) // 2 AS n FROM cu8_blocks),
+      v AS (SELECT session_id, start_sample, n, unnest(list_transform(range(2 * n), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS INT))) AS u FROM h)
+      SELECT session_id, start_sample, n AS n_samples, CAST(sum(u) AS BIGINT) AS total FROM v GROUP BY session_id, start_sample, n"""
+)
+def decode_cu8(t):
+    """Text read as 8-bit samples: whole texts, two bytes a sample."""
+    blocks = dsp.decode_blocks(t.cu8_blocks)
+    level = lambda x: F.rint(x * F.lit(127.5).cast("float") + F.lit(127.5).cast("float"))
+    total = F.aggregate("iq", F.lit(0.0), lambda acc, x: acc + level(x))
+    return blocks.select(
+        "session_id",
+        "start_sample",
+        F.floor(F.size("iq") / 2).alias("n_samples"),
+        total.cast("bigint").alias("total"),
+    )
+
+
+@query()
+def cu8_regions(t):
+    """Sweep detection on text read as samples."""
+    return sweep.regions_of(sweep.frames_of(dsp.decode_blocks(t.cu8_blocks), 256), 6.0)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bandsift import params as P
+from bandsift.functions.samples import decode, encode
 from bandsift.functions.time import iso_ts
 
 SIGMF_SCHEMA = (
@@ -24,24 +25,6 @@ SIGMF_SCHEMA = (
 _DATA, _META = ".sigmf-data", ".sigmf-meta"
 
 
-def decode(raw: bytes, datatype: str) -> np.ndarray:
-    """Interleaved float samples of a cf32_le or cu8 byte string."""
-    if datatype == "cu8":
-        return ((np.frombuffer(raw, np.uint8) - 127.5) / 127.5).astype(np.float32)
-    if datatype == "cf32_le":
-        return np.frombuffer(raw, "<f4").astype(np.float32)
-    raise ValueError(f"cannot read samples of type {datatype!r}")
-
-
-def encode(samples: np.ndarray, datatype: str) -> bytes:
-    """Bytes of interleaved float samples."""
-    if datatype == "cu8":
-        return np.clip(np.round(samples * 127.5 + 127.5), 0, 255).astype(np.uint8).tobytes()
-    if datatype == "cf32_le":
-        return samples.astype("<f4").tobytes()
-    raise ValueError(f"cannot write samples of type {datatype!r}")
-
-
 @dataclass
 class _Range(InputPartition):
     path: str
