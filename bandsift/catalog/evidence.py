@@ -210,7 +210,7 @@ def finish_burst(t):
 @query()
 def cu8_bursts(t):
     """The whole wideband chain on text read as samples; each text is a gap-free segment."""
-    return wideband.wideband_bursts(dsp.decode_blocks(t.cu8_blocks), Evidence())
+    return wideband.wideband_bursts(t.cu8_blocks, Evidence(datatype="cu8"))
 
 
 @query(

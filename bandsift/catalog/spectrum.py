@@ -399,4 +399,4 @@ def decode_cu8(t):
 @query()
 def cu8_regions(t):
     """Sweep detection on text read as samples."""
-    return sweep.regions_of(sweep.frames_of(dsp.decode_blocks(t.cu8_blocks), 256), 6.0)
+    return sweep.regions_of(cut_lineage(sweep.frames_of(t.cu8_blocks, 256, "cu8")), 6.0)

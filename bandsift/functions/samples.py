@@ -5,6 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
+def sample_bytes(datatype: str) -> int:
+    """Bytes of one complex sample."""
+    return 2 if datatype == "cu8" else 8
+
+
 def decode(raw: bytes, datatype: str) -> np.ndarray:
     """Interleaved float samples of a cf32_le or cu8 byte string."""
     if datatype == "cu8":

@@ -12,18 +12,28 @@ from bandsift.operators.ordered import (
     with_last_known,
     with_position,
     with_previous,
-    with_run_id,
+    with_run_start,
 )
 
 CHUNK_SAMPLES = 1 << 33
 
 
-def block_meta(blocks: DataFrame) -> DataFrame:
-    """Positions of blocks without their samples."""
+def block_meta(blocks: DataFrame, bytes_per_sample: int = 2) -> DataFrame:
+    """Positions of blocks without their samples.
+
+    A stored `n_samples` column spares reading the samples at all; otherwise the length
+    of `iq` or of the bytes in `raw` tells.
+    """
+    if "n_samples" in blocks.columns:
+        n = F.col("n_samples")
+    elif "raw" in blocks.columns:
+        n = F.floor(F.octet_length("raw") / bytes_per_sample)
+    else:
+        n = F.size("iq") / 2
     return blocks.select(
         "session_id",
         "start_sample",
-        (F.col("start_sample") + F.size("iq") / 2).cast("bigint").alias("end_sample"),
+        (F.col("start_sample") + n).cast("bigint").alias("end_sample"),
         "center_hz",
         "sample_rate",
         "captured_at",
@@ -32,32 +42,31 @@ def block_meta(blocks: DataFrame) -> DataFrame:
 
 def gap_detect(meta: DataFrame, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
     """Add missing samples before each block and the start of its gap-free segment."""
-    chunk = number_chunk("start_sample", chunk_samples)
-    rows = with_previous(
-        meta, ["session_id"], ["start_sample"], ["end_sample", "center_hz"], chunk
-    )
-    broken = F.col("prev_end_sample").isNull() | (
-        F.col("prev_end_sample") != F.col("start_sample")
+    rows = with_run_start(
+        meta,
+        ["session_id"],
+        ["start_sample"],
+        ["start_sample", "end_sample", "center_hz"],
+        lambda here, before: before("end_sample").isNull()
+        | (here("start_sample") != before("end_sample")),
+        number_chunk("start_sample", chunk_samples),
+        "start_sample",
+        "segment_start",
     )
-    rows = (
-        rows.withColumn("is_gap", broken & F.col("prev_end_sample").isNotNull())
+    before = F.col("prev_end_sample")
+    return (
+        rows.withColumn("is_gap", F.coalesce(before != F.col("start_sample"), F.lit(False)))
         .withColumn(
             "missing_samples",
             F.when(
-                F.col("is_gap"),
-                F.greatest(F.lit(0), F.col("start_sample") - F.col("prev_end_sample")),
+                F.col("is_gap"), F.greatest(F.lit(0), F.col("start_sample") - before)
             ).otherwise(F.lit(0)),
         )
-        .withColumn("_first", F.when(broken, F.col("start_sample")))
         .withColumn(
-            "is_retune",
-            F.col("prev_center_hz").isNotNull() & (F.col("prev_center_hz") != F.col("center_hz")),
+            "is_retune", F.coalesce(F.col("prev_center_hz") != F.col("center_hz"), F.lit(False))
         )
-        .drop("prev_end_sample", "prev_center_hz")
+        .drop("prev_start_sample", "prev_end_sample", "prev_center_hz")
     )
-    return with_last_known(
-        rows, ["session_id"], ["start_sample"], {"_first": "segment_start"}, chunk
-    ).drop("_first")
 
 
 def segments_of(gaps: DataFrame, frame_samples: int = P.FRAME_SAMPLES) -> DataFrame:
@@ -208,11 +217,17 @@ def sticky_modulation(
     hints: DataFrame, chunk: Column, order: str = "frame_seq"
 ) -> DataFrame:
     """Last known modulation per session, forgotten on every retune."""
-    rows = with_previous(hints, ["session_id"], [order], ["center_hz"], chunk)
-    moved = F.col("prev_center_hz").isNull() | (F.col("prev_center_hz") != F.col("center_hz"))
-    rows = with_run_id(rows, ["session_id"], [order], moved, chunk, "tuning_run").drop(
-        "prev_center_hz"
-    )
+    rows = with_run_start(
+        hints,
+        ["session_id"],
+        [order],
+        [order, "center_hz"],
+        lambda here, before: before("center_hz").isNull()
+        | (here("center_hz") != before("center_hz")),
+        chunk,
+        order,
+        "tuning_run",
+    ).drop("prev_center_hz", f"prev_{order}")
     known = rows.withColumn(
         "_known", F.when(F.col("modulation") != "unknown", F.col("modulation"))
     )

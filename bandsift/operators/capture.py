@@ -16,8 +16,7 @@ from bandsift.operators.ordered import (
     columns_of,
     fold_sorted,
     number_chunk,
-    with_previous,
-    with_run_id,
+    with_run_start,
 )
 
 
@@ -57,11 +56,17 @@ def throttle(
     chunk = number_chunk(time_us, chunk_us)
     slim = rows.select(*keys, time_us, id_col)
     order = [time_us, id_col]
-    placed = with_previous(slim, keys, order, [time_us], chunk)
-    starts = F.col(f"prev_{time_us}").isNull() | (
-        F.col(time_us) - F.col(f"prev_{time_us}") >= interval_us
-    )
-    runs = with_run_id(placed, keys, order, starts, chunk, "_run").drop(f"prev_{time_us}")
+    runs = with_run_start(
+        slim,
+        keys,
+        order,
+        [time_us],
+        lambda here, before: before(time_us).isNull()
+        | (here(time_us) - before(time_us) >= interval_us),
+        chunk,
+        time_us,
+        "_run",
+    ).drop(f"prev_{time_us}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
     names = [f.name for f in slim.schema.fields]
     kept = fold_sorted(
@@ -130,12 +135,18 @@ def capture_windows(
     keys = ["session_id", "segment_start"]
     order = ["block_end", "trigger_id"]
     chunk = number_chunk("block_end", chunk_samples)
-    placed = with_previous(triggers, keys, order, ["block_end"], chunk)
-    wait = F.col("sample_rate") * F.lit(max(max_s, post_s))
-    starts = F.col("prev_block_end").isNull() | (
-        F.col("block_start") - F.col("prev_block_end") > wait
+    wait = max(max_s, post_s)
+    runs = with_run_start(
+        triggers,
+        keys,
+        order,
+        ["block_start", "block_end", "sample_rate"],
+        lambda here, before: before("block_end").isNull()
+        | (here("block_start") - before("block_end") > here("sample_rate") * F.lit(wait)),
+        chunk,
+        "block_end",
+        "_run",
     )
-    runs = with_run_id(placed, keys, order, starts, chunk, "_run").drop("prev_block_end")
     return fold_sorted(
         runs,
         ["session_id", "segment_start", "sample_rate", "_run"],

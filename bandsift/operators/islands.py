@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandsift import params as P
-from bandsift.operators.ordered import attach, number_chunk, with_previous, with_run_id
+from bandsift.operators.ordered import attach, number_chunk, with_run_start
 
 
 def frequency_islands(regions: DataFrame, gap_hz: int) -> DataFrame:
@@ -59,11 +59,15 @@ def track_islands(
     place = [*keys, "island"]
     chunk = number_chunk("frame_id", chunk_frames)
     frames = rows.select(*place, "frame_id").distinct()
-    frames = with_previous(frames, place, ["frame_id"], ["frame_id"], chunk)
-    starts = F.col("prev_frame_id").isNull() | (
-        F.col("frame_id") - F.col("prev_frame_id") > holdoff
-    )
-    frames = with_run_id(frames, place, ["frame_id"], starts, chunk, "time_island").drop(
-        "prev_frame_id"
-    )
+    frames = with_run_start(
+        frames,
+        place,
+        ["frame_id"],
+        ["frame_id"],
+        lambda here, before: before("frame_id").isNull()
+        | (here("frame_id") - before("frame_id") > holdoff),
+        chunk,
+        "frame_id",
+        "time_island",
+    ).drop("prev_frame_id")
     return attach(rows, frames, [*place, "frame_id"], how="inner")

@@ -164,12 +164,60 @@ def with_last_known(
     )
 
 
-def with_run_id(
-    df: DataFrame, keys: Keys, order: Keys, starts: Column, chunk: Column, name: str
+def with_run_start(
+    df: DataFrame,
+    keys: Keys,
+    order: Keys,
+    values: Sequence[str],
+    starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    chunk: Column,
+    mark: str,
+    name: str,
 ) -> DataFrame:
-    """Number the runs of a key: the id grows by one on every row where `starts` holds."""
-    flag = F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    return with_running_sum(df, keys, order, {name: flag}, chunk)
+    """Cut each key into runs and name every row's run by `mark` of the run's first row.
+
+    `starts(here, before)` tells from a row's and its predecessor's values whether a run
+    begins; before a key's first row they are null and it must say so. Also adds
+    prev_<value>. Both the predecessor and the run cross chunk borders by one summary row
+    per chunk, so the input is read twice, however many things are carried.
+    """
+    within = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    rows = df.withColumn(_CHUNK, chunk).withColumn("_before", F.lag(_struct(values)).over(within))
+    begins = F.col("_before").isNotNull() & starts(F.col, lambda n: F.col("_before")[n])
+    rows = rows.withColumn("_mark", F.when(begins, F.col(mark)))
+    rows = rows.withColumn(
+        "_local",
+        F.last("_mark", ignorenulls=True).over(
+            within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ),
+    )
+    head = F.struct(*[F.col(v) for v in values], F.col(mark).alias("_m"))
+    chunks = rows.groupBy(*keys, _CHUNK).agg(
+        F.min_by(head, _struct(order)).alias("_head"),
+        F.max_by(_struct(values), _struct(order)).alias("_tail"),
+        F.max_by("_local", _struct(order)).alias("_last"),
+    )
+    along = Window.partitionBy(*keys).orderBy(_CHUNK)
+    carried = chunks.withColumn("_carry", F.lag("_tail").over(along))
+    first = starts(lambda n: F.col("_head")[n], lambda n: F.col("_carry")[n])
+    carried = carried.withColumn("_first", F.when(first, F.col("_head._m")))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    carry = carried.select(
+        *keys,
+        _CHUNK,
+        "_carry",
+        F.coalesce(
+            "_first", F.last(F.coalesce("_last", "_first"), ignorenulls=True).over(earlier)
+        ).alias("_entry"),
+    )
+    joined = attach(rows, carry, [*keys, _CHUNK]).withColumn(
+        "_before", F.coalesce("_before", "_carry")
+    )
+    for v in values:
+        joined = joined.withColumn(f"prev_{v}", F.col("_before")[v])
+    return joined.withColumn(name, F.coalesce("_local", "_entry")).drop(
+        "_before", "_carry", "_mark", "_local", "_entry", _CHUNK
+    )
 
 
 def newest_per_key(

@@ -18,9 +18,11 @@ from bandsift.operators.timing import burst_sessions, recurrence_of_bursts
 from bandsift.runtime import cut_lineage
 
 
-def frames_of(blocks: DataFrame, fft_size: int = P.FFT_SIZE) -> DataFrame:
+def frames_of(
+    blocks: DataFrame, fft_size: int = P.FFT_SIZE, datatype: str | None = None
+) -> DataFrame:
     """PSD frames of IQ blocks, numbered by sample position."""
-    return welch_psd(blocks, fft_size).select(
+    return welch_psd(blocks, fft_size, datatype=datatype).select(
         "session_id",
         F.col("start_sample").alias("frame_seq"),
         F.timestamp_micros(F.rint(F.col("captured_at") * 1e6).cast("bigint")).alias("ts"),
@@ -38,7 +40,10 @@ def regions_of(
     start_hz: int = P.BAND_START_HZ,
     end_hz: int = P.BAND_END_HZ,
 ) -> DataFrame:
-    """Occupied regions inside the configured band, each with the floor of its frame."""
+    """Occupied regions inside the configured band, each with the floor of its frame.
+
+    `frames` are read twice, for the floors and for the regions: hand in a written table.
+    """
     floored = exclusion_mask(with_floor(frames, alpha), exclusions)
     return in_band_regions(detect_regions(floored, threshold_db), start_hz, end_hz)
 

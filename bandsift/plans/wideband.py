@@ -36,19 +36,26 @@ class Evidence:
     welch_segments: int = P.WELCH_SEGMENTS
     threshold_db: float = P.EVIDENCE_THRESHOLD_DB
     block_bins: int = 32
+    datatype: str | None = None
 
 
 def gaps_of(blocks: DataFrame) -> DataFrame:
     """Continuity of every session: metadata only, written once because each step needs it."""
-    return cut_lineage(gap_detect(block_meta(blocks)))
+    return cut_lineage(gap_detect(cut_lineage(block_meta(blocks))))
 
 
 def spectra(
     blocks: DataFrame, gaps: DataFrame, how: Evidence = Evidence(), precise: bool = False
 ) -> DataFrame:
     """In-band short-time spectra with the number of frames that seed the floor."""
-    framed = frame_blocks(with_segments(blocks, gaps), how.frame_samples)
-    psd = short_time_psd(framed, how.frame_samples, how.welch_segments, precise=precise)
+    framed = frame_blocks(with_segments(blocks, gaps), how.frame_samples, how.datatype)
+    psd = short_time_psd(
+        framed,
+        how.frame_samples,
+        how.welch_segments,
+        precise=precise,
+        datatype=how.datatype,
+    )
     return attach(psd, seed_frames(gaps, how.frame_samples), ["session_id"], how="inner")
 
 

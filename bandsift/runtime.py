@@ -1,4 +1,4 @@
-"""Session helpers: shipping this package to Python workers, checkpointing."""
+"""Session helpers: shipping this package to Python workers, tables between steps."""
 
 from __future__ import annotations
 
@@ -46,14 +46,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="bandsift-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names; only a local run gets its own."""
+    """Write a table to the shared folder and go on from there.
+
+    Unlike a checkpointed RDD the table has a known size, so later joins broadcast it
+    when it is small, and its columns can be pruned.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bandsift-checkpoint-"))
-    return df.checkpoint()
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
