@@ -430,3 +430,34 @@ def coverage_gaps(t):
 )
 def iso_ts(t):
     return t.detections.select("detection_id", iso(F.col("ts")).alias("iso"))
+
+
+@query(
+    f"""WITH {_RECUR},
+      st AS (SELECT session_id, channel_id, max(center_hz) AS center_hz, max(bandwidth_hz) AS bandwidth_hz, max(peak_power_db) AS peak_power_db,
+        count(*) AS observation_count, max(ts) AS last_seen FROM detections GROUP BY ALL),
+      fl AS (SELECT session_id, min(peak_power_db) AS floor_db FROM detections GROUP BY session_id)
+      SELECT session_id, channel_id, center_hz, observation_count, typical_burst_ms, recurrence_interval_s,
+        round(least(1.0, 0.6 * least(1.0, observation_count / 20.0) + 0.4 * CASE WHEN recurrence_interval_s <> 0 AND interval_jitter_s IS NOT NULL
+          THEN greatest(0, 1 - least(1, interval_jitter_s / greatest(recurrence_interval_s, 1e-6))) ELSE 0 END + 0.05), 4) AS confidence,
+        CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(last_seen) <= 3000000 THEN 'active'
+          WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(last_seen) <= 30000000 THEN 'recently_active' ELSE 'inactive' END AS status,
+        CASE WHEN coalesce(typical_burst_ms, 0) = 0 THEN 120 ELSE typical_burst_ms END AS duration_ms, round(peak_power_db - floor_db, 3) AS rel_strength_db
+      FROM st JOIN rc USING (session_id, channel_id) JOIN fl USING (session_id)"""
+)
+def channel_model(t):
+    keys = ["session_id", "channel_id"]
+    states = t.detections.groupBy(*keys).agg(
+        F.max("center_hz").alias("center_hz"),
+        F.max("bandwidth_hz").alias("bandwidth_hz"),
+        F.max("peak_power_db").alias("peak_power_db"),
+        F.count(F.lit(1)).alias("observation_count"),
+        F.max("ts").alias("last_seen"),
+    )
+    floors = t.detections.groupBy("session_id").agg(F.min("peak_power_db").alias("floor_db"))
+    at = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    model = ch.channel_model(states, timing.recurrence_stats(t.detections, GAP_S), floors, at)
+    return model.select(
+        *keys, "center_hz", "observation_count", "typical_burst_ms", "recurrence_interval_s",
+        "confidence", "status", "fingerprint.duration_ms", "fingerprint.rel_strength_db",
+    )

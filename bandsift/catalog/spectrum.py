@@ -343,7 +343,7 @@ def merge_overlapping(t):
 
 
 @query()
-def channel_model(t):
+def sweep_channels(t):
     return sweep.sweep_channels(t.psd_frames, t.as_of, 12.0)
 
 
@@ -351,9 +351,8 @@ def channel_model(t):
     f"""WITH {REGIONS},
       strongest AS (SELECT *, row_number() OVER (PARTITION BY session_id, frame_seq ORDER BY snr_db DESC, center_hz) AS r
                     FROM regions)
-      SELECT session_id, frame_seq, center_hz, round(10.0 * (peak_power_db - (peak_power_db - snr_db)), 2) AS rel,
-        bandwidth_hz FROM strongest WHERE r = 1""",
-    name="fingerprint",
+      SELECT session_id, frame_seq, center_hz, bandwidth_hz, CASE WHEN frame_seq % 2 = 0 THEN 35.5::DOUBLE ELSE 120 END AS duration_ms,
+        snr_db AS rel_strength_db, 16 AS envelope_points FROM strongest WHERE r = 1"""
 )
 def fingerprint(t):
     from bandsift.functions.channels import fingerprint as shape
@@ -364,7 +363,7 @@ def fingerprint(t):
     fp = shape(
         F.col("center_hz"),
         F.col("bandwidth_hz"),
-        F.lit(None).cast("double"),
+        F.when(F.col("frame_seq") % 2 == 0, F.lit(35.5)),
         F.col("peak_power_db"),
         F.col("peak_power_db") - F.col("snr_db"),
         F.lit(None).cast("double"),
@@ -372,9 +371,8 @@ def fingerprint(t):
     return best.select("session_id", "frame_seq", fp.alias("f")).select(
         "session_id",
         "frame_seq",
-        F.col("f.center_hz").alias("center_hz"),
-        F.round(F.col("f.rel_strength_db") * 10.0, 2).alias("rel"),
-        F.col("f.bandwidth_hz").alias("bandwidth_hz"),
+        *[F.col(f"f.{c}").alias(c) for c in ("center_hz", "bandwidth_hz", "duration_ms", "rel_strength_db")],
+        F.size("f.envelope").alias("envelope_points"),
     )
 
 

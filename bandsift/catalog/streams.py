@@ -91,15 +91,29 @@ def live_status(t):
     return t.drained(status.live_status(t.stream("detections")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE hit AS (SELECT t.session_id, t.channel_id, t.snapshot_seq, epoch_us(t.ts) AS us FROM snapshots t WHERE status = 'active' AND EXISTS (SELECT 1 FROM rules r
+        WHERE r.enabled AND (freq_lo_mhz IS NULL OR t.center_hz / 1e6 >= freq_lo_mhz) AND (freq_hi_mhz IS NULL OR t.center_hz / 1e6 <= freq_hi_mhz)
+        AND (min_snr IS NULL OR t.snr_db >= min_snr) AND (min_confidence IS NULL OR t.confidence >= min_confidence)
+        AND (NOT require_regular_cadence OR (t.recurrence_interval_s IS NOT NULL AND t.observation_count >= 4)))),
+      k AS (SELECT session_id, channel_id, min(us) AS us FROM hit GROUP BY ALL UNION ALL
+        SELECT k.session_id, k.channel_id, min(h.us) FROM k JOIN hit h ON h.session_id = k.session_id AND h.channel_id = k.channel_id
+        AND h.us >= k.us + 86400000000 GROUP BY k.session_id, k.channel_id, k.us)
+      SELECT session_id, channel_id, snapshot_seq FROM hit JOIN k USING (session_id, channel_id, us)"""
+)
 def live_alerts(t):
     turned = t.stream("snapshots").filter("status = 'active'")
-    return t.drained(status.live_alerts(turned, t.rules, 86_400))
+    return t.drained(status.live_alerts(turned, t.rules, 86_400)).drop("ts_us")
 
 
-@query()
+@query(
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, CAST(trunc((center_hz - 867000000) / 3000000 * 96) AS INT) AS freq_bin, count(*) AS n FROM detections
+       WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM detections) GROUP BY ALL"""
+)
 def live_occupancy(t):
-    return t.drained(status.live_occupancy(t.stream("detections"), 3600, 96))
+    """Windows that the watermark has closed."""
+    cells = t.drained(status.live_occupancy(t.stream("detections"), 3600, 96))
+    return cells.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
 
 
 @query(

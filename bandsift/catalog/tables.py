@@ -37,6 +37,15 @@ def read_decoder_jsonl(t):
     )
 
 
+@query(
+    """SELECT event_id, coalesce(CASE WHEN json_valid(value) THEN json_extract_string(value, '$.model') END, 'none') AS model FROM decoder_lines"""
+)
+def json_get(t):
+    """A field of JSON text; text that is no JSON reads as null."""
+    value = F.try_variant_get(F.try_parse_json("value"), "$.model", "string")
+    return t.decoder_lines.select("event_id", F.coalesce(value, F.lit("none")).alias("model"))
+
+
 _LOG = "sequence BIGINT, freq_hz BIGINT, peak_snr_db DOUBLE"
 
 

@@ -15,6 +15,7 @@ from bandsift.operators.ordered import (
     time_chunk,
     with_running_sum,
 )
+from bandsift.runtime import cut_lineage
 
 
 def newest_rows(table: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
@@ -226,11 +227,15 @@ def activation_alerts(
     chunk: Column,
     debounce_s: int = 60,
 ) -> DataFrame:
-    """Alerts for channels that turned active and match a rule, at most one per minute."""
+    """Alerts for channels that turned active and match a rule, at most one per minute.
+
+    Activations and matches are few next to the snapshots and used several times, so both
+    are written to the shared folder.
+    """
     from bandsift.operators.capture import throttle
     from bandsift.operators.ranges import alert_rule_match
 
-    turned = activations(snapshots, chunk).withColumn(
+    turned = cut_lineage(activations(snapshots, chunk)).withColumn(
         "_row", F.struct("session_id", "channel_id", "snapshot_seq")
     )
     matched = alert_rule_match(
@@ -250,7 +255,7 @@ def activation_alerts(
         how="inner",
     )
     return throttle(
-        hits,
+        cut_lineage(hits),
         ["session_id", "channel_id"],
         "ts_us",
         "snapshot_seq",

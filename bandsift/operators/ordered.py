@@ -40,48 +40,52 @@ def _struct(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
 
 
-def with_previous(
-    df: DataFrame, keys: Keys, order: Keys, values: Sequence[str], chunk: Column
+def with_neighbours(
+    df: DataFrame,
+    keys: Keys,
+    order: Keys,
+    values: Sequence[str],
+    chunk: Column,
+    before: bool = True,
+    after: bool = True,
 ) -> DataFrame:
-    """Add prev_<value> for each value: its content on the key's preceding row, or null."""
+    """Add prev_<value> and next_<value>: what the key's neighbouring rows hold, or null."""
     within = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    rows = df.withColumn(_CHUNK, chunk).withColumn("_before", F.lag(_struct(values)).over(within))
-    tails = rows.groupBy(*keys, _CHUNK).agg(
-        F.max_by(_struct(values), _struct(order)).alias("_tail")
+    rows = df.withColumn(_CHUNK, chunk)
+    edges = rows.groupBy(*keys, _CHUNK).agg(
+        F.min_by(_struct(values), _struct(order)).alias("_head"),
+        F.max_by(_struct(values), _struct(order)).alias("_tail"),
     )
-    carry = tails.select(
+    along = Window.partitionBy(*keys).orderBy(_CHUNK)
+    carry = edges.select(
         *keys,
         _CHUNK,
-        F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias("_carry"),
+        F.lag("_tail").over(along).alias("_carry_prev"),
+        F.lead("_head").over(along).alias("_carry_next"),
     )
-    joined = attach(rows, carry, [*keys, _CHUNK]).withColumn(
-        "_before", F.coalesce("_before", "_carry")
-    )
-    for name in values:
-        joined = joined.withColumn(f"prev_{name}", F.col("_before")[name])
-    return joined.drop("_before", "_carry", _CHUNK)
+    sides = [("prev", F.lag, before), ("next", F.lead, after)]
+    for side, neighbour, wanted in sides:
+        if wanted:
+            rows = rows.withColumn(f"_{side}", neighbour(_struct(values)).over(within))
+    joined = attach(rows, carry, [*keys, _CHUNK])
+    for side, _, wanted in sides:
+        if wanted:
+            found = F.coalesce(f"_{side}", f"_carry_{side}")
+            for name in values:
+                joined = joined.withColumn(f"{side}_{name}", found[name])
+    return joined.drop("_prev", "_next", "_carry_prev", "_carry_next", _CHUNK)
+
+
+def with_previous(
+    df: DataFrame, keys: Keys, order: Keys, values: Sequence[str], chunk: Column
+) -> DataFrame:
+    return with_neighbours(df, keys, order, values, chunk, after=False)
 
 
 def with_next(
     df: DataFrame, keys: Keys, order: Keys, values: Sequence[str], chunk: Column
 ) -> DataFrame:
-    """Add next_<value> for each value: its content on the key's following row, or null."""
-    within = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    rows = df.withColumn(_CHUNK, chunk).withColumn("_after", F.lead(_struct(values)).over(within))
-    heads = rows.groupBy(*keys, _CHUNK).agg(
-        F.min_by(_struct(values), _struct(order)).alias("_head")
-    )
-    carry = heads.select(
-        *keys,
-        _CHUNK,
-        F.lead("_head").over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias("_carry"),
-    )
-    joined = attach(rows, carry, [*keys, _CHUNK]).withColumn(
-        "_after", F.coalesce("_after", "_carry")
-    )
-    for name in values:
-        joined = joined.withColumn(f"next_{name}", F.col("_after")[name])
-    return joined.drop("_after", "_carry", _CHUNK)
+    return with_neighbours(df, keys, order, values, chunk, before=False)
 
 
 def with_running_sum(

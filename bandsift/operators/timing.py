@@ -12,7 +12,7 @@ from bandsift.operators.ordered import (
     attach,
     newest_per_key,
     time_chunk,
-    with_next,
+    with_neighbours,
     with_previous,
 )
 
@@ -178,7 +178,7 @@ def status_decay(
     rows = sightings.select(*keys, id_col, "ts", F.unix_micros("ts").alias(us))
     chunk = time_chunk("ts", chunk_s)
     order = [us, id_col]
-    near = with_next(with_previous(rows, keys, order, [us], chunk), keys, order, [us], chunk)
+    near = with_neighbours(rows, keys, order, [us], chunk)
     active, recent = int(P.ACTIVE_AGE_S * 1e6), int(P.RECENT_AGE_S * 1e6)
     until = F.coalesce(F.col(f"next_{us}"), F.unix_micros(as_of))
     silent = until - F.col(us)
