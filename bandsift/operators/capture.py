@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from bandsift.operators.ordered import (
     number_chunk,
     with_run_start,
 )
+from bandsift.runtime import cut_lineage
 
 
 class ThrottleFold(Fold):
@@ -39,6 +42,87 @@ class ThrottleFold(Fold):
         return kept
 
 
+class PieceFold(Fold):
+    """One piece of a run: kept rows where they are known, otherwise where it leads.
+
+    Which row of a piece is kept first depends only on the last row kept before it, and
+    can only be one of its rows within the first interval (or the one after). From there
+    the rule is fixed, so the piece is a short table: kept before at most `upto` minus the
+    interval, last kept `exit`. Chains that meet share an entry.
+    """
+
+    def __init__(self, key: tuple, interval_us: int, piece_us: int):
+        super().__init__(key)
+        self.interval_us = interval_us
+        self.begin = key[-2] + key[-1] * piece_us
+        self.rows: list[tuple] = []
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        self.rows += columns_of(rows, [rows.schema.names[-2], rows.schema.names[-1]])
+        return []
+
+    def finish(self) -> list[tuple]:
+        times = np.array([t for t, _ in self.rows], dtype=np.int64)
+        n = len(times)
+        after = np.searchsorted(times, times + self.interval_us).tolist()
+        if self.key[-1] == 0:
+            kept, at = [], 0
+            while at < n:
+                kept.append(at)
+                at = after[at]
+            table = ([_ALWAYS], [int(times[kept[-1]])])
+            out = [self.row("kept", *self.rows[i]) for i in kept]
+        else:
+            leads = list(range(n))
+            for at in range(n - 1, -1, -1):
+                if after[at] < n:
+                    leads[at] = leads[after[at]]
+            entries = min(int(np.searchsorted(times, self.begin + self.interval_us)), n - 1) + 1
+            pairs = [(int(times[i]), int(times[leads[i]])) for i in range(entries)]
+            pairs = [
+                p for p, q in zip(pairs, [*pairs[1:], (None, None)], strict=True) if p[1] != q[1]
+            ]
+            table = ([p[0] for p in pairs], [p[1] for p in pairs])
+            out = [self.row("open", *r) for r in self.rows]
+        return [*out, self.row("map", uptos=table[0], exits=table[1])]
+
+    def row(self, kind, time=None, ident=None, uptos=None, exits=None) -> tuple:
+        return (*self.key, kind, time, ident, uptos, exits)
+
+
+_ALWAYS = (1 << 63) - 1
+
+
+class EntryFold(Fold):
+    """Last kept time before each piece of one run, from the pieces' tables."""
+
+    def __init__(self, key: tuple, interval_us: int):
+        super().__init__(key)
+        self.interval_us = interval_us
+        self.last: int | None = None
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for piece, uptos, exits in columns_of(rows, ["_piece", "uptos", "exits"]):
+            if self.last is None:
+                self.last = exits[0]
+                continue
+            out.append((*self.key, piece, self.last))
+            at = bisect_left(uptos, self.last + self.interval_us)
+            if at < len(uptos):
+                self.last = exits[at]
+        return out
+
+
+class RestFold(ThrottleFold):
+    """Greedy pass over one piece whose entry is known."""
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        if self.last is None:
+            self.last = rows.column("_entry")[0].as_py()
+        return super().step(rows)
+
+
 def throttle(
     rows: DataFrame,
     keys: Sequence[str],
@@ -50,10 +134,11 @@ def throttle(
     """Keep a row only when `interval_us` have passed since the last kept one of its key.
 
     A silence of at least the interval restarts the rule, so each key falls into
-    independent runs; a run's first row is kept, and only runs of several rows are
-    folded. The fold sees (time, id) alone.
+    independent runs. A run that is longer than a chunk is cut into pieces as well: each
+    piece is summed up as a small table from entry to exit, the tables are followed along
+    the run, and then every piece is passed over on its own. No key, however busy, is
+    folded in one task. The folds see (time, id) alone.
     """
-    chunk = number_chunk(time_us, chunk_us)
     slim = rows.select(*keys, time_us, id_col)
     order = [time_us, id_col]
     runs = with_run_start(
@@ -63,20 +148,48 @@ def throttle(
         [time_us],
         lambda here, before: before(time_us).isNull()
         | (here(time_us) - before(time_us) >= interval_us),
-        chunk,
+        number_chunk(time_us, chunk_us),
         time_us,
         "_run",
-    ).drop(f"prev_{time_us}")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    names = [f.name for f in slim.schema.fields]
-    kept = fold_sorted(
-        runs,
+    )
+    pieces = runs.select(
+        *keys,
+        "_run",
+        F.floor((F.col(time_us) - F.col("_run")) / chunk_us).alias("_piece"),
+        time_us,
+        id_col,
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
+    ddl = lambda names: ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    place = [*keys, "_run", "_piece"]
+    summed = cut_lineage(
+        fold_sorted(
+            pieces,
+            place,
+            order,
+            lambda key: PieceFold(key, interval_us, chunk_us),
+            f"{ddl(place)}, kind STRING, {ddl(order)}, uptos ARRAY<BIGINT>, exits ARRAY<BIGINT>",
+        )
+    )
+    entries = fold_sorted(
+        summed.filter("kind = 'map'").select(*place, "uptos", "exits"),
         [*keys, "_run"],
+        ["_piece"],
+        lambda key: EntryFold(key, interval_us),
+        f"{ddl(place)}, _entry BIGINT",
+    )
+    names = [*keys, time_us, id_col]
+    rest = fold_sorted(
+        attach(
+            summed.filter("kind = 'open'").select(*place, *order), entries, place, how="inner"
+        ),
+        place,
         order,
-        lambda key: ThrottleFold(key, names, interval_us),
-        schema,
+        lambda key: RestFold(key, names, interval_us),
+        ddl(names),
     )
-    return attach(rows, kept, [*keys, time_us, id_col], how="left_semi")
+    kept = summed.filter("kind = 'kept'").select(*names).unionByName(rest)
+    return attach(rows, kept, names, how="left_semi")
 
 
 class CaptureFold(Fold):
