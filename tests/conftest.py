@@ -10,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from bandsift.runtime import local_session
 
-    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(
+        8, **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"}
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
