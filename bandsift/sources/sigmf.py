@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
