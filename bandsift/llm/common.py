@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most so many bytes of a text column (one row at least)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))

@@ -17,8 +17,16 @@ def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digests(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), 2, 50257)
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.packing import packed_documents
+
+    docs = table(spark, folder, "documents")
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {}
