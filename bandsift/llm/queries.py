@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from bandsift.llm.common import table
 
 
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.bpe import round_trip
+
+    docs = table(spark, folder, "documents")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.tokenfile import token_file_digests
 
@@ -25,6 +32,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
 }
