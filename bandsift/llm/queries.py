@@ -31,10 +31,17 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
 
 
+def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.crf import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
+    "op10_line_quality": op10_line_quality,
 }
 
 SQL: dict[str, str] = {}
