@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import bandsift
 from bandsift.runtime import cut_lineage, shared_folder
 
-__all__ = ["batches", "cut_lineage", "documents", "open_in", "open_out", "ready", "shared_folder", "slices", "table", "texts"]
+__all__ = ["batches", "cut_lineage", "documents", "free", "open_in", "open_out", "ready", "shared_folder", "slices", "table", "texts"]
 
 #: Rows and bytes of a batch handed to Python: bounds memory whatever the length of texts.
 BATCH_ROWS = 1000
@@ -44,6 +44,13 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"{name}_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most so many bytes of a text column (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandsift.llm.common import table
+from bandsift.llm.common import documents, table
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +18,14 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.lines import without_repeated_lines
+
+    docs = documents(table(spark, folder, "documents"))
+    kept = without_repeated_lines(docs, least_chars=40, least_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.tokenfile import token_file_digests
 
@@ -39,9 +48,31 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
     "op10_line_quality": op10_line_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+    FROM documents
+), keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), repeated AS (
+    SELECT key, max(doc_id) AS stays FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.doc_id, k.place, k.line, r.key IS NOT NULL AND k.doc_id < r.stays AS gone
+    FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
