@@ -26,6 +26,13 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.simhash import near_groups
+
+    groups = near_groups(table(spark, folder, "documents"), words=4, reach=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.tokenfile import token_file_digests
 
@@ -49,6 +56,7 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op6_simhash_golay": op6_simhash_golay,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
     "op10_line_quality": op10_line_quality,
