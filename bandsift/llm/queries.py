@@ -26,6 +26,12 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.bitslice import top_inner_products
+
+    return top_inner_products(table(spark, folder, "embeddings"), scale=64.0, every=20, k=20)
+
+
 def op6_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.simhash import near_groups
 
@@ -56,6 +62,7 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_simhash_golay": op6_simhash_golay,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
@@ -63,6 +70,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_bit_sliced_topk": """
+WITH whole AS (
+    SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
     "op4_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
