@@ -39,6 +39,12 @@ def op6_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.lattice import scores
+
+    return scores(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), modulus=7, left_out=2)
+
+
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.tokenfile import token_file_digests
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_simhash_golay": op6_simhash_golay,
+    "op7_lattice_scores": op7_lattice_scores,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
     "op10_line_quality": op10_line_quality,
