@@ -18,6 +18,17 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Production reads the secret from where secrets are kept; these tables are invented.
+SURROGATE_KEY = "surrogates of invented data"
+
+
+def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.surrogates import with_surrogates
+
+    docs = documents(table(spark, folder, "documents"))
+    return with_surrogates(docs, SURROGATE_KEY, count="n_entities")
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.lines import without_repeated_lines
 
@@ -67,6 +78,7 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op4_line_dedup": op4_line_dedup,
     "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_simhash_golay": op6_simhash_golay,
