@@ -29,6 +29,13 @@ def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return with_surrogates(docs, SURROGATE_KEY, count="n_entities")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.suffix import remove_repeats
+
+    found = remove_repeats(table(spark, folder, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from bandsift.llm.lines import without_repeated_lines
 
@@ -79,6 +86,7 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_simhash_golay": op6_simhash_golay,
