@@ -42,6 +42,7 @@ class Chunks(dict):
 
     def __init__(self, path: str, lead: bool, mark: str):
         super().__init__()
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lead, self.mark = lead, mark
@@ -52,6 +53,10 @@ class Chunks(dict):
         self.model = self.tokenizer.model
         self.stops = {stop: self.whole(stop) for stop in ".,;:!?"}
 
+    def __reduce__(self):
+        # A copied tokenizer would forget its settings.
+        return Chunks, (self.path, self.lead, self.mark)
+
     def word(self, chunk: str) -> bytes | None:
         """Ids of a chunk of letters with at most one stop after it, straight from the model; else None."""
         stop = self.stops.get(chunk[-1:])
