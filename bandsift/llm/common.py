@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 import bandsift
 from bandsift.runtime import cut_lineage, shared_folder
 
-__all__ = ["batches", "cut_lineage", "documents", "free", "open_in", "open_out", "ready", "shared_folder", "slices", "table", "texts"]
+__all__ = ["batches", "cut_lineage", "documents", "free", "open_in", "open_out", "packed", "ready", "shared_folder", "slices", "table", "texts", "unpacked"]
 
 #: Rows and bytes of a batch handed to Python: bounds memory whatever the length of texts.
 BATCH_ROWS = 1000
@@ -70,6 +71,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def packed(data: bytes) -> bytes:
+    """Bytes for the way to another task."""
+    return zstandard.compress(data, 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 

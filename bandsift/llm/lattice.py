@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandsift.llm.common import batches, cut_lineage, texts
+from bandsift.llm.common import batches, cut_lineage, packed, texts, unpacked
 
 #: Units and words after which a dictionary is closed.
 UNITS, WORDS = 300_000, 4_000_000
@@ -65,7 +65,8 @@ def tallied(docs: DataFrame, shards: int, modulus: int, left_out: int) -> DataFr
     """Two kinds of rows: texts as unit numbers (shard null), and dictionaries cut by shard.
 
     block tells dictionaries apart. tokens: unit numbers; lines: (unit number or NONE, words).
-    names: units of a shard, joined by spaces; counts: in training texts; places: their numbers.
+    names: units of a shard, joined by spaces; counts: in training texts; places: their numbers. All but
+    lines are compressed.
     """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def tallied(docs: DataFrame, shards: int, modulus: int, left_out: int) -> DataFr
                 own[1].append(place)
             for shard, (names, places) in by_shard.items():
                 own = np.array([counts[p] for p in places], "<u4").tobytes()
-                row = [block, shard, None, None, None, None, b" ".join(names), own, np.array(places, "<u4").tobytes()]
+                row = [block, shard, None, None, None, None, packed(b" ".join(names)), packed(own), packed(np.array(places, "<u4").tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TALLY.types, strict=True)], schema=_TALLY)
 
         block = part << 32
@@ -96,7 +97,7 @@ def tallied(docs: DataFrame, shards: int, modulus: int, left_out: int) -> DataFr
                 if not held:
                     counts.update(places)
                     counts.update(u for u, _ in rows if u != NONE)
-                row = [block, None, doc_id, held, np.array(places, "<u4").tobytes(), np.array(rows, "<u4").tobytes(), None, None, None]
+                row = [block, None, doc_id, held, packed(np.array(places, "<u4").tobytes()), np.array(rows, "<u4").tobytes(), None, None, None]
                 for col, v in zip(cols, row, strict=True):
                     col.append(v)
                 seen += len(words)
@@ -172,8 +173,8 @@ def _totals(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, list
     for shard in list(held):
         asked, total = [], {}
         for block, names, counts, places in held.pop(shard):
-            own = names.split(b" ")
-            for unit, n in zip(own, np.frombuffer(counts, "<u4").tolist(), strict=True):
+            own = unpacked(names).split(b" ")
+            for unit, n in zip(own, np.frombuffer(unpacked(counts), "<u4").tolist(), strict=True):
                 total[unit] = total.get(unit, 0) + n
             asked.append((block, own, places))
         yield asked, total
@@ -234,7 +235,7 @@ def answers(dictionaries: DataFrame, shards: int, sums: dict[str, int], counts:
                 rest = model.log_probability(unit.decode()) + (math.log(DISCOUNT * types / tokens) if tokens else 0.0)
                 score[unit] = float(np.logaddexp(math.log(own), rest)) if own else rest
             for block, names, places in asked:
-                row = [[block], [places], [np.array([total[u] for u in names], "<i8").tobytes()], [np.array([score[u] for u in names], "<f8").tobytes()]]
+                row = [[block], [places], [packed(np.array([total[u] for u in names], "<i8").tobytes())], [packed(np.array([score[u] for u in names], "<f8").tobytes())]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ANSWER.types, strict=True)], schema=_ANSWER)
 
     own = dictionaries.select("shard", "block", "names", "counts", "places").repartition(shards, "shard")
@@ -258,14 +259,14 @@ def scores(docs: DataFrame, vocabulary: str, modulus: int = 7, left_out: int = 2
     once = max(sums.get("lines_once", 0), 1) / lines if lines else 1.0
 
     def score(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        places = np.concatenate([np.frombuffer(x, "<u4") for x in answer.column("places").to_pylist()])
+        places = np.concatenate([np.frombuffer(unpacked(x), "<u4") for x in answer.column("places").to_pylist()])
         count, value = np.zeros(len(places), np.int64), np.zeros(len(places))
-        count[places] = np.concatenate([np.frombuffer(x, "<i8") for x in answer.column("counts").to_pylist()])
-        value[places] = np.concatenate([np.frombuffer(x, "<f8") for x in answer.column("scores").to_pylist()])
+        count[places] = np.concatenate([np.frombuffer(unpacked(x), "<i8") for x in answer.column("counts").to_pylist()])
+        value[places] = np.concatenate([np.frombuffer(unpacked(x), "<f8") for x in answer.column("scores").to_pylist()])
         base = np.log10((count + 1) / (tokens + types + 1))
         out: list[list] = [[] for _ in range(4)]
         for own, by_line in zip(rows.column("tokens").to_pylist(), rows.column("lines").to_pylist(), strict=True):
-            at = np.frombuffer(own, "<u4")
+            at = np.frombuffer(unpacked(own), "<u4")
             unit, n = np.frombuffer(by_line, "<u4").reshape(-1, 2).T.astype(np.int64)
             total = value[at[-1]]
             if len(n):
