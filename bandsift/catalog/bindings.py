@@ -313,7 +313,7 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
     ),
     "channel_pairs": (
         "customer",
-        {"channel_a": "c_custkey", "channel_b": "(c_custkey * 7 + 1) % 150"},
+        {"channel_a": "c_custkey", "channel_b": "c_custkey + (c_custkey * 7 + 1) % 5 + 1"},
     ),
     "pins": (
         "supplier",

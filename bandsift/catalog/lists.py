@@ -12,7 +12,7 @@ from bandsift.operators import channels as ch
 from bandsift.operators import maintenance as M
 from bandsift.operators import occupancy, ranges, timing
 from bandsift.operators import report as R
-from bandsift.operators.ordered import attach
+from bandsift.operators.ordered import attach, with_place
 
 GAP_S = 7200.0
 
@@ -212,20 +212,11 @@ def channels_list(t):
 _PLACED = "row_number() OVER (ORDER BY {order}) AS place"
 
 
-def _places(df):
-    """Number the rows of a sorted result, so that its order can be compared."""
-    from pyspark.sql import Window
-
-    return df.limit(1000).withColumn(
-        "place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    )
-
-
 @query(
-    f"""SELECT channel_id, {_PLACED.format(order='recurrence_interval_s ASC NULLS FIRST, channel_id')} FROM channels QUALIFY place <= 1000"""
+    f"""SELECT channel_id, {_PLACED.format(order='recurrence_interval_s ASC NULLS FIRST, channel_id')} FROM channels"""
 )
 def sort_channels(t):
-    return _places(
+    return with_place(
         ch.sort_channels(t.channels, "recurrence_interval_s").select("channel_id")
     )
 
@@ -240,11 +231,11 @@ def pins_join(t):
 
 
 @query(
-    f"""WITH {_PINS} SELECT channel_id, {_PLACED.format(order='pinned DESC, typical_burst_ms DESC NULLS LAST, channel_id')} FROM pj QUALIFY place <= 1000"""
+    f"""WITH {_PINS} SELECT channel_id, {_PLACED.format(order='pinned DESC, typical_burst_ms DESC NULLS LAST, channel_id')} FROM pj"""
 )
 def pinned_first(t):
     ordered = ch.pinned_first(ch.pins_join(t.channels, t.pins), "typical_burst_ms", False)
-    return _places(ordered.select("channel_id"))
+    return with_place(ordered.select("channel_id"))
 
 
 @query(f"WITH {_SCORED} SELECT channel_id, round(score, 6) AS pattern_score FROM sc ORDER BY score DESC, channel_id LIMIT 3")
@@ -253,10 +244,10 @@ def top_candidates(t):
 
 
 @query(
-    f"""WITH {_SCORED} SELECT channel_id, {_PLACED.format(order='score DESC, channel_id')} FROM sc QUALIFY place <= 1000"""
+    f"""WITH {_SCORED} SELECT channel_id, {_PLACED.format(order='score DESC, channel_id')} FROM sc"""
 )
 def rank_by_pattern(t):
-    return _places(ch.rank_by_pattern(t.channels).select("channel_id"))
+    return with_place(ch.rank_by_pattern(t.channels).select("channel_id"))
 
 
 @query(

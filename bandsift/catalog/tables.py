@@ -51,11 +51,11 @@ _LOG = "sequence BIGINT, freq_hz BIGINT, peak_snr_db DOUBLE"
 
 @query(
     r"""SELECT event_id, CAST(json_extract(value, '$.sequence') AS BIGINT) AS sequence, CAST(json_extract(value, '$.freq_hz') AS BIGINT) AS freq_hz,
-       CAST(json_extract(value, '$.peak_snr_db') AS DOUBLE) AS peak_snr_db FROM log_lines WHERE value <> '' AND json_valid(value) ORDER BY event_id DESC LIMIT 500"""
+       CAST(json_extract(value, '$.peak_snr_db') AS DOUBLE) AS peak_snr_db FROM log_lines WHERE value <> '' AND json_valid(value)"""
 )
 def candidate_log_read(t):
     rows = text.parse_candidate_log(t.log_lines, _LOG, ["event_id"])
-    return rows.orderBy(F.col("event_id").desc()).limit(500)
+    return rows
 
 
 @query("SELECT count(*) AS lines FROM log_lines WHERE trim(value) <> ''")
@@ -64,14 +64,14 @@ def candidate_log_count(t):
 
 
 @query(
-    r"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, kind, message, client_id, data FROM client_events ORDER BY event_id DESC LIMIT 50000"""
+    r"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, kind, message, client_id, data FROM client_events"""
 )
 def export_csv(t):
     return R.export_rows(t.client_events, "events", ["event_id"])
 
 
 @query(
-    r"""SELECT channel_id, '{"center_hz":' || center_hz || ',"bandwidth_hz":' || bandwidth_hz || '}' AS band FROM channels ORDER BY center_hz, channel_id LIMIT 10000"""
+    r"""SELECT channel_id, '{"center_hz":' || center_hz || ',"bandwidth_hz":' || bandwidth_hz || '}' AS band FROM channels"""
 )
 def export_json(t):
     nested = t.channels.select(
@@ -111,7 +111,7 @@ def metrics_history(t):
 
 @query(
     """SELECT decode_id FROM (SELECT decode_id, ts FROM decodes WHERE decode_id % 4 = 1 AND decode_id % 3 <> 0 UNION ALL
-       SELECT decode_id, ts FROM decodes WHERE decode_id % 3 = 0) ORDER BY ts DESC, decode_id DESC LIMIT 300"""
+       SELECT decode_id, ts FROM decodes WHERE decode_id % 3 = 0)"""
 )
 def merge_decodes(t):
     existing = t.decodes.filter("decode_id % 3 = 0")

@@ -39,8 +39,9 @@ def channel_observations(
     keys: Sequence[str] = ("channel_id",),
     chunk_s: int = P.CHUNK_S,
 ) -> DataFrame:
-    """Newest detections of every channel, 1 to 5000 of each."""
-    n = max(1, min(5000, n))
+    """The n newest detections of every channel."""
+    if n < 1:
+        raise ValueError(f"n must be 1 or more, not {n}")
     return newest_per_key(
         detections, list(keys), ["detection_id"], n, time_chunk("ts", chunk_s)
     )
@@ -86,10 +87,11 @@ def timeline(
     )
 
 
-def merge_decodes(existing: DataFrame, fresh: DataFrame, limit: int = 300) -> DataFrame:
-    """Fresh decodes not yet present, with the existing ones, newest first."""
+def merge_decodes(existing: DataFrame, fresh: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fresh decodes not yet present, with all existing ones; with `limit`, the newest of them."""
     new = fresh.join(existing.select("decode_id"), "decode_id", "left_anti")
-    return newest_rows(new.unionByName(existing), ["ts", "decode_id"], limit)
+    both = new.unionByName(existing)
+    return both if limit is None else newest_rows(both, ["ts", "decode_id"], limit)
 
 
 def channel_upsert(existing: DataFrame, updates: DataFrame, version: str) -> DataFrame:

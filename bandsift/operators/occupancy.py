@@ -11,8 +11,11 @@ from bandsift.operators.capture import throttle
 from bandsift.operators.ordered import attach, number_chunk, with_last_known, with_position
 
 
-def _clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(high, value))
+def _check(**least: tuple[int, int]) -> None:
+    """Arguments below what they can mean are errors; none is changed silently."""
+    for name, (value, low) in least.items():
+        if value < low:
+            raise ValueError(f"{name} must be {low} or more, not {value}")
 
 
 def occupancy_cells(
@@ -29,9 +32,7 @@ def occupancy_cells(
     A centre less than one bin under the band counts in bin 0, because the bin number is
     cut towards zero.
     """
-    freq_bins = _clamp(freq_bins, 8, 512)
-    minutes = _clamp(minutes, 1, 1440)
-    bucket_seconds = _clamp(bucket_seconds, 5, 3600)
+    _check(freq_bins=(freq_bins, 1), minutes=(minutes, 1), bucket_seconds=(bucket_seconds, 1))
     buckets = max(1, minutes * 60 // bucket_seconds)
     span = max(1, end_hz - start_hz)
     since = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES")
@@ -61,9 +62,7 @@ def occupancy_grid(
     end_hz: int = P.BAND_END_HZ,
 ) -> DataFrame:
     """Dense grid, oldest bucket first: bucket, bucket_start, freq_bin, n."""
-    freq_bins = _clamp(freq_bins, 8, 512)
-    minutes = _clamp(minutes, 1, 1440)
-    bucket_seconds = _clamp(bucket_seconds, 5, 3600)
+    _check(freq_bins=(freq_bins, 1), minutes=(minutes, 1), bucket_seconds=(bucket_seconds, 1))
     buckets = max(1, minutes * 60 // bucket_seconds)
     cells = occupancy_cells(
         detections, as_of, minutes, bucket_seconds, freq_bins, start_hz, end_hz
@@ -144,12 +143,16 @@ def stitch_band(
 ) -> DataFrame:
     """Full-band spectrum per session: the latest window covering a band bin wins.
 
-    The aggregation keeps one value per (session, bin) before anything is shuffled.
-    Uncovered bins read -140.
+    Windows of equal shape cover equal bins, so only the newest of each shape is taken apart
+    into bins. Uncovered bins read -140.
     """
-    bins = max(16, bins)
+    _check(bins=(bins, 2))
+    shape = ["session_id", "f0_hz", "bin_hz", F.size("power_db").alias("_n")]
+    newest = frames.groupBy(*shape).agg(
+        F.max("frame_seq").alias("frame_seq"), F.max_by("power_db", "frame_seq").alias("power_db")
+    )
     seen = (
-        band_cells(frames, bins, start_hz, end_hz)
+        band_cells(newest.drop("_n"), bins, start_hz, end_hz)
         .groupBy("session_id", "band_bin")
         .agg(F.max_by("v", "frame_seq").alias("power_db"))
     )
@@ -179,7 +182,7 @@ def spectrum_frames_out(
     Between two outputs only the newest value of a bin counts, so cells are reduced to
     one per (session, bin, output) before values are carried forward.
     """
-    bins = max(16, bins)
+    _check(bins=(bins, 2))
     timed = frames.select("session_id", "frame_seq", F.unix_micros("ts").alias("ts_us"))
     interval = int(1_000_000 / max(1, fps))
     outs = throttle(timed, ["session_id"], "ts_us", "frame_seq", interval).select(

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from bandsift.runtime import cut_lineage
+
 Keys = Sequence[str]
 
 _CHUNK = "_chunk"
@@ -36,6 +38,22 @@ def attach(df: DataFrame, side: DataFrame, on: Keys, how: str = "left") -> DataF
     return df.join(side, list(on), how)
 
 
+def with_place(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Number the rows of a sorted result from 1, whatever their number.
+
+    The sorted rows are written with their range partition; the counts of partitions then give
+    each partition's first number, so no task sees more than its own range.
+    """
+    rows = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition.
+    first = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_least"))
+    first = first.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_least")
+    place = F.col("_before") + F.col("_row") - F.col("_least") + 1
+    return rows.join(first, "_part").withColumn(name, place).drop("_part", "_row", "_before", "_least")
+
+
 def _struct(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
 

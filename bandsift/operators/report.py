@@ -62,6 +62,7 @@ def ordered_report(report: DataFrame) -> DataFrame:
     return report.orderBy(place, F.col("score").desc_nulls_last(), "item")
 
 
+#: Row limits for interactive use; an export has none unless it is given.
 EXPORT_LIMITS = {"channels": 10_000, "detections": 50_000, "events": 50_000}
 
 
@@ -79,15 +80,14 @@ def flatten_nested(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def export_rows(rows: DataFrame, kind: str, order: list[str], limit: int | None = -1) -> DataFrame:
-    """Rows of an export: the interactive caps apply unless `limit` is None."""
+def export_rows(rows: DataFrame, kind: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Rows of an export: all of them, or the first `limit` in the order of the kind."""
     if kind not in EXPORT_LIMITS:
         raise ValueError("kind must be one of: " + ", ".join(EXPORT_LIMITS))
-    cap = EXPORT_LIMITS[kind] if limit == -1 else limit
     ordered = order and [F.col(c).desc() for c in order]
     if kind == "channels":
         ordered = [F.col(c) for c in order]
-    chosen = rows.orderBy(*ordered).limit(cap) if cap is not None else rows
+    chosen = rows.orderBy(*ordered).limit(limit) if limit is not None else rows
     return flatten_nested(chosen)
 
 

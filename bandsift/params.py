@@ -70,6 +70,20 @@ POST_TRIGGER_S = 2.5
 MAX_CAPTURE_S = 8.0
 MAX_RECORDING_MS = 10_000
 
+# Fixed values of the keying hint: percentiles of the level and what they must reach.
+KEYING_PERCENTILES = (10, 40, 90, 99)
+KEYING_MIN_SAMPLES = 128
+KEYING_SILENCE = 1e-9
+ON_OFF_CONTRAST = 5.0
+ON_OFF_UNIT_PERCENTILE = 20
+ON_OFF_MIN_UNIT = 2.0
+ON_OFF_MIN_RATE = 10.0
+ON_OFF_CONFIDENCE = (0.4, 0.08)
+SHIFT_MIN_FLATNESS = 0.5
+SHIFT_MIN_SPREAD = 0.02
+SHIFT_CONFIDENCE = 0.5
+ISOLATE_MIN_SAMPLES = 8
+
 # Pattern score.
 NARROWBAND_MAX_HZ = 40_000
 SHORT_BURST_MAX_MS = 500

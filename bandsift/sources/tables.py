@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandsift import schemas
-from bandsift.operators.report import export_rows
+from bandsift.operators.report import EXPORT_LIMITS, export_rows
 
 TABLES = {
     "detections": schemas.DETECTIONS,
@@ -60,18 +60,21 @@ def iq_block_stream(spark: SparkSession, path: str, files_per_trigger: int = 16)
     )
 
 
-def export_csv(rows: DataFrame, kind: str, path: str, order: list[str], limit=-1) -> None:
+def export_csv(rows: DataFrame, kind: str, path: str, order: list[str], limit: int | None = None) -> None:
     export_rows(rows, kind, order, limit).write.mode("overwrite").csv(path, header=True)
 
 
-def export_json(rows: DataFrame, kind: str, path: str, order: list[str], limit=-1) -> None:
+def export_json(rows: DataFrame, kind: str, path: str, order: list[str], limit: int | None = None) -> None:
     """One JSON object per line; uncapped exports stay distributed."""
     export_rows(rows, kind, order, limit).write.mode("overwrite").json(path)
 
 
 def export_document(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
-    """The capped export as one JSON document: {"kind": ..., kind: [rows]}."""
-    flat = export_rows(rows, kind, order)
+    """The export of interactive size as one JSON document: {"kind": ..., kind: [rows]}.
+
+    One document is one row, so this form always has the limit of its kind.
+    """
+    flat = export_rows(rows, kind, order, EXPORT_LIMITS[kind])
     return flat.agg(F.collect_list(F.struct(*flat.columns)).alias("_rows")).select(
         F.to_json(F.struct(F.lit(kind).alias("kind"), F.col("_rows").alias(kind))).alias("value")
     )
