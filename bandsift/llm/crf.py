@@ -126,7 +126,7 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int8)
 
 
-def fit(documents: list[tuple[int, np.ndarray]], rounds: int = 300, rate: float = 0.1, shrink: float = 1e-2) -> Model:
+def fit(documents: list[tuple[int, np.ndarray]], rounds: int = 120, rate: float = 0.2, shrink: float = 1e-2) -> Model:
     """Weights of features for each label and of moves, by gradient ascent on the likelihood of labels.
 
     documents: (label, features of its lines). Sequences of equal length are handled together.
