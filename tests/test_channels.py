@@ -71,10 +71,10 @@ def test_recurrence_cases(spark):
 
 
 CHANNEL = {
-    "session_id": 1, "channel_id": 1, "center_hz": 868_300_000, "bandwidth_hz": 25_000,
-    "current_power_db": -12.0, "peak_power_db": -6.0, "avg_power_db": -15.0, "snr_db": 18.0,
-    "observation_count": 10, "typical_burst_ms": 80.0, "recurrence_interval_s": 300.0,
-    "confidence": 0.8, "status": "active",
+    "session_id": 3, "channel_id": 1, "center_hz": 868_300_000, "bandwidth_hz": 31_000,
+    "current_power_db": -17.5, "peak_power_db": -9.25, "avg_power_db": -21.0, "snr_db": 14.5,
+    "observation_count": 17, "typical_burst_ms": 140.0, "recurrence_interval_s": 300.0,
+    "confidence": 0.65, "status": "active",
 }
 KINDS = {int: "bigint", float: "double", str: "string"}
 SCHEMA = ", ".join(f"{k} {KINDS[type(v)]}" for k, v in CHANNEL.items()) + ", last_seen string"
@@ -91,9 +91,9 @@ def channels(spark, *changes):
 def test_pattern_scores(spark):
     df = channels(
         spark,
-        {"bandwidth_hz": 12_500, "observation_count": 12},
-        {"bandwidth_hz": 2_000_000, "observation_count": 1, "typical_burst_ms": None, "recurrence_interval_s": None},
-        {"bandwidth_hz": 10_000, "observation_count": 8, "typical_burst_ms": 4000.0, "recurrence_interval_s": None},
+        {"bandwidth_hz": 17_000, "observation_count": 21},
+        {"bandwidth_hz": 740_000, "observation_count": 2, "typical_burst_ms": None, "recurrence_interval_s": None},
+        {"bandwidth_hz": 6_500, "observation_count": 6, "typical_burst_ms": 2600.0, "recurrence_interval_s": None},
     )
     a, b, c = ch.pattern_score(df).orderBy("channel_id").collect()
     assert a.pattern_score == pytest.approx(1) and a.pattern_label == "strong" and len(a.pattern_reasons) == 4
@@ -102,7 +102,7 @@ def test_pattern_scores(spark):
 
 
 def test_similarity_and_sorting(spark):
-    df = channels(spark, {}, {}, {"snr_db": 9.0, "typical_burst_ms": None, "recurrence_interval_s": None})
+    df = channels(spark, {}, {}, {"snr_db": 7.25, "typical_burst_ms": None, "recurrence_interval_s": None})
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "channel_a bigint, channel_b bigint")
     same, other = ch.channel_similarity(df, pairs).orderBy("channel_b").collect()
     assert (same.score, same.verdict) == (1.0, "similar")
@@ -124,9 +124,9 @@ RULE = "rule_id bigint, rule_order bigint, enabled boolean, freq_lo_mhz double,
         ((868.3, 868.3, None, None, None), True),
         ((868.31, None, None, None, None), False),
         ((None, 868.29, None, None, None), False),
-        ((None, None, 18.0, 0.8, None), True),
-        ((None, None, 18.1, None, None), False),
-        ((None, None, None, 0.81, None), False),
+        ((None, None, 14.5, 0.65, None), True),
+        ((None, None, 14.6, None, None), False),
+        ((None, None, None, 0.66, None), False),
         ((None, None, None, None, True), True),
     ],
 )
