@@ -373,7 +373,7 @@ def alert_rule_match(t):
 
 @query(
     """SELECT detection_id, d.session_id, c.channel_id IS NOT NULL AS has_channel, coalesce(c.center_hz, -1) AS channel_hz FROM detections d SEMI JOIN sessions s ON s.session_id = d.session_id
-       LEFT JOIN (SELECT channel_id, center_hz FROM channels WHERE channel_id % 4 <> 0) c ON c.channel_id = d.channel_id"""
+       LEFT JOIN (SELECT session_id, channel_id, center_hz FROM channels WHERE channel_id % 4 <> 0) c ON c.session_id = d.session_id AND c.channel_id = d.channel_id"""
 )
 def detection_channel(t):
     kept = t.channels.filter("channel_id % 4 <> 0")
@@ -386,20 +386,21 @@ def detection_channel(t):
 
 
 @query(
-    """SELECT channel_id, detection_id FROM detections QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY detection_id DESC) <= 50"""
+    """SELECT session_id, channel_id, detection_id FROM detections QUALIFY row_number() OVER (PARTITION BY session_id, channel_id ORDER BY detection_id DESC) <= 50"""
 )
 def channel_observations(t):
-    return M.channel_observations(t.detections, 50).select("channel_id", "detection_id")
+    return M.channel_observations(t.detections, 50).select("session_id", "channel_id", "detection_id")
 
 
 @query(
-    """WITH d AS (SELECT channel_id, detection_id, ts, duration_ms FROM detections WHERE channel_id IN (SELECT channel_id FROM detections GROUP BY channel_id ORDER BY max(ts) DESC, channel_id DESC LIMIT 16)
-         QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY detection_id DESC) <= 300),
-       p AS (SELECT channel_id, detection_id, ((epoch_us(ts) // 1000) - (1706400000000 - 1209600000)) / 1209600000.0 * 100 AS l, coalesce(duration_ms, 50) / 1209600000.0 * 100 AS w FROM d)
-       SELECT channel_id, detection_id, round(l, 6) AS left_pct, greatest(w, 0.4) AS width_pct FROM p WHERE l BETWEEN 0 AND 100"""
+    """WITH d AS (SELECT session_id, channel_id, detection_id, ts, duration_ms FROM detections
+           SEMI JOIN (SELECT session_id, channel_id FROM detections GROUP BY ALL ORDER BY max(ts) DESC, session_id DESC, channel_id DESC LIMIT 16) USING (session_id, channel_id)
+         QUALIFY row_number() OVER (PARTITION BY session_id, channel_id ORDER BY detection_id DESC) <= 300),
+       p AS (SELECT session_id, channel_id, detection_id, ((epoch_us(ts) // 1000) - (1706400000000 - 1209600000)) / 1209600000.0 * 100 AS l, coalesce(duration_ms, 50) / 1209600000.0 * 100 AS w FROM d)
+       SELECT session_id, channel_id, detection_id, round(l, 6) AS left_pct, greatest(w, 0.4) AS width_pct FROM p WHERE l BETWEEN 0 AND 100"""
 )
 def timeline(t):
-    seen = t.detections.groupBy("channel_id").agg(F.max("ts").alias("last_seen"))
+    seen = t.detections.groupBy("session_id", "channel_id").agg(F.max("ts").alias("last_seen"))
     return M.timeline(seen, t.detections, "2024-01-28 00:00:00", 14 * 86_400).withColumn(
         "left_pct", F.round("left_pct", 6)
     )

@@ -24,9 +24,11 @@ def newest_rows(table: DataFrame, order: Sequence[str], limit: int) -> DataFrame
 
 
 def events_since(events: DataFrame, since: str, limit: int = 200) -> DataFrame:
-    return newest_rows(
-        events.filter(F.col("ts") > F.lit(since).cast("timestamp")), ["event_id"], limit
-    )
+    start = F.lit(since).cast("timestamp")
+    later = events.filter(F.col("ts") > start)
+    if "date" in events.columns:
+        later = later.filter(F.col("date") >= F.to_date(start))
+    return newest_rows(later, ["event_id"], limit)
 
 
 def recent_events(events: DataFrame, limit: int = 500) -> DataFrame:
@@ -36,7 +38,7 @@ def recent_events(events: DataFrame, limit: int = 500) -> DataFrame:
 def channel_observations(
     detections: DataFrame,
     n: int = 200,
-    keys: Sequence[str] = ("channel_id",),
+    keys: Sequence[str] = ("session_id", "channel_id"),
     chunk_s: int = P.CHUNK_S,
 ) -> DataFrame:
     """The n newest detections of every channel."""
@@ -67,9 +69,10 @@ def timeline(
     chunk_s: int = P.CHUNK_S,
 ) -> DataFrame:
     """Newest detections of the most recently seen channels, placed in a time window."""
-    top = newest_rows(channels, ["last_seen", "channel_id"], max_channels).select("channel_id")
+    key = ["session_id", "channel_id"]
+    top = newest_rows(channels, ["last_seen", *key], max_channels).select(*key)
     newest = channel_observations(
-        detections.join(top, "channel_id", "left_semi"), per_channel, chunk_s=chunk_s
+        detections.join(top, key, "left_semi"), per_channel, chunk_s=chunk_s
     )
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     start = F.unix_millis(F.lit(as_of).cast("timestamp")) - window_s * 1000
@@ -78,7 +81,7 @@ def timeline(
     return (
         newest.filter(at >= start)
         .select(
-            "channel_id",
+            *key,
             "detection_id",
             left.alias("left_pct"),
             F.greatest(width, F.lit(0.4)).alias("width_pct"),
@@ -117,9 +120,10 @@ def drop_merged_channels(channels: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def retention_prune(table: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Rows not older than the cutoff; on disk this prunes whole date partitions."""
+    """Rows not older than the cutoff; of a table with dated folders, older ones aren't read."""
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
-    return table.filter(F.col("ts") >= cutoff)
+    kept = table.filter(F.col("ts") >= cutoff)
+    return kept.filter(F.col("date") >= F.to_date(cutoff)) if "date" in table.columns else kept
 
 
 def retention_counts(tables: dict[str, DataFrame], as_of: str, days: int) -> DataFrame:

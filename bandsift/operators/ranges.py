@@ -235,12 +235,15 @@ def detection_channel(
 ) -> DataFrame:
     """Detections of existing sessions; those of a removed channel keep a null one."""
     known = channels.select(
-        F.col("channel_id").alias("_id"), F.col("center_hz").alias("channel_hz")
+        F.col("session_id").alias("_session"),
+        F.col("channel_id").alias("_id"),
+        F.col("center_hz").alias("channel_hz"),
     )
     kept = detections.join(sessions.select("session_id"), "session_id", "left_semi")
+    same = (kept["session_id"] == known["_session"]) & (kept["channel_id"] == known["_id"])
     return (
-        kept.join(known, kept["channel_id"] == known["_id"], "left")
-        .drop("channel_id")
+        kept.join(known, same, "left")
+        .drop("channel_id", "_session")
         .withColumnRenamed("_id", "channel_id")
     )
 

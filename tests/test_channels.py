@@ -157,6 +157,19 @@ def test_activations_need_a_baseline_and_debounce(spark):
     assert {(r.channel_id, r.snapshot_seq) for r in alerts} == {(2, 1), (1, 3)}
 
 
+def test_equal_ids_of_two_sessions_stay_apart(spark):
+    seen = spark.createDataFrame(
+        [(1, 7, 100, "2024-01-02 00:00:00"), (2, 7, 101, "2024-01-02 00:00:01"), (2, 7, 102, "2024-01-02 00:00:02")],
+        "session_id bigint, channel_id bigint, detection_id bigint, ts string",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    known = spark.createDataFrame([(1, 7, 5), (2, 7, 6)], "session_id bigint, channel_id bigint, center_hz bigint")
+    sessions = spark.createDataFrame([(1,), (2,)], "session_id bigint")
+    got = ranges.detection_channel(seen, known, sessions).collect()
+    assert sorted((r.detection_id, r.channel_hz) for r in got) == [(100, 5), (101, 6), (102, 6)]
+    newest = M.channel_observations(seen, 1).collect()
+    assert sorted(r.detection_id for r in newest) == [100, 102]
+
+
 def test_occupancy_shape_and_edges(spark):
     rows = [("2024-01-14 23:59:59", 870_000_000), ("2024-01-14 23:59:59", 866_950_000), ("2024-01-14 23:50:00", 867_100_000), ("2024-01-14 23:55:00", 869_999_999)]
     df = spark.createDataFrame(rows, "t string, center_hz bigint").withColumn("ts", F.col("t").cast("timestamp"))
