@@ -41,14 +41,19 @@ def block_meta(blocks: DataFrame, bytes_per_sample: int = 2) -> DataFrame:
 
 
 def gap_detect(meta: DataFrame, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
-    """Add missing samples before each block and the start of its gap-free segment."""
+    """Add missing samples before each block and the start of its segment.
+
+    A segment has no gap and one tuning: a new centre or sample rate begins another.
+    """
     rows = with_run_start(
         meta,
         ["session_id"],
         ["start_sample"],
-        ["start_sample", "end_sample", "center_hz"],
+        ["start_sample", "end_sample", "center_hz", "sample_rate"],
         lambda here, before: before("end_sample").isNull()
-        | (here("start_sample") != before("end_sample")),
+        | (here("start_sample") != before("end_sample"))
+        | (here("center_hz") != before("center_hz"))
+        | (here("sample_rate") != before("sample_rate")),
         number_chunk("start_sample", chunk_samples),
         "start_sample",
         "segment_start",
@@ -63,9 +68,14 @@ def gap_detect(meta: DataFrame, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame
             ).otherwise(F.lit(0)),
         )
         .withColumn(
-            "is_retune", F.coalesce(F.col("prev_center_hz") != F.col("center_hz"), F.lit(False))
+            "is_retune",
+            F.coalesce(
+                (F.col("prev_center_hz") != F.col("center_hz"))
+                | (F.col("prev_sample_rate") != F.col("sample_rate")),
+                F.lit(False),
+            ),
         )
-        .drop("prev_start_sample", "prev_end_sample", "prev_center_hz")
+        .drop("prev_start_sample", "prev_end_sample", "prev_center_hz", "prev_sample_rate")
     )
 
 

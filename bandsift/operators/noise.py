@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,10 @@ def next_bin_noise(
 
 
 class BinNoiseFold(Fold):
-    """Floor of one block of bins. The first block's frames are held until all are there."""
+    """Floor of one block of bins. The first block's frames are held until all are there.
+
+    Frames of another tuning (place, width or number of bins) begin a new floor.
+    """
 
     threshold_db = P.EVIDENCE_THRESHOLD_DB
     alpha = P.NOISE_ALPHA
@@ -96,8 +100,22 @@ class BinNoiseFold(Fold):
         self.noise: np.ndarray | None = None
         self.held: list[tuple] = []
         self.index = 0
+        self.tuning: tuple | None = None
 
     def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        own = [rows.column("f0_hz"), rows.column("bin_hz"), pc.list_value_length(rows.column("power_db"))]
+        tuned = np.stack([np.asarray(c, dtype=np.float64) for c in own], axis=1)
+        edges = np.flatnonzero((tuned[1:] != tuned[:-1]).any(axis=1)) + 1
+        out: list[tuple] = []
+        for low, high in zip([0, *edges], [*edges, len(tuned)], strict=True):
+            if self.tuning is not None and tuple(tuned[low]) != self.tuning:
+                out += self.finish()
+                self.noise, self.held, self.index = None, [], 0
+            self.tuning = tuple(tuned[low])
+            out += self.take(rows.slice(low, high - low))
+        return out
+
+    def take(self, rows: pa.RecordBatch) -> list[tuple]:
         bins = rows.column("power_db")
         power = bins.flatten().to_numpy().reshape(len(bins), -1)
         frames = list(zip(columns_of(rows, _FRAME_COLUMNS), power, strict=True))
