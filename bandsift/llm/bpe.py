@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from bandsift.llm.common import batches, documents, texts
+from bandsift.llm.common import MEMO, batches, documents, texts
 
 #: Characters of a chunk and of the overlap behind it.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -40,13 +39,14 @@ INTS = ArrayType(IntegerType())
 REMEMBERED = 400_000
 
 
-@cache
 def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def read() -> dict[bytes, int]:
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    return MEMO.of(("ranks", path), read)
 
 
-@cache
 def pattern(text: str) -> regex.Pattern:
     """The pattern with white space as the property of that name, whatever the library's \\s is."""
     return regex.compile(text.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -80,9 +80,8 @@ class Encoder(dict):
         return [m.end() for m in self.pattern.finditer(text) if m.end() <= sure]
 
 
-@cache
 def encoder(path: str, split: str) -> Encoder:
-    return Encoder(path, split)
+    return MEMO.of(("bpe", path, split), lambda: Encoder(path, split))
 
 
 def _ids(found: list[bytes]) -> pa.ListArray:

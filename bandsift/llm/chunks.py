@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from bandsift.llm.common import MEMO
+
 #: Chunks remembered in a worker; beyond that it starts afresh.
 REMEMBERED = 600_000
 
@@ -147,12 +149,6 @@ def careful(text: str, least: int = 2000) -> list[str]:
     return [*out, text[start:]]
 
 
-_OPEN: dict[tuple, Chunks] = {}
-
-
 def chunks(path: str, lead: bool, mark: str) -> Chunks:
     """The worker's encoder for a vocabulary file."""
-    key = (path, lead, mark)
-    if key not in _OPEN:
-        _OPEN[key] = Chunks(path, lead, mark)
-    return _OPEN[key]
+    return MEMO.of(("chunks", path, lead, mark), lambda: Chunks(path, lead, mark))

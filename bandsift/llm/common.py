@@ -19,13 +19,28 @@ from pyspark.sql import functions as F
 import bandsift
 from bandsift.runtime import cut_lineage, shared_folder
 
-__all__ = ["batches", "cut_lineage", "documents", "free", "open_in", "open_out", "packed", "ready", "shared_folder", "slices", "table", "texts", "unpacked"]
+__all__ = ["MEMO", "batches", "cut_lineage", "documents", "free", "open_in", "open_out", "packed", "ready", "shared_folder", "slices", "table", "texts", "unpacked"]
 
 #: Rows and bytes of a batch handed to Python: bounds memory whatever the length of texts.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
+class Memo(dict):
+    """What a worker has loaded; a copy sent to another process starts empty."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+    def of(self, key: tuple, make):
+        if key not in self:
+            self[key] = make()
+        return self[key]
+
+
+MEMO = Memo()
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches; ship the package to workers that can't import it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

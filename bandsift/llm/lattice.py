@@ -24,7 +24,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandsift.llm.common import batches, cut_lineage, packed, texts, unpacked
+from bandsift.llm.common import MEMO, batches, cut_lineage, packed, texts, unpacked
 
 #: Units and words after which a dictionary is closed.
 UNITS, WORDS = 300_000, 4_000_000
@@ -159,9 +158,8 @@ class Pieces:
         return ahead[n] + self.stop
 
 
-@cache
 def subwords(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return MEMO.of(("subwords", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def _totals(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, list[bytes], bytes]], dict[bytes, int]]]:

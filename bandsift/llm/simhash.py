@@ -17,7 +17,6 @@ component of such rows only has none; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import product
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandsift.llm.common import batches, cut_lineage, texts
+from bandsift.llm.common import MEMO, batches, cut_lineage, texts
 from bandsift.llm.components import components, forest
 
 #: Fixed values of the code: its generator polynomial and length.
@@ -75,8 +74,11 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, fp long")
 
 
-@cache
 def decoder() -> np.ndarray:
+    return MEMO.of(("golay",), _decoder)
+
+
+def _decoder() -> np.ndarray:
     """For each 23-bit word, the index (upper 12 bits) of the nearest codeword."""
     rest = LENGTH - 12
     word = np.arange(1 << LENGTH, dtype=np.uint32)
