@@ -9,15 +9,18 @@ and titles stay, as does a name's last letter, so that its gender still agrees w
 digits of cards are computed anew.
 
 A draw may meet another draw or an entity that is really in the corpus. All distinct entities are
-checked; only those that lost draw again, and only they are joined back to texts. Everything is
-column functions and joins.
+checked; only those that lost draw again, and only they are joined back to texts. Some have too little
+room for that (a two-letter name keeps its last letter), so later draws get longer, one character more
+each time, until all are apart. Everything is column functions and joins.
 
-Edge cases: a null text stays null, an empty one empty, both without entities; repeated rows get the
+Edge cases: what follows a label without any letter or digit is a mask and no entity; a null text stays null, an empty one empty, both without entities; repeated rows get the
 same replacements; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ TITLES = "Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господи
 
 #: kind -> pattern, in the order in which they are tried.
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{8,128}",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{8,128}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -48,8 +51,43 @@ HINT = rf"[0-9@]|(?i:token|secret|password|passwd|api_?key)|\b(?:{TITLES})\b"
 #: Letters that stand for one another.
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "0123456789"]
 
-#: Draws an entity may need; with so many lost the key or the kind's space is exhausted.
-MOST_DRAWS = 50
+#: Letters and digits that CLASSES lacks, by script: any of one script becomes one of these.
+SCRIPTS = {
+    r"\p{IsLatin}": "abcdefghijklmnopqrstuvwxyz",
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{IsArmenian}": "".join(map(chr, range(0x561, 0x586))),
+    r"[\p{IsHan}&&\p{L}]": "".join(map(chr, range(0x4E00, 0x4F00))),
+    r"[\u0660-\u0669]": "".join(map(chr, range(0x660, 0x66A))),
+    r"[\u06F0-\u06F9]": "".join(map(chr, range(0x6F0, 0x6FA))),
+    r"[\u0966-\u096F]": "".join(map(chr, range(0x966, 0x970))),
+    r"[\p{IsArabic}&&\p{L}]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"[\p{IsHebrew}&&\p{L}]": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"[\p{IsHangul}&&\p{L}]": "".join(map(chr, range(0xAC00, 0xAC00 + 28 * 256, 28))),
+    r"[\p{IsHiragana}&&\p{L}]": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    r"[\p{IsKatakana}&&\p{L}]": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    r"[\p{IsBopomofo}&&\p{L}]": "".join(map(chr, range(0x3105, 0x3126))),
+    r"[\p{IsThai}&&\p{L}]": "".join(map(chr, range(0xE01, 0xE2F))),
+    r"[\p{IsLao}&&\p{L}]": "ກຂຄງຈຊຍດຕຖທນບປຜຝພຟມຢຣລວສຫອຮ",
+    r"[\p{IsDevanagari}&&\p{L}]": "".join(map(chr, range(0x915, 0x929))),
+    r"[\p{IsBengali}&&\p{L}]": "".join(map(chr, range(0x995, 0x9A9))),
+    r"[\p{IsGurmukhi}&&\p{L}]": "".join(map(chr, range(0xA15, 0xA29))),
+    r"[\p{IsGujarati}&&\p{L}]": "".join(map(chr, range(0xA95, 0xAA9))),
+    r"[\p{IsTamil}&&\p{L}]": "கஙசஞடணதநபமயரலவ",
+    r"[\p{IsTelugu}&&\p{L}]": "".join(map(chr, range(0xC15, 0xC29))),
+    r"[\p{IsKannada}&&\p{L}]": "".join(map(chr, range(0xC95, 0xCA9))),
+    r"[\p{IsMalayalam}&&\p{L}]": "".join(map(chr, range(0xD15, 0xD29))),
+    r"[\p{IsSinhala}&&\p{L}]": "".join(map(chr, range(0xD9A, 0xDB2))),
+    r"[\p{IsGeorgian}&&\p{L}]": "".join(map(chr, range(0x10D0, 0x10F1))),
+    r"[\p{IsEthiopic}&&\p{L}]": "".join(map(chr, range(0x1208, 0x1248))),
+    r"[\p{IsKhmer}&&\p{L}]": "".join(map(chr, range(0x1780, 0x17A3))),
+    r"[\p{IsMyanmar}&&\p{L}]": "".join(map(chr, range(0x1000, 0x1021))),
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+    r"\p{N}": "0123456789",
+}
+
+#: Draws of an entity that are as long as itself. Each later one is a character longer than the last.
+PLAIN_DRAWS = 6
 
 
 def entities(text: Column) -> Column:
@@ -82,6 +120,11 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
+def _stays(kind: Column) -> Column:
+    """Leading characters that a replacement keeps."""
+    return F.when(kind.isin("phone", "card"), 1).when(kind == "iban", 2).when(kind == "access_key", 4).otherwise(0)
+
+
 def _more(x: Column, names: list[str], **new: Column) -> Column:
     return F.struct(*(x[n].alias(n) for n in names), *(v.alias(n) for n, v in new.items()))
 
@@ -93,16 +136,22 @@ def draws(items: Column, key: str) -> Column:
     """
     names = ["kind", "form", "attempt"]
 
+    def longer(x: Column) -> Column:
+        """`long`: the form with what later draws add, before it is swapped."""
+        kind, form, more = x["kind"], x["form"], x["attempt"] - PLAIN_DRAWS + 1
+        own = F.when(kind.isin("person", "email", "secret"), F.regexp_extract(form, r"[\p{L}\p{N}]", 0)).otherwise("0")
+        wide = F.concat(F.substring(form, F.lit(1), _stays(kind)), F.repeat(own, more), F.substring(form, _stays(kind) + 1, F.length(form)))
+        return _more(x, names, long=F.when(more > 0, wide).otherwise(form))
+
     def seed(x: Column) -> Column:
         one = F.concat_ws("|", F.lit(key), x["kind"], x["attempt"].cast("string"), x["form"])
-        return _more(x, names, seed=F.sha2(one, 256), bare=F.translate(x["form"], "áàâäãåéèêëíìîïóòôöõúùûüýñçß", "aaaaaaeeeeiiiiooooouuuuyncs"))
+        return _more(x, [*names, "long"], seed=F.sha2(one, 256), bare=F.translate(x["long"], "áàâäãåéèêëíìîïóòôöõúùûüýñçß", "aaaaaaeeeeiiiiooooouuuuyncs"))
 
     def stream(x: Column) -> Column:
-        return _more(x, [*names, "bare"], stream=F.concat(*(F.sha2(F.concat(x["seed"], F.lit(str(i))), 256) for i in range(5))))
+        return _more(x, [*names, "long", "bare"], stream=F.concat(*(F.sha2(F.concat(x["seed"], F.lit(str(i))), 256) for i in range(5))))
 
     def swapped(x: Column) -> Column:
-        kind, form, n = x["kind"], x["form"], F.length(x["form"])
-        before = F.when(kind.isin("phone", "card"), 1).when(kind == "iban", 2).when(kind == "access_key", 4).otherwise(0)
+        kind, form, n, before = x["kind"], x["long"], F.length(x["long"]), _stays(x["kind"])
         dot = n - F.length(F.substring_index(form, ".", -1))
         after = F.when(kind == "email", dot).when(kind == "person", n - 1).otherwise(n)
 
@@ -110,22 +159,29 @@ def draws(items: Column, key: str) -> Column:
             return F.conv(F.substring(x["stream"], (F.pmod(i, F.lit(160)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
         def swap(c: Column, i: Column) -> Column:
+            def picked(own: str) -> Column:
+                return F.substring(F.lit(own), F.pmod(byte(i), F.lit(len(own))) + 1, F.lit(1))
+
             out = c
+            for pattern, letters in reversed(SCRIPTS.items()):
+                cased = picked(letters) if letters.upper() == letters else F.when(c.rlike(r"\p{Lu}"), picked(letters.upper())).otherwise(picked(letters))
+                out = F.when(c.rlike(pattern), cased).otherwise(out)
+            out = F.when(c.rlike(r"[\p{L}\p{N}]"), out).otherwise(c)
             for letters in CLASSES:
                 for own in dict.fromkeys((letters, letters.upper())):
-                    picked = F.substring(F.lit(own), F.pmod(byte(i), F.lit(len(own))) + 1, F.lit(1))
-                    out = F.when(F.instr(F.lit(own), c) > 0, picked).otherwise(out)
+                    out = F.when(F.instr(F.lit(own), c) > 0, picked(own)).otherwise(out)
             hexed = F.when(F.instr(F.lit("0123456789abcdef"), c) > 0, F.substring(x["stream"], i + 1, F.lit(1))).otherwise(c)
             return F.when((i < before) | (i >= after), F.substring(form, i + 1, F.lit(1))).when(kind == "hex_key", hexed).otherwise(out)
 
-        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(byte(i), F.lit(223)) + 1).cast("string")), ".")
+        last = F.greatest(x["attempt"] - PLAIN_DRAWS + 1, F.lit(0)) + 3
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: (F.pmod(byte(i), F.lit(223)) + 1).cast("string")), ".")
         letters = F.array_join(F.transform(F.slice(F.split(x["bare"], "", -1), 1, n), swap), "")
         return _more(x, names, plain=F.when(kind == "ip", octets).otherwise(letters))
 
     def checked(x: Column) -> Column:
         return _more(x, names, drawn=F.when(x["kind"] == "card", _with_check_digit(x["plain"])).otherwise(x["plain"]))
 
-    for step in (seed, stream, swapped, checked):
+    for step in (longer, seed, stream, swapped, checked):
         items = F.transform(items, step)
     return items
 
@@ -144,7 +200,7 @@ def _with_check_digit(digits: Column) -> Column:
 
 
 def laid_out(kind: Column, mention: Column, form: Column) -> Column:
-    """The canonical replacement with the separators and capitals of the mention."""
+    """The canonical replacement with the separators and capitals of the mention; what it has more stands last."""
     head = F.when(kind == "person", F.regexp_extract(mention, TITLE, 0)).otherwise(F.regexp_extract(mention, LABEL, 0))
     rest = F.substring(mention, F.length(head) + 1, F.length(mention))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -156,7 +212,10 @@ def laid_out(kind: Column, mention: Column, form: Column) -> Column:
         cased = F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
         return F.struct(F.concat(a["out"], F.when(skip, c).otherwise(cased)).alias("out"), (a["at"] + F.when(skip, 0).otherwise(1)).alias("at"))
 
-    shaped = F.aggregate(F.slice(F.split(rest, "", -1), 1, F.length(rest)), start, step)["out"]
+    def whole(a: Column) -> Column:
+        return F.concat(a["out"], F.substring(form, a["at"], F.length(form)))
+
+    shaped = F.aggregate(F.slice(F.split(rest, "", -1), 1, F.length(rest)), start, step, whole)
     return F.concat(head, F.when(kind == "ip", form).otherwise(shaped))
 
 
@@ -170,7 +229,7 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
     pending = real
     taken: DataFrame | None = None
     lost: DataFrame | None = None
-    for attempt in range(MOST_DRAWS):
+    for attempt in count():
         one = F.array(F.struct("kind", "form", F.lit(attempt).alias("attempt")))
         drawn = cut_lineage(pending.select("kind", "form", F.element_at(draws(one, key), 1)["drawn"].alias("drawn")))
         first = drawn.groupBy("kind", "drawn").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n"))
@@ -185,8 +244,6 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
         if pending.isEmpty():
             break
         taken = kept.select("kind", "drawn") if taken is None else taken.unionByName(kept.select("kind", "drawn"))
-    else:
-        raise ValueError(f"{MOST_DRAWS} draws weren't enough to keep replacements apart")
     return real.select("kind", "form", F.lit(0).alias("attempt")).limit(0) if lost is None else lost
 
 

@@ -66,6 +66,21 @@ def test_clashing_draws_are_drawn_again(spark, monkeypatch):
     assert len(drawn) == len(real) and not drawn & real
 
 
+def test_every_entity_gets_a_surrogate(spark):
+    masks = ["password: ********", "secret = ________________"]
+    names = ["Mr An", "Mr On", "Mr Un", "Mr Παπαδόπουλος", "Frau Őőőű"]
+    secrets = ["密码密码密码密码密", "κωδικοςαβγ", "كلمةالمرور", "ъьйёъьйёъь", "a" + "*" * 9]
+    texts = [*masks, *names, *(f"password: {x}" for x in secrets)]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.with_surrogates(frame(spark, list(enumerate(texts))), "key", count="n").collect()}
+    assert [got[i] for i in range(2)] == [(m, 0) for m in masks]
+    new = [got[i][0] for i in range(2, len(texts))]
+    assert all(got[i][1] == 1 for i in range(2, len(texts)))
+    assert len({x.lower() for x in new}) == len(new) and not set(new) & set(texts)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]*n", x) for x in new[:3])
+    assert re.fullmatch(r"Mr [Α-Ω][α-ω]+ς", new[3])
+    assert re.fullmatch(r"password: [一-鿿]{9,}", new[5]) and re.fullmatch(r"password: [α-ω]{10,}", new[6])
+
+
 def test_exact_top(spark):
     rnd = np.random.default_rng(2)
     for n, d, high, k in ((100, 5, 4, 7), (700, 16, 70, 20), (9, 4, 30, 20), (1, 3, 5, 3)):
