@@ -30,11 +30,11 @@ TITLES = "Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господи
 
 #: kind -> pattern, in the order in which they are tried.
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{8,128}",
+    "secret": r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{8,}+",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "hex_key": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "hex_key": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -148,15 +148,20 @@ def draws(items: Column, key: str) -> Column:
         return _more(x, [*names, "long"], seed=F.sha2(one, 256), bare=F.translate(x["long"], "áàâäãåéèêëíìîïóòôöõúùûüýñçß", "aaaaaaeeeeiiiiooooouuuuyncs"))
 
     def stream(x: Column) -> Column:
-        return _more(x, [*names, "long", "bare"], stream=F.concat(*(F.sha2(F.concat(x["seed"], F.lit(str(i))), 256) for i in range(5))))
+        """Blocks of 32 bytes in hex, enough for a byte (an octet) of each character."""
+        blocks = F.floor(F.greatest(F.length(x["bare"]), x["attempt"] + 4) / 32).cast("int")
+        return _more(x, [*names, "long", "bare"], stream=F.transform(F.sequence(F.lit(0), blocks), lambda i: F.sha2(F.concat(x["seed"], i.cast("string")), 256)))
 
     def swapped(x: Column) -> Column:
         kind, form, n, before = x["kind"], x["long"], F.length(x["long"]), _stays(x["kind"])
         dot = n - F.length(F.substring_index(form, ".", -1))
         after = F.when(kind == "email", dot).when(kind == "person", n - 1).otherwise(n)
 
+        def block(i: Column, held: int) -> Column:
+            return F.element_at(x["stream"], F.floor(i / held).cast("int") + 1)
+
         def byte(i: Column) -> Column:
-            return F.conv(F.substring(x["stream"], (F.pmod(i, F.lit(160)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+            return F.conv(F.substring(block(i, 32), F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
         def swap(c: Column, i: Column) -> Column:
             def picked(own: str) -> Column:
@@ -170,7 +175,7 @@ def draws(items: Column, key: str) -> Column:
             for letters in CLASSES:
                 for own in dict.fromkeys((letters, letters.upper())):
                     out = F.when(F.instr(F.lit(own), c) > 0, picked(own)).otherwise(out)
-            hexed = F.when(F.instr(F.lit("0123456789abcdef"), c) > 0, F.substring(x["stream"], i + 1, F.lit(1))).otherwise(c)
+            hexed = F.when(F.instr(F.lit("0123456789abcdef"), c) > 0, F.substring(block(i, 64), F.pmod(i, F.lit(64)) + 1, F.lit(1))).otherwise(c)
             return F.when((i < before) | (i >= after), F.substring(form, i + 1, F.lit(1))).when(kind == "hex_key", hexed).otherwise(out)
 
         last = F.greatest(x["attempt"] - PLAIN_DRAWS + 1, F.lit(0)) + 3
@@ -206,16 +211,22 @@ def laid_out(kind: Column, mention: Column, form: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     digit_kind = kind.isin("phone", "card", "national_id")
 
+    def cased(c: Column, own: Column) -> Column:
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
+
     def step(a: Column, c: Column) -> Column:
         skip = (digit_kind & ~c.rlike("[0-9]")) | ((kind == "iban") & (c == " "))
         own = F.substring(form, a["at"], F.lit(1))
-        cased = F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
-        return F.struct(F.concat(a["out"], F.when(skip, c).otherwise(cased)).alias("out"), (a["at"] + F.when(skip, 0).otherwise(1)).alias("at"))
+        return F.struct(F.concat(a["out"], F.when(skip, c).otherwise(cased(c, own))).alias("out"), (a["at"] + F.when(skip, 0).otherwise(1)).alias("at"))
 
     def whole(a: Column) -> Column:
         return F.concat(a["out"], F.substring(form, a["at"], F.length(form)))
 
-    shaped = F.aggregate(F.slice(F.split(rest, "", -1), 1, F.length(rest)), start, step, whole)
+    letters = F.slice(F.split(rest, "", -1), 1, F.length(rest))
+    # Separators occur in kinds of bounded length only; the others, of any length, go letter by letter.
+    spaced = F.aggregate(letters, start, step, whole)
+    plain = F.array_join(F.zip_with(letters, F.slice(F.split(form, "", -1), 1, F.length(form)), cased), "")
+    shaped = F.when(digit_kind | (kind == "iban"), spaced).otherwise(plain)
     return F.concat(head, F.when(kind == "ip", form).otherwise(shaped))
 
 

@@ -81,6 +81,23 @@ def test_every_entity_gets_a_surrogate(spark):
     assert re.fullmatch(r"password: [一-鿿]{9,}", new[5]) and re.fullmatch(r"password: [α-ω]{10,}", new[6])
 
 
+def test_secrets_of_any_length_and_label(spark):
+    rnd = np.random.default_rng(4)
+    long, wide = ("".join(rnd.choice(list("abcdefghijkmnopqrstuvwxyz0123456789-_."), n)) for n in (1000, 40_000))
+    hexes = "".join(rnd.choice(list("0123456789abcdef"), 1024))
+    lines = [f"token={long} end", f"key {hexes} end", "access_token = hunter2hunter2", "DB_PASSWORD=correct.horse.9", "client_secret='s3cr3t-of-all'", f"secret: {wide}"]
+    rows = surrogates.with_surrogates(frame(spark, list(enumerate(lines))), "key", count="n").collect()
+    for r in rows:
+        old = lines[r["doc_id"]]
+        assert r["n"] == 1 and len(r["text"]) == len(old)
+        at = max(old.find("=") + 1, old.find("key ") + 4 if old.startswith("key") else 0, old.find(": ") + 2 if ": " in old else 0)
+        assert r["text"][:at] == old[:at]
+        same = sum(a == b for a, b in zip(old[at:], r["text"][at:], strict=True))
+        assert same < 0.6 * len(old[at:]) and old[-12:].replace(" end", "") not in r["text"]
+    by = {r["doc_id"]: r["text"] for r in rows}
+    assert re.fullmatch("key [0-9a-f]{1024} end", by[1]) and by[1][4:324] != by[1][324:644]
+
+
 def test_exact_top(spark):
     rnd = np.random.default_rng(2)
     for n, d, high, k in ((100, 5, 4, 7), (700, 16, 70, 20), (9, 4, 30, 20), (1, 3, 5, 3)):
