@@ -167,3 +167,26 @@ def test_near_copies(spark, changed, same):
     ids = sorted((r["doc_id"] for r in got.collect()), key=repr)
     assert ids == sorted([2, *([] if same else [4]), 11, None, *range(20, 30)], key=repr)
     assert got.columns == ["doc_id", "text", "n_lines", "_doc"]
+
+
+def test_near_copies_on_both_sides_of_the_threshold(spark):
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for k in range(120):
+        # The second text goes on where the first ends: 4/5 of all shingles are shared, or one less.
+        n, near = 9 * rnd.randint(5, 60), k % 2 == 0
+        extra = 2 * n // 9
+        words = [f"k{k}w{i}" for i in range(n + extra)]
+        first, second = words[:n], words[extra // 2 :][: n + (0 if near else 1)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (first, second))
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+        alike = len(a & b) / len(a | b) >= 0.8
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (not alike)}
+    # Shared runs of exactly 0.8 and just below.
+    for k, parts in ((1000, 44), (1002, 43)):
+        words = [f"e{k}w{i}" for i in range(60)]
+        rows += [(k, " ".join(words[:49])), (k + 1, " ".join(words[49 - parts : 49] + words[49 : 49 + (49 - parts)]))]
+        want |= {k: k, k + 1: k + (parts - 4 < 0.8 * (90 - parts + 4))}
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(frame(spark, rows)).collect()}
+    assert got == want and want[1001] == 1000 and want[1003] == 1003
+    assert nearcopies.near_copies(frame(spark, [])).collect() == []
