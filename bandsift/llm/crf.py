@@ -11,7 +11,8 @@ Everything else covers every row.
 
 Edge cases: a null or empty text has no words and fails the fixed rules; a document without a label
 is judged like any other; labels that lack one of the two kinds (or are missing) give a field that
-calls every line content; repeated doc_ids give a row each; an empty table gives no rows.
+calls every line content; repeated doc_ids give a row each, but one
+of them at most is fitted on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -196,11 +197,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
             batch = batch.filter(pa.array([not x.failed for x in own], pa.bool_()))
             found = [x.features()[1][:TRAIN_LINES] for x in own if not x.failed]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("good"), pa.array([f.ravel().tolist() for f in found], pa.list_(pa.float64()))], names=["good", "features"]
+                [batch.column("labelled_id"), batch.column("good"), pa.array([f.ravel().tolist() for f in found], pa.list_(pa.float64()))],
+                names=["labelled_id", "good", "features"],
             )
 
-    schema = StructType().add("good", IntegerType()).add("features", ArrayType(DoubleType()))
-    rows = own.select("good", "text").mapInArrow(features, schema).collect()
+    schema = StructType().add("labelled_id", labels.schema["doc_id"].dataType).add("good", IntegerType()).add("features", ArrayType(DoubleType()))
+    # One row for each sampled doc_id, however often documents repeat it.
+    found = own.select("labelled_id", "good", "text").mapInArrow(features, schema)
+    rows = found.groupBy("labelled_id", "good").agg(F.min("features").alias("features")).collect()
     sample = [(r["good"], np.array(r["features"]).reshape(-1, len(FEATURES))) for r in rows]
     return fit(sorted(sample, key=lambda s: (s[0], s[1].tobytes())))
 

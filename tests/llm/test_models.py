@@ -199,6 +199,15 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_fit_takes_one_row_of_each_document(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(crf, "fit", lambda sample: taken.append(len(sample)))
+    words = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(5)]
+    df = frame(spark, [(1, words[0])] * 40 + [(1, words[1])] * 3 + [(i, w) for i, w in enumerate(words[2:], 2)])
+    crf.fitted(df, ready(spark).createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
+    assert taken == [3]
+
+
 def test_pipeline(spark):
     rnd = random.Random(6)
     words = [f"wor{i}" for i in range(500)]
