@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from bandsift.llm import lines, nearcopies, sais, simhash, suffix
 from bandsift.llm.common import ready
@@ -71,6 +72,18 @@ def test_suffix_dedup(spark):
     assert suffix.remove_repeats(frame(spark, []), 50).collect() == []
 
 
+def test_segments_longer_than_an_array(spark):
+    long = "".join(random.Random(9).choice("abcdef") for _ in range(90))
+    rows = [(i, f"{long[i:]}{c * 900}{i}") for i, c in enumerate("-- -=-=ab")]
+    sent = [bytes([65 + i]) * 400 for i in range(3)]
+    head = [np.array([3], "<i8").tobytes(), np.arange(3, dtype="<u4").tobytes(), np.arange(3, dtype="<i8").tobytes(), np.full(3, 400, "<u4").tobytes()]
+    data = head[0] + zstandard.compress(b"".join(head[1:] + sent), 1)
+    segments = ready(spark).createDataFrame([("p", 0, 1, 0, data)], "path string, at long, size long, shard int, data binary")
+    assert len(suffix.owners_found(segments, 1, 50, 100).collect()) == 1
+    got = suffix.remove_repeats(frame(spark, rows), 50, array=300).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=repr) == removed(rows, 50)
+
+
 def test_line_dedup(spark):
     long = "A line that is certainly long enough to count at all"
     rows = [(i, f"x{i}\n  {long.upper() if i % 2 else long}\t\nend") for i in range(6)]
