@@ -84,6 +84,27 @@ def test_segments_longer_than_an_array(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=repr) == removed(rows, 50)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    rnd = random.Random(5)
+    phrase, ends = "one phrase in every document", ["".join(rnd.choice("abcd") for _ in range(30)) for _ in range(12)]
+    rows = [(i, " ".join(f"{rnd.choice(ends)} {phrase} {rnd.choice(ends)}" for _ in range(3))) for i in range(60)]
+    sizes, was = [], suffix.owners_found
+
+    def seen(segments, *args):
+        for r in segments.filter("shard is not null").collect():
+            n = int(np.frombuffer(r["data"], "<i8", 1)[0])
+            raw = zstandard.decompress(r["data"][8:])
+            at = np.frombuffer(raw, "<u4", n)
+            for a in np.unique(at):
+                sizes.append(int(np.frombuffer(raw, "<u4", n, 12 * n)[at == a].sum()))
+        return was(segments, *args)
+
+    monkeypatch.setattr(suffix, "owners_found", seen)
+    got = suffix.remove_repeats(frame(spark, rows), 50, array=2000).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=repr) == removed(rows, 50)
+    assert max(sizes) <= 2000
+
+
 def test_line_dedup(spark):
     long = "A line that is certainly long enough to count at all"
     rows = [(i, f"x{i}\n  {long.upper() if i % 2 else long}\t\nend") for i in range(6)]
