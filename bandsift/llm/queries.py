@@ -83,6 +83,25 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.audit import audit
+
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), modulus=4, left_out=2)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from bandsift.llm.runs import periodic_runs
+
+    found = periodic_runs(table(spark, folder, "documents"), altered=True)
+    return found.select(*(c for c in found.columns if c != "collapsed"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -94,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
     "op10_line_quality": op10_line_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_toxicity": op12_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -130,5 +152,50 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_filter_audit": r"""
+WITH docs AS (
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), marks AS (
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+), failing AS (
+    SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+           100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+           regexp_matches(text, '[#$%&*|]') AS d,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS e,
+           coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+    FROM docs LEFT JOIN marks USING (doc_id)
+), counted AS (
+    SELECT part, [a, b, c, d, e] AS f,
+           count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM failing GROUP BY ALL
+), letter AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+    FROM letter p, letter q, letter r, letter s, letter t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), fallen AS (
+    SELECT c.*, filter_order, step, filter_order[step] AS own, f[ascii(filter_order[step]) - 64] AS fails,
+           len([i FOR i IN [1, 2, 3, 4, 5] IF i < step AND f[ascii(filter_order[i]) - 64]]) > 0 AS gone,
+           len([x FOR x IN f IF x]) = 1 AS alone
+    FROM counted c, orders, unnest([1, 2, 3, 4, 5]) AS u(step)
+), steps AS (
+    SELECT part, filter_order, step, own,
+           coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE gone AND fails), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE fails AND alone), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE NOT gone AND fails), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails), 0) AS toxic_lost
+    FROM fallen GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM steps
 """,
 }
