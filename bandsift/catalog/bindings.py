@@ -473,6 +473,48 @@ class Tables:
         query.awaitTermination()
         return self.spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
+    def out_of_order(self, name: str, time_us: str, files: int = 4) -> tuple[DataFrame, str]:
+        """A bound table as a stream of files whose rows overlap in time, and how late rows can be.
+
+        Each row goes to a file by its time plus up to half a file's width, so neighbouring files hold
+        rows of the same times, and rows within a file lie as a hash has them.
+        """
+        from pyspark.sql import functions as F
+
+        rows = getattr(self, name)
+        rows = rows.withColumn("_us", F.expr(time_us).cast("bigint")).withColumn("_hash", F.xxhash64("_us", *rows.columns[:2]))
+        low, high = rows.agg(F.min("_us"), F.max("_us")).first()
+        width = max(1, (high - low) // files + 1) if low is not None else 1
+        late = F.pmod(F.col("_hash"), F.lit(width // 2 + 1))
+        rows = rows.withColumn("_file", F.least(F.floor((F.col("_us") - F.lit(low) + late) / width), F.lit(files - 1)))
+        folder = shared_folder(self.spark, "stream-in")
+        for i in range(files):
+            one = rows.filter(F.col("_file") == i).sortWithinPartitions("_hash")
+            one.drop("_us", "_hash", "_file").write.mode("append").parquet(folder)
+        schema = getattr(self, name).schema
+        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return stream, f"{width // 1_000_000 + 1} seconds"
+
+    def drained_to_end(self, make, marks: DataFrame) -> DataFrame:
+        """Run `make(closing)` over all there is; then send the closing marks and read all results."""
+        from bandsift.streaming.buffer import on_time
+
+        folder, out = shared_folder(self.spark, "closing"), shared_folder(self.spark, "stream")
+        marks = marks.withColumn("ts", marks["ts"].cast("timestamp"))
+        marks.limit(0).write.parquet(folder)
+        for last in (False, True):
+            if last:
+                marks.write.mode("append").parquet(folder)
+            stream = make(self.spark.readStream.schema(marks.schema).parquet(folder))
+            query = (
+                stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True)
+                .format("parquet")
+                .start(f"{out}/rows")
+            )
+            query.awaitTermination()
+        return on_time(self.spark.read.schema(stream.schema).parquet(f"{out}/rows"))
+
     def drained_updates(self, stream: DataFrame, keys: list[str]) -> DataFrame:
         """As `drained`, for a stream in update mode: the last row written of each key."""
         from pyspark.sql import functions as F

@@ -14,11 +14,18 @@ from bandsift.sources import sigmf, tables, text
 from bandsift.streaming import folds, status
 
 
+def _ends(rows, keys, time):
+    """When each key is over: with its last row."""
+    return rows.groupBy(*keys).agg(F.max(time).alias("ts"))
+
+
 @query(f"WITH {FLOORS} SELECT session_id, frame_seq, round(floor_db, 6) AS floor_db FROM floors")
 def live_ema(t):
-    return t.drained(folds.live_ema(t.stream("psd_frames"))).withColumn(
-        "floor_db", F.round("floor_db", 6)
-    )
+    frames, late = t.out_of_order("psd_frames", "unix_micros(ts)")
+    ends = _ends(t.psd_frames, ["session_id"], F.col("ts"))
+    return t.drained_to_end(
+        lambda closing: folds.live_ema(frames, closing=closing, lateness=late), ends
+    ).withColumn("floor_db", F.round("floor_db", 6))
 
 
 @query()
@@ -28,7 +35,11 @@ def cluster_regions(t):
 
 @query()
 def live_clusters(t):
-    return t.drained(folds.live_clusters(t.stream("band_regions")))
+    regions, late = t.out_of_order("band_regions", "unix_micros(ts)")
+    ends = _ends(t.band_regions, ["session_id"], F.col("ts"))
+    return t.drained_to_end(
+        lambda closing: folds.live_clusters(regions, closing=closing, lateness=late), ends
+    )
 
 
 @query()
@@ -38,16 +49,30 @@ def track_regions(t):
 
 @query()
 def live_tracks(t):
-    return t.drained(folds.live_tracks(t.stream("frame_regions")))
+    """Frames of the given tables are 2048 samples at 2048 samples a second."""
+    regions, late = t.out_of_order("frame_regions", "frame_id * 1000000")
+    keys = ["session_id", "segment_start"]
+    ends = _ends(t.frame_regions, keys, F.timestamp_seconds("frame_id"))
+    return t.drained_to_end(
+        lambda closing: folds.live_tracks(
+            regions, sample_rate=2048, closing=closing, lateness=late
+        ),
+        ends,
+    )
 
 
 @query(_THROTTLE.format(gap=36_000_000_000))
 def live_throttle(t):
-    rows = t.stream("detections").withColumn("ts_us", F.unix_micros("ts"))
-    kept = folds.live_throttle(
-        rows, ["session_id", "channel_id"], "ts_us", "detection_id", 36_000_000_000
+    found, late = t.out_of_order("detections", "unix_micros(ts)")
+    keys = ["session_id", "channel_id"]
+    rows = found.withColumn("ts_us", F.unix_micros("ts"))
+    kept = t.drained_to_end(
+        lambda closing: folds.live_throttle(
+            rows, keys, "ts_us", "detection_id", 36_000_000_000, closing, late
+        ),
+        _ends(t.detections, keys, F.col("ts")),
     )
-    return t.drained(kept).drop("ts_us")
+    return kept.drop("ts_us")
 
 
 @query(
@@ -55,20 +80,49 @@ def live_throttle(t):
       CASE WHEN before <> start_sample THEN greatest(0, start_sample - before) ELSE 0 END AS missing_samples FROM segs"""
 )
 def live_gaps(t):
-    meta = acquisition.block_meta(t.stream("iq_blocks"))
-    return t.drained(folds.live_gaps(meta)).drop("sample_rate")
+    blocks, late = _slow(t)
+    ends = _ends(t.iq_blocks, ["session_id"], F.timestamp_seconds(F.col("start_sample") / _SLOW))
+    return t.drained_to_end(
+        lambda closing: folds.live_gaps(blocks, closing, late), ends
+    ).drop("sample_rate")
+
+
+#: Blocks of the given tables last microseconds; at this rate they last about as long as slots.
+_SLOW = 32
+
+
+def _slow(t):
+    blocks, late = t.out_of_order("iq_blocks", f"start_sample * 1000000 div {_SLOW}")
+    return acquisition.block_meta(blocks).withColumn("sample_rate", F.lit(_SLOW)), late
+
+
+def _live_captures(t, every=False):
+    """Every seventeenth block fires, as in the batch query."""
+    blocks, late = _slow(t)
+    fired = F.pmod(F.floor(F.col("start_sample") / 32), F.lit(17)) == 0
+    marked = blocks.withColumn("triggers", F.when(fired, F.array("start_sample")))
+    slower = 2_400_000 / _SLOW
+    return t.drained_to_end(
+        lambda closing: folds.live_captures(
+            marked, 1e-4 * slower, 2e-4 * slower, 6e-4 * slower, every, closing, late
+        ),
+        _ends(t.iq_blocks, ["session_id"], F.timestamp_seconds(F.col("start_sample") / _SLOW)),
+    )
 
 
 @query()
 def live_captures(t):
-    """Every seventeenth block fires, as in the batch query; segments follow from the
-    positions of the given blocks."""
-    blocks = acquisition.block_meta(t.stream("iq_blocks")).withColumn(
-        "segment_start", F.floor(F.col("start_sample") / 2600) * 2600
+    kept = ["session_id", "segment_start", "capture_start", "deadline", "max_end", "triggers", "capture_end"]
+    return _live_captures(t).select(*kept)
+
+
+@query()
+def live_capture_stats(t):
+    """The state after each block."""
+    found = _live_captures(t, every=True).filter("kind = 'block'")
+    return found.select(
+        "session_id", "at_sample", "pending_triggers", "captures_completed", "captures_aborted", "buffered_samples"
     )
-    fired = F.pmod(F.floor(F.col("start_sample") / 32), F.lit(17)) == 0
-    marked = blocks.withColumn("triggers", F.when(fired, F.array("start_sample")))
-    return t.drained(folds.live_captures(marked, 1e-4, 2e-4, 6e-4))
 
 
 _DECAY = """s AS (SELECT session_id, channel_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS prev, coalesce(lead(epoch_us(ts)) OVER w, {until}) AS nxt
@@ -86,24 +140,39 @@ def status_decay(t):
     )
 
 
-@query()
+@query("WITH " + _DECAY.format(until="epoch_us(TIMESTAMP '2024-02-01 00:00:00')"))
 def live_status(t):
-    return t.drained(status.live_status(t.stream("detections")))
+    found, late = t.out_of_order("detections", "unix_micros(ts)")
+    keys = ["session_id", "channel_id"]
+    until = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    ends = t.detections.select(*keys).distinct().withColumn("ts", until)
+    rows = t.drained_to_end(lambda closing: status.live_status(found, closing, late), ends)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(
-    """WITH RECURSIVE hit AS (SELECT t.session_id, t.channel_id, t.snapshot_seq, epoch_us(t.ts) AS us FROM snapshots t WHERE status = 'active' AND EXISTS (SELECT 1 FROM rules r
-        WHERE r.enabled AND (freq_lo_mhz IS NULL OR t.center_hz / 1e6 >= freq_lo_mhz) AND (freq_hi_mhz IS NULL OR t.center_hz / 1e6 <= freq_hi_mhz)
+    """WITH RECURSIVE seqs AS (SELECT session_id, snapshot_seq, lag(snapshot_seq) OVER (PARTITION BY session_id ORDER BY snapshot_seq) AS prior
+        FROM (SELECT DISTINCT session_id, snapshot_seq FROM snapshots)),
+      s AS (SELECT *, lag(status) OVER w AS was, lag(snapshot_seq) OVER w AS was_seq FROM snapshots
+        WINDOW w AS (PARTITION BY session_id, channel_id ORDER BY snapshot_seq)),
+      turned AS (SELECT s.* FROM s JOIN seqs USING (session_id, snapshot_seq) WHERE prior IS NOT NULL AND status = 'active'
+        AND NOT coalesce(was_seq = prior AND was = 'active', false)),
+      hit AS (SELECT t.session_id, t.channel_id, t.snapshot_seq, epoch_us(t.ts) AS us, arg_min(r.rule_id, r.rule_order * 1000 + r.rule_id) AS rule_id
+        FROM turned t JOIN rules r ON r.enabled AND (freq_lo_mhz IS NULL OR t.center_hz / 1e6 >= freq_lo_mhz) AND (freq_hi_mhz IS NULL OR t.center_hz / 1e6 <= freq_hi_mhz)
         AND (min_snr IS NULL OR t.snr_db >= min_snr) AND (min_confidence IS NULL OR t.confidence >= min_confidence)
-        AND (NOT require_regular_cadence OR (t.recurrence_interval_s IS NOT NULL AND t.observation_count >= 4)))),
+        AND (NOT require_regular_cadence OR (t.recurrence_interval_s IS NOT NULL AND t.observation_count >= 4)) GROUP BY ALL),
       k AS (SELECT session_id, channel_id, min(us) AS us FROM hit GROUP BY ALL UNION ALL
         SELECT k.session_id, k.channel_id, min(h.us) FROM k JOIN hit h ON h.session_id = k.session_id AND h.channel_id = k.channel_id
         AND h.us >= k.us + 86400000000 GROUP BY k.session_id, k.channel_id, k.us)
-      SELECT session_id, channel_id, snapshot_seq FROM hit JOIN k USING (session_id, channel_id, us)"""
+      SELECT session_id, channel_id, snapshot_seq, rule_id FROM hit JOIN k USING (session_id, channel_id, us)"""
 )
 def live_alerts(t):
-    turned = t.stream("snapshots").filter("status = 'active'")
-    return t.drained(status.live_alerts(turned, t.rules, 86_400)).drop("ts_us")
+    found, late = t.out_of_order("snapshots", "unix_micros(ts)")
+    ends = _ends(t.snapshots, ["session_id"], F.col("ts"))
+    rows = t.drained_to_end(
+        lambda closing: status.live_alerts(found, t.rules, 86_400, closing, late), ends
+    )
+    return rows.drop("ts_us")
 
 
 @query(

@@ -186,6 +186,25 @@ def focus_channel(
     return near.groupBy("focus_id").agg(F.max_by("channel_id", rank).alias("channel_id"))
 
 
+def rule_holds() -> Column:
+    """Whether the rule of a row holds for the channel of the row; absent bounds do not restrict."""
+    mhz = F.col("center_hz") / F.lit(1e6)
+
+    def at_least(value: Column, bound: str) -> Column:
+        return F.col(bound).isNull() | (value >= F.col(bound))
+
+    return (
+        at_least(mhz, "freq_lo_mhz")
+        & (F.col("freq_hi_mhz").isNull() | (mhz <= F.col("freq_hi_mhz")))
+        & at_least(F.col("snr_db"), "min_snr")
+        & at_least(F.col("confidence"), "min_confidence")
+        & (
+            ~F.coalesce("require_regular_cadence", F.lit(False))
+            | (F.col("recurrence_interval_s").isNotNull() & (F.col("observation_count") >= 4))
+        )
+    )
+
+
 def alert_rule_match(
     channels: DataFrame, rules: DataFrame, bucket_hz: int = 100_000
 ) -> DataFrame:
@@ -210,21 +229,7 @@ def alert_rule_match(
             F.least(F.coalesce(F.ceil(F.col("freq_hi_mhz") * 1e6) + 1, "_last"), "_last"),
         )
     )
-    mhz = F.col("center_hz") / F.lit(1e6)
-
-    def at_least(value: Column, bound: str) -> Column:
-        return F.col(bound).isNull() | (value >= F.col(bound))
-
-    hits = point_in_range(channels, bounded, "center_hz", "_low", "_high", bucket_hz).filter(
-        at_least(mhz, "freq_lo_mhz")
-        & (F.col("freq_hi_mhz").isNull() | (mhz <= F.col("freq_hi_mhz")))
-        & at_least(F.col("snr_db"), "min_snr")
-        & at_least(F.col("confidence"), "min_confidence")
-        & (
-            ~F.coalesce("require_regular_cadence", F.lit(False))
-            | (F.col("recurrence_interval_s").isNotNull() & (F.col("observation_count") >= 4))
-        )
-    )
+    hits = point_in_range(channels, bounded, "center_hz", "_low", "_high", bucket_hz).filter(rule_holds())
     return hits.groupBy("channel_id").agg(
         F.min_by("rule_id", F.struct("rule_order", "rule_id")).alias("rule_id")
     )

@@ -1,17 +1,16 @@
-"""Sequential operators as keyed state: the same folds as in batch, kept between batches."""
+"""Sequential operators as keyed state: the same folds as in batch, kept between batches.
+
+All of them stand behind the ordered buffer: results equal those of the batch form whatever way rows
+are cut into micro-batches, and rows that come too late are put out beside them (`late_us`).
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bandsift import params as P
 from bandsift.functions.arrays import frame_floor_of
@@ -22,94 +21,33 @@ from bandsift.operators.cluster import (
     ChannelFold,
 )
 from bandsift.operators.noise import check_alpha
-from bandsift.operators.ordered import Fold, columns_of
+from bandsift.operators.ordered import columns_of
 from bandsift.operators.tracks import _TRACKED_COLUMNS, TRACK_SCHEMA, TrackFold
+from bandsift.streaming.buffer import LATENESS, LiveFold, in_order
 
-_STATE = T.StructType([T.StructField("text", T.StringType())])
-
-
-def _plain(value):
-    if isinstance(value, np.generic):
-        return value.item()
-    raise TypeError(f"cannot keep {type(value)} in state")
-
-
-class FoldProcessor(StatefulProcessor):
-    """Runs a `Fold` per key. Its named attributes are kept as JSON between batches.
-
-    Rows of a micro-batch are put in order first. A row that is older than what the key
-    has already taken cannot be folded in any more; it is dropped and counted in `late`.
-    """
 
-    def __init__(
-        self,
-        start: Callable[[tuple], Fold],
-        keys: Sequence[str],
-        order: Sequence[str],
-        kept: Sequence[str],
-        schema: str,
-    ):
-        self.start, self.keys, self.order = start, list(keys), list(order)
-        self.kept = list(kept)
-        self.names = [f.name for f in T.StructType.fromDDL(schema).fields]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        fold = self.start(tuple(_native(k) for k in key))
-        held = {"seen": None, "late": 0}
-        if self.state.exists():
-            held = json.loads(self.state.get()[0])
-            for name in self.kept:
-                setattr(fold, name, held[name])
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order)
-        at = list(zip(*[batch[c].tolist() for c in self.order], strict=True))
-        if held["seen"] is not None:
-            fresh = [tuple(a) > tuple(held["seen"]) for a in at]
-            held["late"] += len(fresh) - sum(fresh)
-            batch = batch[fresh]
-        out: list[tuple] = []
-        if len(batch):
-            held["seen"] = [_native(v) for v in max(at)]
-            out = fold.step(pa.RecordBatch.from_pandas(batch, preserve_index=False))
-        for name in self.kept:
-            held[name] = getattr(fold, name)
-        self.state.update((json.dumps(held, default=_plain),))
-        yield pd.DataFrame(out, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
-def _native(value):
-    return value.item() if isinstance(value, np.generic) else value
-
-
-def _run(
-    stream: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    start: Callable[[tuple], Fold],
-    kept: Sequence[str],
-    schema: str,
-) -> DataFrame:
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        FoldProcessor(start, keys, order, kept, schema),
-        outputStructType=T.StructType.fromDDL(schema),
-        outputMode="append",
-        timeMode="none",
-    )
+def sample_time(position: str = "start_sample", rate: Column | None = None) -> Column:
+    """Event time by position: seconds of samples since the start of the session."""
+    rate = F.col("sample_rate") if rate is None else rate
+    return F.timestamp_micros((F.col(position) / rate * 1e6).cast("bigint"))
 
 
-class EmaFold(Fold):
+class EmaFold(LiveFold):
     """Smoothed floor of one session."""
 
+    STATE = "floor DOUBLE"
+
     def __init__(self, key: tuple, alpha: float):
         super().__init__(key)
         self.alpha = alpha
         self.floor: float | None = None
 
+    def saved(self) -> tuple:
+        return (self.floor,)
+
+    def restore(self, state: tuple) -> None:
+        (self.floor,) = state
+
     def step(self, rows: pa.RecordBatch) -> list[tuple]:
         out = []
         for seq, x in columns_of(rows, ["frame_seq", "x"]):
@@ -120,34 +58,63 @@ class EmaFold(Fold):
         return out
 
 
-def live_ema(frames: DataFrame, alpha: float = P.FLOOR_ALPHA) -> DataFrame:
-    """Streaming `ema_floor`."""
+def live_ema(
+    frames: DataFrame,
+    alpha: float = P.FLOOR_ALPHA,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Streaming `ema_floor`; `ts` is the event time."""
     alpha = check_alpha(alpha)
     floors = frames.select(
-        "session_id", "frame_seq", frame_floor_of(F.col("power_db")).alias("x")
+        "session_id", "frame_seq", "ts", frame_floor_of(F.col("power_db")).alias("x")
     )
-    return _run(
+    return in_order(
         floors,
         ["session_id"],
         ["frame_seq"],
+        F.col("ts"),
         lambda key: EmaFold(key, alpha),
-        ["floor"],
         "session_id BIGINT, frame_seq BIGINT, floor_db DOUBLE",
+        closing,
+        lateness,
     )
 
 
-def live_clusters(regions: DataFrame, proximity_hz: int = P.PROXIMITY_HZ) -> DataFrame:
+class LiveChannelFold(ChannelFold, LiveFold):
+    """Channels as rows of the state."""
+
+    STATE = (
+        "channels ARRAY<STRUCT<born_seq BIGINT, born_hz BIGINT, first_us BIGINT, center BIGINT, "
+        "width BIGINT, current DOUBLE, peak DOUBLE, avg DOUBLE, snr DOUBLE, n BIGINT>>"
+    )
+
+    def saved(self) -> tuple:
+        return ([(*s[self.BORN], *s[self.FIRST :]) for s in self.channels],)
+
+    def restore(self, state: tuple) -> None:
+        self.channels = [[(seq, hz), *rest] for seq, hz, *rest in state[0]]
+
+
+def live_clusters(
+    regions: DataFrame,
+    proximity_hz: int = P.PROXIMITY_HZ,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
+) -> DataFrame:
     """Streaming `cluster_regions`: each region with its channel's state after it."""
     slim = regions.withColumn("ts_us", F.unix_micros("ts")).select(
         "session_id", *_REGION_COLUMNS
     )
-    out = _run(
+    out = in_order(
         slim,
         ["session_id"],
         ["frame_seq", "center_hz"],
-        lambda key: ChannelFold(key, proximity_hz),
-        ["channels"],
+        F.timestamp_micros("ts_us"),
+        lambda key: LiveChannelFold(key, proximity_hz),
         ASSIGNED_SCHEMA,
+        closing,
+        lateness,
     )
     return (
         out.withColumn("ts", F.timestamp_micros("ts_us"))
@@ -156,58 +123,109 @@ def live_clusters(regions: DataFrame, proximity_hz: int = P.PROXIMITY_HZ) -> Dat
     )
 
 
-class LiveTrackFold(TrackFold):
-    """As in batch, but the frame at hand may go on in the next micro-batch."""
+class LiveTrackFold(TrackFold, LiveFold):
+    """As in batch, but the frame at hand may go on with the next rows."""
 
-    def step(self, rows: pa.RecordBatch) -> list[tuple]:
-        if self.frame is not None:
-            self.frame = tuple(self.frame)
-        self.pending = [tuple(p) for p in self.pending]
-        return super().step(rows)
+    TRACK = (
+        "start_frame", "start_sample", "first_hz", "peak_db", "peak_snr_db", "above_frames", "centers",
+        "widths", "center_hz", "last_frame", "last_frame_start",
+    )
+    STATE = (
+        "tracks ARRAY<STRUCT<start_frame BIGINT, start_sample BIGINT, first_hz DOUBLE, peak_db DOUBLE, "
+        "peak_snr_db DOUBLE, above_frames BIGINT, centers ARRAY<DOUBLE>, widths ARRAY<DOUBLE>, "
+        "center_hz DOUBLE, last_frame BIGINT, last_frame_start BIGINT>>, "
+        "frame STRUCT<id BIGINT, start BIGINT>, "
+        "pending ARRAY<STRUCT<center DOUBLE, peak DOUBLE, snr DOUBLE, width DOUBLE>>"
+    )
+
+    def saved(self) -> tuple:
+        return [tuple(t[c] for c in self.TRACK) for t in self.tracks], self.frame, self.pending
+
+    def restore(self, state: tuple) -> None:
+        tracks, self.frame, self.pending = state
+        self.tracks = [dict(zip(self.TRACK, t, strict=True)) for t in tracks]
+
+    def finish(self) -> list[tuple]:
+        out = super().finish()
+        self.tracks, self.frame = [], None
+        return out
 
 
 def live_tracks(
     regions: DataFrame,
     association_hz: int = P.ASSOCIATION_HZ,
     holdoff: int = P.HOLDOFF_FRAMES,
+    sample_rate: int = 2_400_000,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Streaming `track_regions`. A track is emitted once a later frame shows that it has
-    closed, so it waits for the next region of its segment."""
-    return _run(
+    closed, or when its segment is over."""
+    return in_order(
         regions.select("session_id", "segment_start", *_TRACKED_COLUMNS),
         ["session_id", "segment_start"],
         ["frame_id", "center_hz"],
+        sample_time("frame_start", F.lit(sample_rate)),
         lambda key: LiveTrackFold(key, association_hz, holdoff),
-        ["tracks", "frame", "pending"],
         TRACK_SCHEMA,
+        closing,
+        lateness,
     )
 
 
+class LiveThrottleFold(ThrottleFold, LiveFold):
+    STATE = "last BIGINT"
+
+    def saved(self) -> tuple:
+        return (self.last,)
+
+    def restore(self, state: tuple) -> None:
+        (self.last,) = state
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        return [(*self.key, *row) for row in super().step(rows)]
+
+
 def live_throttle(
-    rows: DataFrame, keys: Sequence[str], time_us: str, id_col: str, interval_us: int
+    rows: DataFrame,
+    keys: Sequence[str],
+    time_us: str,
+    id_col: str,
+    interval_us: int,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Streaming `throttle`: keys, time and id of the kept rows."""
     slim = rows.select(*keys, time_us, id_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    names = [f.name for f in slim.schema.fields]
-    return _run(
+    return in_order(
         slim,
         keys,
         [time_us, id_col],
-        lambda key: ThrottleFold(key, names, interval_us),
-        ["last"],
+        F.timestamp_micros(time_us),
+        lambda key: LiveThrottleFold(key, [time_us, id_col], interval_us),
         schema,
+        closing,
+        lateness,
     )
 
 
-class GapFold(Fold):
+class GapFold(LiveFold):
     """End of the last block and start of the gap-free segment of one session."""
 
+    STATE = "end BIGINT, segment BIGINT"
+
     def __init__(self, key: tuple):
         super().__init__(key)
         self.end: int | None = None
         self.segment: int | None = None
 
+    def saved(self) -> tuple:
+        return self.end, self.segment
+
+    def restore(self, state: tuple) -> None:
+        self.end, self.segment = state
+
     def step(self, rows: pa.RecordBatch) -> list[tuple]:
         out = []
         for start, end, rate in columns_of(rows, ["start_sample", "end_sample", "sample_rate"]):
@@ -220,54 +238,108 @@ class GapFold(Fold):
         return out
 
 
-def live_gaps(meta: DataFrame) -> DataFrame:
+def live_gaps(
+    meta: DataFrame, closing: DataFrame | None = None, lateness: str = LATENESS
+) -> DataFrame:
     """Streaming `gap_detect` over block metadata."""
-    return _run(
+    return in_order(
         meta.select("session_id", "start_sample", "end_sample", "sample_rate"),
         ["session_id"],
         ["start_sample"],
+        sample_time(),
         GapFold,
-        ["end", "segment"],
         "session_id BIGINT, start_sample BIGINT, end_sample BIGINT, sample_rate INT, "
         "segment_start BIGINT, is_gap BOOLEAN, missing_samples BIGINT",
+        closing,
+        lateness,
     )
 
 
-class LiveCaptureFold(Fold):
-    """Pending capture of one session, moved on by every block."""
+#: What a block of samples does to the capture at hand; `finished`, `aborted` and `ended` close it.
+CAPTURE_SCHEMA = (
+    "session_id BIGINT, segment_start BIGINT, sample_rate INT, capture_start BIGINT, "
+    "deadline BIGINT, max_end BIGINT, triggers ARRAY<BIGINT>, capture_end BIGINT, kind STRING, "
+    "at_sample BIGINT, pending_triggers INT, captures_completed BIGINT, captures_aborted BIGINT, "
+    "buffered_samples BIGINT"
+)
+
 
-    def __init__(self, key: tuple, pre_s: float, post_s: float, max_s: float):
+class LiveCaptureFold(LiveFold):
+    """The capture state of one session: what is buffered, what is pending, what has ended.
+
+    Blocks carry the ids of the triggers that fired in them. A trigger opens a capture that reaches
+    back `pre_s` within the segment, or moves the deadline of the pending one, at most to `max_s`. The
+    first block that reaches the deadline finishes it; a gap or a retune aborts it. With `every`, a block that
+    changes nothing reports the state as well.
+    """
+
+    STATE = (
+        "pending STRUCT<segment BIGINT, rate INT, start BIGINT, deadline BIGINT, max_end BIGINT, triggers ARRAY<BIGINT>>, "
+        "segment BIGINT, end BIGINT, center BIGINT, rate INT, completed BIGINT, aborted BIGINT"
+    )
+    PENDING = ("segment", "rate", "start", "deadline", "max_end", "triggers")
+
+    def __init__(self, key: tuple, pre_s: float, post_s: float, max_s: float, every: bool = False):
         super().__init__(key)
         self.seconds = (pre_s, post_s, max_s)
+        self.every = every
         self.pending: dict | None = None
+        self.segment = self.end = self.center = self.rate = None
+        self.completed = self.aborted = 0
+
+    def saved(self) -> tuple:
+        pending = self.pending and tuple(self.pending[c] for c in self.PENDING)
+        return pending, self.segment, self.end, self.center, self.rate, self.completed, self.aborted
+
+    def restore(self, state: tuple) -> None:
+        pending, self.segment, self.end, self.center, self.rate, self.completed, self.aborted = state
+        self.pending = pending and dict(zip(self.PENDING, pending, strict=True))
+
+    def samples(self, rate: int) -> tuple[int, ...]:
+        return tuple(max(1, int(rate * s)) for s in self.seconds)
 
     def step(self, rows: pa.RecordBatch) -> list[tuple]:
         out = []
-        names = ["segment_start", "start_sample", "end_sample", "sample_rate", "triggers"]
-        for segment, start, end, rate, triggers in columns_of(rows, names):
-            if self.pending and self.pending["segment"] != segment:
-                out.append(self.row(None))
+        names = ["start_sample", "end_sample", "center_hz", "sample_rate", "triggers"]
+        for start, end, center, rate, triggers in columns_of(rows, names):
+            if (start, center, rate) != (self.end, self.center, self.rate):
+                if self.pending:
+                    out.append(self.closed("aborted", None))
+                self.segment = start
+            self.end, self.center, self.rate = end, center, rate
+            pre, post, most = self.samples(rate)
             for trigger in triggers or []:
-                pre, post, most = (max(1, int(rate * s)) for s in self.seconds)
                 if self.pending is None:
-                    first = max(segment, end - pre)
-                    self.pending = {
-                        "segment": segment, "rate": rate, "start": first,
-                        "deadline": end + post, "max_end": first + most, "triggers": [],
-                    }
+                    first = max(self.segment, end - pre)
+                    found = (self.segment, rate, first, end + post, first + most, [])
+                    self.pending = dict(zip(self.PENDING, found, strict=True))
                 else:
                     self.pending["deadline"] = min(self.pending["max_end"], end + post)
                 self.pending["triggers"].append(trigger)
             if self.pending and end >= self.pending["deadline"]:
-                out.append(self.row(min(end, self.pending["max_end"])))
+                out.append(self.closed("finished", min(end, self.pending["max_end"])))
+            elif self.every:
+                out.append(self.report("block"))
         return out
 
-    def row(self, end: int | None) -> tuple:
+    def finish(self) -> list[tuple]:
+        """The session is over: what is still pending will never reach its deadline."""
+        return [self.closed("ended", None)] if self.pending else []
+
+    def closed(self, kind: str, end: int | None) -> tuple:
         p, self.pending = self.pending, None
-        return (
-            self.key[0], p["segment"], p["rate"], p["start"], p["deadline"], p["max_end"],
-            p["triggers"], end,
-        )
+        self.completed += kind == "finished"
+        self.aborted += kind == "aborted"
+        own = (p["segment"], p["rate"], p["start"], p["deadline"], p["max_end"], p["triggers"], end)
+        return (self.key[0], *own, kind, *self.state())
+
+    def report(self, kind: str) -> tuple:
+        return (self.key[0], self.segment, self.rate, None, None, None, None, None, kind, *self.state())
+
+    def state(self) -> tuple:
+        pending = len(self.pending["triggers"]) if self.pending else 0
+        buffered = min(self.end - self.segment, self.samples(self.rate)[0])
+        return self.end, pending, self.completed, self.aborted, buffered
 
 
 def live_captures(
@@ -275,22 +347,25 @@ def live_captures(
     pre_s: float = P.PRE_TRIGGER_S,
     post_s: float = P.POST_TRIGGER_S,
     max_s: float = P.MAX_CAPTURE_S,
+    every: bool = False,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Streaming capture windows: finished ones, and aborted ones with a null end.
 
-    `blocks` is segmented block metadata with the ids of the triggers that fired in each
-    block. Samples are joined to finished windows from the stored blocks, so state holds
+    `blocks` is block metadata with the ids of the triggers that fired in each block; gaps are found
+    from the positions. Samples are joined to finished windows from the stored blocks, so state holds
     positions only.
     """
-    return _run(
+    return in_order(
         blocks.select(
-            "session_id", "segment_start", "start_sample", "end_sample", "sample_rate", "triggers"
+            "session_id", "start_sample", "end_sample", "center_hz", "sample_rate", "triggers"
         ),
         ["session_id"],
         ["start_sample"],
-        lambda key: LiveCaptureFold(key, pre_s, post_s, max_s),
-        ["pending"],
-        "session_id BIGINT, segment_start BIGINT, sample_rate INT, capture_start BIGINT, "
-        "deadline BIGINT, max_end BIGINT, triggers ARRAY<BIGINT>, capture_end BIGINT",
+        sample_time(),
+        lambda key: LiveCaptureFold(key, pre_s, post_s, max_s, every),
+        CAPTURE_SCHEMA,
+        closing,
+        lateness,
     )
-

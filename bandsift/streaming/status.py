@@ -2,128 +2,188 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bandsift import params as P
 from bandsift.operators.maintenance import latest_only
 from bandsift.operators.occupancy import band_cells
-from bandsift.streaming.folds import live_throttle
+from bandsift.operators.ordered import columns_of
+from bandsift.operators.ranges import rule_holds
+from bandsift.streaming.buffer import LATENESS, LiveFold, in_order
+
+STATUS_SCHEMA = "session_id BIGINT, channel_id BIGINT, at_us BIGINT, status STRING"
+
+#: What follows a sighting, and after how long (us).
+DECAY = [("recently_active", int(P.ACTIVE_AGE_S * 1e6)), ("inactive", int(P.RECENT_AGE_S * 1e6))]
+
 
-STATUS_SCHEMA = "session_id BIGINT, channel_id BIGINT, ts TIMESTAMP, status STRING"
-_ACTIVE_MS = int(P.ACTIVE_AGE_S * 1000)
-_RECENT_MS = int(P.RECENT_AGE_S * 1000)
+class StatusFold(LiveFold):
+    """Last sighting of a channel, and how many steps of decay it has gone through since."""
 
+    STATE = "last BIGINT, steps INT"
 
-class StatusProcessor(StatefulProcessor):
-    """Last sighting and status of a channel; timers let the status decay."""
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.last: int | None = None
+        self.steps = 0
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "status",
-            T.StructType(
-                [T.StructField("last_ms", T.LongType()), T.StructField("status", T.StringType())]
-            ),
-        )
+    def saved(self) -> tuple:
+        return self.last, self.steps
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        last, status = self.state.get() if self.state.exists() else (None, None)
+    def restore(self, state: tuple) -> None:
+        self.last, self.steps = state
+
+    def due(self) -> int | None:
+        left = DECAY[self.steps :] if self.last is not None else []
+        return self.last + left[0][1] if left else None
+
+    def advance(self, now_us: int) -> list[tuple]:
         out = []
-        for ts in pd.concat(list(rows))["ts"].sort_values():
-            now = int(ts.timestamp() * 1000)
-            if last is not None and now <= last:
-                continue
-            if last is not None:
-                out += self._decay(key, last, status, now)
-                status = out[-1][3] if out else status
-            if status != "active":
-                out.append((*key, ts, "active"))
-                status = "active"
-            last = now
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + _ACTIVE_MS)
-        self.handle.registerTimer(last + _RECENT_MS)
-        self.state.update((last, status))
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last, status = self.state.get()
-        out = self._decay(key, last, status, expiredTimerInfo.getExpiryTimeInMs() + 1)
-        if out:
-            self.state.update((last, out[-1][3]))
-        yield _frame(out)
-
-    def _decay(self, key, last: int, status: str, now: int) -> list[tuple]:
-        """Changes between the last sighting and `now`."""
+        while (due := self.due()) is not None and due < now_us:
+            out.append((*self.key, due, DECAY[self.steps][0]))
+            self.steps += 1
+        return out
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
         out = []
-        steps = ((_ACTIVE_MS, "recently_active"), (_RECENT_MS, "inactive"))
-        done = {"active": 0, "recently_active": 1, "inactive": 2}[status]
-        for after, name in steps[done:]:
-            if now - last > after:
-                out.append((*key, _stamp(last + after), name))
+        for (at,) in columns_of(rows, ["us"]):
+            out += self.advance(at)
+            if self.last is None or self.steps:
+                out.append((*self.key, at, "active"))
+            self.last, self.steps = at, 0
         return out
 
-    def close(self) -> None:
-        pass
+
+def live_status(
+    sightings: DataFrame, closing: DataFrame | None = None, lateness: str = LATENESS
+) -> DataFrame:
+    """Streaming `status_decay` of sightings (session_id, channel_id, detection_id, ts).
+
+    A channel that falls silent decays by timers; `closing` gives the time up to which it does.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    out = in_order(
+        sightings.select("session_id", "channel_id", us.alias("us"), "detection_id"),
+        ["session_id", "channel_id"],
+        ["us", "detection_id"],
+        F.timestamp_micros("us"),
+        StatusFold,
+        STATUS_SCHEMA,
+        closing,
+        lateness,
+    )
+    return out.withColumn("ts", F.timestamp_micros("at_us")).drop("at_us")
 
 
-def _stamp(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+#: Stands for no rule, behind all others.
+_LAST = (1 << 63) - 1
 
+ALERT_SCHEMA = "session_id BIGINT, channel_id BIGINT, ts_us BIGINT, snapshot_seq BIGINT, rule_id BIGINT"
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["session_id", "channel_id", "ts", "status"])
-    out["ts"] = pd.to_datetime(out["ts"])
-    return out
 
+class AlertFold(LiveFold):
+    """Status of the channels of one session in its last snapshot, and when each last gave an alert.
 
-def live_status(sightings: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Status changes of channels from their sightings (session_id, channel_id, ts)."""
-    return (
-        sightings.select("session_id", "channel_id", "ts")
-        .withWatermark("ts", lateness)
-        .groupBy("session_id", "channel_id")
-        .transformWithStateInPandas(
-            StatusProcessor(),
-            outputStructType=T.StructType.fromDDL(STATUS_SCHEMA),
-            outputMode="append",
-            timeMode="eventTime",
-        )
+    Rows come in order of snapshots. The first snapshot sets the baseline. A channel that the snapshot
+    before didn't have counts as new, whatever it was earlier; so channels that are absent are forgotten
+    with the next snapshot, and an alert is forgotten once it can't hold back another.
+    """
+
+    STATE = (
+        "seq BIGINT, before BIGINT, active ARRAY<BIGINT>, was_active ARRAY<BIGINT>, "
+        "alerts ARRAY<STRUCT<channel_id BIGINT, ts_us BIGINT>>, place STRUCT<seq BIGINT, channel_id BIGINT>"
+    )
+
+    def __init__(self, key: tuple, interval_us: int):
+        super().__init__(key)
+        self.interval_us = interval_us
+        self.seq: int | None = None
+        self.before: int | None = None
+        self.active: set[int] = set()
+        self.was_active: set[int] = set()
+        self.alerts: dict[int, int] = {}
+        self.place: tuple | None = None
+
+    def saved(self) -> tuple:
+        return self.seq, self.before, sorted(self.active), sorted(self.was_active), sorted(self.alerts.items()), self.place
+
+    def restore(self, state: tuple) -> None:
+        self.seq, self.before, active, was_active, alerts, self.place = state
+        self.active, self.was_active, self.alerts = set(active), set(was_active), dict(alerts)
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        out = []
+        names = ["snapshot_seq", "channel_id", "ts_us", "status", "rule_id"]
+        for seq, channel, now, status, rule in columns_of(rows, names):
+            if (seq, channel) == self.place:
+                continue  # only the first rule counts
+            self.place = (seq, channel)
+            if seq != self.seq:
+                self.before, self.seq = self.seq, seq
+                self.was_active, self.active = self.active, set()
+                self.alerts = {c: t for c, t in self.alerts.items() if now - t < self.interval_us}
+            if status != "active":
+                continue
+            self.active.add(channel)
+            fresh = self.before is not None and channel not in self.was_active
+            due = self.alerts.get(channel, now - self.interval_us) + self.interval_us
+            if fresh and rule != _LAST and now >= due:
+                self.alerts[channel] = now
+                out.append((self.key[0], channel, now, seq, rule))
+        return out
+
+
+def with_rules(rows: DataFrame, rules: DataFrame, bucket_hz: int = 100_000, most_buckets: int = 64) -> DataFrame:
+    """Each row (of a stream or not) with every enabled rule that it satisfies, at least once without.
+
+    Rules meet rows by buckets of frequency, and those without both bounds, or wide ones, in one bucket
+    for all; a row looks into both. So this is an equi join whatever the number of rules.
+    """
+    everywhere = F.lit(-1).cast("bigint")
+    low, high = (F.floor(F.col(c) * 1e6 / bucket_hz) for c in ("freq_lo_mhz", "freq_hi_mhz"))
+    bounded = F.col("freq_lo_mhz").isNotNull() & F.col("freq_hi_mhz").isNotNull()
+    buckets = (
+        F.when(bounded & (high < low), F.array().cast("array<bigint>"))
+        .when(bounded & (high - low < most_buckets), F.sequence(low, high))
+        .otherwise(F.array(everywhere))
     )
+    spread = rules.filter("enabled").withColumn("_at", F.explode(buckets)).drop("enabled")
+    own = rows.withColumn("_bucket", F.explode(F.array(F.floor(F.col("center_hz") / bucket_hz), everywhere)))
+    return own.join(spread, (F.col("_bucket") == F.col("_at")) & rule_holds(), "left").drop("_bucket", "_at")
 
 
 def live_alerts(
-    turned_active: DataFrame, rules: DataFrame, debounce_s: int = 60
+    snapshots: DataFrame,
+    rules: DataFrame,
+    debounce_s: int = 60,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
 ) -> DataFrame:
-    """Alerts from a stream of activations that satisfy a rule, at most one per interval.
+    """Streaming `activation_alerts`: channels that turned active and satisfy a rule, with the rule.
 
-    Rules are few conditions on one row, so each is tested by a stream-static join with
-    no state; only the debounce keeps state.
+    `snapshots` has a row for each channel of a snapshot. Rules are tested on each row by a join with
+    no state; baseline, transitions and the debounce are state.
     """
-    mhz = F.col("center_hz") / F.lit(1e6)
-    hit = (
-        F.col("enabled")
-        & (F.col("freq_lo_mhz").isNull() | (mhz >= F.col("freq_lo_mhz")))
-        & (F.col("freq_hi_mhz").isNull() | (mhz <= F.col("freq_hi_mhz")))
-        & (F.col("min_snr").isNull() | (F.col("snr_db") >= F.col("min_snr")))
-        & (F.col("min_confidence").isNull() | (F.col("confidence") >= F.col("min_confidence")))
-        & (
-            ~F.coalesce("require_regular_cadence", F.lit(False))
-            | (F.col("recurrence_interval_s").isNotNull() & (F.col("observation_count") >= 4))
-        )
-    )
-    matched = turned_active.join(rules, hit, "left_semi").withColumn(
-        "ts_us", F.unix_micros("ts")
+    slim = with_rules(snapshots, rules).select(
+        "session_id",
+        "snapshot_seq",
+        "channel_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        "status",
+        F.coalesce("rule_order", F.lit(_LAST)).alias("rule_order"),
+        F.coalesce("rule_id", F.lit(_LAST)).alias("rule_id"),
     )
-    return live_throttle(
-        matched, ["session_id", "channel_id"], "ts_us", "snapshot_seq", debounce_s * 1_000_000
+    return in_order(
+        slim,
+        ["session_id"],
+        ["snapshot_seq", "channel_id", "rule_order", "rule_id"],
+        F.timestamp_micros("ts_us"),
+        lambda key: AlertFold(key, debounce_s * 1_000_000),
+        ALERT_SCHEMA,
+        closing,
+        lateness,
     )
 
 

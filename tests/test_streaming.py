@@ -3,49 +3,79 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bandsift.operators import acquisition, cluster, noise, timing, tracks
+from bandsift.operators import acquisition, capture, cluster, maintenance, noise, timing, tracks
+from bandsift.operators.ordered import number_chunk
 from bandsift.sources import sigmf, tables, text
-from bandsift.streaming import folds, status
+from bandsift.streaming import buffer, folds, status
 
 
-@pytest.fixture
-def drain(spark, tmp_path):
-    def run(df, order, make, files=4):
-        """Write `df` as ordered files, stream one file per micro-batch through `make`."""
-        src, out = str(tmp_path / "in"), str(tmp_path / "out")
-        bounds = df.approxQuantile(order, [i / files for i in range(1, files)], 0.0)
-        part = sum(((F.col(order) > b).cast("int") for b in bounds), F.lit(0))
+class Drained:
+    """Streams `df` file by file through `make(stream, closing)`, then closes all keys.
+
+    `time` is event time. Rows go to files by their time plus up to `overlap` seconds, and lie in a
+    file in random order.
+    """
+
+    def __init__(self, spark, folder):
+        self.spark = spark
+        self.src, self.marks, self.out, self.checkpoint = (str(folder / x) for x in ("in", "marks", "out", "ck"))
+
+    def __call__(self, df, time, make, keys, until=None, files=4, overlap=0.0, seed=1):
+        rng = np.random.default_rng(seed)
+        rows = df.withColumn("_t", time.cast("timestamp").cast("double")).collect()
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+        place = np.array([r["_t"] for r in rows]) + rng.random(len(rows)) * overlap
+        part = np.searchsorted(np.quantile(place, [i / files for i in range(1, files)]), place)
         for i in range(files):
-            df.filter(part == i).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        made = make(stream)
-        query = (
-            made.writeStream.option("checkpointLocation", str(tmp_path / "ck"))
-            .trigger(availableNow=True).format("parquet").start(out)
-        )
-        query.awaitTermination()
-        return spark.read.schema(made.schema).parquet(out)
+            own = [tuple(r)[:-1] for r, p in zip(rows, part, strict=True) if p == i]
+            self.spark.createDataFrame(own, df.schema).coalesce(1).write.mode("append").parquet(self.src)
+        end = F.max(time) if until is None else F.max(until)
+        ends = df.groupBy(*keys).agg(end.cast("timestamp").alias("ts"))
+        ends.limit(0).write.parquet(self.marks)
+        for last in (False, True):
+            if last:
+                ends.coalesce(1).write.mode("append").parquet(self.marks)
+            stream = self.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(self.src)
+            made = make(stream, self.spark.readStream.schema(ends.schema).parquet(self.marks))
+            buffer.write_sides(made, keys, self.out, self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+        kinds = [f for f in made.schema.fields if f.name != buffer.LATE]
+        return self.spark.read.schema(T.StructType(kinds)).parquet(f"{self.out}/results/batch=*")
 
-    return run
+    def late(self):
+        return self.spark.read.parquet(f"{self.out}/late/batch=*")
+
+
+@pytest.fixture
+def drain(spark, tmp_path):
+    return Drained(spark, tmp_path)
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=lambda r: [(v is not None, v) for v in r])
+
 
+#: Streams whose files overlap by 20 seconds and wait 30 for rows.
+SHUFFLED = {"overlap": 20.0, "files": 5}
+WAIT = "30 seconds"
 
-def frames(spark, n=40):
+
+def frames(spark, n=60):
     rng = np.random.default_rng(2)
     rows = [(s, i, [float(v) for v in rng.normal(-60, 5, 8)]) for s in (1, 2) for i in range(n)]
-    return spark.createDataFrame(rows, "session_id bigint, frame_seq bigint, power_db array<double>")
+    df = spark.createDataFrame(rows, "session_id bigint, frame_seq bigint, power_db array<double>")
+    return df.withColumn("ts", F.timestamp_seconds(F.col("frame_seq") * 2))
 
 
-def test_ema(spark, drain):
+def test_ema_of_shuffled_files(spark, drain):
     df = frames(spark)
-    got = rows_of(drain(df, "frame_seq", folds.live_ema))
+    got = drain(df, F.col("ts"), lambda s, c: folds.live_ema(s, closing=c, lateness=WAIT), ["session_id"], **SHUFFLED)
     want = rows_of(noise.ema_floor(df))
+    got = rows_of(got)
     assert [r[1:] for r in got] == [r[1:] for r in want]
     assert [r[0] for r in got] == pytest.approx([r[0] for r in want])
+    assert drain.late().count() == 0
 
 
 def regions(spark, n=200):
@@ -57,15 +87,19 @@ def regions(spark, n=200):
     ]
     return spark.createDataFrame(
         rows, "session_id bigint, frame_seq bigint, center_hz bigint, bandwidth_hz bigint, peak_power_db double, avg_power_db double, snr_db double"
-    ).withColumn("ts", F.timestamp_micros(F.col("frame_seq") * 100_000))
+    ).withColumn("ts", F.timestamp_micros(F.col("frame_seq") * 700_000))
 
 
-def test_clusters(spark, drain):
+@pytest.mark.parametrize("files, seed", [(1, 1), (3, 2), (7, 3)])
+def test_clusters_of_any_cut(spark, drain, files, seed):
     df = regions(spark)
-    assert rows_of(drain(df, "frame_seq", folds.live_clusters)) == rows_of(cluster.cluster_regions(df))
+    make = lambda s, c: folds.live_clusters(s, closing=c, lateness=WAIT)
+    got = drain(df, F.col("ts"), make, ["session_id"], files=files, overlap=20.0, seed=seed)
+    assert rows_of(got) == rows_of(cluster.cluster_regions(df))
 
 
-def test_tracks_wait_for_a_later_frame(spark, drain):
+def test_tracks_are_all_there(spark, drain):
+    """Tracks still open when the segment is over come with the closing mark."""
     rng = np.random.default_rng(4)
     rows = [
         (1, 0, f, f * 2048, 868e6 + float(rng.integers(0, 4)) * 20_000 + float(rng.integers(-4000, 4000)), -20.0, 20.0, 4687.5)
@@ -75,35 +109,116 @@ def test_tracks_wait_for_a_later_frame(spark, drain):
         list({(r[2], r[4]): r for r in rows}.values()),
         "session_id bigint, segment_start bigint, frame_id bigint, frame_start bigint, center_hz double, peak_db double, peak_snr_db double, width_hz double",
     )
-    last = df.agg(F.max("frame_id")).first()[0]
-    want = tracks.track_regions(df).filter(F.col("close_frame") < last)
-    assert rows_of(drain(df, "frame_id", folds.live_tracks)) == rows_of(want)
+    make = lambda s, c: folds.live_tracks(s, sample_rate=4096, closing=c, lateness=WAIT)
+    got = drain(df, F.timestamp_seconds(F.col("frame_id") / 2), make, ["session_id", "segment_start"], **SHUFFLED)
+    assert rows_of(got) == rows_of(tracks.track_regions(df))
+
+
+def blocks(spark):
+    """Blocks of four seconds with gaps and a retune; some have triggers."""
+    rows, at = [], 0
+    rng = np.random.default_rng(6)
+    for i in range(60):
+        at += int(rng.choice([0, 0, 0, 0, 0, 0, 0, 7]))
+        fired = [i * 10 + k for k in range(int(rng.choice([0, 0, 0, 1, 2])))]
+        rows.append((1 + i // 40, at, at + 4, 868_000_000 + (i > 25) * 1000, 1, float(at), fired or None))
+        at += 4
+    return spark.createDataFrame(rows, "session_id bigint, start_sample bigint, end_sample bigint, center_hz bigint, sample_rate int, captured_at double, triggers array<bigint>")
 
 
 def test_gaps(spark, drain):
-    starts = [0, 4, 8, 20, 24, 40, 44, 48]
-    df = spark.createDataFrame([(1, s, s + 4, 5, 100, s / 100) for s in starts], "session_id bigint, start_sample bigint, end_sample bigint, center_hz bigint, sample_rate int, captured_at double")
-    want = acquisition.gap_detect(df).select("session_id", "start_sample", "end_sample", "sample_rate", "segment_start", "is_gap", "missing_samples")
-    assert rows_of(drain(df, "start_sample", folds.live_gaps)) == rows_of(want)
+    df = blocks(spark).withColumn("center_hz", F.lit(5).cast("bigint"))
+    want = acquisition.gap_detect(df.drop("triggers")).select("session_id", "start_sample", "end_sample", "sample_rate", "segment_start", "is_gap", "missing_samples")
+    got = drain(df, F.timestamp_seconds("start_sample"), lambda s, c: folds.live_gaps(s, c, WAIT), ["session_id"], **SHUFFLED)
+    assert rows_of(got) == rows_of(want)
+
+
+CAPTURE = (5.0, 6.0, 30.0)
+
 
+def test_captures_equal_batch(spark, drain):
+    df = blocks(spark)
+    gaps = acquisition.gap_detect(df.drop("triggers"))
+    fired = df.select("session_id", "start_sample", F.explode("triggers").alias("trigger_id")).join(gaps, ["session_id", "start_sample"])
+    fired = fired.select("session_id", "segment_start", "sample_rate", "trigger_id", F.col("start_sample").alias("block_start"), F.col("end_sample").alias("block_end"))
+    want = capture.finished_captures(capture.capture_windows(fired, *CAPTURE), gaps, bucket_samples=16)
+    make = lambda s, c: folds.live_captures(s, *CAPTURE, every=True, closing=c, lateness=WAIT)
+    got = drain(df, F.timestamp_seconds("start_sample"), make, ["session_id"], **SHUFFLED)
+    shown = ["session_id", "segment_start", "sample_rate", "capture_start", "deadline", "max_end", "triggers", "capture_end"]
+    ended = got.filter("kind <> 'block'").select(shown)
+    assert rows_of(ended) == rows_of(want.select(shown)) and ended.count() > 5
+    # After each block: what a plain pass over the blocks has pending and buffered.
+    state, want = {}, []
+    for r in sorted(df.collect(), key=lambda r: (r.session_id, r.start_sample)):
+        s = state.setdefault(r.session_id, {"end": None, "hz": None, "pending": None, "done": 0, "lost": 0})
+        if (r.start_sample, r.center_hz) != (s["end"], s["hz"]):
+            s["lost"] += s["pending"] is not None
+            s |= {"pending": None, "segment": r.start_sample}
+        s |= {"end": r.end_sample, "hz": r.center_hz}
+        for _ in r.triggers or []:
+            if s["pending"] is None:
+                first = max(s["segment"], r.end_sample - 5)
+                s["pending"] = [r.end_sample + 6, first + 30, 0]
+            else:
+                s["pending"][0] = min(s["pending"][1], r.end_sample + 6)
+            s["pending"][2] += 1
+        if s["pending"] and r.end_sample >= s["pending"][0]:
+            s |= {"pending": None, "done": s["done"] + 1}
+        want.append((r.session_id, r.end_sample, s["pending"][2] if s["pending"] else 0, s["done"], s["lost"], min(5, r.end_sample - s["segment"])))
+    names = ["session_id", "at_sample", "pending_triggers", "captures_completed", "captures_aborted", "buffered_samples"]
+    seen = {tuple(r) for r in got.filter("kind in ('block', 'finished')").select(names).collect()}
+    assert seen == set(want)
 
-def test_late_rows_do_not_disturb_the_state(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    df = frames(spark, 6)
-    for rows in (df.filter("frame_seq >= 2"), df.filter("frame_seq < 2")):
-        rows.coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(df.schema).parquet(src)
-        q = folds.live_ema(stream).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(out)
-        q.awaitTermination()
-    assert spark.read.parquet(out).agg(F.min("frame_seq"), F.count("*")).first() == (2, 8)
+
+def test_late_rows_go_to_their_own_side(spark, tmp_path):
+    """Rows older than what was folded don't disturb the state and are not lost: they are put out apart."""
+    df, src = frames(spark, 30), str(tmp_path / "in")
+    writer = lambda: buffer.write_sides(
+        folds.live_ema(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), lateness="4 seconds"),
+        ["session_id"], str(tmp_path / "out"), str(tmp_path / "ck"),
+    )
+    for rows in ("frame_seq between 5 and 19", "frame_seq < 5 or frame_seq = 8", "frame_seq >= 20"):
+        df.filter(rows).coalesce(1).write.mode("append").parquet(src)
+        writer().trigger(availableNow=True).start().awaitTermination()
+    late = spark.read.parquet(f"{tmp_path}/out/late/batch=*")
+    assert rows_of(late) == sorted((s, r.ts) for s in (1, 2) for r in df.filter("session_id = 1 and (frame_seq < 5 or frame_seq = 8)").select("ts").collect())
+    got = spark.read.parquet(f"{tmp_path}/out/results/batch=*")
+    want = noise.ema_floor(df.filter("frame_seq >= 5 and frame_seq < 27"))
+    # What is less than four seconds old at the end still waits.
+    got, want = rows_of(got.filter("frame_seq < 27")), rows_of(want)
+    assert [r[1:] for r in got] == [r[1:] for r in want]
+    assert [r[0] for r in got] == pytest.approx([r[0] for r in want])
 
 
 def test_status_by_timers(spark, drain):
-    seconds = [1000, 1002, 1010, 1050, 1200, 1400]
-    df = spark.createDataFrame([(1, 7, i, s) for i, s in enumerate(seconds)], "session_id bigint, channel_id bigint, detection_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
-    got = drain(df, "s", status.live_status, files=3)
-    want = timing.status_decay(df, F.timestamp_seconds(F.lit(1400)))
-    assert rows_of(got) == rows_of(want)
+    seconds = [1000, 1002, 1010, 1050, 1200, 1203, 1204, 1400]
+    rows = [(s, c, i, t + c) for s in (1, 2) for c in (7, 8) for i, t in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "session_id bigint, channel_id bigint, detection_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    until = F.timestamp_seconds(F.lit(1420))
+    got = drain(df, F.col("ts"), lambda s, c: status.live_status(s, c, WAIT), ["session_id", "channel_id"], until=until, files=3, overlap=20.0)
+    assert rows_of(got) == rows_of(timing.status_decay(df, until))
+
+
+def test_alerts_equal_batch(spark, drain):
+    rng = np.random.default_rng(7)
+    states = ["active", "recently_active", "inactive"]
+    rows = [
+        (s, q * 2, c, 868_000_000 + c * 90_000, float(rng.integers(0, 30)), 0.5, 4.0 if c % 2 else None, int(rng.integers(0, 9)), str(rng.choice(states)), float(q) + s / 10)
+        for s in (1, 2) for q in range(60) for c in range(6) if rng.random() < 0.8
+    ]
+    df = spark.createDataFrame(
+        rows, "session_id bigint, snapshot_seq bigint, channel_id bigint, center_hz bigint, snr_db double, confidence double, recurrence_interval_s double, observation_count int, status string, t double"
+    ).withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint")))
+    rules = spark.createDataFrame(
+        [(1, 5, True, 868.1, 868.3, 12.0, None, False), (2, 4, True, None, None, 25.0, None, None), (3, 1, False, None, None, None, None, False),
+         (4, 2, True, 867.0, 900.0, 20.0, 0.4, True), (5, 3, True, 869.0, 868.0, None, None, False), (6, 9, True, 868.2, 868.2, None, 0.6, False)],
+        "rule_id bigint, rule_order bigint, enabled boolean, freq_lo_mhz double, freq_hi_mhz double, min_snr double, min_confidence double, require_regular_cadence boolean",
+    )
+    want = maintenance.activation_alerts(df, rules, number_chunk("snapshot_seq", 7), debounce_s=5)
+    got = drain(df, F.col("ts"), lambda s, c: status.live_alerts(s, rules, 5, c, WAIT), ["session_id"], **SHUFFLED)
+    shown = ["session_id", "channel_id", "ts_us", "snapshot_seq", "rule_id"]
+    assert rows_of(got.select(shown)) == rows_of(want.select(shown)) and got.count() > 20
+    assert {r.rule_id for r in got.select("rule_id").distinct().collect()} == {1, 2, 4}
 
 
 def test_cu8_bytes():
