@@ -72,6 +72,13 @@ def test_suffix_dedup(spark):
     assert suffix.remove_repeats(frame(spark, []), 50).collect() == []
 
 
+@pytest.mark.parametrize("between", ["\0", "\x01", "\0\0\0", "é\0"])
+def test_characters_that_might_be_taken_for_borders(spark, between):
+    rows = [(6, "a" * 60 + between + "b" * 60), (7, "a" * 55), (8, "a" * 55 + between + "\0\0" + "b" * 55), (9, "a" * 48 + between), (10, between * 70), (11, between * 60)]
+    got = suffix.remove_repeats(frame(spark, rows), 50).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=repr) == removed(rows, 50)
+
+
 def test_segments_longer_than_an_array(spark):
     long = "".join(random.Random(9).choice("abcdef") for _ in range(90))
     rows = [(i, f"{long[i:]}{c * 900}{i}") for i, c in enumerate("-- -=-=ab")]
