@@ -62,6 +62,24 @@ class EliasFano:
         span = self.lower[a >> 3 : (a + self.low + 7) >> 3].tobytes()
         return int.from_bytes(span, "little") >> (a & 7) & ((1 << self.low) - 1)
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: their bits only, found from the samples around them."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        k, after = i // SAMPLE, -(-j // SAMPLE)
+        begin = int(self.samples[k]) >> 3
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.upper)
+        ones = np.flatnonzero(np.unpackbits(self.upper[begin:end], bitorder="little")) + begin * 8
+        first = int(np.searchsorted(ones, int(self.samples[k]))) + i - k * SAMPLE
+        high = (ones[first : first + j - i] - np.arange(i, j)) << self.low
+        if not self.low:
+            return high
+        a, b = i * self.low, j * self.low
+        bits = np.unpackbits(self.lower[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a]
+        return high | (bits.reshape(j - i, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1)
+
     def values(self) -> np.ndarray:
         """All values at once."""
         ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]

@@ -112,32 +112,46 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 _MANIFEST = pa.schema([("path", pa.string()), *((k, pa.int64()) for k in ("n_docs", "n_ids", "n_null", "first_id", "last_id"))])
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids as little-endian unsigned 32-bit binary) of every document of the files."""
+#: Documents whose boundaries, and ids of which, are decoded at a time.
+STEP_DOCS, STEP_IDS = 2048, 1 << 20
+
+
+def read_token_files(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(doc_id, start, ids as little-endian unsigned 32-bit binary) of every document of the files.
+
+    A file is walked in steps: boundaries and doc_ids of a step's documents come from the select
+    structures, so no task holds a table of offsets. Files are dealt over `tasks` tasks.
+    """
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 file = TokenFile(path)
-                ends = file.ends.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                own = [None] * file.nulls + (file.ids_of_docs.values() + file.least).tolist()
-                at = 0
-                while at < len(ends):
-                    upto = max(at + 1, min(int(np.searchsorted(ends, starts[at] + 1_000_000, side="right")), at + 5000))
-                    ids = file.read(int(starts[at]), int(ends[upto - 1])).astype("<u4").tobytes()
-                    base = starts[at]
-                    cut = [ids[4 * a : 4 * b] for a, b in zip((starts[at:upto] - base).tolist(), (ends[at:upto] - base).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[at:upto], pa.int64()), pa.array(starts[at:upto] + start, pa.int64()), pa.array(cut, pa.binary())],
-                        names=["doc_id", "start", "ids"],
-                    )
-                    at = upto
-
-    spread = manifest.select("path", "start").repartition("path")
+                for at in range(0, file.n_docs, STEP_DOCS):
+                    yield from _step(file, start, at, min(at + STEP_DOCS, file.n_docs))
+
+    tasks = tasks or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("path", "start").repartition(tasks, "path")
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
+def _step(file: TokenFile, before: int, at: int, upto: int) -> Iterator[pa.RecordBatch]:
+    """Documents at to upto - 1 of a file; `before`: ids in the files before it."""
+    cuts = np.concatenate([[file.span(at)[0]], file.ends.between(at, upto)])
+    null = min(max(file.nulls - at, 0), upto - at)
+    own = [None] * null + (file.ids_of_docs.between(at + null - file.nulls, upto - file.nulls) + file.least).tolist() if upto > file.nulls else [None] * (upto - at)
+    i = 0
+    while i < upto - at:
+        k = max(i + 1, int(np.searchsorted(cuts, cuts[i] + STEP_IDS, side="right")) - 1)
+        ids = file.read(int(cuts[i]), int(cuts[k])).astype("<u4").tobytes()
+        places = ((cuts[i : k + 1] - cuts[i]) * 4).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[i:k], pa.int64()), pa.array(cuts[i:k] + before, pa.int64()), pa.array([ids[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], pa.binary())],
+            names=["doc_id", "start", "ids"],
+        )
+        i = k
+
+
 def token_file_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens, ids_crc32."""
     ready(spark)

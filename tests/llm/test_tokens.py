@@ -70,6 +70,9 @@ def test_elias_fano():
         own = eliasfano.EliasFano(b"ab" + data, 2)
         assert own.values().tolist() == values.tolist() and own.end == len(data) + 2
         assert [own.select(i) for i in range(n)] == values.tolist()
+        for _ in range(20):
+            a, b = sorted((rnd.randint(0, n), rnd.randint(0, n)))
+            assert own.between(a, b).tolist() == values[a:b].tolist()
     dense = eliasfano.encode(np.arange(0, 2_000_000, 20, dtype=np.uint64))
     assert len(dense) < 100_000  # 6.4 bits a value, where a table takes 64
 
@@ -89,6 +92,8 @@ def test_token_files(spark):
         at += len(r["ids"]) // 4
     order = [r["doc_id"] for r in sorted(read, key=lambda r: r["start"])]
     assert order[0] is None and order[1:] == sorted(order[1:])
+    spread = tokenfile.read_token_files(manifest, tasks=3)
+    assert spread.rdd.getNumPartitions() == 3 and sorted(map(repr, spread.collect())) == sorted(map(repr, read))
     row = manifest.orderBy("start").first()
     file = tokenfile.TokenFile(row["path"])
     first = sorted(read, key=lambda r: r["start"])[:4]
@@ -97,6 +102,21 @@ def test_token_files(spark):
         assert file.read(*file.span(i)).tolist() == np.frombuffer(r["ids"], "<u4").tolist()
 
 
+def test_token_files_in_small_steps(spark, monkeypatch):
+    rows = [(None, "no id")] * 5 + [(i, "some words " * (i % 7)) for i in range(60)]
+    for docs, ids in ((1, 1), (3, 10), (7, 1 << 20)):
+        monkeypatch.setattr(tokenfile, "STEP_DOCS", docs)
+        monkeypatch.setattr(tokenfile, "STEP_IDS", ids)
+        got = tokenfile.token_file_digests(spark, frame(spark, rows), BYTES, 2, 50257).orderBy("start").collect()
+        at = 0
+        for r in got:
+            assert r["start"] == at
+            at += r["n_tokens"]
+        encoder = Tokenizer.from_file(BYTES)
+        want = Counter((i, zlib.crc32(np.array([*encoder.encode(t).ids, 2], "<u4").tobytes())) for i, t in rows)
+        assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+
+
 def fewest(items, room):
     best, items = len(items), sorted(items, reverse=True)
 
