@@ -373,10 +373,11 @@ def alert_rule_match(t):
 
 @query(
     """SELECT detection_id, d.session_id, c.channel_id IS NOT NULL AS has_channel, coalesce(c.center_hz, -1) AS channel_hz FROM detections d SEMI JOIN sessions s ON s.session_id = d.session_id
-       LEFT JOIN (SELECT session_id, channel_id, center_hz FROM channels WHERE channel_id % 4 <> 0) c ON c.session_id = d.session_id AND c.channel_id = d.channel_id"""
+       LEFT JOIN (SELECT session_id, channel_id, center_hz FROM channels ANTI JOIN removed_channels USING (session_id, channel_id)) c ON c.session_id = d.session_id AND c.channel_id = d.channel_id"""
 )
 def detection_channel(t):
-    kept = t.channels.filter("channel_id % 4 <> 0")
+    """Detections of channels that were merged away keep a null one."""
+    kept = M.drop_merged_channels(t.channels, t.removed_channels)
     return ranges.detection_channel(t.detections, kept, t.sessions).select(
         "detection_id",
         "session_id",
