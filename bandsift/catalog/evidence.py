@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bandsift.catalog import folded
 from bandsift.catalog.registry import query
 from bandsift.functions import channels as C
 from bandsift.operators import acquisition, capture, detect, dsp, noise, tracks
@@ -372,21 +373,50 @@ def _captures(t):
     return capture.finished_captures(windows, gaps, bucket_samples=256)
 
 
-@query()
+_CAPTURED = f"WITH RECURSIVE {META}, {folded.CAPTURES}"
+
+
+@query(
+    f"""{_CAPTURED} SELECT session_id, segment_start, sample_rate, capture_start, deadline, max_end, array_to_string(triggers, ',') AS triggers, capture_end FROM captures"""
+)
 def triggered_capture(t):
-    return _captures(t)
+    return _captures(t).withColumn("triggers", F.array_join("triggers", ","))
 
 
-@query()
+@query(
+    f"""{_CAPTURED}, parts AS (SELECT c.session_id, c.segment_start, capture_start, capture_end, len(triggers) AS n_triggers,
+        iq[2 * (greatest(capture_start, b.start_sample) - b.start_sample) + 1 : 2 * (least(capture_end, b.start_sample + len(iq) // 2) - b.start_sample)] AS part
+        FROM captures c JOIN iq_blocks b ON b.session_id = c.session_id AND b.start_sample < capture_end AND b.start_sample + len(iq) // 2 > capture_start)
+      SELECT session_id, segment_start, capture_start, capture_end, n_triggers, CAST(sum(len(part)) AS BIGINT) AS n_values,
+        round(sum(list_sum([CAST(x AS DOUBLE) FOR x IN part])), 6) AS total FROM parts GROUP BY ALL"""
+)
 def trigger_capture_join(t):
-    return capture.trigger_capture_join(
+    found = capture.trigger_capture_join(
         cut_lineage(_captures(t)), dsp.with_segments(t.iq_blocks), bucket_samples=256
     )
+    total = F.aggregate("iq", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return found.select(
+        "session_id",
+        "segment_start",
+        "capture_start",
+        "capture_end",
+        F.size("triggers").cast("bigint").alias("n_triggers"),
+        F.size("iq").cast("bigint").alias("n_values"),
+        F.round(total, 6).alias("total"),
+    )
 
 
-@query()
+@query(
+    f"""{_CAPTURED}, l AS (SELECT session_id, max(segment_start) AS last_segment, max(end_sample) AS e, max(sample_rate) AS rate FROM segs GROUP BY session_id)
+      SELECT session_id, count(capture_end) AS captures_completed, count(*) FILTER (capture_end IS NULL AND segment_start < last_segment) AS captures_aborted_discontinuity,
+        coalesce(CAST(sum(len(triggers)) AS BIGINT), 0) AS triggers, coalesce(round(sum((capture_end - capture_start) / rate), 3), 0) AS captured_seconds,
+        count(*) FILTER (capture_end IS NULL AND segment_start = last_segment) > 0 AS capture_pending,
+        coalesce(CAST(sum(len(triggers)) FILTER (capture_end IS NULL AND segment_start = last_segment) AS BIGINT), 0) AS pending_triggers,
+        round(least(e - last_segment, {folded.PRE}) / rate, 6) AS buffered_seconds
+      FROM l LEFT JOIN captures USING (session_id) GROUP BY session_id, e, last_segment, rate"""
+)
 def capture_stats(t):
-    return capture.capture_stats(_captures(t))
+    return capture.capture_stats(_captures(t), wideband.gaps_of(t.iq_blocks), 1e-4)
 
 
 @query(
@@ -401,10 +431,18 @@ def recent_iq(t):
     )
 
 
-@query()
+@query(
+    f"""{_CAPTURED}, {_NOVEL},
+      e AS (SELECT session_id, 'candidate' AS kind, 'candidate f=' || freq_hz || ' bw=' || bandwidth_hz || 'Hz' AS message, CAST(freq_hz AS VARCHAR) AS about FROM nov WHERE is_candidate
+        UNION ALL SELECT session_id, 'capture', len(triggers) || ' candidate burst(s)', CAST(capture_start AS VARCHAR) FROM captures WHERE capture_end IS NOT NULL
+        UNION ALL SELECT session_id, 'channel_merged', 'channel ' || channel_id || ' joined ' || (channel_id - 1), CAST(channel_id AS VARCHAR) FROM removed_channels)
+      SELECT session_id, kind, message, about, count(*) AS n FROM e GROUP BY ALL"""
+)
 def event_log(t):
     from bandsift.operators import report
 
     removed = t.removed_channels.withColumn("merged_into", F.col("channel_id") - 1)
     flagged = _novel(t).filter("is_candidate")
-    return report.event_log(flagged, _captures(t), removed)
+    found = report.event_log(flagged, _captures(t), removed)
+    about = F.coalesce(*(F.get_json_object("data", f"$.{c}") for c in ("freq_hz", "capture_start", "channel_id")))
+    return found.groupBy("session_id", "kind", "message", about.alias("about")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bandsift import params as P
+from bandsift.catalog import folded
 from bandsift.catalog.registry import query
 from bandsift.functions import arrays as A
 from bandsift.operators import acquisition, cluster, detect, dsp, noise, occupancy
@@ -330,16 +332,35 @@ def sticky_modulation(t):
     )
 
 
-@query()
+def _clustered(proximity_hz: int) -> str:
+    """CTEs down to the channels of the regions in band."""
+    return f"""WITH RECURSIVE {REGIONS.strip()}, inb AS (SELECT g.*, p.ts FROM regions g JOIN psd_frames p USING (session_id, frame_seq)
+      WHERE g.center_hz BETWEEN 867000000 AND 870000000), {folded.clusters('inb', proximity_hz)}, {folded.CHANNELS}"""
+
+
+def _with_plain_times(rows):
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
+@query(
+    f"""{_clustered(P.PROXIMITY_HZ)} SELECT session_id, channel_id, center_hz, bandwidth_hz, current_power_db, peak_power_db, avg_power_db, snr_db, observation_count,
+      make_timestamp(first_us) AS first_seen, make_timestamp(last_us) AS last_seen FROM chans"""
+)
 def cluster_channels(t):
-    return cluster.cluster_channels(cut_lineage(sweep.regions_of(t.psd_frames, 12.0)))
+    return _with_plain_times(
+        cluster.cluster_channels(cut_lineage(sweep.regions_of(t.psd_frames, 12.0)))
+    )
 
 
-@query()
+@query(
+    f"""{_clustered(20_000)}, {folded.merged(20_000)} SELECT session_id, c.id AS channel_id, c.hz AS center_hz, c.width AS bandwidth_hz, c.current AS current_power_db,
+      c.peak AS peak_power_db, c.avg AS avg_power_db, c.snr AS snr_db, c.n AS observation_count, make_timestamp(c.first_us) AS first_seen, make_timestamp(c.last_us) AS last_seen
+      FROM survivors WHERE NOT c.gone"""
+)
 def merge_overlapping(t):
     regions = cut_lineage(sweep.regions_of(t.psd_frames, 12.0))
     channels = cut_lineage(cluster.cluster_channels(regions, 20_000))
-    return cluster.merge_overlapping(channels, 20_000)
+    return _with_plain_times(cluster.merge_overlapping(channels, 20_000))
 
 
 @query()

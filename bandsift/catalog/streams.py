@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bandsift import params as P
+from bandsift.catalog import folded
 from bandsift.catalog.bindings import AS_OF
 from bandsift.catalog.evidence import _THROTTLE, META
 from bandsift.catalog.registry import query
@@ -28,26 +30,36 @@ def live_ema(t):
     ).withColumn("floor_db", F.round("floor_db", 6))
 
 
-@query()
+_ASSIGNED = f"WITH RECURSIVE {folded.clusters('band_regions', P.PROXIMITY_HZ)} {folded.ASSIGNED}"
+_TRACKED = f"WITH RECURSIVE {folded.tracks('frame_regions')} SELECT * FROM tracked"
+
+
+def _plain_times(rows):
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_ts")})
+
+
+@query(_ASSIGNED)
 def cluster_regions(t):
-    return cluster.cluster_regions(t.band_regions)
+    return _plain_times(cluster.cluster_regions(t.band_regions))
 
 
-@query()
+@query(_ASSIGNED)
 def live_clusters(t):
     regions, late = t.out_of_order("band_regions", "unix_micros(ts)")
     ends = _ends(t.band_regions, ["session_id"], F.col("ts"))
-    return t.drained_to_end(
-        lambda closing: folds.live_clusters(regions, closing=closing, lateness=late), ends
+    return _plain_times(
+        t.drained_to_end(
+            lambda closing: folds.live_clusters(regions, closing=closing, lateness=late), ends
+        )
     )
 
 
-@query()
+@query(_TRACKED)
 def track_regions(t):
     return tracks.track_regions(t.frame_regions)
 
 
-@query()
+@query(_TRACKED)
 def live_tracks(t):
     """Frames of the given tables are 2048 samples at 2048 samples a second."""
     regions, late = t.out_of_order("frame_regions", "frame_id * 1000000")
@@ -110,16 +122,26 @@ def _live_captures(t, every=False):
     )
 
 
-@query()
+_CAPTURED = f"WITH RECURSIVE {META}, {folded.CAPTURES}"
+
+
+@query(
+    f"""{_CAPTURED} SELECT session_id, segment_start, capture_start, deadline, max_end, array_to_string(triggers, ',') AS triggers, capture_end FROM captures"""
+)
 def live_captures(t):
+    found = _live_captures(t).withColumn("triggers", F.array_join("triggers", ","))
     kept = ["session_id", "segment_start", "capture_start", "deadline", "max_end", "triggers", "capture_end"]
-    return _live_captures(t).select(*kept)
+    return found.select(*kept)
 
 
-@query()
+@query(
+    f"""{_CAPTURED} SELECT session_id, end_sample AS at_sample, CAST(coalesce(len(p.triggers), 0) AS INT) AS pending_triggers, count(done.start) OVER w AS captures_completed,
+      count(lost.start) OVER w AS captures_aborted, least(end_sample - segment_start, {folded.PRE}) AS buffered_samples FROM state WHERE k > 0
+      WINDOW w AS (PARTITION BY session_id ORDER BY k)"""
+)
 def live_capture_stats(t):
     """The state after each block."""
-    found = _live_captures(t, every=True).filter("kind = 'block'")
+    found = _live_captures(t, every=True).filter("kind IN ('block', 'finished')")
     return found.select(
         "session_id", "at_sample", "pending_triggers", "captures_completed", "captures_aborted", "buffered_samples"
     )

@@ -360,16 +360,40 @@ def trigger_capture_join(
     )
 
 
-def capture_stats(captures: DataFrame) -> DataFrame:
-    """Completed and aborted captures and their trigger counts per session."""
-    return captures.groupBy("session_id").agg(
-        F.count_if(F.col("capture_end").isNotNull()).alias("captures_completed"),
-        F.count_if(F.col("capture_end").isNull()).alias("captures_aborted_discontinuity"),
-        F.sum(F.size("triggers")).cast("bigint").alias("triggers"),
-        F.round(
-            F.sum((F.col("capture_end") - F.col("capture_start")) / F.col("sample_rate")), 3
-        ).alias("captured_seconds"),
+def capture_stats(
+    captures: DataFrame, gaps: DataFrame, pre_s: float = P.PRE_TRIGGER_S
+) -> DataFrame:
+    """State of the capture of every session: completed, aborted and pending captures, what they hold,
+    and the seconds that are buffered for the next one.
+
+    `gaps` is block metadata with segment_start. A capture without an end is pending if its segment
+    is the session's last, else a gap has aborted it.
+    """
+    last = gaps.groupBy("session_id").agg(
+        F.max_by(F.struct("segment_start", "sample_rate", "end_sample"), "end_sample").alias("_l")
+    )
+    open_ = F.col("capture_start").isNotNull() & F.col("capture_end").isNull()
+    pending = open_ & (F.col("segment_start") == F.col("_l.segment_start"))
+    seconds = (F.col("capture_end") - F.col("capture_start")) / F.col("sample_rate")
+    zero = F.lit(0).cast("bigint")
+    found = (
+        last.join(captures, "session_id", "left")
+        .groupBy("session_id", "_l")
+        .agg(
+            F.count("capture_end").alias("captures_completed"),
+            F.count_if(open_ & ~pending).alias("captures_aborted_discontinuity"),
+            F.coalesce(F.sum(F.size("triggers")), zero).alias("triggers"),
+            F.coalesce(F.round(F.sum(seconds), 3), F.lit(0.0)).alias("captured_seconds"),
+            (F.count_if(pending) > 0).alias("capture_pending"),
+            F.coalesce(F.sum(F.when(pending, F.size("triggers"))), zero).alias("pending_triggers"),
+        )
+    )
+    rate = F.col("_l.sample_rate")
+    held = F.least(
+        F.col("_l.end_sample") - F.col("_l.segment_start"),
+        F.greatest(F.lit(1).cast("bigint"), F.floor(rate * F.lit(pre_s)).cast("bigint")),
     )
+    return found.withColumn("buffered_seconds", F.round(held / rate, 6)).drop("_l")
 
 
 def recent_iq(
