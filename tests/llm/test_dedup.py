@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from bandsift.llm import lines, nearcopies, sais, simhash, suffix
+from bandsift.llm import bloom, lines, nearcopies, sais, simhash, suffix
 from bandsift.llm.common import ready
 from bandsift.llm.components import components, forest
 
@@ -231,3 +231,72 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(frame(spark, rows)).collect()}
     assert got == want and want[1001] == 1000 and want[1003] == 1003
     assert nearcopies.near_copies(frame(spark, [])).collect() == []
+
+
+def test_filter_loses_nothing(spark):
+    rnd = np.random.default_rng(5)
+    inside, outside = (rnd.integers(-(1 << 63), 1 << 63, 5000) for _ in range(2))
+    df = ready(spark).createDataFrame([(int(x),) for x in inside] + [(None,)], "number long")
+    for bits in (bloom.bits_for(5000), bloom.LEAST_BITS, 1 << 23):
+        held = bloom.held_filter(df, bits)
+        assert len(held) * 8 == bits and bloom.holds(held, inside).all()
+        assert bits == bloom.LEAST_BITS or bloom.holds(held, outside).mean() < 0.01
+    assert not bloom.holds(bloom.held_filter(df.limit(0), 1 << 16), inside).any()
+    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(inside, outside, strict=True)], "_number long, b long")
+    maybe, no = bloom.split_by(rows, [rows["_number"], rows["b"]], held)
+    assert maybe.count() == 5000 and no.count() == 0 and maybe.columns == ["_number", "b"]
+    maybe, no = bloom.split_by(rows, [rows["b"]], held)
+    assert maybe.count() + no.count() == 5000 and maybe.count() < 50
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_by_brute_force(rows):
+    """Components of documents at 0.8 or more, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        own = ids.setdefault(top(i), [])
+        if d is not None:
+            own.append(d)
+    return sorted(((d, min(ids[top(i)], default=None)) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def test_near_copies_by_brute_force(spark):
+    """Chains of copies, a large group, templates that are loosely alike, repeated ids, clashing columns."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(12):
+        own = [rnd.choice(words) for _ in range(rnd.randint(20, 120))]
+        for _ in range(rnd.randint(1, 25)):
+            rows.append((rnd.randrange(1000), " ".join(own)))
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+    template = [rnd.choice(words) for _ in range(60)]
+    for _ in range(40):
+        rows.append((rnd.randrange(1000), " ".join([*template, *(rnd.choice(words) for _ in range(rnd.randint(5, 40)))])))
+    rows += [(None, rows[0][1]), (None, rows[5][1]), (None, None), (None, ""), (5000, "  "), (5001, "lone text"), (rows[3][0], rows[3][1])]
+    df = ready(spark).createDataFrame([(i, t, 1, 2, "x", "y") for i, t in rows], "doc_id long, text string, _own int, _number long, hash string, vertex string")
+    got = nearcopies.near_copies(df).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == near_by_brute_force(rows)
+    stay = nearcopies.one_of_each(df)
+    assert stay.columns == df.columns
+    named = {c for _, c in near_by_brute_force(rows) if c is not None}
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(named)
