@@ -60,6 +60,23 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
             "iq": "embedding",
         },
     ),
+    "tuned_blocks": (
+        "embeddings",
+        {
+            "session_id": ("vec_id div 250", "vec_id // 250"),
+            "start_sample": (
+                "(vec_id % 250) * 32 + 1000 * ((vec_id % 250) div 50)",
+                "(vec_id % 250) * 32 + 1000 * ((vec_id % 250) // 50)",
+            ),
+            "center_hz": (
+                "868269000 + ((vec_id % 250) div 60) * 400000",
+                "868269000 + ((vec_id % 250) // 60) * 400000",
+            ),
+            "sample_rate": "cast(case when vec_id % 250 < 130 then 2400000 else 1200000 end as int)",
+            "captured_at": "cast(vec_id % 250 as double) / 65536",
+            "iq": "embedding",
+        },
+    ),
     "cu8_blocks": (
         "documents",
         {
@@ -313,11 +330,16 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
     ),
     "channel_pairs": (
         "customer",
-        {"channel_a": "c_custkey", "channel_b": "c_custkey + (c_custkey * 7 + 1) % 5 + 1"},
+        {
+            "session_id": "c_custkey % 10",
+            "channel_a": "c_custkey",
+            "channel_b": "c_custkey + ((c_custkey * 7 + 1) % 5 + 1) * 10",
+        },
     ),
     "pins": (
         "supplier",
         {
+            "session_id": "(s_suppkey * 7) % 10",
             "channel_id": "s_suppkey * 7",
             "pinned": "s_nationkey % 2 = 0",
             "label": "case when s_nationkey % 3 = 0 then '' else s_name end",

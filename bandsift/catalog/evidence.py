@@ -37,6 +37,20 @@ def gap_detect(t):
     )
 
 
+@query(
+    """WITH m AS (SELECT session_id, start_sample, start_sample + len(iq) // 2 AS e, center_hz, sample_rate FROM tuned_blocks),
+      g AS (SELECT *, lag(e) OVER w AS before, lag(center_hz) OVER w AS was_hz, lag(sample_rate) OVER w AS was_rate FROM m WINDOW w AS (PARTITION BY session_id ORDER BY start_sample)),
+      f AS (SELECT *, before IS NULL OR before <> start_sample OR was_hz <> center_hz OR was_rate <> sample_rate AS fresh FROM g),
+      s AS (SELECT *, max(CASE WHEN fresh THEN start_sample END) OVER (PARTITION BY session_id ORDER BY start_sample) AS segment_start FROM f)
+      SELECT session_id, segment_start, max(e) AS segment_end, any_value(center_hz) AS center_hz, any_value(sample_rate) AS sample_rate,
+        CAST((max(e) - segment_start) // 64 AS BIGINT) AS n_frames FROM s GROUP BY session_id, segment_start"""
+)
+def retune_segments(t):
+    """Segments end at gaps and at retunes; each has one centre and one rate."""
+    gaps = acquisition.gap_detect(acquisition.block_meta(t.tuned_blocks))
+    return acquisition.segments_of(gaps, 64)
+
+
 _LATE = """late AS (SELECT *, captured_at - at_before - n_before / sample_rate AS excess,
     greatest(0.005, n_before / sample_rate * 0.5) AS allowed FROM gaps)"""
 
@@ -52,8 +66,7 @@ def timing_gaps(t):
     )
 
 
-@query(
-    f"""WITH {META}, {_LATE},
+_ACQUIRED = f"""WITH {META}, {_LATE},
       a AS (SELECT session_id, count(*) AS blocks_acquired, CAST(sum(n) AS BIGINT) AS samples_acquired,
         max(end_sample) AS sample_cursor, count(*) FILTER (before <> start_sample) AS dropped_runs,
         CAST(sum(CASE WHEN before <> start_sample THEN greatest(0, start_sample - before) ELSE 0 END) AS BIGINT) AS dropped_samples,
@@ -62,7 +75,9 @@ def timing_gaps(t):
         CAST(sum(CASE WHEN excess > allowed THEN round_even(excess * sample_rate, 0) ELSE 0 END) AS BIGINT) AS estimated_gap_samples
         FROM late GROUP BY session_id)
       SELECT * FROM a JOIN b USING (session_id)"""
-)
+
+
+@query(_ACQUIRED)
 def acquisition_stats(t):
     return acquisition.acquisition_stats(acquisition.block_meta(t.iq_blocks))
 

@@ -109,9 +109,9 @@ def _diff(f: str) -> str:
 
 
 @query(
-    f"""WITH d AS (SELECT channel_a, channel_b, [{_diff('bandwidth_hz')}, {_diff('snr_db')}, {_diff('typical_burst_ms')},
-         {_diff('recurrence_interval_s')}] AS ds FROM channel_pairs JOIN channels a ON a.channel_id = channel_a JOIN channels b ON b.channel_id = channel_b)
-      SELECT channel_a, channel_b, round(1 - list_avg(ds), 6) AS score,
+    f"""WITH d AS (SELECT p.session_id, channel_a, channel_b, [{_diff('bandwidth_hz')}, {_diff('snr_db')}, {_diff('typical_burst_ms')},
+         {_diff('recurrence_interval_s')}] AS ds FROM channel_pairs p JOIN channels a ON a.session_id = p.session_id AND a.channel_id = channel_a JOIN channels b ON b.session_id = p.session_id AND b.channel_id = channel_b)
+      SELECT session_id, channel_a, channel_b, round(1 - list_avg(ds), 6) AS score,
         CASE WHEN 1 - list_avg(ds) >= 0.8 THEN 'similar' ELSE 'different' END AS verdict FROM d"""
 )
 def channel_similarity(t):
@@ -121,9 +121,9 @@ def channel_similarity(t):
 
 
 @query(
-    """WITH x AS (SELECT channel_id, recurrence_interval_s AS i, epoch_us(TIMESTAMP '2024-01-15 00:00:00') / 1e6 - epoch_us(last_seen) / 1e6 AS age FROM channels),
+    """WITH x AS (SELECT session_id, channel_id, recurrence_interval_s AS i, epoch_us(TIMESTAMP '2024-01-15 00:00:00') / 1e6 - epoch_us(last_seen) / 1e6 AS age FROM channels),
        y AS (SELECT *, CAST(floor(i - age + 0.5) AS BIGINT) AS due FROM x)
-       SELECT channel_id, CASE WHEN i IS NULL THEN 'unknown' WHEN due >= 0 THEN 'due' WHEN age > greatest(60, 3 * i) THEN 'silent' ELSE 'overdue' END AS state,
+       SELECT session_id, channel_id, CASE WHEN i IS NULL THEN 'unknown' WHEN due >= 0 THEN 'due' WHEN age > greatest(60, 3 * i) THEN 'silent' ELSE 'overdue' END AS state,
          CAST(CASE WHEN i IS NULL THEN -1 WHEN due >= 0 THEN due WHEN age > greatest(60, 3 * i) THEN floor(age + 0.5) ELSE -due END AS BIGINT) AS seconds FROM y"""
 )
 def next_expected(t):
@@ -222,12 +222,12 @@ def sort_channels(t):
 
 
 _PINS = """pj AS (SELECT c.*, coalesce(p.pinned, false) AS pinned, coalesce(p.label, '') AS label FROM channels c
-    LEFT JOIN (SELECT * FROM pins WHERE pinned OR label <> '') p USING (channel_id))"""
+    LEFT JOIN (SELECT * FROM pins WHERE pinned OR label <> '') p USING (session_id, channel_id))"""
 
 
-@query(f"WITH {_PINS} SELECT channel_id, pinned, label FROM pj")
+@query(f"WITH {_PINS} SELECT session_id, channel_id, pinned, label FROM pj")
 def pins_join(t):
-    return ch.pins_join(t.channels, t.pins).select("channel_id", "pinned", "label")
+    return ch.pins_join(t.channels, t.pins).select("session_id", "channel_id", "pinned", "label")
 
 
 @query(
@@ -305,7 +305,7 @@ def recording_bytes(t):
 
 
 @query(
-    """SELECT recording_id, channel_id, abs(r.center_hz - c.center_hz) AS distance_hz FROM recordings r JOIN channels c
+    """SELECT recording_id, session_id, channel_id, abs(r.center_hz - c.center_hz) AS distance_hz FROM recordings r JOIN channels c
        ON abs(r.center_hz - c.center_hz) <= sample_rate / 2"""
 )
 def recordings_near_channel(t):
@@ -328,7 +328,7 @@ _MARKERS = """mk(marker_hz, marker_label, marker_kind) AS (VALUES (868300000, 'w
 
 
 @query(
-    f"""WITH {_MARKERS} SELECT channel_id, CAST(marker_hz AS BIGINT) AS marker_hz, marker_label, marker_kind FROM channels JOIN mk
+    f"""WITH {_MARKERS} SELECT session_id, channel_id, CAST(marker_hz AS BIGINT) AS marker_hz, marker_label, marker_kind FROM channels JOIN mk
       ON marker_hz BETWEEN center_hz - bandwidth_hz // 2 AND center_hz + bandwidth_hz // 2"""
 )
 def reference_markers(t):
@@ -336,8 +336,8 @@ def reference_markers(t):
 
 
 @query(
-    f"""WITH {_MARKERS}, d AS (SELECT channel_id, abs(marker_hz - center_hz) AS d, marker_label FROM channels CROSS JOIN mk WHERE abs(marker_hz - center_hz) <= 1000000)
-      SELECT channel_id, arg_min(marker_label, (d, marker_label)) AS marker_label, min(d) AS distance_hz FROM d GROUP BY channel_id"""
+    f"""WITH {_MARKERS}, d AS (SELECT session_id, channel_id, abs(marker_hz - center_hz) AS d, marker_label FROM channels CROSS JOIN mk WHERE abs(marker_hz - center_hz) <= 1000000)
+      SELECT session_id, channel_id, arg_min(marker_label, (d, marker_label)) AS marker_label, min(d) AS distance_hz FROM d GROUP BY session_id, channel_id"""
 )
 def nearest_marker(t):
     return ranges.nearest_marker(t.channels, ranges.reference_marker_table(t.spark))
@@ -346,7 +346,7 @@ def nearest_marker(t):
 @query(
     """WITH rg(lo_hz, hi_hz, range_label) AS (VALUES (868000000, 868600000, 'g (868.0–868.6)'), (868700000, 869200000, 'g1 (868.7–869.2)'),
          (869400000, 869650000, 'g3 (869.4–869.65)'), (869700000, 870000000, 'g4 (869.7–870.0)'))
-       SELECT channel_id, CAST(lo_hz AS BIGINT) AS lo_hz, CAST(hi_hz AS BIGINT) AS hi_hz, range_label FROM channels JOIN rg
+       SELECT session_id, channel_id, CAST(lo_hz AS BIGINT) AS lo_hz, CAST(hi_hz AS BIGINT) AS hi_hz, range_label FROM channels JOIN rg
        ON hi_hz >= center_hz - bandwidth_hz // 2 AND lo_hz <= center_hz + bandwidth_hz // 2"""
 )
 def reference_ranges(t):
@@ -354,18 +354,18 @@ def reference_ranges(t):
 
 
 @query(
-    """SELECT focus_id, channel_id FROM focuses f JOIN channels c ON abs(c.center_hz - focus_hz) <= sample_rate / 2
-       QUALIFY row_number() OVER (PARTITION BY focus_id ORDER BY last_seen DESC, abs(center_hz - focus_hz), channel_id) = 1"""
+    """SELECT focus_id, session_id, channel_id FROM focuses f JOIN channels c ON abs(c.center_hz - focus_hz) <= sample_rate / 2
+       QUALIFY row_number() OVER (PARTITION BY focus_id ORDER BY last_seen DESC, abs(center_hz - focus_hz), session_id, channel_id) = 1"""
 )
 def focus_channel(t):
     return ranges.focus_channel(t.focuses, t.channels)
 
 
 @query(
-    """SELECT channel_id, rule_id FROM channels c JOIN rules r ON r.enabled AND (freq_lo_mhz IS NULL OR c.center_hz / 1e6 >= freq_lo_mhz)
+    """SELECT session_id, channel_id, rule_id FROM channels c JOIN rules r ON r.enabled AND (freq_lo_mhz IS NULL OR c.center_hz / 1e6 >= freq_lo_mhz)
        AND (freq_hi_mhz IS NULL OR c.center_hz / 1e6 <= freq_hi_mhz) AND (min_snr IS NULL OR c.snr_db >= min_snr)
        AND (min_confidence IS NULL OR c.confidence >= min_confidence) AND (NOT require_regular_cadence OR (c.recurrence_interval_s IS NOT NULL AND c.observation_count >= 4))
-       QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY rule_order, rule_id) = 1"""
+       QUALIFY row_number() OVER (PARTITION BY session_id, channel_id ORDER BY rule_order, rule_id) = 1"""
 )
 def alert_rule_match(t):
     return ranges.alert_rule_match(t.channels, t.rules)

@@ -10,6 +10,7 @@ from bandsift.catalog import folded
 from bandsift.catalog.registry import query
 from bandsift.functions import arrays as A
 from bandsift.operators import acquisition, cluster, detect, dsp, noise, occupancy
+from bandsift.operators.capture import throttle
 from bandsift.operators.ordered import number_chunk
 from bandsift.plans import sweep
 from bandsift.runtime import cut_lineage
@@ -363,6 +364,15 @@ def merge_overlapping(t):
     return _with_plain_times(cluster.merge_overlapping(channels, 20_000))
 
 
+@query()
+def merge_log(t):
+    """Merges at snapshots, one a second of the frames' clock."""
+    regions = cut_lineage(sweep.regions_of(t.psd_frames, 12.0))
+    frames = t.psd_frames.select("session_id", "frame_seq", "ts").withColumn("ts_us", F.unix_micros("ts"))
+    marks = throttle(frames, ["session_id"], "ts_us", "frame_seq", 1_000_000, chunk_us=10_000_000)
+    return cluster.merge_log(regions, marks, 20_000)
+
+
 @query()
 def sweep_channels(t):
     return sweep.sweep_channels(t.psd_frames, t.as_of, 12.0)

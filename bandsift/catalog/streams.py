@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from bandsift import params as P
 from bandsift.catalog import folded
 from bandsift.catalog.bindings import AS_OF
-from bandsift.catalog.evidence import _THROTTLE, META
+from bandsift.catalog.evidence import _ACQUIRED, _THROTTLE, META
 from bandsift.catalog.registry import query
 from bandsift.catalog.spectrum import FLOORS
 from bandsift.operators import acquisition, cluster, occupancy, timing, tracks
+from bandsift.plans import daily
 from bandsift.runtime import shared_folder
 from bandsift.sources import sigmf, tables, text
 from bandsift.streaming import folds, status
@@ -43,6 +44,18 @@ def cluster_regions(t):
     return _plain_times(cluster.cluster_regions(t.band_regions))
 
 
+@query(_ASSIGNED)
+def cluster_days(t):
+    """Week by week, each from the state of the week before; the last week comes later."""
+    rows = daily.cluster_rows(t.band_regions).withColumn("date", F.to_date(F.date_trunc("week", F.timestamp_micros("ts_us"))))
+    fold = daily.daily_clusters(t.spark, shared_folder(t.spark, "clusters"))
+    last = rows.agg(F.max("date")).first()[0]
+    fold.update(rows.filter(F.col("date") < F.lit(last)))
+    fold.update(rows)
+    out = fold.results().withColumn("ts", F.timestamp_micros("ts_us")).withColumn("first_ts", F.timestamp_micros("first_us"))
+    return _plain_times(out.drop("ts_us", "first_us"))
+
+
 @query(_ASSIGNED)
 def live_clusters(t):
     regions, late = t.out_of_order("band_regions", "unix_micros(ts)")
@@ -108,6 +121,20 @@ def _slow(t):
     return acquisition.block_meta(blocks).withColumn("sample_rate", F.lit(_SLOW)), late
 
 
+@query(_ACQUIRED)
+def live_acquisition_stats(t):
+    """The counters after the last block of each source."""
+    blocks, late = t.out_of_order("iq_blocks", f"start_sample * 1000000 div {_SLOW}")
+    time = F.timestamp_seconds(F.col("start_sample") / _SLOW)
+    rows = t.drained_to_end(
+        lambda closing: folds.live_acquisition(acquisition.block_meta(blocks), time, closing, late),
+        _ends(t.iq_blocks, ["session_id"], time),
+    )
+    names = list(folds.AcquisitionFold.COUNTERS)
+    last = F.max_by(F.struct(*names), "blocks_acquired").alias("_c")
+    return rows.groupBy("session_id").agg(last).select("session_id", "_c.*")
+
+
 def _live_captures(t, every=False):
     """Every seventeenth block fires, as in the batch query."""
     blocks, late = _slow(t)

@@ -116,10 +116,9 @@ def sort_channels(channels: DataFrame, key: str, ascending: bool = True) -> Data
 
 def pins_join(channels: DataFrame, pins: DataFrame) -> DataFrame:
     """Channels with their pin and label; pins that say nothing are dropped."""
-    said = pins.filter(F.col("pinned") | (F.col("label") != "")).select(
-        "channel_id", "pinned", "label"
-    )
-    return attach(channels, said, ["channel_id"]).withColumn(
+    key = ["session_id", "channel_id"]
+    said = pins.filter(F.col("pinned") | (F.col("label") != "")).select(*key, "pinned", "label")
+    return attach(channels, said, key).withColumn(
         "pinned", F.coalesce("pinned", F.lit(False))
     ).withColumn("label", F.coalesce("label", F.lit("")))
 
@@ -174,19 +173,17 @@ _FEATURES = ("bandwidth_hz", "snr_db", "typical_burst_ms", "recurrence_interval_
 
 
 def channel_similarity(channels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Similarity of chosen channel pairs (channel_a, channel_b); never all pairs."""
+    """Similarity of chosen pairs (session_id, channel_a, channel_b) of a session; never all pairs."""
     side = lambda s: channels.select(
+        "session_id",
         F.col("channel_id").alias(f"channel_{s}"),
         *[F.col(f).alias(f"{f}_{s}") for f in _FEATURES],
     )
-    both = attach(
-        attach(pairs.select("channel_a", "channel_b"), side("a"), ["channel_a"], how="inner"),
-        side("b"),
-        ["channel_b"],
-        how="inner",
-    )
+    both = pairs.select("session_id", "channel_a", "channel_b")
+    for s in "ab":
+        both = attach(both, side(s), ["session_id", f"channel_{s}"], how="inner")
     score = C.similarity([(F.col(f"{f}_a"), F.col(f"{f}_b")) for f in _FEATURES])
-    return both.select("channel_a", "channel_b", score.alias("score")).withColumn(
+    return both.select("session_id", "channel_a", "channel_b", score.alias("score")).withColumn(
         "verdict", F.when(F.col("score") >= 0.8, F.lit("similar")).otherwise(F.lit("different"))
     )
 

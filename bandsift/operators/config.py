@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandsift import params as P
 from bandsift.operators.ordered import number_chunk, with_last_known, with_previous
 
-# Changing one of these restarts acquisition.
-ACQUISITION_FIELDS = [
-    "start_hz", "end_hz", "step_hz", "sample_rate", "gain", "ppm", "dwell_ms", "backend",
-    "device_index", "simulation",
-]
-OTHER_FIELDS = [
-    "threshold_db", "noise_floor_alpha", "fft_size", "spectrum_fps", "spectrum_bins",
-    "max_iq_storage_gb", "retention_days", "exclusions",
-]
+ACQUISITION_FIELDS, OTHER_FIELDS = P.ACQUISITION_FIELDS, P.OTHER_FIELDS
 
 
 def violations() -> Column:
@@ -34,12 +27,8 @@ def violations() -> Column:
             F.coalesce("exclusions", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")),
             lambda e: e["lo"] >= e["hi"],
         ),
-        "device_index": c("device_index") >= 0,
-        "spectrum_fps": c("spectrum_fps").between(1, 60),
-        "spectrum_bins": c("spectrum_bins").between(16, 8192),
-        "storage_cap": c("max_iq_storage_gb") >= 0,
-        "retention_days": c("retention_days") >= 1,
-        "backend": c("backend").isin("sim", "rtlsdr", "rtl_power", "soapy"),
+        **{rule: c(field).between(low, high) for rule, (field, low, high) in P.CONFIG_RANGES.items()},
+        "backend": c("backend").isin(*P.BACKENDS),
         "gain": (gain == "auto") | gain.try_cast("double").isNotNull(),
     }
     return F.array_compact(

@@ -241,23 +241,13 @@ def activation_alerts(
     from bandsift.operators.capture import throttle
     from bandsift.operators.ranges import alert_rule_match
 
-    turned = cut_lineage(activations(snapshots, chunk)).withColumn(
-        "_row", F.struct("session_id", "channel_id", "snapshot_seq")
-    )
-    matched = alert_rule_match(
-        turned.withColumn("channel_id", F.col("_row")), rules
-    ).select(
-        F.col("channel_id.session_id").alias("session_id"),
-        F.col("channel_id.channel_id").alias("channel_id"),
-        F.col("channel_id.snapshot_seq").alias("snapshot_seq"),
-        "rule_id",
-    )
+    key = ["session_id", "channel_id", "snapshot_seq"]
+    turned = cut_lineage(activations(snapshots, chunk))
+    matched = alert_rule_match(turned, rules, keys=key)
     hits = attach(
-        turned.drop("_row").select(
-            "session_id", "channel_id", "snapshot_seq", F.unix_micros("ts").alias("ts_us")
-        ),
+        turned.select(*key, F.unix_micros("ts").alias("ts_us")),
         matched,
-        ["session_id", "channel_id", "snapshot_seq"],
+        key,
         how="inner",
     )
     return throttle(

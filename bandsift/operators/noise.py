@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,7 +62,7 @@ def with_floor(
     return attach(frames, floors, ["session_id", "frame_seq"], how="inner")
 
 
-def bin_blocks(frames: DataFrame, block_bins: int = 32) -> DataFrame:
+def bin_blocks(frames: DataFrame, block_bins: int = 32, carried: Sequence[str] = ()) -> DataFrame:
     """Cut each spectrum into blocks of neighbouring bins; bins never interact."""
     last = F.floor((F.size("power_db") - 1) / F.lit(block_bins)).cast("int")
     return frames.withColumn(
@@ -76,6 +78,7 @@ def bin_blocks(frames: DataFrame, block_bins: int = 32) -> DataFrame:
         "bin_hz",
         "seed_frames",
         F.slice("power_db", F.col("bin_block") * block_bins + 1, block_bins).alias("power_db"),
+        *carried,
     )
 
 

@@ -6,12 +6,24 @@ otherwise shuffles both by bucket and splits skewed buckets.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandsift import params as P
 
 
+#: A channel is known by its session and its number in it.
+CHANNEL = ["session_id", "channel_id"]
+
+#: Widths of cells grow by FACTOR from level to level.
+LEVELS, FACTOR = 3, 16
+
+#: Points of a cell that are joined in one piece; a cell with more is split.
+HOT_POINTS = 100_000
+
+
 def point_in_range(
     points: DataFrame,
     ranges: DataFrame,
@@ -19,25 +31,42 @@ def point_in_range(
     low: str,
     high: str,
     bucket_hz: int,
-    how: str = "inner",
+    hot_points: int = HOT_POINTS,
 ) -> DataFrame:
-    """Pairs with low <= point <= high; each pair is found in the point's bucket only."""
-    p = points.withColumn("_bucket", F.floor(F.col(point) / bucket_hz))
-    r = (
-        ranges.filter(F.col(low) <= F.col(high))
-        .withColumn(
-            "_range_bucket",
-            F.explode(
-                F.sequence(F.floor(F.col(low) / bucket_hz), F.floor(F.col(high) / bucket_hz))
-            ),
-        )
-    )
+    """Pairs with low <= point <= high, once each.
+
+    Cells have several widths. A range is put into the cells of the narrowest width of which it
+    touches few, so wide ranges don't become many rows; a point looks into its cell of each width. A
+    cell that holds more than `hot_points` points is dealt into parts by a hash of the point, and the
+    ranges of that cell go to all of its parts; so one busy frequency is joined by many tasks.
+    """
+    widths = [bucket_hz * FACTOR**i for i in range(LEVELS)]
+
+    def cells(i: int) -> Column:
+        of = lambda name: F.floor(F.col(name) / widths[i])
+        return F.transform(F.sequence(of(low), of(high)), lambda c: F.struct(F.lit(i).alias("level"), c.alias("cell")))
+
+    own = [F.struct(F.lit(i).alias("level"), F.floor(F.col(point) / w).alias("cell")) for i, w in enumerate(widths)]
+    p = points.withColumn("_cell", F.explode(F.array(*own)))
+    span = F.col(high) - F.col(low)
+    chosen = cells(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        chosen = F.when(span <= FACTOR * widths[i], cells(i)).otherwise(chosen)
+    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_range_cell", F.explode(chosen))
+
+    busy = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_points)
+    busy = busy.select(F.col("_cell").alias("_busy"), F.ceil(F.col("_n") / hot_points).alias("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*points.columns), F.col("_parts"))).otherwise(F.lit(0))
+    p = p.join(busy, F.col("_cell") == F.col("_busy"), "left").withColumn("_part", part).drop("_busy", "_parts")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))
+    r = r.join(busy, F.col("_range_cell") == F.col("_busy"), "left").withColumn("_range_part", every).drop("_busy", "_parts")
     hit = (
-        (p["_bucket"] == r["_range_bucket"])
+        (p["_cell"] == r["_range_cell"])
+        & (p["_part"] == r["_range_part"])
         & (p[point] >= r[low])
         & (p[point] <= r[high])
     )
-    return p.join(r, hit, how).drop("_bucket", "_range_bucket")
+    return p.join(r, hit).drop("_cell", "_part", "_range_cell", "_range_part")
 
 
 def overlap(
@@ -83,7 +112,7 @@ def recordings_near_channel(
         (F.col("center_hz") + half).alias("_high"),
     )
     near = point_in_range(
-        channels.select("channel_id", "center_hz"),
+        channels.select(*CHANNEL, "center_hz"),
         windows,
         "center_hz",
         "_low",
@@ -92,7 +121,7 @@ def recordings_near_channel(
     )
     return near.select(
         "recording_id",
-        "channel_id",
+        *CHANNEL,
         F.abs(F.col("recording_hz") - F.col("center_hz")).alias("distance_hz"),
     )
 
@@ -137,7 +166,7 @@ def reference_range_table(spark: SparkSession) -> DataFrame:
 def _occupied(channels: DataFrame) -> DataFrame:
     half = F.floor(F.col("bandwidth_hz") / 2)
     return channels.select(
-        "channel_id",
+        *CHANNEL,
         (F.col("center_hz") - half).alias("start_hz"),
         (F.col("center_hz") + half).alias("stop_hz"),
     )
@@ -149,7 +178,7 @@ def reference_markers(
     """Markers inside each channel's occupied band."""
     return point_in_range(
         markers, _occupied(channels), "marker_hz", "start_hz", "stop_hz", bucket_hz
-    ).select("channel_id", "marker_hz", "marker_label", "marker_kind")
+    ).select(*CHANNEL, "marker_hz", "marker_label", "marker_kind")
 
 
 def reference_ranges(
@@ -158,7 +187,7 @@ def reference_ranges(
     """Sub-bands that each channel's occupied band touches."""
     return overlap(
         _occupied(channels), ranges, "start_hz", "stop_hz", "lo_hz", "hi_hz", bucket_hz
-    ).select("channel_id", "lo_hz", "hi_hz", "range_label")
+    ).select(*CHANNEL, "lo_hz", "hi_hz", "range_label")
 
 
 def focus_channel(
@@ -174,7 +203,7 @@ def focus_channel(
         (F.col("focus_hz") + half).alias("_high"),
     )
     near = point_in_range(
-        channels.select("channel_id", "center_hz", "last_seen"),
+        channels.select(*CHANNEL, "center_hz", "last_seen"),
         windows,
         "center_hz",
         "_low",
@@ -182,8 +211,9 @@ def focus_channel(
         bucket_hz,
     )
     distance = F.abs(F.col("center_hz") - F.col("focus_hz"))
-    rank = F.struct(F.col("last_seen"), -distance, -F.col("channel_id"))
-    return near.groupBy("focus_id").agg(F.max_by("channel_id", rank).alias("channel_id"))
+    rank = F.struct(F.col("last_seen"), -distance, -F.col("session_id"), -F.col("channel_id"))
+    best = near.groupBy("focus_id").agg(F.max_by(F.struct(*CHANNEL), rank).alias("_c"))
+    return best.select("focus_id", "_c.*")
 
 
 def rule_holds() -> Column:
@@ -206,7 +236,10 @@ def rule_holds() -> Column:
 
 
 def alert_rule_match(
-    channels: DataFrame, rules: DataFrame, bucket_hz: int = 100_000
+    channels: DataFrame,
+    rules: DataFrame,
+    bucket_hz: int = 100_000,
+    keys: Sequence[str] = tuple(CHANNEL),
 ) -> DataFrame:
     """First enabled rule each channel satisfies; absent bounds do not restrict.
 
@@ -230,7 +263,7 @@ def alert_rule_match(
         )
     )
     hits = point_in_range(channels, bounded, "center_hz", "_low", "_high", bucket_hz).filter(rule_holds())
-    return hits.groupBy("channel_id").agg(
+    return hits.groupBy(*keys).agg(
         F.min_by("rule_id", F.struct("rule_order", "rule_id")).alias("rule_id")
     )
 
@@ -264,10 +297,10 @@ def nearest_marker(
         (F.col("marker_hz") + reach_hz).alias("_high"),
     )
     near = point_in_range(
-        channels.select("channel_id", "center_hz"), windows, "center_hz", "_low", "_high", reach_hz
+        channels.select(*CHANNEL, "center_hz"), windows, "center_hz", "_low", "_high", reach_hz
     )
     distance = F.abs(F.col("marker_hz") - F.col("center_hz"))
-    return near.groupBy("channel_id").agg(
+    return near.groupBy(*CHANNEL).agg(
         F.min_by("marker_label", F.struct(distance, "marker_label")).alias("marker_label"),
         F.min(distance).alias("distance_hz"),
     )

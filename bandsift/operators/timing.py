@@ -158,7 +158,7 @@ def next_expected(channels: DataFrame, as_of: Column) -> DataFrame:
     from bandsift.functions.channels import next_expected as expected
 
     return channels.select(
-        "channel_id", *expected(F.col("last_seen"), F.col("recurrence_interval_s"), as_of)
+        *KEYS, *expected(F.col("last_seen"), F.col("recurrence_interval_s"), as_of)
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from array import array
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,9 +32,71 @@ TRACK_SCHEMA = (
 _TRACK_COLUMNS = [part.split()[0] for part in TRACK_SCHEMA.split(", ")]
 
 
-def _middle(ordered: list[float]) -> float:
-    half = len(ordered) // 2
-    return ordered[half] if len(ordered) % 2 else (ordered[half - 1] + ordered[half]) / 2
+class SortedBlocks:
+    """Sorted numbers in arrays of bounded length, eight bytes each."""
+
+    MOST = 2048
+
+    def __init__(self):
+        self.blocks: list[array] = []
+        self.tops: list[float] = []
+        self.n = 0
+
+    def add(self, value: float) -> None:
+        self.n += 1
+        if not self.blocks:
+            self.blocks.append(array("d", [value]))
+            self.tops.append(value)
+            return
+        k = min(bisect_left(self.tops, value), len(self.tops) - 1)
+        own = self.blocks[k]
+        insort(own, value)
+        if len(own) > self.MOST:
+            half = len(own) // 2
+            self.blocks[k : k + 1] = [own[:half], own[half:]]
+            self.tops.insert(k, own[half - 1])
+            own = self.blocks[k + 1]
+            k += 1
+        self.tops[k] = own[-1]
+
+    def pop(self, last: bool) -> float:
+        """Take out the largest or the smallest."""
+        self.n -= 1
+        k = -1 if last else 0
+        value = self.blocks[k].pop(k)
+        if not self.blocks[k]:
+            del self.blocks[k], self.tops[k]
+        elif last:
+            self.tops[-1] = self.blocks[-1][-1]
+        return value
+
+
+class RunningMedian:
+    """The exact median of numbers as they come: a lower and an upper half, each sorted in blocks.
+
+    Holds eight bytes a number (and little more), and takes one in without moving more than a block.
+    """
+
+    def __init__(self, values: Iterable[float] = ()):
+        self.low, self.high = SortedBlocks(), SortedBlocks()
+        for value in values:
+            self.add(value)
+
+    def __iter__(self) -> Iterator[float]:
+        for half in (self.low, self.high):
+            for block in half.blocks:
+                yield from block
+
+    def add(self, value: float) -> None:
+        (self.low if self.low.n and value < self.low.tops[-1] else self.high).add(value)
+        if self.high.n > self.low.n:
+            self.low.add(self.high.pop(last=False))
+        elif self.low.n > self.high.n + 1:
+            self.high.add(self.low.pop(last=True))
+
+    def value(self) -> float:
+        top = self.low.tops[-1]
+        return top if self.low.n > self.high.n else (top + self.high.blocks[0][0]) / 2
 
 
 class TrackFold(Fold):
@@ -73,7 +137,7 @@ class TrackFold(Fold):
             "session_id": self.key[0],
             "segment_start": self.key[1],
             "close_frame": track["last_frame"] + self.holdoff,
-            "width_hz": _middle(track["widths"]),
+            "width_hz": track["widths"].value(),
         }
         return tuple(whole[c] for c in _TRACK_COLUMNS)
 
@@ -99,13 +163,13 @@ class TrackFold(Fold):
                     "peak_db": peak,
                     "peak_snr_db": snr,
                     "above_frames": 0,
-                    "centers": [],
-                    "widths": [],
+                    "centers": RunningMedian(),
+                    "widths": RunningMedian(),
                 }
                 self.tracks.append(best)
-            insort(best["centers"], center)
-            insort(best["widths"], width)
-            best["center_hz"] = _middle(best["centers"])
+            best["centers"].add(center)
+            best["widths"].add(width)
+            best["center_hz"] = best["centers"].value()
             best["peak_db"] = max(best["peak_db"], peak)
             best["peak_snr_db"] = max(best["peak_snr_db"], snr)
             best["above_frames"] += 1
@@ -159,14 +223,14 @@ def track_bursts(
 def finish_burst(
     tracks: DataFrame,
     bin_noise: DataFrame,
-    sessions: DataFrame,
+    axis: DataFrame,
     frame_samples: int = P.FRAME_SAMPLES,
     min_frames: int = P.MIN_QUALIFIED_FRAMES,
     block_bins: int = 32,
 ) -> DataFrame:
     """Measured bursts, with the floor of the nearest bin at closing.
 
-    `sessions` gives sample_rate, f0_hz, bin_hz and n_bins per session.
+    `axis` gives sample_rate, f0_hz, bin_hz and n_bins per (session, segment).
     """
     duration = (F.col("last_frame_start") + frame_samples - F.col("start_sample")) / F.col(
         "sample_rate"
@@ -175,7 +239,7 @@ def finish_burst(
     low = F.floor(place)
     nearest = F.when(place - low > 0.5, low + 1).otherwise(low)
     measured = (
-        attach(tracks, sessions, ["session_id"], how="inner")
+        attach(tracks, axis, ["session_id", "segment_start"], how="inner")
         .withColumn("_bin", F.least(F.greatest(nearest, F.lit(0)), F.col("n_bins") - 1))
         .withColumn("bin_block", F.floor(F.col("_bin") / block_bins).cast("int"))
     )

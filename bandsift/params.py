@@ -111,3 +111,22 @@ REFERENCE_RANGES = [
 CHUNK_S = 86_400
 # Frames per chunk when a history is ordered by frame number.
 CHUNK_FRAMES = 512
+
+# Configuration, fixed: fields that restart acquisition when they change, the other fields, the
+# allowed range of a field by rule, and the names of the tuners.
+ACQUISITION_FIELDS = [
+    "start_hz", "end_hz", "step_hz", "sample_rate", "gain", "ppm", "dwell_ms", "backend",
+    "device_index", "simulation",
+]
+OTHER_FIELDS = [
+    "threshold_db", "noise_floor_alpha", "fft_size", "spectrum_fps", "spectrum_bins",
+    "max_iq_storage_gb", "retention_days", "exclusions",
+]
+CONFIG_RANGES = {
+    "device_index": ("device_index", 0, float("inf")),
+    "spectrum_fps": ("spectrum_fps", 1, 60),
+    "spectrum_bins": ("spectrum_bins", 16, 8192),
+    "storage_cap": ("max_iq_storage_gb", 0, float("inf")),
+    "retention_days": ("retention_days", 1, float("inf")),
+}
+BACKENDS = ["sim", "rtlsdr", "rtl_power", "soapy"]

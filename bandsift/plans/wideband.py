@@ -56,7 +56,8 @@ def spectra(
         precise=precise,
         datatype=how.datatype,
     )
-    return attach(psd, seed_frames(gaps, how.frame_samples), ["session_id"], how="inner")
+    seeds = seed_frames(gaps, how.frame_samples)
+    return attach(psd, seeds, ["session_id", "segment_start"], how="inner")
 
 
 def noise_of(
@@ -67,15 +68,15 @@ def noise_of(
     )
 
 
-def session_axis(bin_noise: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frequency axis and sample rate of every session."""
-    axis = bin_noise.groupBy("session_id").agg(
+def segment_axis(bin_noise: DataFrame, segments: DataFrame) -> DataFrame:
+    """Frequency axis and sample rate of every segment; a retune begins a segment."""
+    key = ["session_id", "segment_start"]
+    axis = bin_noise.groupBy(*key).agg(
         F.max("f0_hz").alias("f0_hz"),
         F.max("bin_hz").alias("bin_hz"),
         F.max(F.col("first_bin") + F.size("noise_db")).alias("n_bins"),
     )
-    rates = segments.groupBy("session_id").agg(F.max("sample_rate").alias("sample_rate"))
-    return attach(axis, rates, ["session_id"], how="inner")
+    return attach(axis, segments.select(*key, "sample_rate"), key, how="inner")
 
 
 def bursts_of(
@@ -92,7 +93,7 @@ def bursts_of(
         finish_burst(
             tracks,
             bin_noise,
-            session_axis(bin_noise, segments),
+            segment_axis(bin_noise, segments),
             how.frame_samples,
             block_bins=how.block_bins,
         )

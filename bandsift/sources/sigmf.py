@@ -5,17 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bandsift import params as P
 from bandsift.functions.samples import decode, encode
+from bandsift.operators.ordered import number_chunk, with_running_sum
+from bandsift.runtime import cut_lineage
 
 SIGMF_SCHEMA = (
     "capture STRING, start_sample BIGINT, center_hz BIGINT, sample_rate INT, "
@@ -23,109 +23,130 @@ SIGMF_SCHEMA = (
 )
 _DATA, _META = ".sigmf-data", ".sigmf-meta"
 
+#: What a listing says of a file pair.
+LISTING_SCHEMA = (
+    "capture STRING, path STRING, bytes BIGINT, datatype STRING, center_hz BIGINT, sample_rate INT, "
+    "captured_at DOUBLE, date DATE"
+)
 
-@dataclass
-class _Range(InputPartition):
-    path: str
-    first: int
-    last: int
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.block_samples = int(options.get("blockSamples", 262_144))
-        self.range_bytes = int(options.get("rangeBlocks", 32)) * self.block_samples * 8
-
-    def partitions(self):
-        """Ranges of whole blocks. Only names and sizes are listed here; each task reads
-        its own sidecar."""
-        fs, root = pafs.FileSystem.from_uri(self.path)
-        info = fs.get_file_info(root)
-        if info.type == pafs.FileType.Directory:
-            files = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        else:
-            files = [info]
-        return [
-            _Range(f.path, start, min(start + self.range_bytes, f.size))
-            for f in files
-            if f.type == pafs.FileType.File and f.path.endswith(_DATA)
-            for start in range(0, f.size, self.range_bytes)
-        ]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(part.path[: -len(_DATA)] + _META) as f:
-            meta = json.loads(f.read())
-        datatype = meta["global"]["core:datatype"]
-        rate = int(meta["global"]["core:sample_rate"])
-        about = meta["captures"][0]
-        began = about.get("core:datetime")
-        epoch = datetime.fromisoformat(began.replace("Z", "+00:00")).timestamp() if began else 0.0
-        width = 2 if datatype == "cu8" else 8
-        name = part.path.rsplit("/", 1)[-1][: -len(_DATA)]
-        schema = pa.schema(
-            [
-                ("capture", pa.string()),
-                ("start_sample", pa.int64()),
-                ("center_hz", pa.int64()),
-                ("sample_rate", pa.int32()),
-                ("captured_at", pa.float64()),
-                ("iq", pa.list_(pa.float32())),
-            ]
-        )
-        with fs.open_input_file(part.path) as f:
-            f.seek(part.first)
-            at = part.first
-            while at < part.last:
-                raw = f.read(min(self.block_samples * width, part.last - at))
-                raw = raw[: len(raw) // width * width]
-                if not raw:
-                    break
-                iq = decode(raw, datatype)
-                start = at // width
-                flat = pa.array(iq, pa.float32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name]),
-                        pa.array([start], pa.int64()),
-                        pa.array([int(about["core:frequency"])], pa.int64()),
-                        pa.array([rate], pa.int32()),
-                        pa.array([epoch + start / rate]),
-                        pa.ListArray.from_arrays(pa.array([0, len(iq)], pa.int32()), flat),
-                    ],
-                    schema=schema,
-                )
-                at += len(raw)
+#: Bytes that a read task gets, and samples of a block.
+PARTITION_BYTES, BLOCK_SAMPLES = 128 << 20, 262_144
 
 
-class SigmfSource(DataSource):
-    """spark.read.format("sigmf").load(folder): one row per block of samples."""
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
-    @classmethod
-    def name(cls) -> str:
-        return "sigmf"
 
-    def schema(self) -> str:
-        return SIGMF_SCHEMA
+def list_sigmf(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file pair under `path`: Spark lists the folder and tasks read the sidecars.
 
-    def reader(self, schema):
-        return _Reader(self.options)
+    Data files without a sidecar, and sidecars without data, are left out. A listing may be stored as a
+    table (`write_sigmf` returns what it needs too), so that later reads list nothing.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    stem = lambda suffix: F.expr(f"left(path, length(path) - {len(suffix)})")
+    data = found.option("pathGlobFilter", f"*{_DATA}").load(_uri(path)).select(stem(_DATA).alias("_stem"), "path", F.col("length").alias("bytes"))
+    text = F.col("content").cast("string")
+    meta = found.option("pathGlobFilter", f"*{_META}").load(_uri(path)).select(stem(_META).alias("_stem"), F.from_json(text, _SIDECAR).alias("m"))
+    first = F.col("m.captures")[0]
+    at = F.coalesce(F.to_timestamp(first["core:datetime"]).cast("double"), F.lit(0.0))
+    return data.join(meta, "_stem").select(
+        F.element_at(F.split("_stem", "/"), -1).alias("capture"),
+        "path",
+        "bytes",
+        F.col("m.global")["core:datatype"].alias("datatype"),
+        first["core:frequency"].cast("bigint").alias("center_hz"),
+        F.col("m.global")["core:sample_rate"].cast("int").alias("sample_rate"),
+        at.alias("captured_at"),
+        F.to_date(F.timestamp_seconds(at)).alias("date"),
+    )
 
 
-def _uri(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
+_SIDECAR = (
+    "global STRUCT<`core:datatype`: STRING, `core:sample_rate`: DOUBLE>, "
+    "captures ARRAY<STRUCT<`core:datetime`: STRING, `core:frequency`: DOUBLE>>"
+)
 
 
-def read_sigmf(spark: SparkSession, path: str, block_samples: int = 262_144) -> DataFrame:
-    """`iq_blocks` of every capture under `path`; the capture's name gives the session."""
-    spark.dataSource.register(SigmfSource)
-    rows = (
-        spark.read.format("sigmf").option("blockSamples", block_samples).load(_uri(path))
+def read_listed(
+    listing: DataFrame, block_samples: int = BLOCK_SAMPLES, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
+    """`iq_blocks` of the listed captures; filters on the listing (centre, date, name) prune files.
+
+    Large files are cut into ranges of whole blocks, and ranges are packed, by running sum of their
+    bytes, into partitions of about `partition_bytes`: many small files make few partitions.
+    """
+    width = F.when(F.col("datatype") == "cu8", 2).otherwise(8).cast("bigint")
+    most = F.greatest(F.lit(1), F.floor(F.lit(partition_bytes) / (width * block_samples))) * width * block_samples
+    cut = listing.withColumn("_most", most.cast("bigint")).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.col("_most")))
     )
+    cut = cut.withColumn("last", F.least(F.col("first") + F.col("_most"), F.col("bytes"))).drop("_most")
+    # Where a range lies in the order of packing; its chunk of the running sum follows from it.
+    cut = cut.withColumn("_place", F.pmod(F.xxhash64("path"), F.lit(1 << 20))).withColumn("_all", F.lit(0))
+    size = F.col("last") - F.col("first")
+    placed = cut_lineage(with_running_sum(cut, ["_all"], ["_place", "path", "first"], {"_through": size}, number_chunk("_place", 1024)))
+    total = placed.agg(F.max("_through")).first()[0] or 0
+    tasks = max(1, -(-total // partition_bytes))
+    bin_ = F.least(F.floor((F.col("_through") - size) / partition_bytes), F.lit(tasks - 1)).cast("int")
+    packed = placed.withColumn("_bin", bin_).repartitionById(tasks, "_bin").select(*_RANGE)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _blocks(row, block_samples)
+
+    rows = packed.mapInArrow(read, SIGMF_SCHEMA)
     return rows.withColumn("session_id", F.xxhash64("capture"))
 
 
+_RANGE = ["capture", "path", "datatype", "center_hz", "sample_rate", "captured_at", "first", "last"]
+_BLOCK = pa.schema(
+    [
+        ("capture", pa.string()),
+        ("start_sample", pa.int64()),
+        ("center_hz", pa.int64()),
+        ("sample_rate", pa.int32()),
+        ("captured_at", pa.float64()),
+        ("iq", pa.list_(pa.float32())),
+    ]
+)
+
+
+def _blocks(row: dict, block_samples: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range of a file."""
+    width = 2 if row["datatype"] == "cu8" else 8
+    fs, where = pafs.FileSystem.from_uri(_uri(row["path"]))
+    at = row["first"]
+    with fs.open_input_file(where) as f:
+        f.seek(at)
+        while at < row["last"]:
+            raw = f.read(min(block_samples * width, row["last"] - at))
+            raw = raw[: len(raw) // width * width]
+            if not raw:
+                break
+            iq, start = decode(raw, row["datatype"]), at // width
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["capture"]]),
+                    pa.array([start], pa.int64()),
+                    pa.array([row["center_hz"]], pa.int64()),
+                    pa.array([row["sample_rate"]], pa.int32()),
+                    pa.array([row["captured_at"] + start / row["sample_rate"]]),
+                    pa.ListArray.from_arrays(pa.array([0, len(iq)], pa.int32()), pa.array(iq, pa.float32())),
+                ],
+                schema=_BLOCK,
+            )
+            at += len(raw)
+
+
+def read_sigmf(
+    spark: SparkSession, path: str, block_samples: int = BLOCK_SAMPLES, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
+    """`iq_blocks` of every capture under `path`; the capture's name gives the session."""
+    return read_listed(list_sigmf(spark, path), block_samples, partition_bytes)
+
+
 RECORDING_SCHEMA = (
     "session_id BIGINT, timestamp STRING, path STRING, center_hz BIGINT, sample_rate INT, "
     "gain STRING, duration_ms BIGINT, format STRING, bytes BIGINT, sigmf_meta STRING"

@@ -52,12 +52,23 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def iq_block_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Live IQ blocks from a folder of Parquet files, rate limited per micro-batch."""
-    return (
+    """Live IQ blocks from a folder of Parquet files, rate limited per micro-batch.
+
+    Each micro-batch reports `iq_blocks` (blocks, samples, first and last position) with its
+    progress; counters by source are those of `live_acquisition`.
+    """
+    rows = (
         spark.readStream.schema(schemas.IQ_BLOCKS)
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
     )
+    return rows.observe(
+        "iq_blocks",
+        F.count(F.lit(1)).alias("blocks"),
+        F.coalesce(F.sum(F.size("iq") / 2), F.lit(0.0)).cast("bigint").alias("samples"),
+        F.max("start_sample").alias("last_position"),
+        F.min("start_sample").alias("first_position"),
+    )
 
 
 def export_csv(rows: DataFrame, kind: str, path: str, order: list[str], limit: int | None = None) -> None:

@@ -22,7 +22,7 @@ from bandsift.operators.cluster import (
 )
 from bandsift.operators.noise import check_alpha
 from bandsift.operators.ordered import columns_of
-from bandsift.operators.tracks import _TRACKED_COLUMNS, TRACK_SCHEMA, TrackFold
+from bandsift.operators.tracks import _TRACKED_COLUMNS, TRACK_SCHEMA, RunningMedian, TrackFold
 from bandsift.streaming.buffer import LATENESS, LiveFold, in_order
 
 
@@ -139,11 +139,14 @@ class LiveTrackFold(TrackFold, LiveFold):
     )
 
     def saved(self) -> tuple:
-        return [tuple(t[c] for c in self.TRACK) for t in self.tracks], self.frame, self.pending
+        whole = [{**t, "centers": list(t["centers"]), "widths": list(t["widths"])} for t in self.tracks]
+        return [tuple(t[c] for c in self.TRACK) for t in whole], self.frame, self.pending
 
     def restore(self, state: tuple) -> None:
         tracks, self.frame, self.pending = state
         self.tracks = [dict(zip(self.TRACK, t, strict=True)) for t in tracks]
+        for track in self.tracks:
+            track |= {c: RunningMedian(track[c]) for c in ("centers", "widths")}
 
     def finish(self) -> list[tuple]:
         out = super().finish()
@@ -369,3 +372,65 @@ def live_captures(
         closing,
         lateness,
     )
+
+
+class AcquisitionFold(LiveFold):
+    """Counters of one source: blocks, samples, losses, retunes, late blocks."""
+
+    COUNTERS = (
+        "blocks_acquired", "samples_acquired", "sample_cursor", "dropped_runs", "dropped_samples",
+        "retunes", "timing_gaps", "estimated_gap_samples",
+    )
+    STATE = "end BIGINT, center BIGINT, rate INT, captured DOUBLE, n BIGINT, counted ARRAY<BIGINT>"
+    SCHEMA = "session_id BIGINT, " + ", ".join(f"{c} BIGINT" for c in COUNTERS)
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.end = self.center = self.rate = self.captured = self.n = None
+        self.counted = dict.fromkeys(self.COUNTERS, 0)
+
+    def saved(self) -> tuple:
+        return self.end, self.center, self.rate, self.captured, self.n, list(self.counted.values())
+
+    def restore(self, state: tuple) -> None:
+        self.end, self.center, self.rate, self.captured, self.n, counted = state
+        self.counted = dict(zip(self.COUNTERS, counted, strict=True))
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        out, own = [], self.counted
+        names = ["start_sample", "end_sample", "center_hz", "sample_rate", "captured_at"]
+        for start, end, center, rate, captured in columns_of(rows, names):
+            own["blocks_acquired"] += 1
+            own["samples_acquired"] += end - start
+            own["sample_cursor"] = max(own["sample_cursor"], end)
+            if self.end is not None:
+                own["dropped_runs"] += start != self.end
+                own["dropped_samples"] += max(0, start - self.end)
+                own["retunes"] += (center, rate) != (self.center, self.rate)
+                expected = self.n / rate
+                excess = captured - self.captured - expected
+                if self.n > 0 and excess > max(0.005, expected * 0.5):
+                    own["timing_gaps"] += 1
+                    own["estimated_gap_samples"] += max(0, round(excess * rate))
+            self.end, self.center, self.rate, self.captured, self.n = end, center, rate, captured, end - start
+            out.append((self.key[0], *own.values()))
+        return out
+
+
+def live_acquisition(
+    meta: DataFrame,
+    time: Column | None = None,
+    closing: DataFrame | None = None,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Streaming `acquisition_stats`: the counters of each source after each of its blocks."""
+    return in_order(
+        meta.select("session_id", "start_sample", "end_sample", "center_hz", "sample_rate", "captured_at"),
+        ["session_id"],
+        ["start_sample"],
+        sample_time() if time is None else time,
+        AcquisitionFold,
+        AcquisitionFold.SCHEMA,
+        closing,
+        lateness,
+    )

@@ -56,16 +56,16 @@ def arrivals(spark, seconds):
 
 
 def test_recurrence_cases(spark):
-    pairs = [t for s in (0, 4, 8, 12) for t in (s, s + 0.05)]
+    pairs = [t for s in (3, 9, 15, 21, 27) for t in (s, s + 0.08)]
     (r,) = timing.recurrence_stats(arrivals(spark, pairs)).collect()
-    assert (r.burst_count, r.recurrence_interval_s, r.typical_burst_ms) == (4, 4.0, 50.0)
+    assert (r.burst_count, r.recurrence_interval_s, r.typical_burst_ms) == (5, 6.0, 80.0)
     assert r.interval_jitter_s == 0.0
-    (r,) = timing.recurrence_stats(arrivals(spark, [1.0, 1.05, 1.1])).collect()
+    (r,) = timing.recurrence_stats(arrivals(spark, [5.0, 5.3, 5.9])).collect()
     assert (r.burst_count, r.recurrence_interval_s, r.interval_jitter_s) == (1, None, None)
-    (r,) = timing.recurrence_stats(arrivals(spark, [0, 0.1, 0.2])).collect()
-    assert r.typical_burst_ms == 200.0
-    bursts = timing.burst_sessions(arrivals(spark, range(0, 1000, 10)), max_arrivals=10)
-    assert bursts.agg(F.min("start_us")).first()[0] == 900_000_000
+    (r,) = timing.recurrence_stats(arrivals(spark, [2, 2.4, 2.7])).collect()
+    assert r.typical_burst_ms == 700.0
+    bursts = timing.burst_sessions(arrivals(spark, range(0, 300, 3)), max_arrivals=7)
+    assert bursts.agg(F.min("start_us")).first()[0] == 279_000_000
     # A gap of exactly the limit does not split.
     assert timing.burst_sessions(arrivals(spark, [0, 1.0, 2.5])).count() == 2
 
