@@ -103,7 +103,7 @@ def test_pattern_scores(spark):
 
 def test_similarity_and_sorting(spark):
     df = channels(spark, {}, {}, {"snr_db": 7.25, "typical_burst_ms": None, "recurrence_interval_s": None})
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "channel_a bigint, channel_b bigint")
+    pairs = df.select("session_id").distinct().join(spark.createDataFrame([(1, 2), (1, 3)], "channel_a bigint, channel_b bigint"))
     same, other = ch.channel_similarity(df, pairs).orderBy("channel_b").collect()
     assert (same.score, same.verdict) == (1.0, "similar")
     assert other.score == pytest.approx(1 - (0 + 0.5 + 1 + 1) / 4) and other.verdict == "different"
