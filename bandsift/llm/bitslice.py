@@ -13,12 +13,14 @@ k rows a query; these are ranked again over all blocks.
 
 Edge cases: a vector that is null, or holds null, NaN or infinity, takes no part; neither does a row
 without an id. Shorter vectors count as zero in what they lack. Rows with equal ids are different
-rows, but a query never meets a row with its own id. An empty table gives no rows. A quantised
-component that doesn't fit in 32 bits is an error.
+rows, but a query never meets a row with its own id. An empty table gives no rows. Components are
+cut to 64 bits. Where scores of a block could need more than 62 bits they are summed as Python
+integers instead of slices; a score itself is cut to 64 bits, and ranks as cut.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ def quantised(column: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null if the vector takes no part."""
     as_double = F.transform(column, lambda x: x.cast("double"))
     bad = F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(column.isNotNull() & ~bad, F.transform(as_double, lambda x: F.floor(F.lit(scale) * x).cast("int")))
+    return F.when(column.isNotNull() & ~bad, F.transform(as_double, lambda x: F.floor(F.lit(scale) * x)))
 
 
 def slice_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -102,12 +104,39 @@ def select(scores: list[np.ndarray], member: np.ndarray, k: int) -> tuple[np.nda
     return sure, tied
 
 
+#: Scores surely below this are summed by slices.
+SLICED = 2.0**61
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def too_wide(rows: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether a score, or a sum on the way to it, may not fit."""
+    if not rows.size or not queries.size:
+        return False
+    high, low = rows.max(axis=0).astype(float), rows.min(axis=0).astype(float)
+    reach = np.maximum(high - low, np.maximum(np.abs(high), np.abs(low)))
+    return bool(reach.max() >= SLICED or (np.abs(queries.astype(float)) @ reach).max() >= SLICED)
+
+
+def top_by_integers(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `top`, with integers of any size."""
+    found: list[tuple[int, int, int]] = []
+    wide = rows.astype(object)
+    for n, (q, own) in enumerate(zip(queries.astype(object), query_ids.tolist(), strict=True)):
+        scores = [min(max(x, LEAST), MOST) for x in (wide @ q).tolist()]
+        best = heapq.nsmallest(k, ((-x, i) for x, i in zip(scores, ids.tolist(), strict=True) if i != own))
+        found += [(n, i, -x) for x, i in best]
+    return tuple(np.array([f[c] for f in found], np.int64) for c in range(3))
+
+
 def first_bits(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))[:n]
 
 
 def top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row id, score) of each query's k best rows of a block; rows ascend by id."""
+    if too_wide(rows, queries):
+        return top_by_integers(rows, ids, queries, query_ids, k)
     slices, _, bits = slice_rows(rows)
     words = slices.shape[2]
     all_rows = np.zeros(words * 64, np.uint8)
@@ -145,8 +174,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def block(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // size))
-        # Hashing with the vector too spreads rows that share an id.
-        key = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+        # The place in the written table spreads rows that are alike, too.
+        key = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int")
         packed = df.withColumn("block", key).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
         return packed, n
 
