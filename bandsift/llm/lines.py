@@ -7,9 +7,9 @@ exactly, and lines found in enough documents go from all documents but the one w
 doc_id. The filter that is broadcast has FILTER_BITS bits whatever the input; when it fills up, more
 lines are suspects, and the result is the same.
 
-Edge cases: a null or empty text is one empty line; a null doc_id counts as less than any other;
-repeated doc_ids count as separate documents and all keep their lines if theirs is the largest;
-repeats of a line within one document count once; an empty table gives no rows.
+Edge cases: a null or empty text is one empty line; a null doc_id counts as less than any other, and
+all rows without one as one document; so do rows that share a doc_id, which all keep their lines if
+theirs is the largest; repeats of a line within one document count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,25 +61,25 @@ class Pair:
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.once, self.twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
     def add(self, low: np.ndarray) -> None:
         own, counts = np.unique(low, return_counts=True)
         at = probes(own, self.bits)
-        again = (counts > 1) | self.once[at].all(axis=0)
-        self.once[at.ravel()] = True
-        self.twice[at[:, again].ravel()] = True
+        place, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+        again = (counts > 1) | (self.once[place] & bit > 0).all(axis=0)
+        np.bitwise_or.at(self.once, place.ravel(), bit.ravel())
+        np.bitwise_or.at(self.twice, place[:, again].ravel(), bit[:, again].ravel())
 
     def slices(self, size: int) -> Iterator[tuple[int, bool, bool, bytes]]:
         """(slice, whether twice, whether positions, data): positions where they are shorter."""
         for twice, all_bits in ((False, self.once), (True, self.twice)):
             for i in range(0, self.bits, size):
-                own = all_bits[i : i + size]
-                at = np.flatnonzero(own)
-                if not len(at):
+                own = all_bits[i // 8 : (i + size) // 8]
+                if not (n := int(np.bitwise_count(own).sum(dtype=np.int64))):
                     continue
-                few = 4 * len(at) < size // 8
-                yield i // size, twice, few, at.astype("<u4").tobytes() if few else np.packbits(own).tobytes()
+                few = 4 * n < size // 8
+                yield i // size, twice, few, np.flatnonzero(np.unpackbits(own)).astype("<u4").tobytes() if few else own.tobytes()
 
 
 def _unpacked(data: bytes, few: bool, size: int) -> np.ndarray:
@@ -100,10 +100,8 @@ def repeated_filter(docs: DataFrame, least: int, bits: int = FILTER_BITS, slice_
             found = [x for t in texts(batch) for x in set(digests(t, least)) if x]
             if found:
                 pair.add(np.ascontiguousarray(_halves(found)[:, 0]))
-        rows = list(pair.slices(slice_bits))
-        for i in range(0, len(rows), 16):
-            cols = zip(*rows[i : i + 16], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SLICE.types, strict=True)], schema=_SLICE)
+        for row in pair.slices(slice_bits):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SLICE.types, strict=True)], schema=_SLICE)
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All of a slice is in one partition; slices stay open until the end of it.
@@ -163,7 +161,7 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: i
     """
     lines = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = cut_lineage(suspects(lines, least_chars, repeated_filter(lines, least_chars, bits)))
-    counted = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays"))
+    counted = found.groupBy("hi", "lo").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("stays"))
     confirmed = cut_lineage(counted.filter(F.col("n") >= least_docs).select("hi", "lo", "stays"))
     losing = found.join(confirmed, ["hi", "lo"]).filter((F.col("doc_id") < F.col("stays")) | (F.col("doc_id").isNull() & F.col("stays").isNotNull()))
     drops = losing.select(F.col("doc_id").alias("_doc"), F.struct("hi", "lo").alias("_d")).distinct()

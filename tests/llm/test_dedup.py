@@ -125,6 +125,15 @@ def test_line_dedup(spark):
     assert lines.without_repeated_lines(frame(spark, []), bits=1 << 12).collect() == []
 
 
+def test_a_document_counts_once_however_many_rows_it_has(spark):
+    line = "a line that is long enough to be counted at all"
+    rows = [(1, line)] * 5 + [(2, line)] + [(None, line)] * 3
+    got = lines.without_repeated_lines(frame(spark, rows), bits=1 << 12)
+    assert got.agg({"n_dropped": "sum"}).first()[0] == 0
+    got = lines.without_repeated_lines(frame(spark, [*rows, (3, line), (4, line)]), bits=1 << 12).collect()
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in got) == [(0, 1)] * 3 + [(1, 1)] * 5 + [(2, 1), (3, 1), (4, 0)]
+
+
 def test_filter_pairs_merge():
     rnd = np.random.default_rng(3)
     low = rnd.integers(-(2**62), 2**62, 400)
@@ -132,7 +141,9 @@ def test_filter_pairs_merge():
     one.add(low[:300])
     two.add(low[250:])
     merged = (one.once & two.once) | one.twice | two.twice
-    assert merged[lines.probes(low[250:300], 1 << 12)].all()
+    assert bloom.holds(merged, low[250:300]).all() and not bloom.holds(one.twice, low[:250]).all()
+    parts = {(i, twice): lines._unpacked(data, few, 1 << 10) for i, twice, few, data in two.slices(1 << 10)}
+    assert (np.packbits(np.concatenate([parts[i, False] for i in range(4)])) == two.once).all()
 
 
 def test_golay_keys_miss_nothing():
