@@ -1,18 +1,23 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
 Each line has a few features of its own and of its place in the text (shape of words, symbols,
-repeats). Viterbi decoding finds the likeliest labels of all lines of a document together; the share
-of its words that lie in content lines decides. Fixed rules come first: very short texts and texts
-made of repeats are rejected whatever the labels.
-
-The field is fitted on at most TRAIN_DOCS labelled documents, those whose doc_id hashes lowest, less
-those that the fixed rules decide: a line counts as content if its document is labelled good.
-Everything else covers every row.
+repeats, whether it is one of the lines that documents are known to share). Viterbi decoding finds the
+likeliest labels of all lines of a document together; the share of its words that lie in content lines
+decides. Fixed rules come first: very short texts and texts made of repeats are rejected whatever the
+labels.
+
+The field is fitted on at most TRAIN_DOCS labelled documents, those whose doc_id hashes lowest, whole,
+less those that the fixed rules decide or that have more than TRAIN_LINES lines. Only documents are
+labelled, so lines get weak labels: in a good document a line is content unless it is known, that is
+short and found in documents of the sample after LEAST_CONTEXTS different lines (copies of one document
+have it after the same line always); in a bad one all lines are boilerplate at first. After a first
+fit those lines of bad documents that decode as content become content, if they are less than half of
+the document's words; then the field is fitted again. Everything else covers every row.
 
 Edge cases: a null or empty text has no words and fails the fixed rules; a document without a label
 is judged like any other; labels that lack one of the two kinds (or are missing) give a field that
-calls every line content; repeated doc_ids give a row each, but one
-of them at most is fitted on; an empty table gives no rows.
+calls every line content; of equally likely labels content is taken; lines without words have no label;
+repeated doc_ids give a row each, but one of them at most is fitted on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +27,28 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 from bandsift.llm.common import batches, texts
 
-#: Labelled documents, and lines of each, that the field may be fitted on.
+#: Labelled documents that the field may be fitted on, and lines of one at most.
 TRAIN_DOCS, TRAIN_LINES = 2000, 200
 
+#: A known line has at most so many words, and comes after so many different lines.
+KNOWN_WORDS, LEAST_CONTEXTS = 30, 3
+
 #: Share of words in content lines from which a document is kept.
 CONTENT_SHARE = 0.5
 
 SYMBOLS = b"#*$%&|<>"
 
-FEATURES = ["one", "repeated", "symbols", "upper", "shouts", "duplicate", "short", "long_words", "digits", "bars"]
+FEATURES = ["one", "repeated", "symbols", "upper", "shouts", "duplicate", "short", "long_words", "digits", "bars", "known"]
 
-Model = tuple[np.ndarray, np.ndarray]
+#: Weights of features, of moves, and the known lines (sorted hashes).
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Text:
@@ -65,9 +75,17 @@ class Text:
         self.n_repeat = int(self.repeated.sum())
         self.failed = self.n_words < 50 or 100 * self.n_repeat > 50 * self.n_words
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self) -> np.ndarray:
+        """A hash of each line with words, without the white space around it and ASCII capitals."""
+        own = [self.lines[i].strip().lower() for i in np.flatnonzero(self.sizes)]
+        return np.array([xxhash.xxh64_intdigest(x) for x in own], np.uint64).view(np.int64)
+
+    def features(self, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(words of each line with words, features of those lines)."""
         at = np.flatnonzero(self.sizes)
+        is_known = np.zeros(len(at))
+        if known is not None and len(known) and len(at):
+            is_known = (np.isin(self.keys(), known) & (self.sizes[at] <= KNOWN_WORDS)).astype(float)
         starts = np.concatenate([[0], np.cumsum(self.sizes[at])[:-1]]).astype(np.int64) if len(at) else np.zeros(0, np.int64)
         n = self.sizes[at].astype(float)
         per = lambda v: np.add.reduceat(np.asarray(v, float), starts) / n if len(at) else np.zeros(0)
@@ -86,6 +104,7 @@ class Text:
                 per([len(w) > 20 for w in self.words]),
                 of(b"0123456789") / np.maximum(size, 1),
                 np.minimum(1, 2 * of(b"|") / n),
+                is_known,
             ],
             axis=1,
         )
@@ -127,37 +146,29 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int8)
 
 
-def fit(documents: list[tuple[int, np.ndarray]], rounds: int = 120, rate: float = 0.2, shrink: float = 1e-2) -> Model:
+def fit(documents: list[tuple[np.ndarray, float, np.ndarray]], rounds: int = 80, rate: float = 0.2, shrink: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features for each label and of moves, by gradient ascent on the likelihood of labels.
 
-    documents: (label, features of its lines). Sequences of equal length are handled together.
+    documents: (labels of its lines, weight, features of its lines). Sequences of equal length are
+    handled together.
     """
-    kinds = {label for label, _ in documents}
     weights, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    if kinds != {0, 1}:
-        weights[0, 1] = 1.0
-        return weights, move
-    share = {k: 0.5 / sum(label == k for label, _ in documents) for k in kinds}
-    groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for label, f in documents:
-        if len(f):
-            groups.setdefault(len(f), []).append((label, f))
+    groups: dict[int, list[tuple[np.ndarray, float, np.ndarray]]] = {}
+    for labels, weight, f in documents:
+        groups.setdefault(len(f), []).append((labels, weight / len(f), f))
     packed = []
     for length, own in groups.items():
-        y = np.array([label for label, _ in own])
-        weight = np.array([share[label] / length for label, _ in own])
-        packed.append((np.stack([f for _, f in own]), y, weight))
+        y = np.stack([labels for labels, _, _ in own]).astype(int)
+        true = np.eye(2)[y]
+        moves = np.einsum("dla,dlb->dab", true[:, :-1], true[:, 1:]) if length > 1 else np.zeros((len(own), 2, 2))
+        packed.append((np.stack([f for _, _, f in own]), true, moves, np.array([w for _, w, _ in own])))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, move)]
     for step in range(1, rounds + 1):
         gw, gm = -shrink * weights, -shrink * move
-        for x, y, weight in packed:
+        for x, true, moves, weight in packed:
             node, edge = marginals(x @ weights, move)
-            true = np.zeros_like(node)
-            true[np.arange(len(y)), :, y] = 1
             gw = gw + np.einsum("dlf,dlk,d->fk", x, true - node, weight)
-            stays = np.zeros((len(y), 2, 2))
-            stays[np.arange(len(y)), y, y] = x.shape[1] - 1
-            gm = gm + ((stays - edge) * weight[:, None, None]).sum(axis=0)
+            gm = gm + ((moves - edge) * weight[:, None, None]).sum(axis=0)
         for value, grad, (m, v) in zip((weights, move), (gw, gm), state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
@@ -165,6 +176,40 @@ def fit(documents: list[tuple[int, np.ndarray]], rounds: int = 120, rate: float
     return weights, move
 
 
+def known_lines(documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sorted hashes of lines that come after several different ones; documents: (words, hashes) of lines."""
+    before: dict[int, set[int]] = {}
+    for sizes, keys in documents:
+        own = keys.tolist()
+        for size, prior, key in zip(sizes.tolist(), [0, *own], own, strict=False):
+            if size <= KNOWN_WORDS:
+                before.setdefault(key, set()).add(prior)
+    return np.array(sorted(k for k, own in before.items() if len(own) >= LEAST_CONTEXTS), np.int64)
+
+
+def learned(sample: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """The field from documents (label, words, hashes and features of lines), by weak labels in two fits."""
+    sample = [s for s in sample if len(s[1])]
+    if {s[0] for s in sample} != {0, 1}:
+        weights = np.zeros((len(FEATURES), 2))
+        weights[0, 1] = 1.0
+        return weights, np.zeros((2, 2)), np.zeros(0, np.int64)
+    known = known_lines([(sizes, keys) for _, sizes, keys, _ in sample])
+    share = {k: 0.5 / sum(label == k for label, *_ in sample) for k in (0, 1)}
+    documents = []
+    for label, sizes, keys, f in sample:
+        hit = np.isin(keys, known) & (sizes <= KNOWN_WORDS)
+        f[:, FEATURES.index("known")] = hit
+        documents.append((np.where(hit, 0, label), share[label], f))
+    weights, move = fit(documents)
+    for n, (label, sizes, _, f) in enumerate(sample):
+        if not label:
+            own = viterbi(f @ weights, move)
+            if 2 * (sizes * own).sum() < sizes.sum():
+                documents[n] = (own, share[label], f)
+    return *fit(documents), known
+
+
 def marginals(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over documents of equal length: label shares, and expected moves."""
     d, n, _ = emit.shape
@@ -194,25 +239,33 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             own = [Text(t) for t in texts(batch)]
-            batch = batch.filter(pa.array([not x.failed for x in own], pa.bool_()))
-            found = [x.features()[1][:TRAIN_LINES] for x in own if not x.failed]
+            used = [not x.failed and len(x.lines) <= TRAIN_LINES for x in own]
+            batch = batch.filter(pa.array(used, pa.bool_()))
+            found = [(*x.features(), x.keys()) for x, use in zip(own, used, strict=True) if use]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("labelled_id"), batch.column("good"), pa.array([f.ravel().tolist() for f in found], pa.list_(pa.float64()))],
-                names=["labelled_id", "good", "features"],
+                [
+                    batch.column("labelled_id"),
+                    batch.column("good"),
+                    pa.array([s.tolist() for s, _, _ in found], pa.list_(pa.int64())),
+                    pa.array([k.tolist() for _, _, k in found], pa.list_(pa.int64())),
+                    pa.array([f.ravel().tolist() for _, f, _ in found], pa.list_(pa.float64())),
+                ],
+                names=["labelled_id", "good", "sizes", "keys", "features"],
             )
 
-    schema = StructType().add("labelled_id", labels.schema["doc_id"].dataType).add("good", IntegerType()).add("features", ArrayType(DoubleType()))
+    schema = StructType().add("labelled_id", labels.schema["doc_id"].dataType).add("good", IntegerType())
+    schema = schema.add("sizes", ArrayType(LongType())).add("keys", ArrayType(LongType())).add("features", ArrayType(DoubleType()))
     # One row for each sampled doc_id, however often documents repeat it.
     found = own.select("labelled_id", "good", "text").mapInArrow(features, schema)
-    rows = found.groupBy("labelled_id", "good").agg(F.min("features").alias("features")).collect()
-    sample = [(r["good"], np.array(r["features"]).reshape(-1, len(FEATURES))) for r in rows]
-    return fit(sorted(sample, key=lambda s: (s[0], s[1].tobytes())))
+    rows = found.groupBy("labelled_id", "good").agg(F.min(F.struct("features", "sizes", "keys")).alias("d")).collect()
+    sample = [(r["good"], np.array(r["d"]["sizes"], np.int64), np.array(r["d"]["keys"], np.int64), np.array(r["d"]["features"]).reshape(-1, len(FEATURES))) for r in rows]
+    return learned(sorted(sample, key=lambda s: (s[0], s[3].tobytes(), s[2].tobytes())))
 
 
 def judge(text: str, model: Model) -> tuple[int, int, int, int, int, bool, bool, float]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content share."""
     own = Text(text)
-    sizes, features = own.features()
+    sizes, features = own.features(model[2])
     labels = viterbi(features @ model[0], model[1])
     share = float((sizes * labels).sum() / own.n_words) if own.n_words else 0.0
     kept = not own.failed and share >= CONTENT_SHARE

@@ -121,6 +121,31 @@ def test_search_edge_cases(spark):
     assert bitslice.top_inner_products(df.limit(0)).collect() == []
 
 
+def test_search_of_components_of_any_size(spark, monkeypatch):
+    """Against Python integers; a score beyond 64 bits is cut to them and ranks as cut."""
+    rnd = random.Random(3)
+    sizes = [1.0, 1e6, 2.0**31, 1e9, 1e12, 1e300]
+    rows = [(i, [rnd.choice(sizes) * rnd.choice([-1, 1]) * rnd.random() for _ in range(3)]) for i in range(60)] + [(20, [1e9, 1.0, 0.0])] * 3 + [(100, [-1e300, 1e300, 1.0])]
+    cut = lambda x, n=63: max(-(1 << n), min((1 << n) - 1, x))
+    whole = [(i, [cut(math.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole:
+        if q % 20 == 0:
+            scored = sorted((-cut(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in whole if i != q)[:7]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    monkeypatch.setattr(bitslice, "ROWS", 16)
+    df = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslice.top_inner_products(df, k=7).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_equal_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "ROWS", 50)
+    df = ready(spark).createDataFrame([(1, [1.0, 2.0])] * 400 + [(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = bitslice.top_inner_products(df.repartition(4), k=5).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 4096)] * 5
+
+
 def brute_lattice(model, word):
     text = "▁" + word
     total = [1.0] + [0.0] * len(text)
@@ -201,13 +226,79 @@ def test_quality(spark):
 
 def test_fit_takes_one_row_of_each_document(spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(crf, "fit", lambda sample: taken.append(len(sample)))
+    monkeypatch.setattr(crf, "learned", lambda sample: taken.append(len(sample)))
     words = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(5)]
     df = frame(spark, [(1, words[0])] * 40 + [(1, words[1])] * 3 + [(i, w) for i, w in enumerate(words[2:], 2)])
     crf.fitted(df, ready(spark).createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
     assert taken == [3]
 
 
+def test_boilerplate_lines_of_good_documents_are_found(spark):
+    """Lines get labels of their own: shares lie between 0 and 1; copies of a document aren't boilerplate."""
+    rnd = random.Random(15)
+    words = [f"wor{i}" for i in range(400)]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    notes = ["All rights of this page are reserved by us", "Read more of this in our letter", "Share this with a friend of yours"]
+    copied = "\n".join(line(20) for _ in range(6))
+    rows, planted = [], {}
+    for i in range(240):
+        if i % 5 == 0:
+            rows.append((i, "\n".join(" ".join(rnd.choice(words) + "###" for _ in range(20)) for _ in range(5))))
+            continue
+        own = (copied if i % 10 == 1 else "\n".join(line(20) for _ in range(6))).split("\n")
+        at = rnd.randrange(1, 6)
+        own.insert(at, rnd.choice(notes))
+        planted[i] = at
+        rows.append((i, "\n".join(own)))
+    labels = ready(spark).createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 240, 2)], "doc_id long, quality int")
+    model = crf.fitted(frame(spark, rows), labels)
+    right = 0
+    for i, t in rows:
+        own = crf.Text(t)
+        _, f = own.features(model[2])
+        found = crf.viterbi(f @ model[0], model[1])
+        want = [int(k != planted.get(i)) if i % 5 else 0 for k in range(len(found))]
+        right += found.tolist() == want
+    assert right > 0.97 * len(rows)
+    got = {r["doc_id"]: r for r in crf.quality(frame(spark, rows), labels).collect()}
+    for i, _ in rows:
+        share = got[i]["content_share"]
+        assert got[i]["kept"] == (i % 5 > 0) and (share < 0.5 if i % 5 == 0 else share > 0.5)
+    assert sum(0 < r["content_share"] < 1 for r in got.values()) > 150
+
+
+def brute_counts(text):
+    """The counts of the fixed rules, in plain words."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    lines = (text or "").split("\n")
+    with_word = [x for x in lines if re.search(r"[^\x20\x09-\x0D]", x)]
+    triples = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    inside = {i + k for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(with_word) - len(set(with_word)), len(inside), n < 50 or 100 * len(inside) > 50 * n
+
+
+def test_counts_and_verdict_by_brute_force(spark):
+    """Counts against plain words; the verdict against the best of all labellings."""
+    rnd = random.Random(16)
+    words = ["a", "bé", "c#", "D*", "e|f", "\u00a0x", "gg\x1fg"]
+    texts = ["".join(rnd.choice([*words, *words, " ", " ", " ", "\n", "\n \n", "\t"]) + rnd.choice(["", " "]) for _ in range(rnd.randrange(0, 160))) for _ in range(120)]
+    rows = list(enumerate([*texts, None, "", "\n\n", " "]))
+    labels = ready(spark).createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    model = crf.fitted(frame(spark, rows), labels)
+    for r in crf.quality(frame(spark, rows), labels).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert tuple(r)[1:7] == brute_counts(text)
+        sizes, f = crf.Text(text or "").features(model[2])
+        if 0 < len(sizes) <= 8:
+            emit = f @ model[0]
+            paths = [[k >> i & 1 for i in range(len(emit))] for k in range(1 << len(emit))]
+            score = lambda p: sum(emit[i, y] for i, y in enumerate(p)) + sum(model[1][a, b] for a, b in zip(p[:-1], p[1:], strict=True))  # noqa: B023, E731
+            best = max(paths, key=score)
+            assert r["content_share"] == sum(n * y for n, y in zip(sizes.tolist(), best, strict=True)) / r["n_words"]
+        assert r["kept"] == (not r["base_failed"] and r["content_share"] >= crf.CONTENT_SHARE)
+
+
 def test_pipeline(spark):
     rnd = random.Random(6)
     words = [f"wor{i}" for i in range(500)]
