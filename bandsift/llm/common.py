@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 import bandsift
 from bandsift.runtime import cut_lineage, shared_folder
 
-__all__ = ["MEMO", "batches", "cut_lineage", "documents", "free", "open_in", "open_out", "packed", "ready", "shared_folder", "slices", "table", "texts", "unpacked"]
+__all__ = ["MEMO", "batches", "cut_lineage", "documents", "free", "give_back", "open_in", "open_out", "packed", "ready", "shared_folder", "slices", "table", "texts", "unpacked"]
 
 #: Rows and bytes of a batch handed to Python: bounds memory whatever the length of texts.
 BATCH_ROWS = 1000
@@ -27,16 +28,30 @@ BATCH_BYTES = 8 << 20
 
 
 class Memo(dict):
-    """What a worker has loaded; a copy sent to another process starts empty."""
+    """What a worker has loaded; a copy sent to another process starts empty.
+
+    What a whole task has not asked for goes at its end: a worker that has turned to another operator
+    doesn't keep the tables of the one before.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.asked: set[tuple] = set()
 
     def __reduce__(self):
         return Memo, ()
 
     def of(self, key: tuple, make):
+        self.asked.add(key)
         if key not in self:
             self[key] = make()
         return self[key]
 
+    def end_of_task(self) -> None:
+        for key in set(self) - self.asked:
+            del self[key]
+        self.asked.clear()
+
 
 MEMO = Memo()
 
@@ -78,8 +93,28 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES)
 
 
 def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        yield from slices(batch, column)
+    try:
+        for batch in it:
+            yield from slices(batch, column)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """At the end of a task, memory that its worker no longer uses goes back to the system.
+
+    Workers live on, and an executor has several; allocators would keep what the largest task needed.
+    """
+    MEMO.end_of_task()
+    pa.default_memory_pool().release_unused()
+    trim = MEMO.of(("malloc_trim",), _trim)
+    if trim is not None:
+        trim(0)
+
+
+def _trim():
+    """malloc_trim of the C library, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

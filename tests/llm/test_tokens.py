@@ -182,3 +182,16 @@ def test_packing(spark):
 @pytest.mark.parametrize("run", [lambda d: bpe.round_trip(d, RANKS, public_tokenizers.PATTERN), lambda d: packing.packed_documents(d, WORDS, 0, 2048), lambda d: tokenfile.token_file_digests(d.sparkSession, d, BYTES, 2, 50257)])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []
+
+
+def test_workers_forget_what_a_task_did_not_use():
+    from bandsift.llm.common import MEMO, give_back
+
+    MEMO.clear()
+    MEMO.of(("a",), list)
+    MEMO.of(("b",), list)
+    give_back()
+    assert ("a",) in MEMO and ("b",) in MEMO
+    MEMO.of(("b",), list)
+    give_back()
+    assert ("a",) not in MEMO and ("b",) in MEMO
