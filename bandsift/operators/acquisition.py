@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bandsift import params as P
 from bandsift.operators.ordered import (
     attach,
+    dense_chunk,
+    density,
     number_chunk,
     with_last_known,
     with_position,
@@ -198,12 +200,13 @@ def frame_rate(
 
     The window's first frame is found by position, so no history is sorted whole.
     """
+    slim = frames.select("session_id", "frame_seq", F.unix_micros("ts").alias("_t"))
     placed = with_position(
-        frames.select("session_id", "frame_seq", F.unix_micros("ts").alias("_t")),
+        attach(slim, density(slim, ["session_id"], "frame_seq"), ["session_id"]),
         ["session_id"],
         ["frame_seq"],
-        number_chunk("frame_seq", chunk_frames),
-    )
+        dense_chunk("frame_seq", chunk_frames),
+    ).drop("_low", "_spacing")
     firsts = placed.select(
         "session_id", F.col("position").alias("_at"), F.col("_t").alias("_first")
     )

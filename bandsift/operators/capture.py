@@ -48,42 +48,47 @@ class PieceFold(Fold):
     Which row of a piece is kept first depends only on the last row kept before it, and
     can only be one of its rows within the first interval (or the one after). From there
     the rule is fixed, so the piece is a short table: kept before at most `upto` minus the
-    interval, last kept `exit`. Chains that meet share an entry.
+    interval, last kept `exit`. Chains that meet share an entry. A piece holds its times and ids
+    as arrays.
     """
 
     def __init__(self, key: tuple, interval_us: int, piece_us: int):
         super().__init__(key)
         self.interval_us = interval_us
         self.begin = key[-2] + key[-1] * piece_us
-        self.rows: list[tuple] = []
+        self.parts: list[pa.RecordBatch] = []
 
     def step(self, rows: pa.RecordBatch) -> list[tuple]:
-        self.rows += columns_of(rows, [rows.schema.names[-2], rows.schema.names[-1]])
+        self.parts.append(rows.select(rows.schema.names[-2:]))
         return []
 
     def finish(self) -> list[tuple]:
-        times = np.array([t for t, _ in self.rows], dtype=np.int64)
+        whole = pa.Table.from_batches(self.parts)
+        self.parts.clear()
+        times = whole.column(0).to_numpy().astype(np.int64)
         n = len(times)
-        after = np.searchsorted(times, times + self.interval_us).tolist()
+        after = np.searchsorted(times, times + self.interval_us)
         if self.key[-1] == 0:
             kept, at = [], 0
             while at < n:
                 kept.append(at)
-                at = after[at]
+                at = int(after[at])
             table = ([_ALWAYS], [int(times[kept[-1]])])
-            out = [self.row("kept", *self.rows[i]) for i in kept]
+            chosen = whole.take(pa.array(kept))
+            out = [self.row("kept", *r) for r in zip(chosen.column(0).to_pylist(), chosen.column(1).to_pylist(), strict=True)]
         else:
-            leads = list(range(n))
-            for at in range(n - 1, -1, -1):
-                if after[at] < n:
-                    leads[at] = leads[after[at]]
             entries = min(int(np.searchsorted(times, self.begin + self.interval_us)), n - 1) + 1
-            pairs = [(int(times[i]), int(times[leads[i]])) for i in range(entries)]
-            pairs = [
-                p for p, q in zip(pairs, [*pairs[1:], (None, None)], strict=True) if p[1] != q[1]
-            ]
-            table = ([p[0] for p in pairs], [p[1] for p in pairs])
-            out = [self.row("open", *r) for r in self.rows]
+            # Follow the chains of all possible entries together, by doubling, to where they end.
+            ends, jump = np.arange(n), np.where(after < n, after, np.arange(n))
+            while True:
+                further = jump[ends[:entries]]
+                if (further == ends[:entries]).all():
+                    break
+                ends[:entries], jump = further, jump[jump]
+            first, last = times[:entries], times[ends[:entries]]
+            differ = np.append(last[1:] != last[:-1], True)
+            table = (first[differ].tolist(), last[differ].tolist())
+            out = [self.row("open", *r) for r in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True)]
         return [*out, self.row("map", uptos=table[0], exits=table[1])]
 
     def row(self, kind, time=None, ident=None, uptos=None, exits=None) -> tuple:
@@ -129,7 +134,7 @@ def throttle(
     time_us: str,
     id_col: str,
     interval_us: int,
-    chunk_us: int = P.CHUNK_S * 1_000_000,
+    chunk_us: int | None = None,
 ) -> DataFrame:
     """Keep a row only when `interval_us` have passed since the last kept one of its key.
 
@@ -137,8 +142,10 @@ def throttle(
     independent runs. A run that is longer than a chunk is cut into pieces as well: each
     piece is summed up as a small table from entry to exit, the tables are followed along
     the run, and then every piece is passed over on its own. No key, however busy, is
-    folded in one task. The folds see (time, id) alone.
+    folded in one task. The folds see (time, id) alone. A piece is a thousand intervals long, if
+    `chunk_us` doesn't say otherwise, so at most a thousand of its rows are kept.
     """
+    chunk_us = chunk_us or max(1, 1000 * interval_us)
     slim = rows.select(*keys, time_us, id_col)
     order = [time_us, id_col]
     runs = with_run_start(

@@ -187,16 +187,16 @@ def wideband_regions(
     frames = (
         occupied_bins(bin_noise, threshold_db)
         .groupBy(*frame_keys)
-        .agg(F.sort_array(F.collect_list(F.struct("bin", "power_db", "noise_db"))).alias("_b"))
-    )
-    places = F.transform("_b", lambda b: b["bin"])
-    runs = frames.withColumn("_run", F.explode(runs_of(places, F.lit(0))))
-    parts = runs.select(
-        *frame_keys,
-        F.filter(
-            "_b", lambda b: b["bin"].between(F.col("_run.start"), F.col("_run.stop"))
-        ).alias("_part"),
+        .agg(
+            F.sort_array(F.collect_list(F.struct("bin", "power_db", "noise_db"))).alias("_b"),
+            F.sort_array(F.collect_list("bin")).alias("_places"),
+        )
     )
+    runs = frames.withColumn("_run", F.explode(runs_of(F.col("_places"), F.lit(0))))
+    # Occupied bins are in order, so a run is a slice from the place of its first bin.
+    first = F.array_position("_places", F.col("_run.start")).cast("int")
+    size = (F.col("_run.stop") - F.col("_run.start") + 1).cast("int")
+    parts = runs.select(*frame_keys, F.slice("_b", first, size).alias("_part"))
     peak = F.array_max(F.transform("_part", lambda b: b["power_db"]))
     lin = lambda b: F.pow(F.lit(10.0), b["power_db"] / 10.0)
     total = F.aggregate("_part", F.lit(0.0), lambda acc, b: acc + lin(b))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bandsift import params as P
 from bandsift.functions.arrays import reduce_bins
 from bandsift.operators.capture import throttle
-from bandsift.operators.ordered import attach, number_chunk, with_last_known, with_position
+from bandsift.operators.ordered import attach, dense_chunk, density, with_last_known, with_position
 
 
 def _check(**least: tuple[int, int]) -> None:
@@ -191,13 +191,13 @@ def spectrum_frames_out(
     marked = timed.select("session_id", "frame_seq").join(
         outs.withColumn("frame_seq", F.col("out_seq")), ["session_id", "frame_seq"], "left"
     )
-    chunk = number_chunk("_back", chunk_frames)
+    marked = marked.withColumn("_back", -F.col("frame_seq"))
     served = with_last_known(
-        marked.withColumn("_back", -F.col("frame_seq")),
+        attach(marked, density(marked, ["session_id"], "_back"), ["session_id"]),
         ["session_id"],
         ["_back"],
         {"out_seq": "_out"},
-        chunk,
+        dense_chunk("_back", chunk_frames),
     ).select("session_id", "frame_seq", F.col("_out").alias("out_seq"))
     cells = (
         attach(
@@ -208,12 +208,14 @@ def spectrum_frames_out(
         .agg(F.max_by("v", "frame_seq").alias("v"))
     )
     grid = outs.withColumn("band_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    # Outputs of a session are as far apart for each of its bins.
+    apart = density(outs, ["session_id"], "out_seq")
     filled = with_last_known(
-        attach(grid, cells, ["session_id", "band_bin", "out_seq"]),
+        attach(attach(grid, cells, ["session_id", "band_bin", "out_seq"]), apart, ["session_id"]),
         ["session_id", "band_bin"],
         ["out_seq"],
         {"v": "_known"},
-        number_chunk("out_seq", chunk_frames),
+        dense_chunk("out_seq", chunk_frames),
     )
     return filled.select(
         "session_id",
@@ -238,9 +240,10 @@ def scope_frames_out(
         timed, ["session_id"], "ts_us", "frame_seq", int(1_000_000 / max(1, fps))
     ).drop("ts_us")
     reduced = kept.withColumn("power_db", reduce_bins(F.col("power_db"), bins))
+    apart = density(kept, ["session_id"], "frame_seq")
     return with_position(
-        reduced, ["session_id"], ["frame_seq"], number_chunk("frame_seq", chunk_frames), "seq"
-    )
+        attach(reduced, apart, ["session_id"]), ["session_id"], ["frame_seq"], dense_chunk("frame_seq", chunk_frames), "seq"
+    ).drop("_low", "_spacing")
 
 
 def coverage_gaps(windows: DataFrame) -> DataFrame:

@@ -271,6 +271,67 @@ def newest_per_key(
     return kept if rank else kept.drop(name)
 
 
+class Fold:
+    """Sequential state of one key. Rows come in order, a batch at a time."""
+
+    def __init__(self, key: tuple):
+        self.key = key
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        """Take the next rows; return finished output rows."""
+        return []
+
+    def finish(self) -> list[tuple]:
+        """The key is over; return what is left."""
+        return []
+
+
+class PrefixFold(Fold):
+    """Steps s' = a*s + b of one chunk: each row with the composition of those before it."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.a, self.b = 1.0, 0.0
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for at, a, b in columns_of(rows, rows.schema.names[-3:]):
+            out.append((*self.key, at, a, b, self.a, self.b))
+            self.a, self.b = a * self.a, a * self.b + b
+        return out
+
+
+class StateFold(Fold):
+    """The state before each step of one key."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.state: float | None = None
+
+    def step(self, rows: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for at, a, b, seed in columns_of(rows, rows.schema.names[-4:]):
+            if self.state is None:
+                self.state = seed
+            out.append((*self.key, at, self.state))
+            self.state = a * self.state + b
+        return out
+
+
+def density(df: DataFrame, keys: Keys, position: str) -> DataFrame:
+    """(keys, _low, _spacing): where each key's positions begin and how far apart they lie on average."""
+    least, most = F.min(position), F.max(position)
+    return df.groupBy(*keys).agg(
+        least.alias("_low"), F.greatest(F.lit(1.0), (most - least + 1) / F.count(F.lit(1))).alias("_spacing")
+    )
+
+
+def dense_chunk(position: str, rows: int) -> Column:
+    """Chunks of about so many rows, for a table with the columns of `density`: positions may be frame
+    numbers or samples."""
+    return F.floor((F.col(position) - F.col("_low")) / (F.col("_spacing") * rows))
+
+
 def affine_scan(
     df: DataFrame,
     keys: Keys,
@@ -283,97 +344,39 @@ def affine_scan(
 ) -> DataFrame:
     """State before each row of s' = a*s + b, started per key from `seed` (keys, seed).
 
-    Steps compose, so chunks of `width` positions are folded independently, then
-    chunks of chunks, and only the top level folds along a key. Adds `state_before`.
+    Steps compose, so chunks of about `width` rows are folded independently, then chunks of chunks,
+    and only the top level folds along a key. Every fold passes over its rows once and holds two
+    numbers. Adds `state_before`.
     """
-    group, entry_at = f"_group{levels}", f"_entry{levels}"
-    lists = (
-        df.withColumn(group, F.floor(F.col(position) / F.lit(width)))
-        .groupBy(*keys, group)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.col(position), F.col(a), F.col(b)))
-            ).alias("_steps")
-        )
-    )
-    start = F.struct(
-        F.lit(1.0).alias("a"),
-        F.lit(0.0).alias("b"),
-        F.expr("cast(array() as array<struct<a:double,b:double>>)").alias("before"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            (acc["a"] * x[a]).alias("a"),
-            (acc["b"] * x[a] + x[b]).alias("b"),
-            F.array_append(
-                acc["before"], F.struct(acc["a"].alias("a"), acc["b"].alias("b"))
-            ).alias("before"),
+    group = f"_group{levels}"
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    placed = attach(df, density(df, keys, position), keys).withColumn(group, dense_chunk(position, width))
+    folded = cut_lineage(
+        fold_sorted(
+            placed.select(*keys, group, position, a, b),
+            [*keys, group],
+            [position],
+            PrefixFold,
+            f"{ddl}, `{group}` BIGINT, `{position}` {kinds[position]}, `{a}` DOUBLE, `{b}` DOUBLE, _pa DOUBLE, _pb DOUBLE",
         )
-
-    folded = lists.withColumn("_fold", F.aggregate("_steps", start, step))
-    groups = folded.select(
-        *keys, group, F.col("_fold.a").alias("_ga"), F.col("_fold.b").alias("_gb")
     )
+    whole = F.struct((F.col(a) * F.col("_pa")).alias("a"), (F.col(a) * F.col("_pb") + F.col(b)).alias("b"))
+    groups = folded.groupBy(*keys, group).agg(F.max_by(whole, position).alias("_g"))
+    groups = groups.select(*keys, group, F.col("_g.a").alias("_ga"), F.col("_g.b").alias("_gb"))
     if levels > 1:
         entry = affine_scan(groups, keys, group, "_ga", "_gb", seed, width, levels - 1)
     else:
-        entry = _fold_along_key(groups, keys, group, seed)
-    entry = entry.select(*keys, group, F.col("state_before").alias(entry_at))
-    rows = folded.select(
-        *keys, group, F.explode(F.arrays_zip("_steps", F.col("_fold.before"))).alias("_z")
-    )
-    joined = attach(rows, entry, [*keys, group])
-    return joined.select(
-        *keys,
-        F.col("_z._steps")[position].alias(position),
-        F.col("_z._steps")[a].alias(a),
-        F.col("_z._steps")[b].alias(b),
-        (F.col("_z.before.a") * F.col(entry_at) + F.col("_z.before.b")).alias("state_before"),
-    )
-
-
-def _fold_along_key(groups: DataFrame, keys: Keys, group: str, seed: DataFrame) -> DataFrame:
-    """Top level of the scan: one short list per key."""
-    lists = groups.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(group, "_ga", "_gb"))).alias("_steps")
-    )
-    lists = attach(lists, seed, keys)
-    start = F.struct(
-        F.col("seed").cast("double").alias("s"),
-        F.expr("cast(array() as array<double>)").alias("before"),
-    )
-    folded = F.aggregate(
-        "_steps",
-        start,
-        lambda acc, x: F.struct(
-            (x["_ga"] * acc["s"] + x["_gb"]).alias("s"),
-            F.array_append(acc["before"], acc["s"]).alias("before"),
-        ),
-    )
-    out = lists.withColumn("_fold", folded)
-    return out.select(
-        *keys, F.explode(F.arrays_zip("_steps", F.col("_fold.before"))).alias("_z")
-    ).select(
-        *keys,
-        F.col("_z._steps")[group].alias(group),
-        F.col("_z.before").alias("state_before"),
-    )
-
-
-class Fold:
-    """Sequential state of one key. Rows come in order, a batch at a time."""
-
-    def __init__(self, key: tuple):
-        self.key = key
-
-    def step(self, rows: pa.RecordBatch) -> list[tuple]:
-        """Take the next rows; return finished output rows."""
-        return []
-
-    def finish(self) -> list[tuple]:
-        """The key is over; return what is left."""
-        return []
+        entry = fold_sorted(
+            attach(groups, seed.withColumn("seed", F.col("seed").cast("double")), keys),
+            keys,
+            [group],
+            StateFold,
+            f"{ddl}, `{group}` BIGINT, state_before DOUBLE",
+        )
+    entry = entry.select(*keys, group, F.col("state_before").alias("_entry"))
+    before = F.col("_pa") * F.col("_entry") + F.col("_pb")
+    return attach(folded, entry, [*keys, group]).select(*keys, position, a, b, before.alias("state_before"))
 
 
 def fold_sorted(

@@ -18,6 +18,8 @@ from bandsift.operators.ordered import (
     Fold,
     attach,
     columns_of,
+    dense_chunk,
+    density,
     fold_sorted,
     number_chunk,
     with_position,
@@ -280,19 +282,16 @@ def finish_burst(
     )
 
 
-def in_sequence(
-    bursts: DataFrame,
-    frame_samples: int = P.FRAME_SAMPLES,
-    chunk_frames: int = P.CHUNK_FRAMES,
-) -> DataFrame:
+def in_sequence(bursts: DataFrame, chunk_bursts: int = P.CHUNK_FRAMES) -> DataFrame:
     """Number the bursts of each session in the order in which they closed."""
+    apart = density(bursts, ["session_id"], "close_sample")
     return with_position(
-        bursts,
+        attach(bursts, apart, ["session_id"]),
         ["session_id"],
         ["close_sample", "start_frame", "first_hz"],
-        number_chunk("close_sample", frame_samples * chunk_frames),
+        dense_chunk("close_sample", chunk_bursts),
         "sequence",
-    )
+    ).drop("_low", "_spacing")
 
 
 def classify_burst(bursts: DataFrame, duration: str = "raw_duration_ms") -> DataFrame:

@@ -98,7 +98,7 @@ def bursts_of(
             block_bins=how.block_bins,
         )
     )
-    return novelty_filter(classify_burst(in_sequence(finished, how.frame_samples)))
+    return novelty_filter(classify_burst(in_sequence(finished)))
 
 
 def wideband_bursts(blocks: DataFrame, how: Evidence = Evidence()) -> DataFrame:

@@ -164,3 +164,53 @@ def test_large_recordings_are_cut(spark, tmp_path):
     got = sorted((r.capture, r.start_sample, len(r.iq), r.captured_at) for r in rows.collect())
     assert [g[:3] for g in got] == [(f"c{i}", at, 14 if at < 98 else 4) for i in range(2) for at in range(0, 100, 7)]
     assert got[1][3] - got[0][3] == pytest.approx(0.007, abs=1e-6) and rows.rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize("apart", [1, 262_144])
+def test_chunks_hold_about_as_many_rows_whatever_the_numbers_mean(spark, apart):
+    """Frames numbered by count or by sample position: chunks are as long, and the floor is the same."""
+    from bandsift.operators import noise
+    from bandsift.operators.ordered import attach, dense_chunk, density
+
+    rng = np.random.default_rng(2)
+    values = rng.normal(-60, 5, 3000).round(3).tolist()
+    rows = [(s, 7 + i * apart, [v, v]) for s in (1, 2) for i, v in enumerate(values[: 3000 // s])]
+    df = spark.createDataFrame(rows, "session_id bigint, frame_seq bigint, power_db array<double>")
+    placed = attach(df, density(df, ["session_id"], "frame_seq"), ["session_id"]).withColumn("c", dense_chunk("frame_seq", 100))
+    sizes = [r["count"] for r in placed.groupBy("session_id", "c").count().collect()]
+    assert max(sizes) <= 101 and len(sizes) <= 47
+    got = {(r.session_id, r.frame_seq): r.floor_db for r in noise.ema_floor(df, 0.05, width=10).collect()}
+    for s in (1, 2):
+        now = None
+        for i, v in enumerate(values[: 3000 // s]):
+            now = v if now is None else 0.95 * now + 0.05 * v
+            assert got[s, 7 + i * apart] == pytest.approx(now, abs=1e-9)
+
+
+def test_throttle_pieces_of_a_thousand_intervals(spark):
+    from bandsift.operators.capture import throttle
+
+    rng = np.random.default_rng(3)
+    times = np.cumsum(rng.integers(1, 40, 20_000)).tolist()
+    df = spark.createDataFrame([(k, t, i) for k in (1, 2) for i, t in enumerate(times[k::k])], "k bigint, t bigint, i bigint")
+    for interval in (5, 33, 100):
+        got = sorted((r.k, r.t) for r in throttle(df, ["k"], "t", "i", interval).collect())
+        assert got == sorted((k, t) for k in (1, 2) for t in greedy_keep(times[k::k], interval))
+        got = sorted((r.k, r.t) for r in throttle(df, ["k"], "t", "i", interval, chunk_us=7 * interval).collect())
+        assert got == sorted((k, t) for k in (1, 2) for t in greedy_keep(times[k::k], interval))
+
+
+def test_segments_are_joined_without_blocks_metadata(spark):
+    """Overlapping and repeated positions too: a block belongs to the segment that its own start is in."""
+    from bandsift.operators import acquisition, dsp
+
+    starts = [0, 4, 8, 20, 22, 26, 26, 40, 44, 45]
+    df = spark.createDataFrame([(s, at, [0.0] * 8, 868_000_000 + (at > 41), 100, 0.0) for s in (1, 2) for at in starts], "session_id bigint, start_sample bigint, iq array<float>, center_hz bigint, sample_rate int, captured_at double")
+    gaps = acquisition.gap_detect(acquisition.block_meta(df))
+    want = {(r.session_id, r.start_sample): r.segment_start for r in gaps.collect()}
+    got = dsp.with_segments(df).select("session_id", "start_sample", "segment_start").collect()
+    assert len(got) == 2 * len(starts)
+    for r in got:
+        if r.start_sample != 26:  # of two blocks at one place either may end the other's segment
+            assert r.segment_start == want[r.session_id, r.start_sample]
+    assert dsp.with_segments(dsp.with_segments(df)).count() == len(got)
