@@ -6,15 +6,17 @@ a secret key, kind and canonical form, character by character within its class:
 digit for hex digit, vowel for vowel and consonant for consonant of the same script, and laid out like
 the mention it replaces (separators, capitals). Country and issuer digits, top-level domains, labels
 and titles stay, as does a name's last letter, so that its gender still agrees with the title; check
-digits of cards are computed anew.
+digits of cards and IBANs are computed anew. Each word of a name is an entity of its own (a hyphened or
+apostrophed one is a word), so a family name is replaced alike with and without the given name.
 
 A draw may meet another draw or an entity that is really in the corpus. All distinct entities are
 checked; only those that lost draw again, and only they are joined back to texts. Some have too little
 room for that (a two-letter name keeps its last letter), so later draws get longer, one character more
 each time, until all are apart. Everything is column functions and joins.
 
-Edge cases: what follows a label without any letter or digit is a mask and no entity; a null text stays null, an empty one empty, both without entities; repeated rows get the
-same replacements; other columns are kept; an empty table gives no rows.
+Edge cases: what follows a label without any letter or digit is a mask and no entity; a null text stays
+null, an empty one empty, both without entities; repeated rows get the same replacements; other columns
+are kept; an empty table gives no rows. Two spellings of one IPv6 address are two entities.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from bandsift.llm.common import cut_lineage, free
 
-TITLES = "Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа"
+TITLES = "Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа"
+
+#: A word of a name; the second word after a title is a mention of its own.
+NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 
 #: kind -> pattern, in the order in which they are tried.
 PATTERNS = {
@@ -36,17 +41,19 @@ PATTERNS = {
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "hex_key": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,39}::)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9])00(?=[1-9](?:[ .()-]{0,2}[0-9]){8,13}(?![0-9]))[1-9][0-9]{0,2}[ .-]\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "person": rf"\b(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"\b(?:{TITLES})\.? {NAME}|(?<= )(?=\p{{Lu}})(?<=\b(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}} ){NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LABEL = r"^(?i:(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)"
 TITLE = rf"^(?:{TITLES})\.? "
 
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?i:token|secret|password|passwd|api_?key)|\b(?:{TITLES})\b"
+HINT = rf"[0-9@]|::|(?i:token|secret|password|passwd|api_?key)|\b(?:{TITLES})\b"
 
 #: Letters that stand for one another.
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "0123456789"]
@@ -113,7 +120,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     own = bare(mention)
     return (
         F.when(kind.isin("phone", "card", "national_id"), F.regexp_replace(own, "[^0-9]", ""))
-        .when(kind == "email", F.lower(own))
+        .when(kind.isin("email", "ipv6"), F.lower(own))
         .when(kind == "iban", F.regexp_replace(own, " ", ""))
         .when(kind == "person", F.lower(F.regexp_replace(mention, TITLE, "")))
         .otherwise(own)
@@ -176,7 +183,7 @@ def draws(items: Column, key: str) -> Column:
                 for own in dict.fromkeys((letters, letters.upper())):
                     out = F.when(F.instr(F.lit(own), c) > 0, picked(own)).otherwise(out)
             hexed = F.when(F.instr(F.lit("0123456789abcdef"), c) > 0, F.substring(block(i, 64), F.pmod(i, F.lit(64)) + 1, F.lit(1))).otherwise(c)
-            return F.when((i < before) | (i >= after), F.substring(form, i + 1, F.lit(1))).when(kind == "hex_key", hexed).otherwise(out)
+            return F.when((i < before) | (i >= after), F.substring(form, i + 1, F.lit(1))).when(kind.isin("hex_key", "ipv6"), hexed).otherwise(out)
 
         last = F.greatest(x["attempt"] - PLAIN_DRAWS + 1, F.lit(0)) + 3
         octets = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: (F.pmod(byte(i), F.lit(223)) + 1).cast("string")), ".")
@@ -184,7 +191,8 @@ def draws(items: Column, key: str) -> Column:
         return _more(x, names, plain=F.when(kind == "ip", octets).otherwise(letters))
 
     def checked(x: Column) -> Column:
-        return _more(x, names, drawn=F.when(x["kind"] == "card", _with_check_digit(x["plain"])).otherwise(x["plain"]))
+        right = F.when(x["kind"] == "card", _with_check_digit(x["plain"])).when(x["kind"] == "iban", _with_check_number(x["plain"]))
+        return _more(x, names, drawn=right.otherwise(x["plain"]))
 
     for step in (longer, seed, stream, swapped, checked):
         items = F.transform(items, step)
@@ -204,6 +212,18 @@ def _with_check_digit(digits: Column) -> Column:
     return F.concat(F.array_join(F.transform(body, lambda d: d.cast("string")), ""), F.pmod(-total, F.lit(10)).cast("string"))
 
 
+def _with_check_number(iban: Column) -> Column:
+    """The account number with its third and fourth characters replaced so that the mod-97 check holds."""
+    country, account = F.substring(iban, 1, 2), F.substring(iban, F.lit(5), F.length(iban))
+    moved = F.split(F.concat(account, country, F.lit("00")), "", -1)
+
+    def step(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c == "", rest).when(c.rlike("[0-9]"), F.pmod(rest * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(rest * 100 + letter, F.lit(97)))
+
+    return F.concat(country, F.lpad((F.lit(98) - F.aggregate(moved, F.lit(0), step)).cast("string"), 2, "0"), account)
+
+
 def laid_out(kind: Column, mention: Column, form: Column) -> Column:
     """The canonical replacement with the separators and capitals of the mention; what it has more stands last."""
     head = F.when(kind == "person", F.regexp_extract(mention, TITLE, 0)).otherwise(F.regexp_extract(mention, LABEL, 0))
@@ -233,8 +253,9 @@ def laid_out(kind: Column, mention: Column, form: Column) -> Column:
 def redraws(found: DataFrame, key: str) -> DataFrame:
     """(kind, form, attempt) of the entities (kind, form), each once, whose first draw clashed.
 
-    A clash is a draw equal to a real entity of the kind or to another's draw; of several that draw the
-    same, the smallest form keeps it. Later draws are checked against all earlier ones too.
+    A clash is a draw equal to a real entity or to another's draw, of any kind, since kinds may look
+    alike; of several that draw the same, the smallest kind and form keeps it. Later draws are checked
+    against all earlier ones too.
     """
     real = cut_lineage(found)
     pending = real
@@ -243,10 +264,10 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
     for attempt in count():
         one = F.array(F.struct("kind", "form", F.lit(attempt).alias("attempt")))
         drawn = cut_lineage(pending.select("kind", "form", F.element_at(draws(one, key), 1)["drawn"].alias("drawn")))
-        first = drawn.groupBy("kind", "drawn").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n"))
-        clean = first.join(real.select("kind", F.col("form").alias("drawn")), ["kind", "drawn"], "left_anti")
+        first = drawn.groupBy("drawn").agg(F.min(F.struct("kind", "form")).alias("first")).select("drawn", "first.*")
+        clean = first.join(real.select(F.col("form").alias("drawn")), "drawn", "left_anti")
         if taken is not None:
-            clean = clean.join(taken, ["kind", "drawn"], "left_anti")
+            clean = clean.join(taken, "drawn", "left_anti")
         kept = cut_lineage(clean.select("kind", "form", "drawn"))
         pending = cut_lineage(drawn.select("kind", "form").join(kept.select("kind", "form"), ["kind", "form"], "left_anti"))
         if attempt:
@@ -254,10 +275,21 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
             lost = again if lost is None else lost.unionByName(again)
         if pending.isEmpty():
             break
-        taken = kept.select("kind", "drawn") if taken is None else taken.unionByName(kept.select("kind", "drawn"))
+        taken = kept.select("drawn") if taken is None else taken.unionByName(kept.select("drawn"))
     return real.select("kind", "form", F.lit(0).alias("attempt")).limit(0) if lost is None else lost
 
 
+def _with_attempts(own: DataFrame, again: DataFrame, found: str, names: tuple[str, str, str]) -> DataFrame:
+    """Adds a map from the place of each redrawn mention to its attempt; null where a text has none."""
+    id_, hash_, again_at = names
+    places = own.filter(F.size(found) > 0).select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(hash_), F.posexplode(found).alias("at", "mention"))
+    places = places.withColumn("kind", kind_of(F.col("mention"))).withColumn("form", canonical(F.col("kind"), F.col("mention")))
+    redrawn = places.join(again, ["kind", "form"]).select(id_, hash_, "at", "attempt").distinct()
+    # Written, so that its size is known before texts move for it.
+    redrawn = cut_lineage(redrawn.groupBy(id_, hash_).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(again_at)))
+    return own.join(redrawn, own["doc_id"].eqNullSafe(redrawn[id_]) & (F.xxhash64(own["text"]) == redrawn[hash_]), "left")
+
+
 def with_surrogates(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """The documents with every mention replaced; with `count`, a column of that name counts mentions.
 
@@ -271,12 +303,11 @@ def with_surrogates(docs: DataFrame, key: str, count: str | None = None) -> Data
 
     id_, hash_, again_at, found_, new_ = (free(c, docs.columns) for c in ("_id", "_hash", "_again", "_found", "_new"))
     own = docs.withColumn("text", text).withColumn(found_, entities(F.col("text")))
-    # Only texts that hold a redrawn entity; usually there is none.
-    places = own.filter(F.size(found_) > 0).select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(hash_), F.posexplode(found_).alias("at", "mention"))
-    places = places.withColumn("kind", kind_of(F.col("mention"))).withColumn("form", canonical(F.col("kind"), F.col("mention")))
-    redrawn = places.join(again, ["kind", "form"]).select(id_, hash_, "at", "attempt").distinct()
-    redrawn = redrawn.groupBy(id_, hash_).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(again_at))
-    joined = own.join(redrawn, own["doc_id"].eqNullSafe(redrawn[id_]) & (F.xxhash64(own["text"]) == redrawn[hash_]), "left")
+    # Only texts that hold a redrawn entity; usually there is none, and no text has to move.
+    if again.isEmpty():
+        joined = own.withColumn(again_at, F.lit(None).cast("map<int,int>"))
+    else:
+        joined = _with_attempts(own, again, found_, (id_, hash_, again_at))
 
     named = F.transform(found_, lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
     items = F.transform(

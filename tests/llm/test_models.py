@@ -38,7 +38,7 @@ def test_surrogates(spark):
     for r in got.collect():
         by.setdefault(r["doc_id"], []).append((r["text"], r["n"]))
     assert by[3] == [(None, 0)] and by[4] == [("", 0)] and by[5] == [(rows[-1][1], 0)]
-    assert by[2][0] == by[2][1] and by[2][0][1] == 4 and by[1][0][1] == 4 and by[None][0][1] == 5
+    assert by[2][0] == by[2][1] and by[2][0][1] == 4 and by[1][0][1] == 4 and by[None][0][1] == 6
     one, two, three = by[1][0][0], by[2][0][0], by[None][0][0]
     a, b = re.match(r"Call \+(\d \(\d{3}\) \d{3}-\d{4}) or \+(\d{11}), mail", one).groups()
     assert re.sub(r"\D", "", a) == b != "17435553824"
@@ -98,6 +98,61 @@ def test_secrets_of_any_length_and_label(spark):
     assert re.fullmatch("key [0-9a-f]{1024} end", by[1]) and by[1][4:324] != by[1][324:644]
 
 
+def spelt(rnd, word):
+    """A word as it may be written at another place."""
+    return rnd.choice([word, word, word.lower(), word.upper()]) if "@" in word else word
+
+
+def test_distinct_and_the_same_over_a_corpus(spark):
+    """By brute force over all mentions: one entity has one surrogate, two have two, none is a real one."""
+    rnd = random.Random(21)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    given = ["Anna", "Olga", "Anne-Marie", "John", "Ali", "Иван", "Ольга"]
+    family = ["Smith", "O'Neill", "Müller", "Dupont", "Петров", "Garcia", "An", "On"]
+    pool = [f"743-{digits(3)}-{digits(4)}" for _ in range(40)] + [f"0049 30 {digits(7)}" for _ in range(10)]
+    pool += [f"2001:db8::{rnd.randrange(1, 16 ** 4):x}" for _ in range(30)] + [":".join(f"{rnd.randrange(16 ** 4):x}" for _ in range(8)) for _ in range(10)]
+    pool += [f"{rnd.choice(['ana', 'bo'])}{digits(2)}@mail.example.com" for _ in range(40)] + [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(60)]
+    rows, mentions = [], []
+    for i in range(300):
+        own = [(spelt(rnd, m), m.lower()) for m in rnd.sample(pool, 4)]
+        title, a, b = rnd.choice(["Mr", "Mrs.", "Herr", "Dr"]), rnd.choice(given), rnd.choice(family)
+        text = " and ".join(m for m, _ in own) + f" met {title} {a} {b}, then {title} {b} left"
+        mentions.append([*(m for _, m in own), a, b, b])
+        rows.append((i, text))
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.with_surrogates(frame(spark, rows), "key", count="n").collect()}
+    shape = re.compile(r"(.+) and (.+) and (.+) and (.+) met (?:Mrs\.|Mr|Herr|Dr) (\S+) (\S+), then (?:Mrs\.|Mr|Herr|Dr) (\S+) left")
+    drawn, real = {}, {m for own in mentions for m in own}
+    for i, own in enumerate(mentions):
+        text, n = got[i]
+        assert n == 7, text
+        for form, new in zip(own, shape.fullmatch(text).groups(), strict=True):
+            new = new.lower() if "@" in new or ":" in new else new
+            assert drawn.setdefault(form, new) == new and new not in real
+    assert len(set(drawn.values())) == len(drawn)
+    for form, new in drawn.items():
+        if form[0].isupper():
+            assert len(new) >= len(form) and new[0].isupper() and (form[-1] == new[-1])
+            assert [c for c in form if c in "'-"] == [c for c in new if c in "'-"]
+            assert ("А" <= form[0] <= "я") == ("А" <= new[0] <= "я")
+        elif "@" not in form:
+            assert re.sub("[0-9a-f]", "x", form) == re.sub("[0-9a-f]", "x", new)
+
+
+def test_account_numbers_pass_their_check(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    rows = surrogates.with_surrogates(frame(spark, list(enumerate(accounts))), "key").collect()
+    for r in rows:
+        old, new = accounts[r["doc_id"]], r["text"]
+        assert new != old and new[:2] == old[:2] and [c == " " for c in new] == [c == " " for c in old]
+        own = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
+def test_texts_stay_in_place_where_nothing_is_drawn_again(spark):
+    df = surrogates.with_surrogates(frame(spark, [(1, "mail a.b9@mail5.example.com"), (2, "none")]), "key")
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_top(spark):
     rnd = np.random.default_rng(2)
     for n, d, high, k in ((100, 5, 4, 7), (700, 16, 70, 20), (9, 4, 30, 20), (1, 3, 5, 3)):
