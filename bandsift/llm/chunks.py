@@ -36,28 +36,23 @@ def plain(text: str) -> bool:
 
 
 class Chunks(dict):
-    """chunk (without its space) -> ids as little-endian unsigned 32-bit integers.
+    """chunk (without its space) -> ids as little-endian unsigned 32-bit integers; learnt when asked for.
 
-    lead: whether white space before a chunk yields ids. mark: a chunk of one token that the
-    tokenizer keeps apart, to encode many new chunks in one call.
+    lead: whether white space before a chunk yields ids.
     """
 
-    def __init__(self, path: str, lead: bool, mark: str):
+    def __init__(self, path: str, lead: bool):
         super().__init__()
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lead, self.mark = lead, mark
-        ids = self.whole(mark)
-        if len(ids) != 4:
-            raise ValueError(f"{mark!r} isn't one token")
-        self.mark_id = int(np.frombuffer(ids, "<u4")[0])
+        self.lead = lead
         self.model = self.tokenizer.model
         self.stops = {stop: self.whole(stop) for stop in ".,;:!?"}
 
     def __reduce__(self):
         # A copied tokenizer would forget its settings.
-        return Chunks, (self.path, self.lead, self.mark)
+        return Chunks, (self.path, self.lead)
 
     def word(self, chunk: str) -> bytes | None:
         """Ids of a chunk of letters with at most one stop after it, straight from the model; else None."""
@@ -82,63 +77,32 @@ class Chunks(dict):
     def cut(self, text: str) -> list[str]:
         return text.replace("\n", " \n").split(" ") if self.lead else text.split(" ")
 
-    def learn(self, new: list[str]) -> None:
-        many, ends_line = [], []
-        for chunk in new:
-            ids = self.word(chunk)
-            if ids is not None:
-                self[chunk] = ids
-            elif self.lead and len(chunk) > 1 and chunk[0] == "\n":
-                ends_line.append(chunk)
-            elif self.mark in chunk or not chunk or len(chunk) > 200:
-                self[chunk] = self.whole(chunk if chunk[:1] == "\n" else " " * self.lead + chunk)
-            else:
-                many.append(chunk)
-        glue = self.mark + " " if self.lead else f" {self.mark} "
-        for part in _parts(many):
-            found = self.split(" " * self.lead + glue.join(part), len(part), 1)
-            self.update(zip(part, found, strict=True))
-        for part in _parts(ends_line):
-            found = self.split("".join(part), len(part) + 1, 0)
-            self.update(zip(part, found[1:], strict=True))
-
-    def split(self, text: str, n: int, drop: int) -> list[bytes]:
-        """The ids of a text in n parts, each after a mark, which is dropped or kept."""
-        ids = np.frombuffer(self.whole(text), "<u4")
-        at = np.flatnonzero(ids == self.mark_id).tolist()
-        if len(at) != n - 1:
-            raise ValueError("a mark was merged with its neighbours")
-        starts, ends = [0, *(x + drop for x in at)], [*at, len(ids)]
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.word(chunk)
+        if ids is None:
+            ids = self.whole(chunk if chunk[:1] == "\n" else " " * self.lead + chunk)
+        if len(chunk) <= 200:
+            self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the same as encoding each text whole."""
-        parts = [self.cut(text) if not self.lead or plain(text) else None for text in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        new: set[str] = set()
-        for own in parts:
-            if own:
-                new.update(own[self.lead :])
-        new.difference_update(self)
-        if new:
-            self.learn(list(new))
+        ids_of = self.__getitem__
         out = []
-        for text, own in zip(texts, parts, strict=True):
-            if own is None:
+        for text in texts:
+            if self.lead and not plain(text):
                 out.append(b"".join(map(self.whole, careful(text))))
-            elif self.lead:
-                out.append(self.whole(own[0]) + b"".join(map(self.__getitem__, own[1:])))
+                continue
+            own = self.cut(text)
+            if self.lead:
+                out.append(self.whole(own[0]) + b"".join(map(ids_of, own[1:])))
             else:
-                out.append(b"".join(map(self.__getitem__, own)))
+                out.append(b"".join(map(ids_of, own)))
         return out
 
 
-def _parts(chunks: list[str], n: int = 2000) -> list[list[str]]:
-    return [chunks[i : i + n] for i in range(0, len(chunks), n)]
-
-
 def careful(text: str, least: int = 2000) -> list[str]:
     """Any text, cut before spaces that follow no white space, about every so many characters."""
     out, start = [], 0
@@ -149,6 +113,6 @@ def careful(text: str, least: int = 2000) -> list[str]:
     return [*out, text[start:]]
 
 
-def chunks(path: str, lead: bool, mark: str) -> Chunks:
+def chunks(path: str, lead: bool) -> Chunks:
     """The worker's encoder for a vocabulary file."""
-    return MEMO.of(("chunks", path, lead, mark), lambda: Chunks(path, lead, mark))
+    return MEMO.of(("chunks", path, lead), lambda: Chunks(path, lead))

@@ -215,7 +215,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
     last = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = chunks(vocabulary, False, "|"), TaskContext.get().partitionId()
+        encoder, part = chunks(vocabulary, False), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches(it):
             cols: list[list] = [[] for _ in range(8)]

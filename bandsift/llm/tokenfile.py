@@ -86,7 +86,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            encoder = chunks(vocabulary, True, "\n")
+            encoder = chunks(vocabulary, True)
             for batch in batches(it):
                 yield from zip(batch.column("doc_id").to_pylist(), (x + last for x in encoder.encode(texts(batch))), strict=True)
 

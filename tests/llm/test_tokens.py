@@ -54,10 +54,10 @@ def test_round_trip(spark, tik):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("path,lead,mark", [(BYTES, True, "\n"), (WORDS, False, "|")])
-def test_chunks_equal_whole_texts(path, lead, mark):
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_chunks_equal_whole_texts(path, lead):
     own = [t or "" for t in texts(600, seed=3)]
-    encoder = chunks(path, lead, mark)
+    encoder = chunks(path, lead)
     want = encoder.tokenizer.encode_batch(own, add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(own)] == [e.ids for e in want]
 
