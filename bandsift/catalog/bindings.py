@@ -77,15 +77,19 @@ BINDINGS: dict[str, tuple[str, dict[str, str | tuple[str, str]]]] = {
             "iq": "embedding",
         },
     ),
+    # The texts of a session end to end: one gap-free run of samples.
     "cu8_blocks": (
         "documents",
         {
             "session_id": "doc_id % 100",
-            "start_sample": "doc_id * 1000000",
+            "start_sample": (
+                "coalesce(sum(octet_length(encode(text, 'utf-8')) div 2) over (partition by doc_id % 100 order by doc_id rows between unbounded preceding and 1 preceding), 0)",
+                "cast(coalesce(sum(octet_length(encode(text)) // 2) over (partition by doc_id % 100 order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint)",
+            ),
             "center_hz": "cast(868269000 as bigint)",
             "sample_rate": "cast(2400000 as int)",
             "captured_at": "cast(doc_id as double)",
-            "raw": ("encode(text, 'utf-8')", "encode(text)"),
+            "raw": ("encode(coalesce(text, ''), 'utf-8')", "encode(coalesce(text, ''))"),
         },
     ),
     "detections": (
