@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandsift import params as P
-from bandsift.operators.acquisition import block_at, block_meta, gap_detect, segments_of
+from bandsift.operators.acquisition import (
+    block_at,
+    block_meta,
+    can_observe,
+    gap_detect,
+    segments_of,
+)
 from bandsift.operators.capture import (
     capture_windows,
     finished_captures,
@@ -39,6 +45,11 @@ class Evidence:
     datatype: str | None = None
 
 
+def observed(blocks: DataFrame) -> DataFrame:
+    """Blocks from which the whole grid can be observed; those of another tuning stay out."""
+    return blocks.filter(can_observe(F.col("center_hz"), F.col("sample_rate")))
+
+
 def gaps_of(blocks: DataFrame) -> DataFrame:
     """Continuity of every session: metadata only, written once because each step needs it."""
     return cut_lineage(gap_detect(cut_lineage(block_meta(blocks))))
@@ -102,7 +113,12 @@ def bursts_of(
 
 
 def wideband_bursts(blocks: DataFrame, how: Evidence = Evidence()) -> DataFrame:
-    """The whole chain, from IQ blocks to flagged bursts."""
+    """The whole chain, from IQ blocks to flagged bursts.
+
+    Blocks whose window doesn't cover the grid and its guard bands are left out: half a band would be
+    scored as if it were the whole. Tuned away and back, a receiver begins a new segment.
+    """
+    blocks = observed(blocks)
     gaps = gaps_of(blocks)
     floors = cut_lineage(noise_of(blocks, gaps, how))
     return bursts_of(floors, segments_of(gaps, how.frame_samples), how)
