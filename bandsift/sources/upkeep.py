@@ -6,7 +6,7 @@ away. Each step can be done again, so a run that died is finished by the next on
 * `prune_dated`: of a table in dated folders, folders before the cutoff go whole; of the day that the
   cutoff cuts, the rows that stay are written beside it and take its place.
 * `evict_recordings`, `delete_recordings`: file pairs are deleted by tasks, as many at a time as there
-  are cores, and then the rows that name them.
+  are cores, and then the rows that name them. `delete_orphans` deletes pairs that no row names.
 
 Readers of a table should not run while a day is replaced: for a moment it isn't there.
 """
@@ -138,3 +138,16 @@ def delete_recordings(spark: SparkSession, root: str, recordings: DataFrame, ids
     """Delete the named recordings: pairs and rows."""
     recover(spark, root)
     _delete(spark, root, table, recordings, recording_delete(recordings, ids))
+
+
+def delete_orphans(spark: SparkSession, folder: str, recordings: DataFrame, older_than: str) -> int:
+    """Delete the file pairs below `folder` that no row of `recordings` names: what jobs that failed for
+    good have left. Files written after `older_than` stay, since their rows may still come. Returns how
+    many files went; a run that died is made up for by the next."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{_DATA}").load(_uri(folder))
+    old = found.filter(F.col("modificationTime") < F.lit(older_than).cast("timestamp"))
+    bare = lambda c: F.regexp_replace(c, "^file:(//)?", "")
+    listed = old.select("path", bare("path").alias("_bare"))
+    named = recordings.select(bare("path").alias("_bare"))
+    gone = delete_pairs(listed.join(named, "_bare", "left_anti"))
+    return int(gone.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0])

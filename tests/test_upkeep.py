@@ -136,3 +136,14 @@ def test_recordings_go_with_their_files(spark, tmp_path, monkeypatch, step):
     upkeep.delete_recordings(spark, root, held(), ids)
     upkeep.delete_recordings(spark, root, held(), ids)
     assert left() == on_disk(".sigmf-data") == on_disk(".sigmf-meta") == [6, 9, 10, 11]
+
+
+def test_files_that_no_row_names_go(spark, tmp_path):
+    root = str(tmp_path)
+    held = recordings(spark, root, 6)
+    rows = held().filter("recording_id <> 2 and recording_id <> 4")
+    assert upkeep.delete_orphans(spark, f"{root}/iq", rows, "2000-01-01") == 0
+    os.remove(f"{root}/iq/r4.sigmf-meta")
+    assert upkeep.delete_orphans(spark, f"{root}/iq", rows, "2100-01-01") == 3
+    assert upkeep.delete_orphans(spark, f"{root}/iq", rows, "2100-01-01") == 0
+    assert sorted(os.listdir(f"{root}/iq")) == sorted(f"r{i}.sigmf-{x}" for i in (0, 1, 3, 5) for x in ("data", "meta"))
