@@ -340,13 +340,13 @@ def affine_scan(
     b: str,
     seed: DataFrame,
     width: int,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """State before each row of s' = a*s + b, started per key from `seed` (keys, seed).
 
-    Steps compose, so chunks of about `width` rows are folded independently, then chunks of chunks,
-    and only the top level folds along a key. Every fold passes over its rows once and holds two
-    numbers. Adds `state_before`.
+    Steps compose, so chunks of about `width` rows are folded independently, with more `levels` chunks of
+    chunks as well, and only the top level, a row for each of its chunks, folds along a key. Every fold
+    passes over its rows once and holds two numbers. Adds `state_before`.
     """
     group = f"_group{levels}"
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

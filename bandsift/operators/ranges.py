@@ -44,9 +44,10 @@ def point_in_range(
 
     def cells(i: int) -> Column:
         of = lambda name: F.floor(F.col(name) / widths[i])
-        return F.transform(F.sequence(of(low), of(high)), lambda c: F.struct(F.lit(i).alias("level"), c.alias("cell")))
+        return F.transform(F.sequence(of(low), of(high)), lambda c: c * LEVELS + i)
 
-    own = [F.struct(F.lit(i).alias("level"), F.floor(F.col(point) / w).alias("cell")) for i, w in enumerate(widths)]
+    # A cell and its level are one number.
+    own = [F.floor(F.col(point) / w) * LEVELS + i for i, w in enumerate(widths)]
     p = points.withColumn("_cell", F.explode(F.array(*own)))
     span = F.col(high) - F.col(low)
     chosen = cells(LEVELS - 1)
@@ -54,6 +55,10 @@ def point_in_range(
         chosen = F.when(span <= FACTOR * widths[i], cells(i)).otherwise(chosen)
     r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_range_cell", F.explode(chosen))
 
+    hit = (p["_cell"] == r["_range_cell"]) & (p[point] >= r[low]) & (p[point] <= r[high])
+    # Where there are no more points than that at all, no cell can have more.
+    if points.limit(hot_points + 1).count() <= hot_points:
+        return p.join(r, hit).drop("_cell", "_range_cell")
     busy = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_points)
     busy = busy.select(F.col("_cell").alias("_busy"), F.ceil(F.col("_n") / hot_points).alias("_parts"))
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*points.columns), F.col("_parts"))).otherwise(F.lit(0))
