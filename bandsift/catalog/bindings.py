@@ -17,6 +17,9 @@ _BASE = 1_704_067_200_000_000
 AS_OF = "2024-01-15 00:00:00"
 _AS_OF_US = 1_705_276_800_000_000
 
+#: Rows of a part of a streamed file.
+FILE_ROWS = 500_000
+
 
 def _at(micros: str) -> tuple[str, str]:
     return f"timestamp_micros({micros})", f"make_timestamp({micros})"
@@ -509,16 +512,20 @@ class Tables:
 
         rows = getattr(self, name)
         rows = rows.withColumn("_us", F.expr(time_us).cast("bigint")).withColumn("_hash", F.xxhash64("_us", *rows.columns[:2]))
-        low, high = rows.agg(F.min("_us"), F.max("_us")).first()
+        low, high, n = rows.agg(F.min("_us"), F.max("_us"), F.count(F.lit(1))).first()
         width = max(1, (high - low) // files + 1) if low is not None else 1
         late = F.pmod(F.col("_hash"), F.lit(width // 2 + 1))
         rows = rows.withColumn("_file", F.least(F.floor((F.col("_us") - F.lit(low) + late) / width), F.lit(files - 1)))
-        folder = shared_folder(self.spark, "stream-in")
+        # However many parts a file of a large table has, they make one micro-batch.
+        folder, parts = shared_folder(self.spark, "stream-in"), max(1, n // (files * FILE_ROWS))
         for i in range(files):
-            one = rows.filter(F.col("_file") == i).sortWithinPartitions("_hash")
-            one.drop("_us", "_hash", "_file").write.mode("append").parquet(folder)
+            one = rows.filter(F.col("_file") == i).repartition(parts, "_hash").sortWithinPartitions("_hash").drop("_us", "_hash", "_file")
+            one.write.parquet(f"{folder}/{i}")
+            written = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{i}")
+            for _ in range(parts - written.select("path").count()):
+                one.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
         schema = getattr(self, name).schema
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", parts).parquet(f"{folder}/*")
         return stream, f"{width // 1_000_000 + 1} seconds"
 
     def drained_to_end(self, make, marks: DataFrame) -> DataFrame:

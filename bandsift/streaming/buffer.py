@@ -1,7 +1,7 @@
 """An event-time ordered buffer in front of a fold: live results do not depend on how rows arrive.
 
-Rows of a key wait in time slots (a map from slot to rows, in the state store). When the watermark
-has passed a slot, a timer hands its rows to the fold in order; so a micro-batch may hold any rows in
+Rows travel packed, one row for all that a batch holds of a key, and wait in the state store. When the
+watermark has passed a time slot, a timer hands its rows to the fold in order; so a micro-batch may hold any rows in
 any order, as long as they come before the watermark passes them. A row that comes after a later one
 of its key has been folded is late: it is not folded but put out on its own side, with its time, and
 counted in the state. A closing mark, which a source sends when a key is over, releases all that waits
@@ -12,7 +12,9 @@ Time must not decrease along the order in which a fold takes its rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -29,7 +31,10 @@ LATENESS, SLOT_US = "10 seconds", 1_000_000
 #: Event time of a late row; null on results.
 LATE = "late_us"
 
-_TIME, _CLOSING = "_time_us", "_closing"
+_TIME, _ROWS, _CLOSING = "_time_us", "_rows", "_closing"
+
+#: Waiting rows that lie beside a fold's state, rows of a part, and rows that are handled at a time.
+FEW, PART, MANY = 64, 4_000, 32_000
 
 
 class LiveFold(Fold):
@@ -64,8 +69,18 @@ def plain(value):
     return value
 
 
+def _sent(rows: list[tuple]) -> bytes:
+    return pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)
+
+
 class OrderedProcessor(StatefulProcessor):
-    """Holds rows back until the watermark, then runs a `LiveFold` over them in order."""
+    """Holds rows back until the watermark, then runs a `LiveFold` over them in order.
+
+    A key has one timer, for the first thing that waits; it releases all that the watermark has passed.
+    A few waiting rows lie beside the fold's state. More are put away as parts, runs of neighbouring
+    slots, which are read again when their first slot is due; so neither a micro-batch nor all that
+    waits is ever held as a whole.
+    """
 
     def __init__(self, start: Callable[[tuple], LiveFold], keys: Sequence[str], order: Sequence[str], rows: T.StructType, out: T.StructType, slot_us: int):
         self.start, self.keys, self.order, self.slot_us = start, list(keys), list(order), slot_us
@@ -75,78 +90,118 @@ class OrderedProcessor(StatefulProcessor):
         # Types are parsed here, on the driver; workers have no session.
         own = T.StructType.fromDDL(start(tuple([0] * len(keys))).STATE)
         seen = T.StructType([rows[c] for c in order])
+        # `waiting`: the few rows, the first slot and number of each part, and the next number.
         self.held = T.StructType(
-            [T.StructField("seen", seen), T.StructField("late", T.LongType()), T.StructField("due", T.LongType()), T.StructField("fold", own)]
+            [T.StructField("seen", seen), T.StructField("late", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("waiting", T.BinaryType()), T.StructField("fold", own)]
         )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        waiting = T.ArrayType(T.StructType([*self.rows.fields, T.StructField(_TIME, T.LongType())]))
-        slot = T.StructType([T.StructField("slot", T.LongType())])
-        self.waiting = handle.getMapState("waiting", slot, T.StructType([T.StructField("rows", waiting)]))
+        self.parts = handle.getMapState("parts", "number BIGINT", "rows BINARY")
         self.state = handle.getValueState("fold", self.held)
 
-    def load(self, key: tuple) -> tuple[LiveFold, list]:
-        fold, held = self.start(key), [None, 0, None]
-        if self.state.exists():
-            *held, own = plain(self.state.get())
+    def load(self, key: tuple) -> tuple[LiveFold, dict]:
+        fold, held = self.start(key), {"seen": None, "late": 0, "timer": None, "few": [], "parts": [], "next": 0}
+        state = self.state.get()
+        if state is not None:
+            held["seen"], held["late"], held["timer"], waiting, own = plain(state)
+            held["few"], held["parts"], held["next"] = pickle.loads(waiting)
             fold.restore(own)
         return fold, held
 
-    def save(self, fold: LiveFold, held: list) -> None:
+    def save(self, fold: LiveFold, held: dict) -> None:
+        if len(held["few"]) > FEW:
+            self.put_away(held)
+        slots = [r[-1] // self.slot_us for r in held["few"]] + [slot for slot, _ in held["parts"]]
         due = fold.due()
-        if due is not None and due != held[2]:
-            self.handle.registerTimer((due // self.slot_us + 1) * self.slot_us // 1000)
-        held[2] = due
-        self.state.update((*held, fold.saved()))
+        if due is not None:
+            slots.append(due // self.slot_us)
+        timer = (min(slots) + 1) * self.slot_us // 1000 if slots else None
+        if timer != held["timer"]:
+            if held["timer"] is not None:
+                self.handle.deleteTimer(held["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        held["timer"] = timer
+        self.state.update((held["seen"], held["late"], timer, _sent((held["few"], held["parts"], held["next"])), fold.saved()))
+
+    def put_away(self, held: dict) -> None:
+        rows = sorted(held["few"], key=lambda r: r[-1])
+        for low in range(0, len(rows), PART):
+            part = rows[low : low + PART]
+            self.parts.updateValue((held["next"],), (_sent(part),))
+            held["parts"].append((part[0][-1] // self.slot_us, held["next"]))
+            held["next"] += 1
+        held["few"] = []
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         key = tuple(key)
-        by_slot: dict[int, list[tuple]] = {}
+        fold, held = self.load(key)
         closing = None
         for row in rows:
-            at = row[_TIME]
-            if row[_CLOSING]:
+            at = row[_CLOSING]
+            if at is not None:
                 closing = at if closing is None else max(closing, at)
             else:
-                by_slot.setdefault(at // self.slot_us, []).append((*(plain(row[c]) for c in self.rows.names), at))
-        for slot, new in by_slot.items():
-            if self.waiting.containsKey((slot,)):
-                new = [*plain(self.waiting.getValue((slot,))[0]), *new]
-            else:
-                self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
-            self.waiting.updateValue((slot,), (new,))
+                held["few"] += pickle.loads(row[_ROWS])
+                if len(held["few"]) > MANY:
+                    self.put_away(held)
         if closing is not None:
-            fold, held = self.load(key)
-            slots = sorted(k[0] for k in self.waiting.keys())
-            out = [r for s in slots if s <= closing // self.slot_us for r in self.release(key, fold, held, s)]
-            out += [*fold.advance(closing), *fold.finish()]
-            self.save(fold, held)
-            yield from self.results(out)
+            yield from self.release(key, fold, held, closing // self.slot_us + 1)
+            yield from self.results([*fold.advance(closing), *fold.finish()])
+        self.save(fold, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        key, now = tuple(key), expiredTimerInfo.getExpiryTimeInMs() * 1000
-        slot = now // self.slot_us - 1  # timers lie at the ends of slots
+        key, now = tuple(key), timerValues.getCurrentWatermarkInMs() * 1000
         fold, held = self.load(key)
-        out = self.release(key, fold, held, slot) if self.waiting.containsKey((slot,)) else []
-        out += fold.advance(now)
+        if held["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            held["timer"] = None  # Spark deletes it
+        yield from self.release(key, fold, held, now // self.slot_us)
+        yield from self.results(fold.advance(now // self.slot_us * self.slot_us))
         self.save(fold, held)
-        yield from self.results(out)
-
-    def release(self, key: tuple, fold: LiveFold, held: list, slot: int) -> list[tuple]:
-        """Hand the rows of a slot to the fold, those that come too late aside."""
-        rows = sorted(plain(self.waiting.getValue((slot,))[0]), key=lambda r: [r[i] for i in self.at])
-        self.waiting.removeKey((slot,))
-        last = held[0]
-        late = [r for r in rows if last is not None and tuple(r[i] for i in self.at) <= last]
-        rows = rows[len(late) :]
-        held[1] += len(late)
+
+    def release(self, key: tuple, fold: LiveFold, held: dict, until: int) -> Iterator[Row]:
+        """Hand the rows of the slots before `until` to the fold, those that come too late aside."""
+        rows = held["few"]
+        parts = sorted(p for p in held["parts"] if p[0] < until)
+        held["parts"] = [p for p in held["parts"] if p[0] >= until]
+        for i, (_, number) in enumerate(parts):
+            rows = rows + pickle.loads(self.parts.getValue((number,))[0])
+            self.parts.removeKey((number,))
+            if len(rows) > MANY and i + 1 < len(parts):
+                # What lies before the next part is all here.
+                first = parts[i + 1][0] * self.slot_us
+                ready = [r for r in rows if r[-1] < first]
+                if len(ready) > PART:
+                    rows = [r for r in rows if r[-1] >= first]
+                    yield from self.results(self.fold_rows(key, fold, held, ready))
+        ready = [r for r in rows if r[-1] < until * self.slot_us]
+        held["few"] = [r for r in rows if r[-1] >= until * self.slot_us]
+        if ready:
+            yield from self.results(self.fold_rows(key, fold, held, ready))
+
+    def fold_rows(self, key: tuple, fold: LiveFold, held: dict, rows: list[tuple]) -> list[tuple]:
+        """Rows of whole slots, with none before them still waiting."""
+        rows = sorted(rows, key=lambda r: (r[-1] // self.slot_us, *(r[i] for i in self.at)))
         out = []
-        if rows:
-            held[0] = tuple(rows[-1][i] for i in self.at)
-            columns = list(zip(*rows, strict=True))[:-1]
+        # Rows are in order within a slot; between slots only late ones lie behind what was folded.
+        last, kept, late = held["seen"], [], []
+        slot, limit = None, last
+        for r in rows:
+            if r[-1] // self.slot_us != slot:
+                slot, limit = r[-1] // self.slot_us, last
+            place = tuple(r[i] for i in self.at)
+            if limit is not None and place <= limit:
+                late.append(r)
+            else:
+                kept.append(r)
+                last = place
+        held["seen"] = last
+        held["late"] += len(late)
+        for low in range(0, len(kept), MANY):
+            columns = list(zip(*kept[low : low + MANY], strict=True))[:-1]
             arrays = [pa.array(c, f.type) for c, f in zip(columns, self.kinds, strict=True)]
-            out = [(*r, None) for r in fold.step(pa.RecordBatch.from_arrays(arrays, schema=self.kinds))]
+            out += [(*r, None) for r in fold.step(pa.RecordBatch.from_arrays(arrays, schema=self.kinds))]
         # Of a late row the columns that a result has as well, and its time.
         for r in late:
             own = dict(zip(self.keys, key, strict=True)) | dict(zip(self.rows.names, r, strict=False)) | {LATE: r[-1]}
@@ -155,13 +210,39 @@ class OrderedProcessor(StatefulProcessor):
 
     def results(self, rows: list[tuple]) -> Iterator[Row]:
         width = len(self.out)
-        for r in rows:
-            yield Row(**dict(zip(self.out, r if len(r) == width else (*r, None), strict=True)))
+        for low in range(0, len(rows), MANY):
+            yield Row(**{_ROWS: _sent([r if len(r) == width else (*r, None) for r in rows[low : low + MANY]])})
 
     def close(self) -> None:
         pass
 
 
+def _packed(batches: Iterator[pa.RecordBatch], keys: list[str], carried: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a key in a batch, and one for each closing mark."""
+    for batch in batches:
+        held: dict[tuple, list[tuple]] = {}
+        marks = []
+        of = lambda names: zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        for key, row, closes in zip(of(keys), of([*carried, _TIME]), batch.column(_CLOSING).to_pylist(), strict=True):
+            if closes:
+                marks.append((key, row[-1]))
+            else:
+                held.setdefault(key, []).append(row)
+        own = [*((k, max(r[-1] for r in rows), _sent(rows), None) for k, rows in held.items()), *((k, at, None, at) for k, at in marks)]
+        named = list(zip(*(o[0] for o in own), strict=True)) or [()] * len(keys)
+        cols = [pa.array(c, batch.schema.field(k).type) for k, c in zip(keys, named, strict=True)]
+        cols += [pa.array([o[i] for o in own], t) for i, t in ((1, pa.int64()), (2, pa.binary()), (3, pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=[*keys, _TIME, _ROWS, _CLOSING])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, FEW):
+            rows = [r for x in batch.column(0).slice(low, FEW).to_pylist() for r in pickle.loads(x)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
 def in_order(
     stream: DataFrame,
     keys: Sequence[str],
@@ -183,13 +264,17 @@ def in_order(
     if closing is not None:
         blank = [F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields]
         rows = rows.unionByName(closing.select(*blank, F.col("ts").cast("timestamp").alias("_ts"), F.lit(True).alias(_CLOSING)))
-    # The processor gets the time as a number, so that Spark drops no row by its watermark.
-    timed = rows.withWatermark("_ts", lateness).withColumn(_TIME, F.unix_micros("_ts")).drop("_ts")
+    rows = rows.withColumn(_TIME, F.unix_micros("_ts")).drop("_ts")
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in T.StructType.fromDDL(schema).fields), T.StructField(LATE, T.LongType())])
     carried = T.StructType([T.StructField(f.name, f.dataType) for f in kinds.fields if f.name not in keys])
-    return timed.groupBy(*keys).transformWithState(
-        OrderedProcessor(start, keys, order, carried, out, slot_us), outputStructType=out, outputMode="append", timeMode="eventTime"
+    named = T.StructType([kinds[k] for k in keys]).add(_TIME, "long").add(_ROWS, "binary").add(_CLOSING, "long")
+    packed = rows.mapInArrow(partial(_packed, keys=list(keys), carried=carried.names), named)
+    # The processor gets no time column, so that Spark drops no row by its watermark.
+    timed = packed.withColumn("_ts", F.timestamp_micros(_TIME)).withWatermark("_ts", lateness).drop("_ts", _TIME)
+    found = timed.groupBy(*keys).transformWithState(
+        OrderedProcessor(start, keys, order, carried, out, slot_us), outputStructType=T.StructType().add(_ROWS, "binary"), outputMode="append", timeMode="eventTime"
     )
+    return found.mapInArrow(partial(_unpacked, kinds=to_arrow_schema(out)), out)
 
 
 def on_time(results: DataFrame) -> DataFrame:

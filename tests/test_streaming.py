@@ -1,6 +1,7 @@
 """Streams cut into several micro-batches give the batch result; files round-trip."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -263,3 +264,97 @@ def test_ingest_is_repeatable(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "bursts").count() == 20
     doc = tables.export_document(df, "detections", ["channel_id"]).first().value
     assert doc.startswith('{"kind":"detections","detections":[{"session_id":1,"channel_id":9,')
+
+
+class HeldState:
+    """What a processor asks of its handle, counted."""
+
+    def __init__(self):
+        self.timers, self.parts, self.value, self.calls = set(), {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return HeldValue(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getValue(self, key):
+        return self.parts[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.parts[key] = value
+
+    def removeKey(self, key):
+        del self.parts[key]
+
+
+class HeldValue:
+    def __init__(self, own):
+        self.own = own
+
+    def get(self):
+        return self.own.value
+
+    def update(self, value):
+        self.own.calls += 1
+        self.own.value = value
+
+
+def test_rows_far_apart_cost_no_call_each(spark):
+    """A key with very many slots has one timer, and its rows wait in few parts."""
+    kinds = T.StructType.fromDDL("us bigint, id bigint")
+    processor = buffer.OrderedProcessor(lambda key: folds.LiveThrottleFold(key, ["us", "id"], 10), ["k"], ["us", "id"], kinds, T.StructType.fromDDL("k bigint, us bigint, id bigint, late_us bigint"), 1_000_000)
+    handle = HeldState()
+    processor.init(handle)
+    rng = np.random.default_rng(1)
+    at = [int(x) * 1_000_000 for x in rng.permutation(20_000)]
+    out = []
+    for low in range(0, len(at), 10_000):
+        batch = pa.table({"k": [7] * 10_000, "us": at[low : low + 10_000], "id": range(10_000), "_time_us": at[low : low + 10_000], "_closing": [False] * 10_000}).to_batches()
+        (packed,) = buffer._packed(iter(batch), ["k"], ["us", "id"])
+        assert packed.num_rows == 1
+        out += processor.handleInputRows((7,), iter(T.Row(**r) for r in packed.select(["_rows", "_closing"]).to_pylist()), None)
+    assert handle.calls < 30 and len(handle.timers) == 1 and not out
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    seen = []
+    for ms in (9_000_500, 15_000_000):
+        (first,) = handle.timers
+        handle.timers.clear()
+        found = list(processor.handleExpiredTimer((7,), Now(ms), Now(first)))
+        batch = pa.RecordBatch.from_pydict({"_rows": [r["_rows"] for r in found]})
+        seen += [r["us"] for b in buffer._unpacked(iter([batch]), pa.schema([(c, pa.int64()) for c in ("k", "us", "id", "late_us")])) for r in b.to_pylist()]
+        assert len(handle.timers) == 1 and min(handle.timers) > ms
+    assert seen == [i * 1_000_000 for i in range(15_000)] and handle.calls < 60
+
+
+def test_a_file_of_many_parts_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    """Rows of a table in several parts come in as many micro-batches as files are asked for."""
+    from bandsift.catalog import bindings
+
+    events = spark.range(3_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 40).alias("user_id"), F.timestamp_seconds(F.col("id") * 777).cast("timestamp_ntz").alias("ts"), F.lit(1.5).alias("value"), F.lit("x").alias("event_type"), F.lit("{}").alias("props"),
+    )
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(bindings, "FILE_ROWS", 200, raising=False)
+    t = bindings.Tables(spark, str(tmp_path))
+    found, late = t.out_of_order("detections", "unix_micros(ts)")
+    batches = []
+    query = found.writeStream.foreachBatch(lambda df, i: batches.append(df.count())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(batches) == 4 and sum(batches) == 3_000
+    rows = found.withColumn("ts_us", F.unix_micros("ts"))
+    ends = t.detections.groupBy("session_id", "channel_id").agg(F.max("ts").alias("ts"))
+    got = t.drained_to_end(lambda closing: folds.live_throttle(rows, ["session_id", "channel_id"], "ts_us", "detection_id", 1, closing, late), ends)
+    assert got.count() == 3_000
