@@ -17,8 +17,9 @@ from bandsift import params as P
 #: A channel is known by its session and its number in it.
 CHANNEL = ["session_id", "channel_id"]
 
-#: Widths of cells grow by FACTOR from level to level.
-LEVELS, FACTOR = 3, 16
+#: Widths of cells grow by FACTOR from level to level; so many levels lie below the given width and so
+#: many above it. Only levels that some range needs are used.
+FINER, WIDER, FACTOR = 4, 2, 16
 
 #: Points of a cell that are joined in one piece; a cell with more is split.
 HOT_POINTS = 100_000
@@ -36,24 +37,21 @@ def point_in_range(
     """Pairs with low <= point <= high, once each.
 
     Cells have several widths. A range is put into the cells of the narrowest width of which it
-    touches few, so wide ranges don't become many rows; a point looks into its cell of each width. A
-    cell that holds more than `hot_points` points is dealt into parts by a hash of the point, and the
-    ranges of that cell go to all of its parts; so one busy frequency is joined by many tasks.
+    touches few, so wide ranges don't become many rows and narrow ones don't meet all points of a wide
+    cell; a point looks into its cell of each width that a range has. A cell that holds more than
+    `hot_points` points is dealt into parts by a hash of the point, and the ranges of that cell go to all
+    of its parts; so one busy frequency is joined by many tasks.
     """
-    widths = [bucket_hz * FACTOR**i for i in range(LEVELS)]
-
-    def cells(i: int) -> Column:
-        of = lambda name: F.floor(F.col(name) / widths[i])
-        return F.transform(F.sequence(of(low), of(high)), lambda c: c * LEVELS + i)
-
+    ranges = ranges.filter(F.col(low) <= F.col(high))
+    widths, level = cell_widths(low, high, bucket_hz)
+    used = sorted(row[0] for row in ranges.select(level).distinct().collect())
     # A cell and its level are one number.
-    own = [F.floor(F.col(point) / w) * LEVELS + i for i, w in enumerate(widths)]
-    p = points.withColumn("_cell", F.explode(F.array(*own)))
-    span = F.col(high) - F.col(low)
-    chosen = cells(LEVELS - 1)
-    for i in range(LEVELS - 2, -1, -1):
-        chosen = F.when(span <= FACTOR * widths[i], cells(i)).otherwise(chosen)
-    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_range_cell", F.explode(chosen))
+    own = [F.floor(F.col(point) / widths[i]) * len(widths) + i for i in used]
+    p = points.withColumn("_cell", F.explode(F.array(*own).cast("array<bigint>")))
+    width = F.element_at(F.array(*map(F.lit, widths)), level + 1)
+    of = lambda name: F.floor(F.col(name) / width)
+    cells = F.transform(F.sequence(of(low), of(high)), lambda c: c * len(widths) + level)
+    r = ranges.withColumn("_range_cell", F.explode(cells))
 
     hit = (p["_cell"] == r["_range_cell"]) & (p[point] >= r[low]) & (p[point] <= r[high])
     # Where there are no more points than that at all, no cell can have more.
@@ -74,6 +72,13 @@ def point_in_range(
     return p.join(r, hit).drop("_cell", "_part", "_range_cell", "_range_part")
 
 
+def cell_widths(low: str, high: str, bucket_hz: int) -> tuple[list[float], Column]:
+    """Widths of cells by level, and the level of a range: the lowest of which it touches few cells."""
+    widths = [bucket_hz * float(FACTOR) ** i for i in range(-FINER, WIDER + 1)]
+    level = F.ceil(F.log(float(FACTOR), (F.col(high) - F.col(low)) / (FACTOR * widths[0])))
+    return widths, F.greatest(F.lit(0), F.least(F.lit(len(widths) - 1), F.coalesce(level, F.lit(0)))).cast("int")
+
+
 def overlap(
     left: DataFrame,
     right: DataFrame,
@@ -195,29 +200,64 @@ def reference_ranges(
     ).select(*CHANNEL, "lo_hz", "hi_hz", "range_label")
 
 
-def focus_channel(
-    focus: DataFrame, channels: DataFrame, bucket_hz: int = 100_000
-) -> DataFrame:
+#: Cells of whole numbers of Hz; those of a level are so many times as wide as those of the one below.
+TREE_LEVELS, TREE_FACTOR = 9, 8
+
+
+def _cells_between(first: Column, last: Column, side: int) -> Column:
+    """The few cells (level, cell) that make up all positions from `first` to `last`."""
+    kind = "struct<low:bigint,high:bigint,cells:array<struct<level:bigint,cell:bigint,side:int>>>"
+
+    def taken(level: Column, low: Column, high: Column) -> Column:
+        run = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(run, lambda c: F.struct(level.cast("bigint").alias("level"), c.alias("cell"), F.lit(side).alias("side")))
+
+    def climb(s: Column, level: Column) -> Column:
+        up = F.least(s["high"], F.ceil(s["low"] / TREE_FACTOR) * TREE_FACTOR)
+        down = F.greatest(up, F.floor(s["high"] / TREE_FACTOR) * TREE_FACTOR)
+        cells = F.concat(s["cells"], taken(level, s["low"], up), taken(level, down, s["high"]))
+        return F.struct(F.ceil(up / TREE_FACTOR).alias("low"), F.floor(down / TREE_FACTOR).alias("high"), cells.alias("cells")).cast(kind)
+
+    none = F.array().cast("array<struct<level:bigint,cell:bigint,side:int>>")
+    begin = F.struct(first.alias("low"), (last + 1).alias("high"), none.alias("cells")).cast(kind)
+    top = F.lit(TREE_LEVELS - 1)
+    return F.aggregate(
+        F.sequence(F.lit(0), top - 1), begin, climb, lambda s: F.concat(s["cells"], taken(top, s["low"], s["high"]))
+    )
+
+
+def focus_channel(focus: DataFrame, channels: DataFrame) -> DataFrame:
     """For each focus (focus_id, focus_hz, sample_rate): the channel in its window that
-    was seen last, the nearest on a tie. Candidates are reduced by an aggregate."""
-    half = F.col("sample_rate") / 2
-    windows = focus.select(
-        "focus_id",
-        "focus_hz",
-        (F.col("focus_hz") - half).alias("_low"),
-        (F.col("focus_hz") + half).alias("_high"),
+    was seen last, the nearest on a tie.
+
+    Centres are whole numbers of Hz. Cells of several widths hold the channel seen last, the lowest and
+    the highest of them on a tie; below the focus the highest of a cell is the nearest, above it the
+    lowest. A window is made up of few cells, so it never meets all channels that lie in it.
+    """
+    name = F.struct("last_seen", F.col("center_hz").cast("bigint").alias("center_hz"), *CHANNEL)
+
+    def seen(c: Column, near: Column) -> Column:
+        return F.struct(c["last_seen"], near, -c["session_id"], -c["channel_id"])
+
+    own = channels.select(name.alias("_c")).withColumn("_cell", F.col("_c.center_hz")).filter("_cell IS NOT NULL")
+    first = F.max_by("_c", seen(F.col("_c"), F.lit(0)))
+    own = own.groupBy("_cell").agg(first.alias("_c"))
+    cells = F.array(*(F.struct(F.lit(i).cast("bigint").alias("level"), F.floor(F.col("_cell") / TREE_FACTOR**i).alias("cell")) for i in range(TREE_LEVELS)))
+    tree = own.select(F.explode(cells).alias("_at"), "_c").groupBy("_at.level", "_at.cell").agg(
+        F.max_by("_c", seen(F.col("_c"), -F.col("_c.center_hz"))).alias("_lowest"),
+        F.max_by("_c", seen(F.col("_c"), F.col("_c.center_hz"))).alias("_highest"),
     )
-    near = point_in_range(
-        channels.select(*CHANNEL, "center_hz", "last_seen"),
-        windows,
-        "center_hz",
-        "_low",
-        "_high",
-        bucket_hz,
+    half = F.col("sample_rate") / 2
+    low, high = F.ceil(F.col("focus_hz") - half), F.floor(F.col("focus_hz") + half)
+    middle = F.floor("focus_hz")
+    windows = focus.filter(low <= high).select(
+        "focus_id", "focus_hz", F.explode(F.concat(_cells_between(low, middle, 0), _cells_between(middle + 1, high, 1))).alias("_at")
+    ).select("focus_id", "focus_hz", "_at.*")
+    near = windows.join(tree, ["level", "cell"]).withColumn("_c", F.when(F.col("side") == 0, F.col("_highest")).otherwise(F.col("_lowest")))
+    c = F.col("_c")
+    best = near.groupBy("focus_id").agg(
+        F.max_by(F.struct(*[c[k].alias(k) for k in CHANNEL]), seen(c, -F.abs(c["center_hz"] - F.col("focus_hz")))).alias("_c")
     )
-    distance = F.abs(F.col("center_hz") - F.col("focus_hz"))
-    rank = F.struct(F.col("last_seen"), -distance, -F.col("session_id"), -F.col("channel_id"))
-    best = near.groupBy("focus_id").agg(F.max_by(F.struct(*CHANNEL), rank).alias("_c"))
     return best.select("focus_id", "_c.*")
 
 

@@ -214,3 +214,40 @@ def test_segments_are_joined_without_blocks_metadata(spark):
         if r.start_sample != 26:  # of two blocks at one place either may end the other's segment
             assert r.segment_start == want[r.session_id, r.start_sample]
     assert dsp.with_segments(dsp.with_segments(df)).count() == len(got)
+
+
+def test_narrow_ranges_get_narrow_cells(spark):
+    """A range of some kHz must not meet all points of a cell of 100 kHz."""
+    spans = spark.createDataFrame([(i, 1_000_000 + 7_001.5 * i - 1_000 - i, 1_000_000 + 7_001.5 * i + 1_000 + i) for i in range(200)], "j bigint, low double, high double")
+    widths, level = ranges.cell_widths("low", "high", 100_000)
+    for low, high, at in spans.select("low", "high", level).collect():
+        assert widths[at] < high - low <= 16 * widths[at]
+    points = spark.range(3_000).select(F.col("id"), (F.lit(900_000) + F.col("id") * 571).alias("hz"))
+    got = ranges.point_in_range(points, spans, "hz", "low", "high", 100_000)
+    own, all_spans = points.collect(), spans.collect()
+    want = {(p.id, s.j) for p in own for s in all_spans if s.low <= p.hz <= s.high}
+    pairs = [(r.id, r.j) for r in got.collect()]
+    assert len(pairs) == len(want) > 500 and set(pairs) == want
+    edges = spark.createDataFrame([(0, 900_571.0, 900_571.0), (1, 5.0, 4.0), (2, -1e9, 1e9)], spans.schema)
+    assert ranges.point_in_range(points, edges, "hz", "low", "high", 100_000).count() == 3_001
+
+
+def test_focus_meets_few_cells(spark):
+    """Many channels lie in a window and many were seen at the same time; nulls and repeats among them."""
+    rng = np.random.default_rng(5)
+    own = [(int(rng.integers(0, 3)), int(i % 700), None if i % 97 == 0 else int(868_000_000 + rng.integers(0, 3_000)), int(rng.integers(0, 4))) for i in range(1_500)]
+    own += [(None, 5, 868_001_000, 3), (1, None, 868_001_000, 3), (1, 2, 868_001_001, None)]
+    df = spark.createDataFrame(own, "session_id bigint, channel_id bigint, center_hz bigint, s bigint").withColumn("last_seen", F.timestamp_seconds("s"))
+    windows = [(i, int(868_000_000 + rng.integers(-50, 3_050)), int(rng.choice([1, 2, 3, 9, 801, 4_000, 90_000]))) for i in range(120)] + [(120, None, 5), (121, 868_001_000, 1)]
+    focus = spark.createDataFrame(windows, "focus_id bigint, focus_hz bigint, sample_rate int")
+    got = {r.focus_id: (r.session_id, r.channel_id) for r in ranges.focus_channel(focus, df).collect()}
+    low = lambda x: (x is not None, -x if x is not None else 0)
+    want = {}
+    for i, hz, rate in windows:
+        near = [c for c in own if hz is not None and c[2] is not None and abs(c[2] - hz) <= rate / 2]
+        if near:
+            best = max(near, key=lambda c: (c[3] is not None, c[3] or 0, -abs(c[2] - hz), low(c[0]), low(c[1])))
+            want[i] = best[:2]
+    assert got == want and len(want) > 80
+    cells = focus.select(F.size(ranges._cells_between(F.col("focus_hz") - 50_000_000, F.col("focus_hz"), 0))).filter("focus_hz IS NOT NULL")
+    assert max(r[0] for r in cells.collect()) < 150
