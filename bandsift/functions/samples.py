@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: What each byte of a cu8 sample stands for.
+CU8 = ((np.arange(256) - 127.5) / 127.5).astype(np.float32)
+
+
 def sample_bytes(datatype: str) -> int:
     """Bytes of one complex sample."""
     return 2 if datatype == "cu8" else 8
@@ -13,7 +17,7 @@ def sample_bytes(datatype: str) -> int:
 def decode(raw: bytes, datatype: str) -> np.ndarray:
     """Interleaved float samples of a cf32_le or cu8 byte string."""
     if datatype == "cu8":
-        return ((np.frombuffer(raw, np.uint8) - 127.5) / 127.5).astype(np.float32)
+        return CU8[np.frombuffer(raw, np.uint8)]
     if datatype == "cf32_le":
         return np.frombuffer(raw, "<f4").astype(np.float32)
     raise ValueError(f"cannot read samples of type {datatype!r}")

@@ -6,11 +6,13 @@ import statistics
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from bandsift.functions.samples import decode
 from bandsift.operators import channels as ch
-from bandsift.operators import cluster, ranges, timing
+from bandsift.operators import cluster, dsp, ranges, timing
 from bandsift.operators.tracks import RunningMedian
 from bandsift.sources import sigmf
 from tests.models import clusters, greedy_keep, merged
@@ -251,3 +253,16 @@ def test_focus_meets_few_cells(spark):
     assert got == want and len(want) > 80
     cells = focus.select(F.size(ranges._cells_between(F.col("focus_hz") - 50_000_000, F.col("focus_hz"), 0))).filter("focus_hz IS NOT NULL")
     assert max(r[0] for r in cells.collect()) < 150
+
+
+def test_samples_are_decoded_in_small_pieces(spark, monkeypatch):
+    """Batches of many or long rows are cut by samples; a longer row stays whole."""
+    sizes = [10, 0, 30, 5_000, 7, 7, 7, None, 90]
+    batch = pa.RecordBatch.from_pydict({"raw": [None if n is None else bytes(2 * n) for n in sizes], "at": list(range(len(sizes)))})
+    monkeypatch.setattr(dsp, "_SLICE_SAMPLES", 50)
+    parts = list(dsp._pieces(iter([batch, batch.slice(0, 0)]), "cu8"))
+    assert [p.column("at").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6, 7], [8], []]
+    lists = pa.RecordBatch.from_pydict({"iq": pa.array([[0.0] * 60, [0.0] * 60, [], None], pa.list_(pa.float32()))})
+    assert [p.num_rows for p in dsp._pieces(iter([lists]), None)] == [1, 3]
+    raw = bytes(range(256))
+    assert (decode(raw, "cu8") == ((np.frombuffer(raw, np.uint8) - 127.5) / 127.5).astype(np.float32)).all()
