@@ -29,43 +29,61 @@ def burst_sessions(
 ) -> DataFrame:
     """Bursts among the newest arrivals of each channel; a longer gap starts a new one.
 
-    The arrivals kept per channel are few by definition, so plain windows follow.
+    One sort, the newest first, serves all windows: rows that start a burst stand for it, and nothing
+    is grouped. Spark limits the rows of a channel before it shuffles them. `chunk_s` matters only
+    where more arrivals are kept than Spark limits so.
     """
-    kept = newest_per_key(
-        arrivals.select(*keys, "ts", id_col),
-        keys,
-        ["ts", id_col],
-        max_arrivals,
-        time_chunk("ts", chunk_s),
-    ).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy(*keys).orderBy("_us", id_col)
-    before = F.lag("_us").over(w)
-    new = before.isNull() | (F.col("_us") - before > int(round(gap_s * 1e6)))
-    return (
-        kept.withColumn("_new", new.cast("int"))
-        .withColumn("burst_seq", F.sum("_new").over(w))
-        .groupBy(*keys, "burst_seq")
-        .agg(
-            F.min("_us").alias("start_us"),
-            F.max("_us").alias("end_us"),
-            F.count(F.lit(1)).alias("arrivals"),
-        )
-        .withColumn("duration_ms", (F.col("end_us") - F.col("start_us")) / 1000.0)
+    # Rows without a key or time belong to no channel's history.
+    rows = arrivals.select(*keys, "ts", id_col).dropna(subset=[*keys, "ts"])
+    limit = int(arrivals.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if max_arrivals > limit:
+        rows = newest_per_key(rows, keys, ["ts", id_col], max_arrivals, time_chunk("ts", chunk_s))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = rows.select(*keys, us.alias("_us"), F.col(id_col).alias("_id"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_us").desc(), F.col("_id").desc())
+    kept = rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= max_arrivals)
+    gap, whole = int(round(gap_s * 1e6)), Window.partitionBy(*keys)
+    older, newer = F.lead("_us").over(w), F.lag("_us").over(w)
+    edges = (
+        kept.withColumn("_first", older.isNull() | (F.col("_us") - older > gap))
+        .withColumn("_last", newer.isNull() | (newer - F.col("_us") > gap))
+    )
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        edges.withColumn("_end_us", F.last(F.when(F.col("_last"), F.col("_us")), ignorenulls=True).over(so_far))
+        .withColumn("_end_place", F.last(F.when(F.col("_last"), F.col("_place")), ignorenulls=True).over(so_far))
+        .withColumn("_later", F.sum(F.col("_first").cast("int")).over(so_far))
+        .withColumn("_all", F.sum(F.col("_first").cast("int")).over(whole))
+    )
+    return placed.filter("_first").select(
+        *keys,
+        (F.col("_all") - F.col("_later") + 1).alias("burst_seq"),
+        F.col("_us").alias("start_us"),
+        F.col("_end_us").alias("end_us"),
+        (F.col("_place") - F.col("_end_place") + 1).cast("long").alias("arrivals"),
+        ((F.col("_end_us") - F.col("_us")) / 1000.0).alias("duration_ms"),
     )
 
 
 def recurrence_of_bursts(bursts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Median duration, median start-to-start interval and its spread."""
-    w = Window.partitionBy(*keys).orderBy("burst_seq")
-    gaps = bursts.withColumn("_gap", (F.col("start_us") - F.lag("start_us").over(w)) / 1e6)
-    return gaps.groupBy(*keys).agg(
-        F.round(F.median("_gap"), 3).alias("recurrence_interval_s"),
-        F.round(F.median("duration_ms"), 3).alias("typical_burst_ms"),
-        F.count(F.lit(1)).alias("burst_count"),
-        F.when(F.count("_gap") >= 2, F.round(F.stddev_pop("_gap"), 3)).alias(
+    """Median duration, median start-to-start interval and its spread.
+
+    Windows in the order in which `burst_sessions` leaves its rows need no further sort, where an
+    aggregate of medians would sort all bursts twice.
+    """
+    w, whole = Window.partitionBy(*keys).orderBy(F.col("start_us").desc()), Window.partitionBy(*keys)
+    gaps = bursts.withColumn("_gap", (F.col("start_us") - F.lead("start_us").over(w)) / 1e6)
+    found = gaps.select(
+        *keys,
+        F.row_number().over(w).alias("_place"),
+        F.round(F.median("_gap").over(whole), 3).alias("recurrence_interval_s"),
+        F.round(F.median("duration_ms").over(whole), 3).alias("typical_burst_ms"),
+        F.count(F.lit(1)).over(whole).alias("burst_count"),
+        F.when(F.count("_gap").over(whole) >= 2, F.round(F.stddev_pop("_gap").over(whole), 3)).alias(
             "interval_jitter_s"
         ),
     )
+    return found.filter("_place = 1").drop("_place")
 
 
 def recurrence_stats(

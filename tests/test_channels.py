@@ -1,6 +1,7 @@
 """Ordered primitives, timing, scores, filters, joins, upkeep."""
 
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,38 @@ def test_recurrence_cases(spark):
     assert timing.burst_sessions(arrivals(spark, [0, 1.0, 2.5])).count() == 2
 
 
+def test_recurrence_sorts_once(spark):
+    """One shuffle, and a sort on either side of it; every row of a task is held once."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.randint(1, 3), rng.choice([None, *range(40)]), rng.choice([None, *range(0, 90, 3)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "session_id bigint, channel_id bigint, detection_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    df = df.repartition(3)
+    found = timing.recurrence_stats(df, 4.0, max_arrivals=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan and "Join" not in plan
+    want = {}
+    for key in {r[:2] for r in rows if r[0] is not None}:
+        own = sorted((r[3] for r in rows if r[:2] == key and r[3] is not None), reverse=True)[:9][::-1]
+        starts = [i for i, x in enumerate(own) if not i or x - own[i - 1] > 4]
+        ends = [*[i - 1 for i in starts[1:]], len(own) - 1]
+        gaps = [own[b] - own[a] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        mean = sum(gaps) / len(gaps) if gaps else 0
+        spread = round((sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5, 3) if len(gaps) > 1 else None
+        want[key] = [
+            round(median(gaps), 3) if gaps else None,
+            round(median((own[b] - own[a]) * 1000.0 for a, b in zip(starts, ends, strict=True)), 3),
+            len(starts),
+            spread,
+        ]
+        bursts = [(n, own[a] * 10**6, own[b] * 10**6, b - a + 1) for n, (a, b) in enumerate(zip(starts, ends, strict=True), 1)]
+        got = timing.burst_sessions(df, 4.0, max_arrivals=9).filter((F.col("session_id") == key[0]) & (F.col("channel_id") == key[1]))
+        assert sorted((r.burst_seq, r.start_us, r.end_us, r.arrivals) for r in got.collect()) == bursts
+    assert {(r[0], r[1]): list(r[2:]) for r in found.collect()} == want
+    # More arrivals than Spark limits before a shuffle: the chunks do it.
+    assert {r[0] for r in timing.burst_sessions(df, 4.0, max_arrivals=2000).groupBy().sum("arrivals").collect()} == {sum(r[0] is not None and r[3] is not None for r in rows)}
+
+
 CHANNEL = {
     "session_id": 3, "channel_id": 1, "center_hz": 868_300_000, "bandwidth_hz": 31_000,
     "current_power_db": -17.5, "peak_power_db": -9.25, "avg_power_db": -21.0, "snr_db": 14.5,
