@@ -1,9 +1,12 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A print is the smallest of all shingle hashes under one multiplier; two documents share it with a
-probability equal to their similarity. ROWS prints make a key, and there are so many keys that a pair
-at the asked similarity shares none with a probability of at most MISSED. Whoever shares a key, at
-sizes that allow the similarity, is in one loose group. The shingle hashes of the documents of such
+Candidates come by the method of `simhash`: each set has a fingerprint, the Golay keys of fingerprints
+meet, and links of at most REACH bits, checked bit by bit, go on. Pairs at the asked similarity may
+differ in more bits than such keys reach, so further keys find these: a print is the smallest of all
+shingle hashes under one multiplier, which two documents share with a probability equal to their
+similarity; ROWS prints make a key, and there are so many keys that a pair at the asked similarity
+shares none with a probability of at most MISSED. Whoever is linked by a fingerprint, or shares a key,
+at sizes that allow the similarity, is in one loose group. The shingle hashes of the documents of such
 groups are then compared exactly, group by group, by a search that leaves out what it has reached; so
 no pair is linked that isn't similar enough. Equal sets are one vertex.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from bandsift.llm.bloom import bits_for, held_filter, split_by
 from bandsift.llm.common import batches, cut_lineage, free, give_back, texts
 from bandsift.llm.components import components, forest
-from bandsift.llm.simhash import SEED, SHARD_BYTES
+from bandsift.llm.simhash import SEED, SHARD_BYTES, golay_shards, majority, near_links
 
 #: Prints in a key, and the share of pairs at the asked similarity that no key may find.
 ROWS, MISSED = 6, 1e-8
@@ -102,6 +105,20 @@ def groups_of(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
+def golay_links(own: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the vertices of own(vertex, size, fp) whose fingerprints have Golay links.
+
+    Vertices with one fingerprint are linked to the smallest of them, which stands for all in links between
+    fingerprints. Empty sets have none. Runs jobs when called.
+    """
+    marked = own.filter("size > 0").select("vertex", "fp").distinct()
+    least = cut_lineage(marked.groupBy("fp").agg(F.min("vertex").alias("least")))
+    first, second = (least.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    between = near_links(least.select("fp"), golay_shards(least)).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = marked.join(least, "fp").filter("vertex != least").select(F.col("vertex").alias("a"), F.col("least").alias("b"))
+    return between.unionByName(same)
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id of each group of near copies. Runs jobs when called.
 
@@ -118,11 +135,12 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         for batch in batches(it):
             sets = [shingles(t, words) for t in texts(batch)]
             cols = [pa.array([vertex_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([keys(x, n).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *cols], names=["doc_id", "hash", "vertex", "size", "keys"])
+            cols.append(pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *cols], names=["doc_id", "hash", "vertex", "size", "keys", "fp"])
 
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts_ = texts_.withColumn("hash", F.xxhash64("text"))
-    own = cut_lineage(texts_.mapInArrow(fingerprint, "doc_id long, hash long, vertex long, size long, keys binary"))
+    own = cut_lineage(texts_.mapInArrow(fingerprint, "doc_id long, hash long, vertex long, size long, keys binary, fp long"))
     # A vertex is a distinct set of shingles, named by a hash of it.
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
     vertices = own.groupBy("vertex").agg(least.alias("least")).select("vertex", F.col("least.doc_id").alias("first"), F.col("least.hash").alias("its"))
@@ -171,7 +189,8 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     dealt = own.select("vertex", "size", "keys").mapInArrow(deal, "shard int, a binary, b binary, c binary")
-    loose = components(dealt.repartition(shards, "shard").mapInArrow(meet, "a long, b long"))
+    by_prints = dealt.repartition(shards, "shard").mapInArrow(meet, "a long, b long")
+    loose = components(golay_links(own).unionByName(by_prints))
     # One row of each vertex of a loose group is enough; only copies under one doc_id, or none, come along.
     member = vertices.join(loose, vertices["vertex"] == loose["node"]).select(F.col("first").alias("own"), "its", "vertex", F.col("component").alias("loose"))
     member = cut_lineage(member)

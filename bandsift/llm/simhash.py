@@ -54,7 +54,11 @@ def fingerprint(text: str, words: int) -> int:
     last = (ends[words - 1 :] if len(found) >= words else ends[-1:]) - 1
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist(), strict=False)]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -223,14 +227,17 @@ def near_links(distinct: DataFrame, shards: int, reach: int = REACH) -> DataFram
     return dealt.repartition(shards, "shard").mapInArrow(meet, "a long, b long")
 
 
+def golay_shards(distinct: DataFrame) -> int:
+    """Shards for the keys of so many fingerprints: about 200 of 16 bytes each."""
+    least = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, distinct.count() * 200 * 16 // SHARD_BYTES)
+
+
 def near_groups(docs: DataFrame, words: int = 4, reach: int = REACH) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links. Runs jobs when called."""
     own = cut_lineage(fingerprints(docs, words))
     first = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # About 200 keys of 16 bytes for each fingerprint.
-    shards = max(least, first.count() * 200 * 16 // SHARD_BYTES)
-    found = components(near_links(first, shards, reach))
+    found = components(near_links(first, golay_shards(first), reach))
     named = first.join(found, first["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = cut_lineage(named.join(names, "root").select(F.col("fp").alias("own"), "component_id"))

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-import zstandard
 
 from bandsift.llm import bloom, lines, nearcopies, sais, simhash, suffix
 from bandsift.llm.common import ready
@@ -311,3 +310,33 @@ def test_near_copies_by_brute_force(spark):
     assert stay.columns == df.columns
     named = {c for _, c in near_by_brute_force(rows) if c is not None}
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted(named)
+
+
+def test_golay_keys_link_near_copies(spark, monkeypatch):
+    """No key of prints is there: what is found comes from the Golay keys of fingerprints, checked exactly."""
+    monkeypatch.setattr(nearcopies, "keys", lambda own, n: np.zeros(0, np.uint64))
+    rnd = random.Random(21)
+    rows, want = [], {}
+    for k in range(0, 60, 3):
+        own = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        # One shingle differs; the third is far from both.
+        rows += [(k, " ".join(own)), (k + 1, " ".join([*own[:-1], "other"])), (k + 2, " ".join(own[::-1]))]
+        near = (simhash.majority(nearcopies.shingles(rows[-3][1], 5)) ^ simhash.majority(nearcopies.shingles(rows[-2][1], 5))).bit_count() <= 4
+        want |= {k: k, k + 1: k + (not near), k + 2: k + 2}
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(frame(spark, rows)).collect()}
+    assert sum(want[k + 1] == k for k in range(0, 60, 3)) >= 18
+    assert got == want
+
+
+def test_one_fingerprint_of_many_sets(spark):
+    own = ready(spark).createDataFrame([(5, 3, 9), (2, 4, 9), (7, 1, 8), (7, 1, 8), (1, 0, 0), (40, 9, -1)], "vertex long, size long, fp long")
+    links = [(r["a"], r["b"]) for r in nearcopies.golay_links(own).collect()]
+    assert components_of(links) == {2: 2, 5: 2, 7: 2}
+
+
+def components_of(links):
+    root = {}
+    for a, b in links:
+        x, y = root.get(a, a), root.get(b, b)
+        root |= {n: min(x, y) for n in {a, b} | {n for n, r in root.items() if r in (x, y)}}
+    return root
