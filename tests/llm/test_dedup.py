@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from bandsift.llm import bloom, lines, nearcopies, sais, simhash, suffix
 from bandsift.llm.common import ready
@@ -340,3 +341,13 @@ def components_of(links):
         x, y = root.get(a, a), root.get(b, b)
         root |= {n: min(x, y) for n in {a, b} | {n for n, r in root.items() if r in (x, y)}}
     return root
+
+
+def test_blocks_are_compressed_hard():
+    """Files and segments of blocks are most of what stands on disk."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    lines_ = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(2000)]
+    found = ["\n".join(f"{rnd.choice(lines_)} {rnd.choice(words)}" for _ in range(40)).encode() for _ in range(200)]
+    packed = suffix.Block.of(list(range(200)), found).packed()
+    assert len(packed) < 0.92 * len(zstandard.compress(zstandard.decompress(packed), 1))
