@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandsift.llm.common import MEMO, batches, cut_lineage, packed, texts, unpacked
+from bandsift.llm.common import MEMO, batches, cut_lineage, give_back, packed, texts, unpacked
 
 #: Units and words after which a dictionary is closed.
 UNITS, WORDS = 300_000, 4_000_000
@@ -162,20 +162,26 @@ def subwords(path: str) -> sentencepiece.SentencePieceProcessor:
     return MEMO.of(("subwords", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-def _totals(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, list[bytes], bytes]], dict[bytes, int]]]:
-    """For each shard of a partition: its dictionaries (block, units, places), and counts of its units."""
+def _totals(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, bytes, bytes]], dict[bytes, int]]]:
+    """For each shard of a partition: its dictionaries (block, packed units, places), and counts of its units.
+
+    Units of one dictionary at a time are unpacked; at the end the worker gives its memory back.
+    """
     held: dict[int, list[tuple[int, bytes, bytes, bytes]]] = {}
     for batch in it:
         for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "names", "counts", "places")), strict=True):
             held.setdefault(shard, []).append(tuple(row))
-    for shard in list(held):
-        asked, total = [], {}
-        for block, names, counts, places in held.pop(shard):
-            own = unpacked(names).split(b" ")
-            for unit, n in zip(own, np.frombuffer(unpacked(counts), "<u4").tolist(), strict=True):
-                total[unit] = total.get(unit, 0) + n
-            asked.append((block, own, places))
-        yield asked, total
+    try:
+        for shard in list(held):
+            asked, total = [], {}
+            for block, names, counts, places in held.pop(shard):
+                for unit, n in zip(unpacked(names).split(b" "), np.frombuffer(unpacked(counts), "<u4").tolist(), strict=True):
+                    total[unit] = total.get(unit, 0) + n
+                asked.append((block, names, places))
+            yield asked, total
+            del asked, total
+    finally:
+        give_back()
 
 
 def trained(dictionaries: DataFrame, shards: int, vocabulary: str) -> tuple[dict[str, int], dict[int, float]]:
@@ -232,7 +238,8 @@ def answers(dictionaries: DataFrame, shards: int, sums: dict[str, int], counts:
                     continue
                 rest = model.log_probability(unit.decode()) + (math.log(DISCOUNT * types / tokens) if tokens else 0.0)
                 score[unit] = float(np.logaddexp(math.log(own), rest)) if own else rest
-            for block, names, places in asked:
+            for block, names_, places in asked:
+                names = unpacked(names_).split(b" ")
                 row = [[block], [places], [packed(np.array([total[u] for u in names], "<i8").tobytes())], [packed(np.array([score[u] for u in names], "<f8").tobytes())]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ANSWER.types, strict=True)], schema=_ANSWER)
 
@@ -275,6 +282,8 @@ def scores(docs: DataFrame, vocabulary: str, modulus: int = 7, left_out: int = 2
             for col, v in zip(out, (len(at), int((count[at] > 0).sum()), float(base[at].sum()), float(total / math.log(10))), strict=True):
                 col.append(v)
         n = len(out[0])
+        del places, count, value, base
+        give_back()
         cols = [rows.column("doc_id"), rows.column("held"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([tokens] * n, pa.int64()), *(pa.array(x, pa.float64()) for x in out[2:])]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

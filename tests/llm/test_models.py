@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline
 from bandsift.llm import bitslice, crf, lattice, surrogates
@@ -219,6 +220,23 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(model.log_probability("x" * 5000))
 
 
+def test_workers_give_back_what_shards_held(monkeypatch):
+    """Units of all dictionaries of a shard are not held at once, and memory goes back at the end."""
+    back = []
+    monkeypatch.setattr(lattice, "give_back", lambda: back.append(1))
+    columns = {
+        "shard": [3, 3],
+        "block": [0, 1],
+        "names": [lattice.packed(b"a b"), lattice.packed(b"b c")],
+        "counts": [lattice.packed(np.array(x, "<u4").tobytes()) for x in ([1, 2], [3, 0])],
+        "places": [b"x", b"y"],
+    }
+    ((asked, total),) = lattice._totals(iter([pa.RecordBatch.from_pydict(columns)]))
+    assert total == {b"a": 1, b"b": 5, b"c": 0}
+    assert [(b, lattice.unpacked(n), p) for b, n, p in asked] == [(0, b"a b", b"x"), (1, b"b c", b"y")]
+    assert back == [1]
+
+
 def test_base_scores(spark):
     rnd = random.Random(3)
     words = [f"word{i}" for i in range(60)]
