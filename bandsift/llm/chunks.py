@@ -19,6 +19,9 @@ from bandsift.llm.common import MEMO
 #: Chunks remembered in a worker; beyond that it starts afresh.
 REMEMBERED = 600_000
 
+#: Marks that may end a chunk of letters; both pre-tokenisers end a piece before a run of them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: White space besides a space and a line end.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -48,17 +51,22 @@ class Chunks(dict):
         self.tokenizer.encode_special_tokens = True
         self.lead = lead
         self.model = self.tokenizer.model
-        self.stops = {stop: self.whole(stop) for stop in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self.whole("\n")
 
     def __reduce__(self):
         # A copied tokenizer would forget its settings.
         return Chunks, (self.path, self.lead)
 
     def word(self, chunk: str) -> bytes | None:
-        """Ids of a chunk of letters with at most one stop after it, straight from the model; else None."""
-        stop = self.stops.get(chunk[-1:])
-        stem = chunk if stop is None else chunk[:-1]
-        if not stem.isalpha() or len(stem) > 200:
+        """Ids of a chunk of letters, at most a line end before and a few marks after them, straight from
+        the model; else None."""
+        stem = chunk.rstrip(MARKS)
+        marks = chunk[len(stem) :]
+        begins = self.lead and stem[:1] == "\n"
+        if begins:
+            stem = stem[1:]
+        if not stem.isalpha() or len(stem) > 200 or len(marks) > 4:
             return None
         if not self.lead:
             if not stem.isascii() and ("\u03a3" in stem or not unicodedata.is_normalized("NFC", stem)):
@@ -68,14 +76,19 @@ class Chunks(dict):
                 return None
         if not stem.isascii():
             stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = array("I", [t.id for t in self.model.tokenize(SPACE + stem if self.lead else stem)]).tobytes()
-        return ids + stop if stop else ids
+        ids = array("I", [t.id for t in self.model.tokenize(SPACE + stem if self.lead and not begins else stem)]).tobytes()
+        if begins:
+            ids = self.line_end + ids
+        if marks not in self.marks:
+            self.marks[marks] = self.whole(marks)
+        return ids + self.marks[marks]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, text: str) -> list[str]:
-        return text.replace("\n", " \n").split(" ") if self.lead else text.split(" ")
+        """Chunks; where white space yields no ids, line ends go as well as spaces do."""
+        return text.replace("\n", " \n").split(" ") if self.lead else text.replace("\n", " ").split(" ")
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.word(chunk)
@@ -87,8 +100,9 @@ class Chunks(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the same as encoding each text whole."""
-        if len(self) > REMEMBERED:
+        if len(self) + len(self.marks) > REMEMBERED:
             self.clear()
+            self.marks.clear()
         ids_of = self.__getitem__
         out = []
         for text in texts:

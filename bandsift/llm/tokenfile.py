@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandsift.llm.chunks import chunks
-from bandsift.llm.common import batches, cut_lineage, documents, open_in, open_out, ready, shared_folder, texts
+from bandsift.llm.common import batches, cut_lineage, documents, give_back, open_in, open_out, ready, shared_folder, texts
 from bandsift.llm.eliasfano import EliasFano, encode
 
 MAGIC = b"TOKEF001"
@@ -124,11 +124,14 @@ def read_token_files(manifest: DataFrame, tasks: int | None = None) -> DataFrame
     """
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                file = TokenFile(path)
-                for at in range(0, file.n_docs, STEP_DOCS):
-                    yield from _step(file, start, at, min(at + STEP_DOCS, file.n_docs))
+        try:
+            for batch in it:
+                for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                    file = TokenFile(path)
+                    for at in range(0, file.n_docs, STEP_DOCS):
+                        yield from _step(file, start, at, min(at + STEP_DOCS, file.n_docs))
+        finally:
+            give_back()
 
     tasks = tasks or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = manifest.select("path", "start").repartition(tasks, "path")

@@ -62,6 +62,20 @@ def test_chunks_equal_whole_texts(path, lead):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(own)] == [e.ids for e in want]
 
 
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_words_with_marks_and_line_ends_come_from_the_model(path, lead, monkeypatch):
+    """Only runs of marks, the line end and odd chunks go through the whole tokenizer."""
+    text = "Start " + "\n".join(f"Wörd{'abcdefghij'[i % 10]}{'xyz'[i % 3]}{m} next(-- {'pqrst'[i % 5]}line" for i, m in enumerate([".", "!!", "$$$", ",&&&", ""] * 40))
+    odd = "it's a.b\n\nx O'Neil's!! \n!! x_y__ ΑΣ\nΣ! e\ńa 5\n5!! <|endoftext|>\nA a\r\nb _\n_ '!\n's ....."
+    encoder = chunks.__globals__["Chunks"](path, lead)
+    wholes, whole = [], encoder.whole
+    want = [whole(text), whole(odd)]
+    monkeypatch.setattr(encoder, "whole", lambda x: wholes.append(x) or whole(x))
+    assert encoder.encode([text])[0] == want[0]
+    assert len(wholes) <= 8
+    assert encoder.encode([odd])[0] == want[1]
+
+
 def test_elias_fano():
     rnd = random.Random(4)
     for n in (0, 1, 2, 255, 256, 257, 3000):
