@@ -2,40 +2,42 @@
 
 A text is cut before each space or line end that follows a character which is not white space. Both
 public pre-tokenisers always end a piece there, so ids of the chunks, in order, are the ids of the text.
-Natural text repeats its chunks, so most ids come from a bounded dictionary.
+Natural text repeats its chunks: those of a batch are looked up once each, most of them in a bounded
+dictionary, and Arrow puts their ids together again.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from bandsift.llm.common import MEMO
 
-#: Chunks remembered in a worker; beyond that it starts afresh.
+#: Chunks remembered in a worker; beyond that it forgets those that it hasn't met for longest.
 REMEMBERED = 600_000
 
 #: Marks that may end a chunk of letters; both pre-tokenisers end a piece before a run of them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: White space besides a space and a line end.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 #: Byte-level vocabularies write each byte as a printable letter: itself, or the next one from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = dict(zip(sorted(set(range(256)) - set(_PRINTED)), map(chr, range(256, 512)), strict=False))
+LETTERS = "".join(BYTE_LETTERS.get(i, chr(i)) for i in range(256))
 SPACE = BYTE_LETTERS[32]
 
-
-def plain(text: str) -> bool:
-    """White space is single spaces and line ends only, none at the start: cuts before them are sure."""
-    double = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-    return not (double or text[:1] in (" ", "\n") or OTHER_SPACE.search(text))
+#: Where cuts before white space are not sure: it is not single spaces and line ends, or stands at the start.
+UNSURE = f"\\A[ \n]|[ \n][ \n]|{OTHER_SPACE}"
 
 
 class Chunks(dict):
@@ -51,6 +53,7 @@ class Chunks(dict):
         self.tokenizer.encode_special_tokens = True
         self.lead = lead
         self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.line_end = self.whole("\n")
 
@@ -58,14 +61,10 @@ class Chunks(dict):
         # A copied tokenizer would forget its settings.
         return Chunks, (self.path, self.lead)
 
-    def word(self, chunk: str) -> bytes | None:
-        """Ids of a chunk of letters, at most a line end before and a few marks after them, straight from
-        the model; else None."""
+    def word(self, chunk: str, space: str) -> bytes | None:
+        """Ids of a chunk of letters, at most a few marks after them, straight from the model; else None."""
         stem = chunk.rstrip(MARKS)
         marks = chunk[len(stem) :]
-        begins = self.lead and stem[:1] == "\n"
-        if begins:
-            stem = stem[1:]
         if not stem.isalpha() or len(stem) > 200 or len(marks) > 4:
             return None
         if not self.lead:
@@ -75,46 +74,70 @@ class Chunks(dict):
             if not stem.isalpha():
                 return None
         if not stem.isascii():
-            stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = array("I", [t.id for t in self.model.tokenize(SPACE + stem if self.lead and not begins else stem)]).tobytes()
-        if begins:
-            ids = self.line_end + ids
+            stem = codecs.charmap_decode(stem.encode(), "strict", LETTERS)[0]
+        ids = array("I", [t.id for t in self.model.tokenize(space + stem)]).tobytes()
+        if not marks:
+            return ids
         if marks not in self.marks:
             self.marks[marks] = self.whole(marks)
         return ids + self.marks[marks]
 
+    def bare(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows no space, at most a line end before it."""
+        begins = self.lead and chunk[:1] == "\n"
+        ids = self.word(chunk[1:] if begins else chunk, "")
+        if ids is None:
+            return self.whole(chunk)
+        return self.line_end + ids if begins else ids
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """Chunks; where white space yields no ids, line ends go as well as spaces do."""
-        return text.replace("\n", " \n").split(" ") if self.lead else text.replace("\n", " ").split(" ")
-
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.word(chunk)
+        ids = self.older.get(chunk)
         if ids is None:
-            ids = self.whole(chunk if chunk[:1] == "\n" else " " * self.lead + chunk)
+            if not self.lead or chunk[:1] == "\n":
+                ids = self.bare(chunk)
+            else:
+                ids = self.word(chunk, SPACE)
+                ids = self.whole(" " + chunk) if ids is None else ids
         if len(chunk) <= 200:
             self[chunk] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the same as encoding each text whole."""
-        if len(self) + len(self.marks) > REMEMBERED:
+        if len(self) + len(self.marks) > REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
             self.marks.clear()
-        ids_of = self.__getitem__
-        out = []
-        for text in texts:
-            if self.lead and not plain(text):
-                out.append(b"".join(map(self.whole, careful(text))))
+        if not self.lead:
+            # Where white space yields no ids, line ends go as well as spaces do.
+            return self.joined([text.replace("\n", " ") for text in texts])
+        unsure = pc.match_substring_regex(pa.array(texts, pa.large_string()), UNSURE).to_pylist()
+        heads, rests = [], []
+        for text, careful_cuts in zip(texts, unsure, strict=True):
+            if careful_cuts:
+                heads.append(b"".join(map(self.whole, careful(text))))
+                rests.append(None)
                 continue
-            own = self.cut(text)
-            if self.lead:
-                out.append(self.whole(own[0]) + b"".join(map(ids_of, own[1:])))
-            else:
-                out.append(b"".join(map(ids_of, own)))
-        return out
+            first, space, rest = text.replace("\n", " \n").partition(" ")
+            heads.append(self.bare(first))
+            rests.append(rest if space else None)
+        return [head + rest for head, rest in zip(heads, self.joined(rests), strict=True)]
+
+    def joined(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of the chunks of each text, cut at its spaces (a null has none); a chunk is looked up once."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        found = cut.flatten().dictionary_encode()
+        if not len(found):
+            return [b""] * len(texts)
+        known = list(map(self.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
+        ids = pa.array(known, pa.large_binary()).take(found.indices)
+        _, ends, data = ids.buffers()
+        places = np.frombuffer(ends, np.int64)[np.asarray(cut.offsets)].tolist()
+        view = memoryview(data or b"")
+        return [bytes(view[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
 def careful(text: str, least: int = 2000) -> list[str]:

@@ -76,6 +76,36 @@ def test_words_with_marks_and_line_ends_come_from_the_model(path, lead, monkeypa
     assert encoder.encode([odd])[0] == want[1]
 
 
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_a_chunk_is_looked_up_once_in_a_batch(path, lead):
+    looked = []
+
+    class Counting(chunks.__globals__["Chunks"]):
+        def __getitem__(self, chunk):
+            looked.append(chunk)
+            return super().__getitem__(chunk)
+
+    own = ["", "First the same wörds! ", "Start\nthe same wörds! " * 30 + "end", "two  spaces", "\nthe end", "x", "the same wörds! " * 40]
+    encoder = Counting(path, lead)
+    want = [encoder.whole(t) for t in own]
+    assert encoder.encode(own) == want
+    assert len(looked) == len(set(looked)) < 12
+    assert encoder.encode([]) == [] and encoder.encode([""] * 3) == [b""] * 3
+
+
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_a_full_dictionary_forgets_only_what_was_not_met(path, lead, monkeypatch):
+    encoder = chunks.__globals__["Chunks"](path, lead)
+    monkeypatch.setitem(chunks.__globals__, "REMEMBERED", 40)
+    learnt, word = [], encoder.word
+    monkeypatch.setattr(encoder, "word", lambda chunk, *a: learnt.append(chunk) or word(chunk, *a))
+    for i in range(50):
+        text = "x frequent " + " ".join("rare" + "abcdefghij"[i % 10] + "abcdefghij"[i // 10] + c for c in "klmnopq")
+        assert encoder.encode([text]) == [encoder.whole(text)]
+    assert learnt.count("frequent") == 1
+    assert len(encoder) + len(encoder.older) <= 80
+
+
 def test_elias_fano():
     rnd = random.Random(4)
     for n in (0, 1, 2, 255, 256, 257, 3000):
