@@ -2,8 +2,9 @@
 
 A text is cut before each space or line end that follows a character which is not white space. Both
 public pre-tokenisers always end a piece there, so ids of the chunks, in order, are the ids of the text.
-Natural text repeats its chunks: those of a batch are looked up once each, most of them in a bounded
-dictionary, and Arrow puts their ids together again.
+Natural text repeats its chunks, and its words more than these: the chunks of a batch are parted from the
+marks after them and looked up once each, most of them in a bounded dictionary, and Arrow puts their ids
+together again.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ REMEMBERED = 600_000
 #: Marks that may end a chunk of letters; both pre-tokenisers end a piece before a run of them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Chunks that Arrow parts from their marks: those that end in a letter which no vocabulary's normaliser turns
+#: into anything but one letter (so not the Turkish capital I with a dot, nor letters that NFC takes apart).
+MARKED = f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f][{re.escape(MARKS)}]{{1,4}}$"
+BEFORE_MARKS = f"(?s)^.*[^{re.escape(MARKS)}]"
+
 #: White space besides a space and a line end.
 OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -63,9 +69,13 @@ class Chunks(dict):
 
     def word(self, chunk: str, space: str) -> bytes | None:
         """Ids of a chunk of letters, at most a few marks after them, straight from the model; else None."""
-        stem = chunk.rstrip(MARKS)
-        marks = chunk[len(stem) :]
-        if not stem.isalpha() or len(stem) > 200 or len(marks) > 4:
+        stem, marks = chunk, ""
+        if not chunk.isalpha():
+            stem = chunk.rstrip(MARKS)
+            marks = chunk[len(stem) :]
+            if not stem.isalpha() or len(marks) > 4:
+                return None
+        if len(stem) > 200:
             return None
         if not self.lead:
             if not stem.isascii() and ("\u03a3" in stem or not unicodedata.is_normalized("NFC", stem)):
@@ -76,11 +86,13 @@ class Chunks(dict):
         if not stem.isascii():
             stem = codecs.charmap_decode(stem.encode(), "strict", LETTERS)[0]
         ids = array("I", [t.id for t in self.model.tokenize(space + stem)]).tobytes()
-        if not marks:
-            return ids
+        return ids + self.after(marks) if marks else ids
+
+    def after(self, marks: str) -> bytes:
+        """Ids of marks that follow a letter."""
         if marks not in self.marks:
-            self.marks[marks] = self.whole(marks)
-        return ids + self.marks[marks]
+            self.marks[marks] = self.whole(marks) if marks else b""
+        return self.marks[marks]
 
     def bare(self, chunk: str) -> bytes:
         """Ids of a chunk that follows no space, at most a line end before it."""
@@ -132,14 +144,23 @@ class Chunks(dict):
         found = cut.flatten().dictionary_encode()
         if not len(found):
             return [b""] * len(texts)
-        known = list(map(self.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
-        ids = pa.array(known, pa.large_binary()).take(found.indices)
+        marked = pc.match_substring_regex(found.dictionary, MARKED)
+        stems = pc.if_else(marked, pc.utf8_rtrim(found.dictionary, characters=MARKS), found.dictionary)
+        marks = pc.replace_substring_regex(pc.if_else(marked, found.dictionary, ""), BEFORE_MARKS, "")
+        known = pc.binary_join_element_wise(each(stems, self.__getitem__), each(marks, self.after), pa.scalar(b"", pa.large_binary()))
+        ids = known.take(found.indices)
         _, ends, data = ids.buffers()
         places = np.frombuffer(ends, np.int64)[np.asarray(cut.offsets)].tolist()
         view = memoryview(data or b"")
         return [bytes(view[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
+def each(strings: pa.Array, ids) -> pa.Array:
+    """Ids of each string, asked for once."""
+    found = strings.dictionary_encode()
+    return pa.array(list(map(ids, found.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(found.indices)
+
+
 def careful(text: str, least: int = 2000) -> list[str]:
     """Any text, cut before spaces that follow no white space, about every so many characters."""
     out, start = [], 0

@@ -106,6 +106,25 @@ def test_a_full_dictionary_forgets_only_what_was_not_met(path, lead, monkeypatch
     assert len(encoder) + len(encoder.older) <= 80
 
 
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_a_word_is_learnt_once_whatever_marks_follow(path, lead, monkeypatch):
+    encoder = chunks.__globals__["Chunks"](path, lead)
+    learnt, word = [], encoder.word
+    monkeypatch.setattr(encoder, "word", lambda chunk, *a: learnt.append(chunk) or word(chunk, *a))
+    text = "x " + " ".join(w + m for m in ["", ",", ".", "!!", "--", ")...", ",", ""] for w in ("wordily", "würfelé"))
+    assert encoder.encode([text, text + "?"]) == [encoder.whole(text), encoder.whole(text + "?")]
+    assert sorted(c.rstrip(".,!-)?") for c in learnt if c != "x") == ["wordily", "würfelé"]
+
+
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_marks_after_any_letter(path, lead):
+    """Some letters end in a mark once lowered or composed, and that one belongs to the marks after it."""
+    ends = ["a", "Z", "é", "ß", "ÿ", "Ÿ", "İ", "ı", "ŉ", "ſ", "Σ", "ς", "\u0958", "\ufb1d", "\u212a", "e\u0301", "漢", "ª", "5", "_", "'s", "'", "\u00d7"]
+    own = [f"The fir{e}{m} nex{e}{m}\nlin{e}{m} {m} en{e}{m}" for e in ends for m in ("", ",", "!?", "...-", ".....", "'", "',", "<|")]
+    encoder = chunks.__globals__["Chunks"](path, lead)
+    assert encoder.encode(own) == [encoder.whole(t) for t in own]
+
+
 def test_elias_fano():
     rnd = random.Random(4)
     for n in (0, 1, 2, 255, 256, 257, 3000):
