@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,92 @@ def cell_widths(low: str, high: str, bucket_hz: int) -> tuple[list[float], Colum
     return widths, F.greatest(F.lit(0), F.least(F.lit(len(widths) - 1), F.coalesce(level, F.lit(0)))).cast("int")
 
 
+#: Of windows: widths of cells grow by STEP from level to level, BELOW levels lie below the given width, a
+#: cell holds LISTS lists of points.
+LEVELS, BELOW, STEP, LISTS = 40, 8, 4, 32
+
+#: Points that the windows of one task may meet; a window costs as much as WINDOW points.
+MEET, WINDOW = 200_000_000, 50
+
+
+def points_in_windows(
+    points: DataFrame,
+    windows: DataFrame,
+    point: str,
+    low: Column,
+    high: Column,
+    bucket_hz: int,
+    hot_points: int = HOT_POINTS,
+    meet: int = MEET,
+) -> DataFrame:
+    """Pairs with low <= point <= high, once each, as `point_in_range`, for many windows with many points each.
+
+    `low` and `high` are worked out of the columns of a window, which moves once and without them. It goes
+    to the cell that its low end is in, of the lowest level whose cells are wider than the window. A point
+    goes to its cell and the one before, of each level that a window has, so a window meets all its points
+    in one cell. There they lie in lists by finer cells, and a window opens the lists that it touches.
+
+    A cell that holds more than `hot_points` points or a quarter of `meet` is dealt into pieces by hashes of
+    points and of windows, and tasks are as many as the pairs need, not the rows that move.
+    """
+    widths = [bucket_hz * float(STEP) ** (i - BELOW) for i in range(LEVELS)]
+    # So much wider that the ends of a window are at most LISTS lists apart, also where they are rounded.
+    level = F.ceil(F.log(float(STEP), 1.02 * (high - low) / widths[0]))
+    level = F.greatest(F.lit(0), F.coalesce(level, F.lit(0))).cast("int")
+
+    def fine(hz: Column, at: Column) -> Column:
+        return F.floor(hz / (F.element_at(F.array(*map(F.lit, widths)), at + 1) / LISTS))
+
+    def cell(of: Column, at: Column) -> Column:
+        """A cell and its level are one number."""
+        return F.floor(of / LISTS) * LEVELS + at
+
+    windows = windows.filter(low <= high)
+    used = sorted(row[0] for row in windows.select(level).distinct().collect())
+    w = windows.withColumn("_cell", cell(fine(low, level), level))
+    own = [(fine(F.col(point), F.lit(i)), F.lit(i)) for i in used]
+    places = [F.struct((cell(f, i) - back).alias("_cell"), f.alias("_fine")) for f, i in own for back in (0, LEVELS)]
+    places = F.array(*places).cast("array<struct<_cell:bigint,_fine:bigint>>")
+    p = points.filter(F.col(point).isNotNull()).select(F.struct(*points.columns).alias("_point"), F.explode(places).alias("_at"))
+    p = p.select("_point", "_at.*")
+
+    n, m = F.col("_points"), F.col("_windows")
+    cells = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_points"))
+    cells = cells.join(w.groupBy("_cell").agg(F.count(F.lit(1)).alias("_windows")), "_cell")
+    cells = cells.select(
+        "_cell",
+        (m.cast("double") * (n + WINDOW)).alias("_met"),
+        F.ceil(n / hot_points).alias("_parts"),
+        F.ceil(m.cast("double") * F.least(n + WINDOW, F.lit(hot_points)) / (meet / 4)).alias("_deals"),
+    )
+    busy = F.when((F.col("_parts") > 1) | (F.col("_deals") > 1), F.struct("_cell", "_parts", "_deals"))
+    met, busy = cells.agg(F.sum("_met"), F.collect_list(busy)).first()
+    keys = ["_cell", "_piece"] if busy else ["_cell"]
+    if busy:
+        columns = {k: pa.array([row[k] for row in busy], pa.int64()) for k in ("_cell", "_parts", "_deals")}
+        known = points.sparkSession.createDataFrame(pa.table(columns))
+        parts, deals = F.coalesce("_parts", F.lit(1)), F.coalesce("_deals", F.lit(1))
+        each = lambda number: F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1))
+        p = p.join(known, "_cell", "left").withColumn("_deal", each(deals))
+        p = p.withColumn("_piece", F.pmod(F.xxhash64("_point"), parts) * deals + F.col("_deal")).drop("_deal", *columns.keys() - {"_cell"})
+        w = w.join(known, "_cell", "left").withColumn("_part", each(parts))
+        w = w.withColumn("_piece", F.col("_part") * deals + F.pmod(F.xxhash64(*windows.columns), deals)).drop("_part", *columns.keys() - {"_cell"})
+    if (met or 0) > meet:
+        tasks = max(int(met / meet), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        p, w = p.repartition(tasks, *keys), w.repartition(tasks, *keys)
+
+    of = {c: f"_list_{i}" for i, c in enumerate(points.columns)}
+    lists = p.groupBy(*keys, "_fine").agg(F.collect_list("_point").alias("_list"))
+    lists = lists.select(*keys, "_fine", *[F.col("_list")[c].alias(of[c]) for c in points.columns])
+    at = F.pmod(F.col("_cell"), F.lit(LEVELS)).cast("int")
+    w = w.withColumns({"_low": low, "_high": high}).withColumns({"_first": fine(F.col("_low"), at), "_last": fine(F.col("_high"), at)})
+    near = w.join(lists, keys).filter("_fine BETWEEN _first AND _last")
+    near = near.select(*windows.columns, "_low", "_high", *of.values(), F.posexplode(of[point]).alias("_at", "_point"))
+    near = near.filter("_point BETWEEN _low AND _high")
+    mine = [F.col("_point").alias(c) if c == point else F.get(of[c], "_at").alias(c) for c in points.columns]
+    return near.select(*mine, *windows.columns)
+
+
 def overlap(
     left: DataFrame,
     right: DataFrame,
@@ -115,18 +202,12 @@ def recordings_near_channel(
 ) -> DataFrame:
     """Recordings whose window, half a sample rate either way, holds the channel centre."""
     half = F.col("sample_rate") / 2
-    windows = recordings.select(
-        "recording_id",
-        F.col("center_hz").alias("recording_hz"),
-        (F.col("center_hz") - half).alias("_low"),
-        (F.col("center_hz") + half).alias("_high"),
-    )
-    near = point_in_range(
+    near = points_in_windows(
         channels.select(*CHANNEL, "center_hz"),
-        windows,
+        recordings.select("recording_id", F.col("center_hz").alias("recording_hz"), "sample_rate"),
         "center_hz",
-        "_low",
-        "_high",
+        F.col("recording_hz") - half,
+        F.col("recording_hz") + half,
         bucket_hz,
     )
     return near.select(

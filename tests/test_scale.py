@@ -234,6 +234,77 @@ def test_narrow_ranges_get_narrow_cells(spark):
     assert ranges.point_in_range(points, edges, "hz", "low", "high", 100_000).count() == 3_001
 
 
+def shuffled(df):
+    """Rows that the shuffles of a query write."""
+    df.collect()
+
+    def below(node):
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            return node.metrics().apply("shuffleRecordsWritten").value() + below(node.child())
+        if "QueryStage" in node.getClass().getSimpleName():
+            return below(node.plan())
+        return sum(below(node.children().apply(i)) for i in range(node.children().size()))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return below(plan.executedPlan() if hasattr(plan, "executedPlan") else plan)
+
+
+def test_a_recording_moves_once(spark):
+    """A window is one row of a shuffle, however many cells it touches or points it holds."""
+    recordings = spark.range(4_000).select(F.col("id").alias("recording_id"), (868_000_000 + F.col("id") * 7).alias("center_hz"), (2_000 + F.col("id") % 3 * 1_000).cast("int").alias("sample_rate"))
+    channels = spark.range(300).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("channel_id"), (868_000_000 + F.col("id") * 101).alias("center_hz"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        near = ranges.recordings_near_channel(recordings, channels)
+        assert 4_000 <= shuffled(near) < 4_000 + 5 * 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    want = {(r, c, abs(7 * r - 101 * c)) for r in range(4_000) for c in range(300) if abs(7 * r - 101 * c) <= (2_000 + r % 3 * 1_000) / 2}
+    got = [(r.recording_id, r.channel_id, r.distance_hz) for r in near.collect()]
+    assert len(got) == len(want) > 50_000 and set(got) == want
+
+
+@pytest.mark.parametrize("hot,meet", [(1 << 30, 1 << 30), (40, 1 << 30), (1 << 30, 20_000), (40, 20_000)])
+def test_points_in_windows_of_any_width(spark, hot, meet):
+    """Busy and lonely cells, rows that come twice, nulls, empty and backward windows, both signs."""
+    pick = random.Random(6)
+    points = [(i if i % 50 else None, 25_000 if i < 200 else pick.randrange(-1_500_000, 1_500_000), i % 4) for i in range(500)]
+    points += points[:3] + points[300:303] + [(900, None, 1)]
+    widths = [-4, 0, 1, 25, 97, 390, 1_562, 6_250, 25_000, 100_000, 400_000, 3_000_000]
+    spans = [(j, pick.randrange(-1_500_000, 1_500_000), pick.choice(widths)) for j in range(150)]
+    spans += [(200 + j, 25_000 - j, 3_000) for j in range(60)] + spans[:5]
+    spans += [(300 + j, edge, width) for j, (edge, width) in enumerate((e * 25_000 + s, w) for e in (-1, 0, 1) for s in (-1, 0) for w in widths)]
+    spans += [(500, None, 5), (501, 5, None), (None, 24_000, 2_000)]
+    p = spark.createDataFrame(points, "i bigint, hz bigint, k int")
+    r = spark.createDataFrame(spans, "j bigint, at bigint, width int")
+    got = ranges.points_in_windows(p, r, "hz", F.col("at") - 0.5, F.col("at") + F.col("width") - 0.5, 100_000, hot, meet)
+    assert got.columns == ["i", "hz", "k", "j", "at", "width"]
+    full = [x for x in spans if None not in x[1:]]
+    want = [(*a, *b) for a in points if a[1] is not None for b in full if b[1] - 0.5 <= a[1] <= b[1] + b[2] - 0.5]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 10_000
+    none = ranges.points_in_windows(p, r.filter("width = -4"), "hz", F.col("at"), F.col("at") + F.col("width"), 100_000, hot, meet)
+    assert none.columns == got.columns and none.count() == 0
+    assert ranges.points_in_windows(p.limit(0), r, "hz", F.col("at"), F.col("at") + F.col("width"), 100_000, hot, meet).count() == 0
+
+
+def test_a_busy_cell_of_windows_is_joined_by_many_tasks(spark):
+    """All windows and half of the points lie in one cell; dealt, no task gets much more than the others."""
+    points = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, 2_000_000).otherwise(F.col("id") * 10_000).alias("hz"))
+    windows = spark.range(600).select(F.col("id").alias("j"), (2_000_000 + F.col("id") % 2).alias("at"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(keep, ("8", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = ranges.points_in_windows(points, windows, "hz", F.col("at") - 10, F.col("at") + 10, 100_000, meet=5_000)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 200 * 600
+    assert len(sizes) > 15 and max(sizes) < 0.2 * sum(sizes)
+
+
 def test_focus_meets_few_cells(spark):
     """Many channels lie in a window and many were seen at the same time; nulls and repeats among them."""
     rng = np.random.default_rng(5)
